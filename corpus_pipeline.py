@@ -1,8 +1,78 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences, in five stages.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns a DataFrame, which run()
+writes as Parquet and rereads as the next one's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyloom.llm._common import WORD, table, written
+from tallyloom.llm.mixing import mix
+from tallyloom.llm.near_dedup import near_duplicates
+from tallyloom.llm.packing import best_fit
+from tallyloom.llm.quality import score_quality
+from tallyloom.llm.toxicity import score_toxicity
+
+#: SQL can't express the trained stages; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the clause grammar predicts to be toxic go."""
+    scored = score_toxicity(docs, table(spark, sf_dir, "labels"), tuple(docs.columns))
+    return scored.where("predicted = 0").select(*docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line field predicts to be bad go."""
+    scored = score_quality(docs, table(spark, sf_dir, "labels"), tuple(docs.columns))
+    return scored.where("predicted = 1").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that with the smallest doc_id; of rows that repeat an id, one.
+
+    Rows without an id are in no group and stay.
+    """
+    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A document appears once for each time that its source's budget takes it whole, and once more cut to its first
+    words, joined by blanks, where the budget ends within it; a document that the mix doesn't take goes."""
+    taken = mix(docs, tuple(c for c in docs.columns if c not in ("doc_id", "source"))).where("taken > 0")
+    size, words = F.col("size"), F.filter(F.split("text", WORD_BREAK), lambda w: w != "")
+    whole = taken.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / size).cast("int"))))
+    rest = F.least(size, F.col("taken") - (F.col("epoch") - 1) * size).cast("int")
+    cut = whole.withColumn("text", F.when(rest < size, F.array_join(F.slice(words, F.lit(1), rest), " ")).otherwise(F.col("text")))
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where every word of the mix lies in the packed training sequences."""
+    return best_fit(docs)
+
+
+#: Between words stands ASCII white space.
+WORD_BREAK = WORD.replace("[^", "[")
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("quality", quality),
+    ("near_dedup", near_dedup),
+    ("mixing", mixing),
+    ("packing", packing),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to documents, each one's result written to the shared folder before the next reads it."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
