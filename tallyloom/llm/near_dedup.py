@@ -51,8 +51,8 @@ def signatures(sets: list[np.ndarray], places: int = PLACES) -> np.ndarray:
     return out
 
 
-def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
+def _describe(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for texts in batches:
         sizes, digests, signs = [], [], []
         held: list[np.ndarray] = []
 
@@ -61,7 +61,7 @@ def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held.clear()
 
         waiting = 0
-        for _, values in shingle_sets(list(pdf["text"])):
+        for _, values in shingle_sets(list(texts)):
             sizes.append(len(values))
             spread = mix(values)
             digests.append((spread.sum(dtype=np.uint64).astype(np.int64), np.bitwise_xor.reduce(spread * U(0x5851F42D4C957F2D)).astype(np.int64)))
@@ -74,12 +74,13 @@ def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         flush()
         each = iter(signs)
         low, high = zip(*digests, strict=True) if digests else ((), ())
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": sizes, "low": np.array(low, np.int64), "high": np.array(high, np.int64), "signature": [next(each) if n else None for n in sizes]})
+        yield pd.DataFrame({"n_shingles": sizes, "low": np.array(low, np.int64), "high": np.array(high, np.int64), "signature": [next(each) if n else None for n in sizes]})
 
 
 def described(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, a digest of the set (low, high) and its signature (null: empty set), one row per document."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(_describe, "doc_id long, n_shingles long, low long, high long, signature binary")
+    describe = F.pandas_udf(_describe, "n_shingles long, low long, high long, signature binary").asNondeterministic()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), describe(F.col("text").cast("string")).alias("set")).select("doc_id", "set.*")
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -77,8 +77,10 @@ def best_fit(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, bin_cost
     pieces = sizes.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.expr(f"cast((size - 1) div {largest} as int)")))))
     pieces = written(pieces.select("doc_id", "piece", (F.col("piece") * F.lit(largest).cast("long")).alias("first_word"), F.least(F.lit(largest).cast("long"), F.col("size") - F.col("piece") * largest).alias("length")), "pieces")
     shares = max(1, -(-pieces.where("length > 0").count() // SHARE_ROWS))
-    dealt = pieces.where("length > 0").withColumn("share", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shares)).cast("int"))
-    packed = dealt.groupBy("share", F.lit(shares).alias("shares")).applyInPandas(_pack(tuple(capacities), bin_cost), "doc_id long, piece int, first_word long, length long, bin_id long, start long, capacity long")
+    kind = pieces.schema["doc_id"].dataType.simpleString()
+    # Ids pass as text: pandas has no whole numbers beside nulls.
+    dealt = pieces.where("length > 0").withColumn("doc_id", F.col("doc_id").cast("string")).withColumn("share", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shares)).cast("int"))
+    packed = dealt.groupBy("share", F.lit(shares).alias("shares")).applyInPandas(_pack(tuple(capacities), bin_cost), "doc_id string, piece int, first_word long, length long, bin_id long, start long, capacity long").withColumn("doc_id", F.col("doc_id").cast(kind))
     return packed.unionByName(pieces.where("length = 0"), allowMissingColumns=True)
 
 

@@ -226,17 +226,18 @@ def _collect_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
 
 
 def _scorer(model: ChainField | None, curve: np.ndarray):
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for start in range(0, len(pdf), 512):
-                part = pdf.iloc[start : start + 512]
-                if model is None:
-                    odds = np.full(len(part), curve[0])
-                else:
-                    odds = curve[0] + curve[1] * _logit(model.quality(list(line_features(list(part["text"])))))
-                yield part.drop(columns=["text"]).assign(score=1 / (1 + np.exp(-np.clip(odds, -30, 30))))
+    """A column function of the texts; only they cross to Python."""
 
-    return score
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            out = []
+            for start in range(0, len(texts), 512):
+                part = list(texts.iloc[start : start + 512])
+                odds = np.full(len(part), curve[0]) if model is None else curve[0] + curve[1] * _logit(model.quality(list(line_features(part))))
+                out.append(1 / (1 + np.exp(-np.clip(odds, -30, 30))))
+            yield pd.Series(np.concatenate(out) if out else np.zeros(0))
+
+    return F.pandas_udf(score, "double").asNondeterministic()  # so that a plan runs it once
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -259,12 +260,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()
         curve = logistic(np.stack((np.ones(len(q)), q), axis=1), y)
     else:
         model, curve = None, np.array([_logit(np.array((y.sum() + 0.5) / (len(y) + 1.0)))])
-    kept = [c for c in keep if c not in ("doc_id", "text", "held_out", "score", "predicted")]
-    source = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), *kept, "text")
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "text")
-    scored = source.mapInPandas(_scorer(model, curve), f"{types}, score double")
+    kept = [c for c in keep if c not in ("doc_id", "held_out", "score", "predicted")]
+    scored = docs.withColumn("score", _scorer(model, curve)(F.col("text").cast("string"))).withColumn("held_out", held_out(F.col("doc_id")))
     return scored.withColumn("predicted", (F.col("score") >= GOOD).cast("int")).select("doc_id", "held_out", "score", "predicted", *kept)
 
 
+
 def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -220,12 +220,14 @@ def _feature_rows(grammar: Grammar):
 
 
 def _scorer(grammar: Grammar, curve: np.ndarray):
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            odds = grammar.features(list(pdf["text"])) @ curve
-            yield pdf.drop(columns=["text"]).assign(score=1 / (1 + np.exp(-np.clip(odds, -30, 30))))
+    """A column function of the texts; only they cross to Python."""
+
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            odds = grammar.features(list(texts)) @ curve
+            yield pd.Series(1 / (1 + np.exp(-np.clip(odds, -30, 30))))
 
-    return score
+    return F.pandas_udf(score, "double").asNondeterministic()  # so that a plan runs it once
 
 
 def learned(docs: DataFrame, labels: DataFrame) -> tuple[Grammar, np.ndarray]:
@@ -261,12 +263,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (
     labels of both classes all texts get one score. An empty table gives an empty result.
     """
     grammar, curve = learned(docs, labels)
-    kept = [c for c in keep if c not in ("doc_id", "text", "held_out", "score", "predicted")]
-    source = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), *kept, "text")
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "text")
-    scored = source.mapInPandas(_scorer(grammar, curve), f"{types}, score double")
+    kept = [c for c in keep if c not in ("doc_id", "held_out", "score", "predicted")]
+    scored = docs.withColumn("score", _scorer(grammar, curve)(F.col("text").cast("string"))).withColumn("held_out", held_out(F.col("doc_id")))
     return scored.withColumn("predicted", (F.col("score") >= TOXIC).cast("int")).select("doc_id", "held_out", "score", "predicted", *kept)
 
 
+
 def op9_clause_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

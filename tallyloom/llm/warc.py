@@ -29,8 +29,8 @@ def base32_sha1(hex_digest: str) -> str:
     return base64.b32encode(bytes.fromhex(hex_digest)).decode()
 
 
-def _uri(page_id) -> str:
-    return f"<urn:page:{'' if pd.isna(page_id) else int(page_id)}>"
+def _uri(page_id: str | None) -> str:
+    return f"<urn:page:{page_id or ''}>"
 
 
 def _header(row) -> bytes:
@@ -92,7 +92,8 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     number = F.posexplode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.substring(F.col("payload"), i * CHUNK + 1, F.lit(CHUNK)))))
     # A record's rows share an id that no other row has, even where page ids repeat.
     rows = records.withColumn("record_id", F.expr("uuid()")).withColumn("chunks", chunks)
-    cut = rows.select("record_id", "page_id", "url", "bytes", "digest", "record_type", "refers_to", "chunks", number.alias("chunk", "part"))
+    # Ids pass as text: pandas has no whole numbers beside nulls.
+    cut = rows.select("record_id", F.col("page_id").cast("string").alias("page_id"), "url", "bytes", "digest", "record_type", F.col("refers_to").cast("string").alias("refers_to"), "chunks", number.alias("chunk", "part"))
     cut.mapInPandas(_serialise, _CHUNKS).write.parquet(path)
 
 
