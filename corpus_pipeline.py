@@ -20,16 +20,29 @@ from tallyloom.llm.toxicity import score_toxicity
 ORACLE_SQL = None
 
 
+#: What a stage's operator reads; all other columns travel in one, so that no name of theirs clashes with an operator's.
+READ, OTHERS = ("doc_id", "text", "source", "n_chars"), "_others"
+
+
+def _bundled(docs: DataFrame) -> DataFrame:
+    others = [c for c in docs.columns if c not in READ]
+    return docs.select(*READ, (F.struct(*others) if others else F.lit(None).cast("string")).alias(OTHERS))
+
+
+def _unbundled(df: DataFrame, docs: DataFrame) -> DataFrame:
+    return df.select(*(c if c in READ else F.col(f"{OTHERS}.{c}").alias(c) for c in docs.columns))
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the clause grammar predicts to be toxic go."""
-    scored = score_toxicity(docs, table(spark, sf_dir, "labels"), tuple(docs.columns))
-    return scored.where("predicted = 0").select(*docs.columns)
+    scored = score_toxicity(_bundled(docs), table(spark, sf_dir, "labels"), ("text", "source", "n_chars", OTHERS))
+    return _unbundled(scored.where("predicted = 0"), docs)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line field predicts to be bad go."""
-    scored = score_quality(docs, table(spark, sf_dir, "labels"), tuple(docs.columns))
-    return scored.where("predicted = 1").select(*docs.columns)
+    scored = score_quality(_bundled(docs), table(spark, sf_dir, "labels"), ("text", "source", "n_chars", OTHERS))
+    return _unbundled(scored.where("predicted = 1"), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,12 +58,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document appears once for each time that its source's budget takes it whole, and once more cut to its first
     words, joined by blanks, where the budget ends within it; a document that the mix doesn't take goes."""
-    taken = mix(docs, tuple(c for c in docs.columns if c not in ("doc_id", "source"))).where("taken > 0")
+    taken = mix(_bundled(docs), ("text", OTHERS)).where("taken > 0")
     size, words = F.col("size"), F.filter(F.split("text", WORD_BREAK), lambda w: w != "")
     whole = taken.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / size).cast("int"))))
     rest = F.least(size, F.col("taken") - (F.col("epoch") - 1) * size).cast("int")
     cut = whole.withColumn("text", F.when(rest < size, F.array_join(F.slice(words, F.lit(1), rest), " ")).otherwise(F.col("text")))
-    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return _unbundled(cut.withColumn("n_chars", F.length("text").cast("long")), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

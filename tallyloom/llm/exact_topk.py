@@ -27,7 +27,7 @@ def whole_vectors(df: DataFrame, id_column: str, vector: str, factor: int) -> Da
     """id and v, the components as floor(factor * x): rows with an id and a vector whose components are all finite."""
     x = F.col(vector)
     usable = x.isNotNull() & F.col(id_column).isNotNull() & F.coalesce(F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double") * factor) < TOO_LARGE)), F.lit(False))
-    return df.where(usable).select(F.col(id_column).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c.cast("double") * factor).cast("int")).alias("v"))
+    return df.where(usable).select(F.col(id_column).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c.cast("double") * factor).try_cast("int")).alias("v"))
 
 
 def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

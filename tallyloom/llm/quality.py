@@ -261,7 +261,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()
     else:
         model, curve = None, np.array([_logit(np.array((y.sum() + 0.5) / (len(y) + 1.0)))])
     kept = [c for c in keep if c not in ("doc_id", "held_out", "score", "predicted")]
-    scored = docs.withColumn("score", _scorer(model, curve)(F.col("text").cast("string"))).withColumn("held_out", held_out(F.col("doc_id")))
+    scored = docs.select("doc_id", "text", *(c for c in kept if c != "text")).withColumn("score", _scorer(model, curve)(F.col("text").cast("string"))).withColumn("held_out", held_out(F.col("doc_id")))
     return scored.withColumn("predicted", (F.col("score") >= GOOD).cast("int")).select("doc_id", "held_out", "score", "predicted", *kept)
 
 

@@ -264,7 +264,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (
     """
     grammar, curve = learned(docs, labels)
     kept = [c for c in keep if c not in ("doc_id", "held_out", "score", "predicted")]
-    scored = docs.withColumn("score", _scorer(grammar, curve)(F.col("text").cast("string"))).withColumn("held_out", held_out(F.col("doc_id")))
+    scored = docs.select("doc_id", "text", *(c for c in kept if c != "text")).withColumn("score", _scorer(grammar, curve)(F.col("text").cast("string"))).withColumn("held_out", held_out(F.col("doc_id")))
     return scored.withColumn("predicted", (F.col("score") >= TOXIC).cast("int")).select("doc_id", "held_out", "score", "predicted", *kept)
 
 
