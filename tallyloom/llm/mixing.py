@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm._common import n_words, table, written
 
 #: Weights of the sources in code-point order, repeating; epochs that no source exceeds; documents in a bucket.
-WEIGHTS, MOST_EPOCHS, BUCKET_ROWS = (5, 2, 1), 3, 20_000
+WEIGHTS, MOST_EPOCHS, BUCKET_ROWS = (5, 2, 1), 3, 4_000
 #: Mixed into the hash that gives a document its random key.
 SEED = "mix-1"
 
