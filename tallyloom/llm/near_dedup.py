@@ -5,7 +5,7 @@ signature; a tree of the forest is a sorted order of the classes by some permuta
 Candidates are neighbours in an order, that is those with the longest common prefix, if they share at least the first
 DEPTH places; in a crowded region neighbours share a longer prefix, so the depth follows the density. A second pass
 compares, within each region of three or more, the members that the links found so far leave in different components,
-so that no region's size hides a link. Candidates are confirmed on the full sets.
+and does so in several deeper orders where a region is crowded. Candidates are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -28,7 +28,9 @@ AGREE = 36
 #: Places of the finer signature that the second pass compares, and how many must agree (mean 192, five deviations below).
 FINE, FINE_AGREE = 256, 158
 #: Members that a region compares with each other; a region of more is parted by further places, in so many orders.
-CROWD, BRANCHES = 128, 12
+CROWD, BRANCHES = 128, 5
+#: Bits of the filter that spares texts without candidates a shuffle: 4 MB.
+FILTER_BITS = 1 << 25
 
 _SEEDS = mix(np.arange(1, 2 * FINE + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
 _ORDERS = [np.concatenate((np.arange(t * DEPTH, (t + 1) * DEPTH), np.random.default_rng(t).permutation([p for p in range(PLACES) if not t * DEPTH <= p < (t + 1) * DEPTH])[:FURTHER])) for t in range(TREES)]
@@ -91,7 +93,7 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 ids.append(pdf["doc_id"].iloc[i])
                 members.append(values)
         fine = signatures(members, FINE).astype(np.uint8)
-        yield pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "members": [x.astype(np.int64) for x in members], "fine": [x.tobytes() for x in fine]})
+        yield pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "members": [x.astype(np.int64) for x in members], "packed": [np.unique((x >> U(32)).astype(np.uint32)).tobytes() for x in members], "fine": [x.tobytes() for x in fine]})
 
 
 def _plant(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -184,26 +186,50 @@ def _branch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 key[on] = mix(key[on] ^ (wide[on, order[step]] + U(branch * PLACES + step + 1)))
             rows = np.flatnonzero((members > CROWD) | (branch == 0))
             if len(rows):
-                yield pd.DataFrame({"key": key[rows].astype(np.int64), "fine": pdf["fine"].to_numpy()[rows], "id": pdf["id"].to_numpy()[rows], "component": pdf["component"].to_numpy()[rows]})
-
-
-def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of different components among the CROWD rows before each row of its deeper region."""
-    tail: pd.DataFrame | None = None
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        known = 0 if tail is None else len(tail)
-        pdf = pdf if tail is None else pd.concat((tail, pdf), ignore_index=True)
-        key, part, ids = pdf["key"].to_numpy(), pdf["component"].to_numpy(), pdf["id"].to_numpy()
-        fine = np.frombuffer(b"".join(pdf["fine"]), np.uint8).reshape(len(pdf), FINE)
-        for back in range(1, min(CROWD, len(pdf) - 1) + 1):
-            at = np.flatnonzero((key[back:] == key[:-back]) & (part[back:] != part[:-back]))
-            at = at[at + back >= known]
-            at = at[(fine[at] == fine[at + back]).sum(1) >= FINE_AGREE]
-            if len(at):
-                yield pd.DataFrame({"a": np.minimum(ids[at], ids[at + back]), "b": np.maximum(ids[at], ids[at + back])})
-        tail = pdf.tail(CROWD)
+                yield pd.DataFrame({"key": key[rows].astype(np.int64), "fine": pdf["fine"].to_numpy()[rows], "members": pdf["members"].to_numpy()[rows], "id": pdf["id"].to_numpy()[rows], "component": pdf["component"].to_numpy()[rows]})
+
+
+def _meet(percent: int):
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Links between different components among the CROWD rows before each row of its deeper region.
+
+        A pair whose fine signatures agree in enough places is compared on sets of 32 bits a shingle, unless links of this
+        task have joined its components already; what reaches the similarity but for two shingles leaves the task, to be
+        confirmed on the full sets.
+        """
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(up, up)
+            return x
+
+        tail: pd.DataFrame | None = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            known = 0 if tail is None else len(tail)
+            pdf = pdf if tail is None else pd.concat((tail, pdf), ignore_index=True)
+            key, part, ids, members = (pdf[c].to_numpy() for c in ("key", "component", "id", "members"))
+            fine = np.frombuffer(b"".join(pdf["fine"]), np.uint8).reshape(len(pdf), FINE)
+            links = []
+            for back in range(1, min(CROWD, len(pdf) - 1) + 1):
+                at = np.flatnonzero((key[back:] == key[:-back]) & (part[back:] != part[:-back]))
+                at = at[at + back >= known]
+                at = at[(fine[at] == fine[at + back]).sum(1) >= FINE_AGREE]
+                for i in at.tolist():
+                    a, b = root(int(part[i])), root(int(part[i + back]))
+                    if a != b:
+                        x, y = np.frombuffer(members[i], np.uint32), np.frombuffer(members[i + back], np.uint32)
+                        both = len(np.intersect1d(x, y, assume_unique=True))
+                        if (both + 2) * 100 >= (len(x) + len(y) - both - 2) * percent:
+                            links.append((int(ids[i]), int(ids[i + back])))
+                        if (both - 2) * 100 >= (len(x) + len(y) - both + 2) * percent:
+                            parent[max(a, b)] = min(a, b)
+            yield pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+            tail = pdf.tail(CROWD)
+
+    return meet
 
 
 def _with_signs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -226,6 +252,18 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _filtered(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """texts without most rows that ids lacks, before any shuffle: a Bloom filter of one hash in FILTER_BITS bits.
+
+    The filter is a table of at most FILTER_BITS / 32768 rows of 4 kB, whatever the number of ids, and so may be broadcast.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    bits = ids.select(place("id").alias("p")).groupBy(F.expr("cast(p div 32768 as int)").alias("bucket")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("bits"))
+    placed = texts.withColumn("p", place("doc_id")).withColumn("bucket", F.expr("cast(p div 32768 as int)")).join(F.broadcast(bits), "bucket")
+    byte = F.conv(F.hex(F.substring("bits", F.expr("cast((p % 32768) div 8 as int) + 1"), F.lit(1))), 16, 10).cast("int")
+    return placed.where((byte.bitwiseAND(F.expr("cast(shiftleft(1, cast(p % 8 as int)) as int)")) != 0)).drop("p", "bucket", "bits")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs (columns doc_id and text; others are ignored).
 
@@ -245,9 +283,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     scored = written(_with_signs(candidates, classes), "candidates")
     members = written(members, "members")
 
-    needed = scored.select(F.col("a").alias("id")).unionByName(scored.select(F.col("b").alias("id"))).unionByName(members.select("id")).distinct()
+    needed = written(scored.select(F.col("a").alias("id")).unionByName(scored.select(F.col("b").alias("id"))).unionByName(members.select("id")).distinct(), "needed")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    sets = written(texts.join(needed.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInPandas(_sets, "id long, members array<long>, fine binary").dropDuplicates(["id", "fine", "members"]), "sets")
+    sets = written(_filtered(texts, needed).join(needed.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).mapInPandas(_sets, "id long, members array<long>, packed binary, fine binary"), "sets")
 
     # A doc_id whose rows have different sets joins their classes without a comparison.
     ids = whole.select("n_shingles", "low", "high", "doc_id").distinct()
@@ -267,10 +305,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     parted = labelled(parted, "a").select("region", F.col("a").alias("id"), F.col("ca").alias("component"))
     sizes = parted.groupBy("region", "component").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("region").agg(F.count("*").alias("parts"), F.sum("n").alias("n")).where("parts > 1")
-    mixed_rows = written(parted.join(mixed.select("region", "n"), "region").join(classes.select("id", "signature"), "id").join(sets.select("id", "fine"), "id"), "mixed")
-    deeper = mixed_rows.mapInPandas(_branch, "key long, fine binary, id long, component long").repartition(tasks, "key").sortWithinPartitions("key", "fine", "id")
-    across = written(deeper.mapInPandas(_meet, "a long, b long").distinct(), "across")
-    more = _confirmed(open_pairs.unionByName(across).distinct(), sets, percent)
+    mixed_rows = parted.join(mixed.select("region", "n"), "region").join(classes.select("id", "signature"), "id").join(sets.select("id", "fine", F.col("packed").alias("members")), "id")
+    deeper = mixed_rows.mapInPandas(_branch, "key long, fine binary, members binary, id long, component long").repartition(tasks, "key").sortWithinPartitions("key", "fine", "id")
+    across = deeper.mapInPandas(_meet(percent), "a long, b long")
+    more = _confirmed(written(open_pairs.unionByName(across).distinct(), "across"), sets, percent)
     final = written(components(links.unionByName(more).unionByName(given)), "components")
 
     out = all_docs.select("doc_id", "n_shingles", "low", "high")
