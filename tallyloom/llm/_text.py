@@ -15,7 +15,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += U(32)
 #: Bytes that are hashed at once; a longer text is cut at white space and its pieces follow each other.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _powers: list[np.ndarray] = []
 
 

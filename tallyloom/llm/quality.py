@@ -20,7 +20,7 @@ from tallyloom.llm._text import U, _hash_buffer, mix
 
 #: Labelled documents that are trained on at most; lines of each that training reads; score from which a text is good.
 TRAIN_DOCS, TRAIN_LINES, GOOD = 4_000, 64, 0.3
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 
 
 def _table(members: str) -> np.ndarray:
