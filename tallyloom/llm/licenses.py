@@ -59,7 +59,6 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates: dict
     bound = lambda b: (b * threshold / (2 - threshold), b * (2 - threshold) / threshold)
     least, most = min(bound(len(b))[0] for b in each.values()), max(bound(len(b))[1] for b in each.values())
     known = F.array(*(F.lit(x) for x in sorted({x for b in each.values() for x in b})))
-    # A text without any template's words in some line is out before it is taken apart.
     lines = F.split(F.translate("text", _UPPER + "\r\x0b\x0c", _UPPER.lower() + "\n\n\n"), "\n")
     words = F.transform(lines, lambda line: F.filter(F.split(line, "[^a-z0-9]+"), lambda w: w != ""))
     # A line's distinct bigrams are fewer than its words; a longer line may repeat them, so only too few words rule it out.

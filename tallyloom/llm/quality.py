@@ -219,8 +219,9 @@ def _collect_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
     for pdf in batches:
         rows = []
         for (x, length), y in zip(line_features(list(pdf["text"])), pdf["y"], strict=True):
-            # Of many lines, evenly spaced windows' worth is enough to train on; scoring reads all.
-            x, length = x[:TRAIN_LINES], length[:TRAIN_LINES]
+            # Of a text with more lines the middle ones are trained on; scoring reads all.
+            first = max(0, (len(x) - TRAIN_LINES) // 2)
+            x, length = x[first : first + TRAIN_LINES], length[first : first + TRAIN_LINES]
             rows.append((int(y), x.astype(np.float32).tobytes(), length.astype(np.float32).tobytes()))
         yield pd.DataFrame(rows, columns=["y", "x", "length"])
 
