@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm._common import table, written
 
-#: Rows that the centroids are fitted on at most, and centroids at most: 64 dimensions of these are 4 MB.
-SAMPLE, MOST_LISTS = 20_000, 16_384
+#: Rows that the centroids are fitted on at most, and centroids at most: 64 dimensions of these are 2 MB.
+SAMPLE, MOST_LISTS = 8_192, 4_096
 #: Rows in a list on average, lists of a row at most, distance ratio up to which a row is replicated.
-LIST_ROWS, REPLICAS, REPLICA_RATIO = 200, 4, 1.15
+LIST_ROWS, REPLICAS, REPLICA_RATIO = 800, 4, 1.15
 #: Share of the true neighbours within the sample that a query's lists must hold there.
 TUNE_RECALL = 0.965
 #: Rows and queries that meet in one block.
@@ -51,7 +51,7 @@ def balanced_centroids(x: np.ndarray, lists: int, seed: int = 5) -> np.ndarray:
             break
         a, b = x[rng.choice(own, 2, replace=False)]
         for _ in range(4):
-            side = np.argsort(x[own] @ (b - a) , kind="stable")
+            side = np.argsort(x[own] @ (b - a), kind="stable")
             left, right = own[side[: len(own) // 2]], own[side[len(own) // 2 :]]
             a, b = x[left].mean(0), x[right].mean(0)
         groups += [left, right]
@@ -71,7 +71,10 @@ class Graph:
             d[np.arange(len(d)), np.arange(start, start + len(d))] = np.inf
             near[start : start + len(d)] = np.argsort(d, axis=1, kind="stable")[:, : near.shape[1]]
         far = rng.integers(0, n, (n, min(8, n)), dtype=np.int32)
-        self.links = np.concatenate((near, far), axis=1) if n > 1 else np.zeros((1, 1), np.int32)
+        links = np.sort(np.concatenate((near, far), axis=1), axis=1) if n > 1 else np.zeros((1, 1), np.int32)
+        again = np.zeros(links.shape, bool)
+        again[:, 1:] = links[:, 1:] == links[:, :-1]
+        self.links = np.where(again, np.arange(n)[:, None], links)  # a link to itself leads nowhere: each other one is there once
         self.entries = rng.permutation(n)[: min(n, 32)].astype(np.int32)
 
     def search(self, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +121,8 @@ def _chosen(dist: np.ndarray, ratio: float) -> np.ndarray:
 def _tuned(graph: Graph, sample: np.ndarray, plain: np.ndarray, k: int, most: int) -> float:
     """The least distance ratio at which the sample's lists hold TUNE_RECALL of its true neighbours."""
     ask = np.arange(0, len(sample), max(1, len(sample) // 400))
-    lists, dist = graph.search(sample, REPLICAS)
+    found = [graph.search(sample[i : i + 1024], REPLICAS) for i in range(0, len(sample), 1024)]
+    lists, dist = (np.concatenate(x) for x in zip(*found, strict=True))
     member = np.zeros((len(sample), len(graph.c)), bool)
     keep = _chosen(dist, REPLICA_RATIO)
     member[np.nonzero(keep)[0], lists[keep]] = True
@@ -176,19 +180,24 @@ def _compare(k: int):
             qid, rid = queries["id"].to_numpy(), rows["id"].to_numpy()
             q = np.frombuffer(b"".join(queries["v"]), np.float64).reshape(len(queries), -1)
             r = np.frombuffer(b"".join(rows["v"]), np.float64).reshape(len(rows), -1)
-            for start in range(0, len(q), 512):
-                score = q[start : start + 512] @ r.T
-                score[qid[start : start + 512][:, None] == rid[None, :]] = -np.inf
-                if len(rid) > 2 * k:  # with what may tie at the k-th place
+            repeats = len(np.unique(rid)) < len(rid)
+            step = 512 if not repeats else max(1, (1 << 17) // len(rid))
+            for start in range(0, len(q), step):
+                score = q[start : start + step] @ r.T
+                score[qid[start : start + step][:, None] == rid[None, :]] = -np.inf
+                if len(rid) > k and not repeats:  # with what may tie at the k-th place
                     cut = np.partition(score, -k, axis=1)[:, -k]
                     a, b = np.nonzero(np.isfinite(score) & (score >= (cut - 1e-9 * (1 + np.abs(cut)))[:, None]))
                 else:
                     a, b = np.nonzero(np.isfinite(score))
-                exact = np.einsum("ij,ij->i", q[start : start + 512][a], r[b])
+                exact = np.einsum("ij,ij->i", q[start : start + step][a], r[b])
                 order = np.lexsort((rid[b], -exact, a))
                 a, b, exact = a[order], b[order], exact[order]
-                top = np.arange(len(a)) - np.searchsorted(a, a) < 2 * k
-                out.append(pd.DataFrame({"query_id": qid[start : start + 512][a[top]], "vec_id": rid[b[top]], "score": exact[top]}))
+                if repeats:  # rows that repeat an id are one candidate
+                    fresh = ~pd.DataFrame({"a": a, "id": rid[b]}).duplicated().to_numpy()
+                    a, b, exact = a[fresh], b[fresh], exact[fresh]
+                top = np.arange(len(a)) - np.searchsorted(a, a) < k
+                out.append(pd.DataFrame({"query_id": qid[start : start + step][a[top]], "vec_id": rid[b[top]], "score": exact[top]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
     return compare
