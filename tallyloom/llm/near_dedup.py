@@ -4,8 +4,9 @@ Every text becomes the set of its distinct five-word shingles; equal sets are on
 signature; a tree of the forest is a sorted order of the classes by some permutation of the signature's places.
 Candidates are neighbours in an order, that is those with the longest common prefix, if they share at least the first
 DEPTH places; in a crowded region neighbours share a longer prefix, so the depth follows the density. A second pass
-compares, within each region of three or more, the members that the links found so far leave in different components,
-and does so in several deeper orders where a region is crowded. Candidates are confirmed on the full sets.
+compares, within each region of three or more, all members that the links found so far leave in different components;
+a crowded region is dealt as a grid of cells, each a block of members against another. Candidates are confirmed on the
+full sets.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ PLACES, TREES, DEPTH, FURTHER = 72, 24, 3, 6
 AGREE = 36
 #: Places of the finer signature that the second pass compares, and how many must agree (mean 192, five deviations below).
 FINE, FINE_AGREE = 256, 158
-#: Members that a region compares with each other; a region of more is parted by further places, in so many orders.
-CROWD, BRANCHES = 128, 5
+#: Members up to which a region is compared row by row; members of a block and of a piece of it in the grid of a larger one.
+CROWD, BLOCK, PIECE = 128, 2048, 256
 #: Bits of the filter that spares texts without candidates a shuffle: 4 MB.
 FILTER_BITS = 1 << 25
 
@@ -169,29 +170,9 @@ def _score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "agree": (left == right).sum(1).astype(np.int32)})
 
 
-def _branch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Deeper regions: a region of up to CROWD members as it is; of more, BRANCHES orders of further places each."""
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        signs = np.frombuffer(b"".join(pdf["signature"]), ">u4").reshape(len(pdf), PLACES)
-        region, members = pdf["region"].to_numpy().astype(np.uint64), pdf["n"].to_numpy()
-        wide = signs.astype(np.uint64)
-        for branch in range(BRANCHES):
-            order = np.random.default_rng(1000 + branch).permutation(PLACES)
-            key = region.copy()
-            deeper = np.where(members > CROWD, np.ceil(np.log(np.maximum(members, 1) / CROWD) / np.log(2)), 0).clip(0, 12).astype(int)
-            for step in range(deeper.max(initial=0)):
-                on = deeper > step
-                key[on] = mix(key[on] ^ (wide[on, order[step]] + U(branch * PLACES + step + 1)))
-            rows = np.flatnonzero((members > CROWD) | (branch == 0))
-            if len(rows):
-                yield pd.DataFrame({"key": key[rows].astype(np.int64), "fine": pdf["fine"].to_numpy()[rows], "members": pdf["members"].to_numpy()[rows], "id": pdf["id"].to_numpy()[rows], "component": pdf["component"].to_numpy()[rows]})
-
-
 def _meet(percent: int):
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Links between different components among the CROWD rows before each row of its deeper region.
+        """Links between different components of regions of up to CROWD members: each row with all before it.
 
         A pair whose fine signatures agree in enough places is compared on sets of 32 bits a shingle, unless links of this
         task have joined its components already; what reaches the similarity but for two shingles leaves the task, to be
@@ -210,7 +191,7 @@ def _meet(percent: int):
                 continue
             known = 0 if tail is None else len(tail)
             pdf = pdf if tail is None else pd.concat((tail, pdf), ignore_index=True)
-            key, part, ids, members = (pdf[c].to_numpy() for c in ("key", "component", "id", "members"))
+            key, part, ids, members = (pdf[c].to_numpy() for c in ("region", "component", "id", "members"))
             fine = np.frombuffer(b"".join(pdf["fine"]), np.uint8).reshape(len(pdf), FINE)
             links = []
             for back in range(1, min(CROWD, len(pdf) - 1) + 1):
@@ -232,6 +213,129 @@ def _meet(percent: int):
     return meet
 
 
+class _Piece:
+    """Up to PIECE members of a crowded region."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        self.ids, self.parts = pdf["id"].to_numpy(), pdf["component"].to_numpy()
+        self.fine = np.frombuffer(b"".join(pdf["fine"]), np.uint8).reshape(len(pdf), FINE)
+        self.sets = [np.frombuffer(x, np.uint32) for x in pdf["members"]]
+        self.sizes = np.array([len(x) for x in self.sets], np.int64)
+
+
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each of the left sets with each of the right ones, by products of 0-1 matrices."""
+    sides = [(np.concatenate(x), np.repeat(np.arange(len(x)), [len(v) for v in x])) for x in (left, right)]
+    both = np.intersect1d(np.unique(sides[0][0]), np.unique(sides[1][0]), assume_unique=True)
+    out = np.zeros((len(left), len(right)))
+    if not len(both):
+        return out
+    placed = []
+    for values, row in sides:
+        at = np.minimum(np.searchsorted(both, values), len(both) - 1)
+        on = both[at] == values
+        order = np.argsort(at[on], kind="stable")
+        placed.append((at[on][order], row[on][order]))
+    for first in range(0, len(both), 8192):
+        ones = []
+        for (at, row), n in zip(placed, out.shape, strict=True):
+            begin, end = np.searchsorted(at, (first, first + 8192))
+            one = np.zeros((n, min(8192, len(both) - first)), np.float32)
+            one[row[begin:end], at[begin:end] - first] = 1
+            ones.append(one)
+        out += ones[0] @ ones[1].T
+    return out
+
+
+def _cross(percent: int):
+    def cross(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Links between different components of each cell of a crowded region: every row of one block with every row of
+        the other. The tests are those of _meet. Holds one block; the other passes by."""
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(up, up)
+            return x
+
+        def compare(x: _Piece, y: _Piece, links: list[tuple[int, int]]) -> None:
+            roots = [np.array([root(int(c)) for c in p.parts]) for p in (x, y)]
+            small, large = np.minimum.outer(x.sizes, y.sizes), np.maximum.outer(x.sizes, y.sizes)
+            open_ = (roots[0][:, None] != roots[1]) & ((small + 2) * 100 >= (large - 2) * percent)
+            if x is y:
+                open_ = np.triu(open_, 1)
+            i, j = np.nonzero(open_)
+            if not len(i):
+                return
+            on = (x.fine[i] == y.fine[j]).sum(1) >= FINE_AGREE
+            i, j = i[on], j[on]
+            if not len(i):
+                return
+            if len(i) <= 64:
+                both = np.array([len(np.intersect1d(x.sets[a], y.sets[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist(), strict=True)])
+            else:
+                (rows, i_at), (columns, j_at) = np.unique(i, return_inverse=True), np.unique(j, return_inverse=True)
+                both = _shared([x.sets[a] for a in rows], [y.sets[b] for b in columns])[i_at, j_at].astype(np.int64)
+            union = x.sizes[i] + y.sizes[j] - both
+            near, sure = (both + 2) * 100 >= (union - 2) * percent, (both - 2) * 100 >= (union + 2) * percent
+            for k in np.flatnonzero(near).tolist():
+                a, b = root(int(x.parts[i[k]])), root(int(y.parts[j[k]]))
+                if a != b:
+                    links.append((int(x.ids[i[k]]), int(y.ids[j[k]])))
+                    if sure[k]:
+                        parent[max(a, b)] = min(a, b)
+
+        cell, held = None, []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            places = pdf[["region", "low", "high", "side"]].to_numpy()
+            cuts = np.concatenate(([0], np.flatnonzero((places[1:] != places[:-1]).any(1)) + 1, [len(pdf)]))
+            links: list[tuple[int, int]] = []
+            for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                now, side = tuple(places[begin, :3].tolist()), places[begin, 3]
+                if now != cell:
+                    cell, held = now, []
+                for at in range(begin, end, PIECE):
+                    piece = _Piece(pdf.iloc[at : min(at + PIECE, end)])
+                    if side == 0:
+                        held.append(piece)
+                    if side == 1 or cell[1] == cell[2]:
+                        for other in held:
+                            compare(other, piece, links)
+            yield pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+    return cross
+
+
+def _cells(crowded: DataFrame) -> DataFrame:
+    """The rows of crowded regions once per cell (low, high, side) that they meet others in.
+
+    The members of a region's largest component, which are not compared with each other, form blocks after those of the
+    other members; a cell is a block of the latter against a block not before it. So a member of the largest component
+    is in as many cells as the others have blocks.
+    """
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    few = F.col("component") != F.col("largest")
+    sized = crowded.withColumn("p", blocks(F.col("n") - F.col("most"))).withColumn("q", blocks(F.col("most")))
+    own = F.when(few, F.pmod(F.xxhash64("id"), F.col("p"))).otherwise(F.col("p") + F.pmod(F.xxhash64("id"), F.col("q"))).cast("int")
+    met = F.explode(F.sequence(F.lit(0), F.when(few, F.col("p") + F.col("q")).otherwise(F.col("p")) - 1))
+    dealt = sized.withColumn("own", own).withColumn("met", met)
+    low, high = F.least("own", "met").cast("long"), F.greatest("own", "met").cast("long")
+    return dealt.select("region", low.alias("low"), high.alias("high"), (F.col("own") != low).cast("long").alias("side"), "fine", "members", "id", "component")
+
+
+def _across(rows: DataFrame, tasks: int, percent: int) -> DataFrame:
+    """Likely links (a, b) of all pairs of rows that are in a region together and in different components.
+
+    rows: region, its n members, the largest component and its members (largest, most); id, component, fine, members.
+    """
+    plain = rows.where(F.col("n") <= CROWD).select("region", "fine", "members", "id", "component")
+    near = plain.repartition(tasks, "region").sortWithinPartitions("region", "id").mapInPandas(_meet(percent), "a long, b long")
+    cells = _cells(rows.where(F.col("n") > CROWD)).repartition(tasks, "region", "low", "high").sortWithinPartitions("region", "low", "high", "side")
+    return near.unionByName(cells.mapInPandas(_cross(percent), "a long, b long"))
+
+
 def _with_signs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     signs = classes.select("id", "signature")
     both = pairs.join(signs.withColumnsRenamed({"id": "a", "signature": "sa"}), "a").join(signs.withColumnsRenamed({"id": "b", "signature": "sb"}), "b")
@@ -304,10 +408,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     parted = members.withColumnRenamed("id", "a")
     parted = labelled(parted, "a").select("region", F.col("a").alias("id"), F.col("ca").alias("component"))
     sizes = parted.groupBy("region", "component").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("region").agg(F.count("*").alias("parts"), F.sum("n").alias("n")).where("parts > 1")
-    mixed_rows = parted.join(mixed.select("region", "n"), "region").join(classes.select("id", "signature"), "id").join(sets.select("id", "fine", F.col("packed").alias("members")), "id")
-    deeper = mixed_rows.mapInPandas(_branch, "key long, fine binary, members binary, id long, component long").repartition(tasks, "key").sortWithinPartitions("key", "fine", "id")
-    across = deeper.mapInPandas(_meet(percent), "a long, b long")
+    mixed = sizes.groupBy("region").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("largest")).where("parts > 1")
+    mixed_rows = parted.join(mixed.select("region", "n", "most", "largest"), "region").join(sets.select("id", "fine", F.col("packed").alias("members")), "id")
+    across = _across(written(mixed_rows, "mixed"), tasks, percent)
     more = _confirmed(written(open_pairs.unionByName(across).distinct(), "across"), sets, percent)
     final = written(components(links.unionByName(more).unionByName(given)), "components")
 

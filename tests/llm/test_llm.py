@@ -6,6 +6,7 @@ import random
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
@@ -299,3 +300,18 @@ def test_warc_round_trip(spark, tmp_path):
     assert {r["record_type"] for r in warc.read_archive(spark, str(tmp_path / "all")).collect()} == {"response"}
     warc.write_archive(pages.where("page_id < 0"), str(tmp_path / "none"))
     assert warc.read_archive(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_all_members_of_a_crowded_region_meet(spark, monkeypatch):
+    """3,000 texts of one region share 96 of 120 shingles with each other (0.667); 60 pairs among them share 104 (0.765)."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 400)  # so that the crowd takes many cells
+    template = " ".join(f"t{i}" for i in range(100))
+    texts = [template + "".join(f" u{i}x{k}" for k in range(24)) for i in range(3000)]
+    for i in range(60):
+        texts[2999 - i] = template + "".join(f" u{i}x{k}" if k < 8 else f" v{i}x{k}" for k in range(24))
+    (sets,) = near_dedup._sets(iter([pd.DataFrame({"doc_id": range(3000), "text": texts})]))
+    rows = pd.DataFrame({"region": 7, "id": sets["id"], "component": sets["id"], "n": 3000, "most": 1000, "largest": 1, "fine": sets["fine"], "members": sets["packed"]})
+    rows.loc[1000:1999, "component"] = 1  # one large component in the middle
+    rows.loc[1, "component"] = 0
+    got = near_dedup._across(spark.createDataFrame(rows), 4, 75).collect()
+    assert {(min(r), max(r)) for r in got} == {(i, 2999 - i) for i in range(60)}
