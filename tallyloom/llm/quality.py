@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from tallyloom.llm._common import held_out, table, training_labels, written
 from tallyloom.llm._text import U, _hash_buffer, mix
 
-#: Labelled documents that are trained on at most; lines of each that training reads; score from which a text is good.
-TRAIN_DOCS, TRAIN_LINES, GOOD = 4_000, 64, 0.3
+#: Labelled documents that are trained on at most, each with all its lines; score from which a text is good.
+TRAIN_DOCS, GOOD = 4_000, 0.3
+#: Lines, padding included, of the chains that a step of training holds at once; a longer chain alone.
+_SLOTS = 1 << 17
 _PIECE = 1 << 18
 
 
@@ -142,31 +144,39 @@ class ChainField:
         return forward, backward, np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
 
     def fit(self, docs: list[np.ndarray], labels: np.ndarray, rounds: int = 120, rate: float = 0.1, decay: float = 1e-3) -> ChainField:
-        """Adam on the mean conditional log-likelihood, both classes weighing the same."""
-        lines = max(len(x) for x in docs)
-        x = np.zeros((len(docs), lines, docs[0].shape[1]))
-        mask = np.zeros((len(docs), lines), bool)
-        for i, d in enumerate(docs):
-            x[i, : len(d)], mask[i, : len(d)] = d, True
-        every = x[mask]
-        self.mean, self.scale = every.mean(0), every.std(0) + 1e-6
+        """Adam on the mean conditional log-likelihood, both classes weighing the same.
+
+        Chains are padded to the longest of their bucket, less than twice their length.
+        """
+        sizes = np.array([len(x) for x in docs])
+        self.mean = sum(x.sum(0, dtype=np.float64) for x in docs) / sizes.sum()
+        self.scale = np.sqrt(sum(((x - self.mean) ** 2).sum(0) for x in docs) / sizes.sum()) + 1e-6
         self.mean[0], self.scale[0] = 0, 1
-        x = np.where(mask[:, :, None], (x - self.mean) / self.scale, 0)
         y = labels.astype(int)
-        weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) / mask.sum(1)
-        pairs = mask[:, 1:]
+        weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) / sizes
+        buckets: list[list[int]] = []
+        for i in np.argsort(sizes, kind="stable").tolist():
+            if not buckets or sizes[i] >= 2 * sizes[buckets[-1][0]] or (len(buckets[-1]) + 1) * sizes[i] > _SLOTS:
+                buckets.append([])
+            buckets[-1].append(i)
         m = [np.zeros_like(self.w), np.zeros_like(self.step)]
         v = [np.zeros_like(self.w), np.zeros_like(self.step)]
         for r in range(1, rounds + 1):
-            odds = x @ self.w
-            forward, backward, total = self._passes(odds, mask)
-            good = np.exp(forward[:, :, 1] + backward[:, :, 1] - total[:, None])
-            g_w = np.einsum("dl,dlf->f", weight[:, None] * mask * (y[:, None] - good), x) - decay * self.w
-            ahead = np.stack((np.zeros_like(odds), odds), axis=2)[:, 1:] + backward[:, 1:]
-            both = np.exp(forward[:, :-1, :, None] + self.step + ahead[:, :, None, :] - total[:, None, None, None])
-            g_step = -np.einsum("dl,dlij->ij", weight[:, None] * pairs, both) - decay * 10 * self.step
-            for label in (0, 1):
-                g_step[label, label] += (weight * pairs.sum(1) * (y == label)).sum()
+            g_w, g_step = -decay * self.w, -decay * 10 * self.step
+            for own in buckets:
+                x = (np.concatenate([docs[i] for i in own]) - self.mean) / self.scale
+                mask = np.arange(sizes[own].max()) < sizes[own][:, None]
+                odds = np.zeros(mask.shape)
+                odds[mask] = x @ self.w
+                forward, backward, total = self._passes(odds, mask)
+                good = np.exp(forward[:, :, 1] + backward[:, :, 1] - total[:, None])
+                g_w += (weight[own][:, None] * (y[own][:, None] - good))[mask] @ x
+                pairs = mask[:, 1:]
+                ahead = np.stack((np.zeros_like(odds), odds), axis=2)[:, 1:] + backward[:, 1:]
+                both = np.exp(forward[:, :-1, :, None] + self.step + ahead[:, :, None, :] - total[:, None, None, None])
+                g_step -= np.einsum("dl,dlij->ij", weight[own][:, None] * pairs, both)
+                for label in (0, 1):
+                    g_step[label, label] += (weight[own] * pairs.sum(1) * (y[own] == label)).sum()
             for k, (value, g) in enumerate(((self.w, g_w), (self.step, g_step))):
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.99 * v[k] + 0.01 * g * g
@@ -219,9 +229,6 @@ def _collect_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
     for pdf in batches:
         rows = []
         for (x, length), y in zip(line_features(list(pdf["text"])), pdf["y"], strict=True):
-            # Of a text with more lines the middle ones are trained on; scoring reads all.
-            first = max(0, (len(x) - TRAIN_LINES) // 2)
-            x, length = x[first : first + TRAIN_LINES], length[first : first + TRAIN_LINES]
             rows.append((int(y), x.astype(np.float32).tobytes(), length.astype(np.float32).tobytes()))
         yield pd.DataFrame(rows, columns=["y", "x", "length"])
 
@@ -244,7 +251,7 @@ def _scorer(model: ChainField | None, curve: np.ndarray):
 def score_quality(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of docs (doc_id, text), with the columns `keep`.
 
-    Trains on at most TRAIN_DOCS documents that labels (doc_id, quality) has a label for and whose id isn't held out, the
+    Trains on all lines of at most TRAIN_DOCS documents that labels (doc_id, quality) has a label for and whose id isn't held out, the
     first in the order of a hash; repeated labels of an id count as their maximum. Scores every whole text, also null and
     empty ones, which are one line without features; rows that repeat an id are scored alike, a row without one as any
     other. Without labels of both classes the score is the share of good ones, 0.5 with none. An empty table gives an
@@ -255,7 +262,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()
     rows = written(known.mapInPandas(_collect_features, "y int, x binary, length binary"), "lines").toPandas()
     y = rows["y"].to_numpy()
     if len(set(y.tolist())) == 2:
-        data = [(np.frombuffer(x, np.float32).reshape(-1, N_FEATURES).astype(np.float64), np.frombuffer(n, np.float32).astype(np.float64)) for x, n in zip(rows["x"], rows["length"], strict=True)]
+        data = [(np.frombuffer(x, np.float32).reshape(-1, N_FEATURES), np.frombuffer(n, np.float32)) for x, n in zip(rows["x"], rows["length"], strict=True)]
         model = ChainField(N_FEATURES).fit([x for x, _ in data], y)
         q = _logit(model.quality(data))
         curve = logistic(np.stack((np.ones(len(q)), q), axis=1), y)

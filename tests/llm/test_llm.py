@@ -315,3 +315,17 @@ def test_all_members_of_a_crowded_region_meet(spark, monkeypatch):
     rows.loc[1, "component"] = 0
     got = near_dedup._across(spark.createDataFrame(rows), 4, 75).collect()
     assert {(min(r), max(r)) for r in got} == {(i, 2999 - i) for i in range(60)}
+
+
+def test_quality_trains_on_all_lines_of_long_texts(spark):
+    """Bad texts have junk in their heads and tails only; their middle 80 lines are as clean as those of good ones."""
+    rng = random.Random(5)
+    texts = []
+    for i in range(200):
+        lines = [sentence(rng, 6) + "." for _ in range(160)]
+        texts.append("\n".join(x if i % 2 or 40 <= k < 120 else " ".join(w + "###" for w in x.split()) for k, x in enumerate(lines)))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    got = quality.score_quality(docs(spark, texts), labels).toPandas()
+    held = got[got.held_out]
+    assert len(held) > 10 and (held.predicted == held.doc_id % 2).all()
+    assert held.score[held.doc_id % 2 == 1].min() > 0.6 > 0.4 > held.score[held.doc_id % 2 == 0].max()
