@@ -2,14 +2,17 @@
 
 Inner product becomes distance by one more dimension, sqrt(M^2 - |x|^2) with M the largest norm. Centroids are fitted on a
 bounded sample by balanced splitting; every row goes to its nearest centroid's list and, near a boundary, to those of
-further centroids within a distance ratio. Centroids are searched through an in-memory neighbour graph. A query reads the
-lists within a distance ratio of its nearest one; the ratio is tuned on the sample for a recall of TUNE_RECALL. Lists and
-their queries are dealt out in blocks of bounded size, so a list of any length fits.
+further centroids within a distance ratio. Centroids are searched through an in-memory neighbour graph, by rows and by
+queries, at every size. A query reads the lists within a distance ratio of its nearest one; the ratio is tuned on the
+sample for a recall of TUNE_RECALL. It reads its nearest list first; the k-th score found there goes along to its other
+lists, which return only rows that reach it. Lists and their queries are dealt out in blocks of bounded size, so a list of
+any length fits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,14 +21,16 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm._common import table, written
 
-#: Rows that the centroids are fitted on at most, and centroids at most: 64 dimensions of these are 2 MB.
-SAMPLE, MOST_LISTS = 8_192, 4_096
-#: Rows in a list on average, lists of a row at most, distance ratio up to which a row is replicated.
+#: Rows that the centroids are fitted on at most, and how many of them a list needs: at most SAMPLE / LIST_SAMPLE lists.
+SAMPLE, LIST_SAMPLE = 16_384, 8
+#: Rows in a list on average (more only beyond that many lists), lists of a row at most, distance ratio up to which a row is replicated.
 LIST_ROWS, REPLICAS, REPLICA_RATIO = 800, 4, 1.15
 #: Share of the true neighbours within the sample that a query's lists must hold there.
 TUNE_RECALL = 0.965
 #: Rows and queries that meet in one block.
 ROW_BLOCK, QUERY_BLOCK = 4_096, 2_048
+#: Nodes of the graph that a search opens at once, and nodes beyond the wanted ones that it must find no nearer way from.
+WIDTH, BEAM = 4, 16
 
 
 def usable_vectors(df: DataFrame, id_column: str, vector: str) -> DataFrame:
@@ -59,7 +64,10 @@ def balanced_centroids(x: np.ndarray, lists: int, seed: int = 5) -> np.ndarray:
 
 
 class Graph:
-    """A neighbour graph over centroids with long links, searched best-first for many points at once."""
+    """A neighbour graph over centroids with long links, searched best-first for many points at once.
+
+    One long link of each node leads to the next node of a random cycle, so every node can be reached.
+    """
 
     def __init__(self, centroids: np.ndarray, degree: int = 24):
         self.c = centroids
@@ -70,74 +78,90 @@ class Graph:
             d = _distances(centroids[start : start + 1024], centroids)
             d[np.arange(len(d)), np.arange(start, start + len(d))] = np.inf
             near[start : start + len(d)] = np.argsort(d, axis=1, kind="stable")[:, : near.shape[1]]
-        far = rng.integers(0, n, (n, min(8, n)), dtype=np.int32)
-        links = np.sort(np.concatenate((near, far), axis=1), axis=1) if n > 1 else np.zeros((1, 1), np.int32)
+        cycle = rng.permutation(n).astype(np.int32)
+        after = np.empty((n, 1), np.int32)
+        after[cycle, 0] = np.roll(cycle, -1)
+        links = np.sort(np.concatenate((near, after, rng.integers(0, n, (n, min(7, n)), dtype=np.int32)), axis=1), axis=1)
         again = np.zeros(links.shape, bool)
         again[:, 1:] = links[:, 1:] == links[:, :-1]
         self.links = np.where(again, np.arange(n)[:, None], links)  # a link to itself leads nowhere: each other one is there once
-        self.entries = rng.permutation(n)[: min(n, 32)].astype(np.int32)
-
-    def search(self, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """Up to `most` near centroids of each point and their distances, nearest first; -1 and inf where fewer."""
-        n = len(self.c)
-        most = min(most, n)
-        beam = min(n, most + 16)
-        if beam * 3 >= n:  # the beam would visit every centroid
-            d = _distances(x, self.c)
-            order = np.argsort(d, axis=1, kind="stable")[:, :most]
-            return order, np.take_along_axis(d, order, 1)
-        rows = np.arange(len(x))
+        self.entries = cycle[: min(n, 32)]
+        self.sizes = (centroids**2).sum(1)
+
+    def search(self, x: np.ndarray, least: int, ratio: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+        """Centroids of each point within `ratio` of its nearest one's distance and at least the `least` nearest, with
+        their distances, nearest first; -1 and inf where a point has fewer than others.
+
+        The search goes on while an unopened node lies within the ratio or among the least + BEAM nearest known ones.
+        """
+        n, rows = len(self.c), np.arange(len(x))
+        least = min(least, n)
         seen = np.zeros((len(x), n), bool)
         seen[:, self.entries] = True
         ids = np.tile(self.entries, (len(x), 1))
         dist = _distances(x, self.c[self.entries])
-        spread = np.zeros(ids.shape, bool)
-        sizes = (self.c**2).sum(1)
+        opened = np.zeros(ids.shape, bool)
         own = (x**2).sum(1)
         while True:
-            order = np.argsort(np.where(np.isfinite(dist), dist, np.inf), axis=1, kind="stable")[:, :beam]
-            ids, dist, spread = (np.take_along_axis(a, order, 1) for a in (ids, dist, spread))
-            open_ = ~spread & np.isfinite(dist)
-            live = open_.any(1)
-            if not live.any():
+            order = np.argsort(dist, axis=1, kind="stable")
+            ids, dist, opened = (np.take_along_axis(a, order, 1) for a in (ids, dist, opened))
+            within = dist <= dist[:, :1] * ratio + 1e-12
+            reach = within | (np.arange(dist.shape[1]) < least + BEAM)
+            width = max(1, int((reach & np.isfinite(dist)).sum(1).max()))
+            ids, dist, opened, within, reach = (a[:, :width] for a in (ids, dist, opened, within, reach))
+            waiting = ~opened & np.isfinite(dist) & reach
+            live = np.flatnonzero(waiting.any(1))
+            if not len(live):
                 break
-            at = np.argmax(open_, axis=1)
-            spread[rows[live], at[live]] = True
-            nxt = self.links[ids[rows, at]]
-            new = ~np.take_along_axis(seen, nxt, 1) & live[:, None]
-            np.put_along_axis(seen, nxt, True, 1)
-            d = np.sqrt(np.maximum(own[:, None] - 2 * np.einsum("ij,ikj->ik", x, self.c[nxt]) + sizes[nxt], 0))
-            ids = np.concatenate((ids, nxt), 1)
-            dist = np.concatenate((dist, np.where(new, d, np.inf)), 1)
-            spread = np.concatenate((spread, ~new), 1)
-        ids, dist = ids[:, :most], dist[:, :most]
-        return np.where(np.isfinite(dist), ids, -1), dist
+            opened = opened.copy()
+            more_ids, more_dist = [], []
+            for _ in range(WIDTH):
+                at = np.argmax(waiting, axis=1)  # a point without a waiting node opens its nearest again, which adds nothing
+                opened[rows, at] |= waiting[rows, at]
+                waiting[rows, at] = False
+                nxt = self.links[ids[rows, at]]
+                new = ~np.take_along_axis(seen, nxt, 1)
+                new[~opened[rows, at]] = False
+                row, to = np.nonzero(new)
+                seen[row, nxt[row, to]] = True
+                d = np.full(nxt.shape, np.inf)
+                d[row, to] = np.sqrt(np.maximum(own[row] - 2 * np.einsum("ij,ij->i", x[row], self.c[nxt[row, to]]) + self.sizes[nxt[row, to]], 0))
+                more_ids.append(nxt)
+                more_dist.append(d)
+            ids, dist = np.concatenate((ids, *more_ids), 1), np.concatenate((dist, *more_dist), 1)
+            opened = np.concatenate((opened, *(np.isinf(d) for d in more_dist)), 1)
+        keep = np.isfinite(dist) & (within | (np.arange(dist.shape[1]) < least))
+        width = max(1, int(keep.sum(1).max()))
+        return np.where(keep, ids, -1)[:, :width], np.where(keep, dist, np.inf)[:, :width]
 
 
 def _chosen(dist: np.ndarray, ratio: float) -> np.ndarray:
     return np.isfinite(dist) & (dist <= dist[:, :1] * ratio + 1e-12)
 
 
-def _tuned(graph: Graph, sample: np.ndarray, plain: np.ndarray, k: int, most: int) -> float:
+def _lists_of(graph: Graph, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list) of every list that each point is filed under, up to REPLICAS of a point."""
+    rows, lists = [], []
+    for start in range(0, len(x), 1024):
+        found, dist = graph.search(x[start : start + 1024], REPLICAS)
+        row, at = np.nonzero(_chosen(dist, REPLICA_RATIO))
+        rows.append(row + start)
+        lists.append(found[row, at])
+    return np.concatenate(rows), np.concatenate(lists)
+
+
+def _tuned(graph: Graph, sample: np.ndarray, plain: np.ndarray, k: int) -> float:
     """The least distance ratio at which the sample's lists hold TUNE_RECALL of its true neighbours."""
     ask = np.arange(0, len(sample), max(1, len(sample) // 400))
-    found = [graph.search(sample[i : i + 1024], REPLICAS) for i in range(0, len(sample), 1024)]
-    lists, dist = (np.concatenate(x) for x in zip(*found, strict=True))
     member = np.zeros((len(sample), len(graph.c)), bool)
-    keep = _chosen(dist, REPLICA_RATIO)
-    member[np.nonzero(keep)[0], lists[keep]] = True
+    member[_lists_of(graph, sample)] = True
     score = plain[ask] @ plain.T
     score[np.arange(len(ask)), ask] = -np.inf
     truth = np.argsort(-score, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
-    asked = plain[ask]
-    points = np.concatenate((asked, np.zeros((len(ask), 1))), 1)
-    lists, dist = graph.search(points, most)
+    dist = _distances(np.concatenate((plain[ask], np.zeros((len(ask), 1))), 1), graph.c)
     for ratio in (1.0, 1.02, 1.04, 1.06, 1.08, 1.1, 1.12, 1.14, 1.16, 1.18, 1.2, 1.25, 1.3, 1.4, 1.6, 2.0, 4.0):
-        got = np.zeros((len(ask), len(graph.c)), bool)
-        keep = _chosen(dist, ratio)
-        got[np.nonzero(keep)[0], lists[keep]] = True
-        hit = np.array([(member[t] & got[i]).any(1).mean() for i, t in enumerate(truth)])
-        if hit.mean() >= TUNE_RECALL:
+        got = dist <= dist.min(1, keepdims=True) * ratio + 1e-12
+        if np.mean([(member[t] & g).any(1).mean() for t, g in zip(truth, got, strict=True)] if truth.size else [1.0]) >= TUNE_RECALL:
             return ratio
     return float("inf")
 
@@ -148,101 +172,121 @@ def _assign(graph: Graph, largest: float):
             for start in range(0, len(pdf), 1024):
                 part = pdf.iloc[start : start + 1024]
                 v = np.stack(part["v"].to_list())
-                x = np.concatenate((v, np.sqrt(np.maximum(largest**2 - (v**2).sum(1), 0))[:, None]), 1)
-                lists, dist = graph.search(x, REPLICAS)
-                row, at = np.nonzero(_chosen(dist, REPLICA_RATIO))
-                yield pd.DataFrame({"list": lists[row, at].astype(np.int32), "id": part["id"].to_numpy()[row], "v": [x.tobytes() for x in v[row]]})
+                row, lists = _lists_of(graph, np.concatenate((v, np.sqrt(np.maximum(largest**2 - (v**2).sum(1), 0))[:, None]), 1))
+                yield pd.DataFrame({"list": lists.astype(np.int32), "id": part["id"].to_numpy()[row], "v": [x.tobytes() for x in v[row]]})
 
     return assign
 
 
-def _ask(graph: Graph, ratio: float, most: int, sizes: np.ndarray, enough: int):
+def _ask(graph: Graph, ratio: float, sizes: np.ndarray, enough: int):
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The lists that each query reads, place 0 for its nearest; lists with too few rows are joined by the next ones."""
         for pdf in batches:
-            for start in range(0, len(pdf), 1024):
-                part = pdf.iloc[start : start + 1024]
+            for start in range(0, len(pdf), 256):
+                part = pdf.iloc[start : start + 256]
                 v = np.stack(part["v"].to_list())
-                lists, dist = graph.search(np.concatenate((v, np.zeros((len(v), 1))), 1), most)
-                keep = _chosen(dist, ratio)
-                # Lists that hold too few rows for k neighbours are joined by the next ones.
-                before = np.cumsum(np.where(lists >= 0, sizes[lists], 0), axis=1) - np.where(lists >= 0, sizes[lists], 0)
-                keep |= (before < enough) & (lists >= 0)
-                row, at = np.nonzero(keep)
-                yield pd.DataFrame({"list": lists[row, at].astype(np.int32), "id": part["id"].to_numpy()[row], "v": [x.tobytes() for x in v[row]]})
+                points, left, least = np.concatenate((v, np.zeros((len(v), 1))), 1), np.arange(len(v)), 1
+                while len(left):
+                    lists, _ = graph.search(points[left], least, ratio)
+                    held = np.where(lists >= 0, sizes[lists], 0).sum(1)
+                    done = (held >= enough) | (least >= len(graph.c))
+                    row, at = np.nonzero((lists >= 0) & done[:, None])
+                    own = left[row]
+                    yield pd.DataFrame({"list": lists[row, at].astype(np.int32), "place": at.astype(np.int32), "id": part["id"].to_numpy()[own], "v": [x.tobytes() for x in v[own]]})
+                    left, least = left[~done], least * 4
 
     return ask
 
 
 def _compare(k: int):
     def compare(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        """Each query's best k ids of the block whose scores reach the query's `least`."""
         out = []
         if len(queries) and len(rows):
-            qid, rid = queries["id"].to_numpy(), rows["id"].to_numpy()
+            rows = rows.sort_values(["v", "id"], kind="stable").drop_duplicates(["v", "id"])
+            rows = rows[rows.groupby("v", sort=False).cumcount() <= k]  # of equal vectors only the k + 1 smallest ids can count
+            rows = rows.sort_values("id", kind="stable")
+            rid, first, copies = np.unique(rows["id"].to_numpy(), return_index=True, return_counts=True)
+            qid, least = queries["id"].to_numpy(), queries["least"].to_numpy()
             q = np.frombuffer(b"".join(queries["v"]), np.float64).reshape(len(queries), -1)
             r = np.frombuffer(b"".join(rows["v"]), np.float64).reshape(len(rows), -1)
-            repeats = len(np.unique(rid)) < len(rid)
-            step = 512 if not repeats else max(1, (1 << 17) // len(rid))
-            for start in range(0, len(q), step):
-                score = q[start : start + step] @ r.T
-                score[qid[start : start + step][:, None] == rid[None, :]] = -np.inf
-                if len(rid) > k and not repeats:  # with what may tie at the k-th place
-                    cut = np.partition(score, -k, axis=1)[:, -k]
-                    a, b = np.nonzero(np.isfinite(score) & (score >= (cut - 1e-9 * (1 + np.abs(cut)))[:, None]))
-                else:
-                    a, b = np.nonzero(np.isfinite(score))
-                exact = np.einsum("ij,ij->i", q[start : start + step][a], r[b])
+            for start in range(0, len(q), 512):
+                part = slice(start, start + 512)
+                score = np.maximum.reduceat(q[part] @ r.T, first, axis=1)  # an id's rows are one candidate
+                score[qid[part][:, None] == rid[None, :]] = -np.inf
+                cut = least[part] if len(rid) <= k else np.maximum(least[part], np.partition(score, -k, axis=1)[:, -k])
+                # What may reach the cut, in double precision and with all that may tie there.
+                slack = 1e-9 * (1 + np.where(np.isfinite(cut), np.abs(cut), 0))
+                a, b = np.nonzero(np.isfinite(score) & (score >= (cut - slack)[:, None]))
+                if not len(a):
+                    continue
+                pair = np.repeat(np.arange(len(a)), copies[b])
+                row = first[b][pair] + np.arange(len(pair)) - np.searchsorted(pair, pair)
+                exact = np.maximum.reduceat(np.einsum("ij,ij->i", q[part][a[pair]], r[row]), np.searchsorted(pair, np.arange(len(a))))
+                keep = exact >= least[part][a]
+                a, b, exact = a[keep], b[keep], exact[keep]
                 order = np.lexsort((rid[b], -exact, a))
                 a, b, exact = a[order], b[order], exact[order]
-                if repeats:  # rows that repeat an id are one candidate
-                    fresh = ~pd.DataFrame({"a": a, "id": rid[b]}).duplicated().to_numpy()
-                    a, b, exact = a[fresh], b[fresh], exact[fresh]
                 top = np.arange(len(a)) - np.searchsorted(a, a) < k
-                out.append(pd.DataFrame({"query_id": qid[start : start + step][a[top]], "vec_id": rid[b[top]], "score": exact[top]}))
+                out.append(pd.DataFrame({"query_id": qid[part][a[top]], "vec_id": rid[b[top]], "score": exact[top]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
     return compare
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, vec_id, score: the k largest inner products found for every query, ties to smaller ids.
+def _counts(df: DataFrame, lists: int) -> np.ndarray:
+    out = np.zeros(lists, np.int64)
+    for r in df.groupBy("list").count().collect():  # one number per list
+        out[r["list"]] = r["count"]
+    return out
 
-    Both tables have id and v as usable_vectors() gives them, all of one number of dimensions (the most frequent one;
-    other rows take no part, nor do vectors that are null or zero or hold something null or non-finite). A query's own
-    id is no candidate. With up to k candidates all are returned. Rows that repeat an id are one candidate with the best
-    of their scores. Empty tables give an empty result.
-    """
-    spark = vectors.sparkSession
-    shape = vectors.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c)).alias("norm")).orderBy(F.desc("n"), "dims").first()
-    if shape is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dims, count, largest = shape["dims"], shape["n"], float(np.sqrt(shape["norm"]))
-    vectors, queries = (df.where(F.size("v") == dims) for df in (vectors, queries))
-    picked = vectors.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(SAMPLE).toPandas() if count > SAMPLE else vectors.toPandas()
-    plain = np.stack(picked.sort_values("id", kind="stable")["v"].to_list())
-    sample = np.concatenate((plain, np.sqrt(np.maximum(largest**2 - (plain**2).sum(1), 0))[:, None]), 1)
-    lists = int(min(MOST_LISTS, max(1, count // LIST_ROWS), max(1, len(sample) // 8)))
-    graph = Graph(balanced_centroids(sample, lists))
-    most = max(8, -(-len(graph.c) * 2 // 5)) if len(graph.c) <= 1024 else 400
-    ratio = _tuned(graph, sample, plain, k, most)
 
-    postings = written(vectors.mapInPandas(_assign(graph, largest), "list int, id long, v binary"), "postings")
-    counts = np.zeros(len(graph.c), np.int64)
-    for r in postings.groupBy("list").count().collect():  # one number per centroid
-        counts[r["list"]] = r["count"]
-    asked = written(queries.mapInPandas(_ask(graph, ratio, most, counts, REPLICAS * (k + 1)), "list int, id long, v binary"), "asked")
-    asks = np.zeros(len(graph.c), np.int64)
-    for r in asked.groupBy("list").count().collect():
-        asks[r["list"]] = r["count"]
-    blocks = F.lit(np.maximum(1, -(-counts // ROW_BLOCK)).tolist()).cast("array<int>")
-    queues = F.lit(np.maximum(1, -(-asks // QUERY_BLOCK)).tolist()).cast("array<int>")
-    n_blocks, n_queues = F.get(blocks, F.col("list")), F.get(queues, F.col("list"))
+def _met(asked: DataFrame, postings: DataFrame, sizes: np.ndarray, k: int) -> DataFrame:
+    """query_id, vec_id, score of the best of every block of a list for every query of (list, id, v, least)."""
+    asks = _counts(asked, len(sizes))
+    n_blocks, n_queues = (F.get(F.lit(np.maximum(1, -(-n // block)).tolist()).cast("array<int>"), F.col("list")) for n, block in ((sizes, ROW_BLOCK), (asks, QUERY_BLOCK)))
     rows = postings.withColumn("block", F.pmod(F.xxhash64("id"), n_blocks).cast("int")).withColumn("queue", F.explode(F.sequence(F.lit(0), n_queues - 1)))
     asked = asked.withColumn("queue", F.pmod(F.xxhash64("id"), n_queues).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
     cell = ["list", "block", "queue"]
     found = asked.groupBy(*cell).cogroup(rows.groupBy(*cell)).applyInPandas(_compare(k), "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _within(vectors: DataFrame, queries: DataFrame, k: int, count: int, largest: float) -> DataFrame:
+    """nearest() for vectors and queries of one number of dimensions; count rows of norm up to largest."""
+    picked = vectors.orderBy(F.xxhash64("id", F.lit(3)), "id", "v").select("v").limit(SAMPLE).toArrow()["v"].combine_chunks()
+    plain = picked.flatten().to_numpy().reshape(len(picked), -1)
+    sample = np.concatenate((plain, np.sqrt(np.maximum(largest**2 - (plain**2).sum(1), 0))[:, None]), 1)
+    graph = Graph(balanced_centroids(sample, max(1, min(count // LIST_ROWS, len(sample) // LIST_SAMPLE))))
+    ratio = _tuned(graph, sample, plain, k)
+    postings = written(vectors.mapInPandas(_assign(graph, largest), "list int, id long, v binary"), "postings")
+    sizes = _counts(postings, len(graph.c))
+    asked = written(queries.mapInPandas(_ask(graph, ratio, sizes, REPLICAS * (k + 1)), "list int, place int, id long, v binary"), "asked")
+    first = written(_best(_met(asked.where("place = 0").withColumn("least", F.lit(float("-inf"))), postings, sizes, k), k), "nearest-lists")
+    least = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
+    others = asked.where("place > 0").join(least, "id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+    rest = _met(others, postings, sizes, k)
+    return _best(first.select("query_id", "vec_id", "score").unionByName(rest).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score: the k largest inner products found for every query, ties to smaller ids.
+
+    Both tables have id and v as usable_vectors() gives them (vectors that are null, empty or zero or hold something null
+    or non-finite never reach here). A query's candidates are the rows of another id and as many dimensions; each number
+    of dimensions has lists of its own. With up to k candidates all are returned. Rows that repeat an id are one candidate
+    or query with the best of their scores. Empty tables give an empty result.
+    """
+    shapes = vectors.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c)).alias("norm")).orderBy("dims").collect()
+    parts = [_within(*(df.where(F.size("v") == s["dims"]) for df in (vectors, queries)), k, s["n"], float(np.sqrt(s["norm"]))) for s in shapes]
+    if not parts:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.unionByName, parts).select("query_id", "rank", "vec_id", "score")
 
 
 def op7_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
