@@ -1,34 +1,49 @@
 """Licence scans by the Dice coefficient of word bigrams, by DataFrame functions alone.
 
-Each line of a text is normalised to its words and compared with the templates by their sets of word bigrams. A line can
-reach the threshold t with a template of b bigrams only if it has between b * t / (2 - t) and b * (2 - t) / t of them, and
-only if it shares one; those two tests spare nearly all comparisons.
+A text is normalised to its words, over all line breaks. Its bigrams meet an index of the templates' bigrams; a template
+of b bigrams can reach the threshold t only where at least b * t / (2 - t) of them stand in the text, a bound that spares
+nearly all pairs of text and template. For the rest every window of the template's length that begins with one of its
+bigrams is compared with it, bigrams counted as often as they stand. So a notice is found in any wrapping, in the midst of
+a line and with words changed.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm._common import table
 
 THRESHOLD = 0.7
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Bigrams of all templates up to which their index may be broadcast: some 10 MB.
+INDEX_ROWS = 200_000
 
-# The usual short notices of public licences, as their texts ask for them.
+# The usual notices and grants of public licences, as their texts ask for them.
 TEMPLATES = {
+    "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "AGPL-grant": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
-    "MIT": "Released under the MIT License.",
-    "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-grant": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+    "Apache-2.0-terms": 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+    "BSD-disclaimer": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-grant": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "GPL-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "LGPL-grant": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "MIT": "Released under the MIT License.",
+    "MIT-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    "MIT-warranty": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
     "Proprietary": "All rights reserved.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
 }
 
 
@@ -39,42 +54,68 @@ def words_of(text: str) -> list[str]:
 
 
 def bigrams_of(text: str) -> list[str]:
+    """The bigrams of a template in order, repeats included."""
     w = words_of(text)
-    return sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})
+    return [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+
+
+def _index(spark: SparkSession, templates: dict[str, str], threshold: float) -> DataFrame:
+    """name, gram, most (how often the template has it), grams (all of the template's) and least (how many a match shares)."""
+    rows = []
+    for name, text in sorted(templates.items()):
+        grams = bigrams_of(text)
+        rows += [(name, gram, n, len(grams), len(grams) * threshold / (2 - threshold)) for gram, n in sorted(Counter(grams).items())]
+    index = spark.createDataFrame(rows, "name string, gram string, most int, grams int, least double")
+    index = index.withColumn("gram", F.xxhash64(F.substring_index("gram", " ", 1), F.substring_index("gram", " ", -1)))
+    return F.broadcast(index) if len(rows) <= INDEX_ROWS else index
+
+
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(text, "[^A-Za-z0-9]+"), "")
+
+
+def _best_window(places: Column, grams: Column, words: Column) -> Column:
+    """(dice, first word) of the best window; the first of equal ones.
+
+    places: of each bigram its positions in order and how often the template has it. An occurrence adds to the shared
+    ones of a window if the bigram's `most`-th occurrence before it lies outside.
+    """
+    each = F.transform(places, lambda g: F.transform(g["at"], lambda p, i: F.struct(p.alias("at"), F.when(i >= g["most"], F.get(g["at"], i - g["most"])).otherwise(-1).alias("before"))))
+    hits = F.array_sort(F.flatten(each))
 
+    def window(h: Column, i: Column) -> Column:
+        near = F.slice(F.col("hits"), i + 1, grams)
+        shared = F.size(F.filter(near, lambda x: (x["at"] < h["at"] + grams) & (x["before"] < h["at"])))
+        return F.struct((F.lit(2.0) * shared / (F.least(grams, words - 1 - h["at"]) + grams)).alias("dice"), (-h["at"]).alias("place"))
 
-def _bigrams(words: Column) -> Column:
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(pairs)
+    return hits, lambda: F.array_max(F.transform("hits", window))
 
 
 def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """doc_id, license, dice, lines of every row of docs (doc_id, text): the best template and the lines that match any.
+    """doc_id, license, dice, first_word and matches of every row of docs (doc_id, text).
 
-    dice is the largest coefficient of any line with any template, null with no match; ties go to the smaller name. Words
-    are runs of a-z and 0-9 after A-Z is lower-cased. Null or empty texts match nothing. Rows that repeat an id are rows
-    of their own. Lines that no template's size admits never form their bigrams. An empty table gives an empty result.
+    license is the template of the largest coefficient of any window, ties to the smaller name, dice that coefficient,
+    first_word the number of words before the first such window, and matches the number of templates that reach the
+    threshold; with none the first three are null. Words are runs of A-Z, a-z and 0-9 without regard to case. Null or
+    empty texts match nothing. Rows that repeat an id are rows of their own. Bigrams meet by a 64-bit hash. An empty table
+    gives an empty result. Only positions of bigrams that a template has are shuffled, a text's own together.
     """
-    each = {name: bigrams_of(text) for name, text in sorted(templates.items())}
-    bound = lambda b: (b * threshold / (2 - threshold), b * (2 - threshold) / threshold)
-    least, most = min(bound(len(b))[0] for b in each.values()), max(bound(len(b))[1] for b in each.values())
-    known = F.array(*(F.lit(x) for x in sorted({x for b in each.values() for x in b})))
-    lines = F.split(F.translate("text", _UPPER + "\r\x0b\x0c", _UPPER.lower() + "\n\n\n"), "\n")
-    words = F.transform(lines, lambda line: F.filter(F.split(line, "[^a-z0-9]+"), lambda w: w != ""))
-    # A line's distinct bigrams are fewer than its words; a longer line may repeat them, so only too few words rule it out.
-    grams = F.filter(F.transform(F.filter(words, lambda w: F.size(w) - 1 >= least), _bigrams), lambda g: (F.size(g) >= least) & (F.size(g) <= most) & F.arrays_overlap(g, known))
-
-    def best(g: Column) -> Column:
-        options = []
-        for name, own in each.items():
-            low, high = bound(len(own))
-            dice = F.lit(2.0) * F.size(F.array_intersect(g, F.array(*map(F.lit, own)))) / (F.size(g) + len(own))
-            options.append(F.when((F.size(g) >= low) & (F.size(g) <= high), F.struct(dice.alias("dice"), F.lit(name).alias("name"))))
-        return F.array_compact(F.filter(F.array(*options), lambda o: o["dice"] >= threshold))
-
-    matched = docs.select("doc_id", F.coalesce(grams, F.array().cast("array<array<string>>")).alias("grams")).withColumn("found", F.filter(F.transform("grams", best), lambda f: F.size(f) > 0))
-    top = F.array_sort(F.flatten("found"), lambda a, b: F.when(a["dice"] > b["dice"], -1).when(a["dice"] < b["dice"], 1).when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0))
-    return matched.withColumn("top", F.get(top, F.lit(0))).select("doc_id", F.col("top")["name"].alias("license"), F.col("top")["dice"].alias("dice"), F.size("found").cast("long").alias("lines"))
+    spark = docs.sparkSession
+    text = F.col("text").cast("string")
+    # Rows are known by two hashes of id and text; rows that are wholly alike have one result.
+    keyed = docs.select("doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("k"), F.xxhash64(F.lit(1), text, "doc_id").alias("l"))
+    words = keyed.where("text is not null").select("k", "l", _words(F.col("text")).alias("w"))
+    pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.xxhash64(F.lower(a), F.lower(b)))
+    grams = words.where(F.size("w") > 1).select("k", "l", F.size("w").alias("words"), F.posexplode(pairs).alias("at", "gram"))
+    hits = grams.join(_index(spark, templates, threshold), "gram")
+    places = hits.groupBy("k", "l", "words", "name", "gram", "most", "grams", "least").agg(F.sort_array(F.collect_set("at")).alias("at"))
+    pair = places.groupBy("k", "l", "words", "name", "grams", "least").agg(F.sum(F.least(F.size("at"), F.col("most"))).alias("shared"), F.collect_list(F.struct("at", "most")).alias("places"))
+    ordered, best = _best_window(F.col("places"), F.col("grams"), F.col("words"))
+    scored = pair.where("shared >= least").withColumn("hits", ordered).withColumn("best", best()).where(F.col("best")["dice"] >= threshold)
+    top = F.min(F.struct((-F.col("best")["dice"]).alias("dice"), "name", (-F.col("best")["place"]).alias("place")))
+    found = scored.groupBy("k", "l").agg(top.alias("top"), F.count("*").alias("matches"))
+    out = keyed.select("doc_id", "k", "l").join(found, ["k", "l"], "left")
+    return out.select("doc_id", F.col("top")["name"].alias("license"), (-F.col("top")["dice"]).alias("dice"), F.col("top")["place"].cast("long").alias("first_word"), F.coalesce("matches", F.lit(0)).cast("long").alias("matches"))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,20 +126,28 @@ def _oracle() -> str:
     rows = ", ".join(f"('{name}', [{', '.join(repr(x) for x in bigrams_of(text))}])" for name, text in sorted(TEMPLATES.items()))
     return rf"""
 WITH t(name, own) AS (VALUES {rows}),
-l AS (
-  SELECT doc_id, rowid, i, list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda w: w <> '') AS w
-  FROM (SELECT doc_id, rowid, unnest(string_split(translate(text, chr(13) || chr(11) || chr(12), chr(10) || chr(10) || chr(10)), chr(10))) AS line,
-        generate_subscripts(string_split(translate(text, chr(13) || chr(11) || chr(12), chr(10) || chr(10) || chr(10)), chr(10)), 1) AS i
-        FROM (SELECT doc_id, text, row_number() OVER () AS rowid FROM documents))
-), g AS (
-  SELECT doc_id, rowid, i, list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS g FROM l WHERE len(w) > 1
+i AS (SELECT name, gram, count(*) AS most, any_value(b) AS b FROM (SELECT name, unnest(own) AS gram, len(own) AS b FROM t) GROUP BY name, gram),
+d AS (SELECT row_number() OVER () AS rowid, doc_id, text FROM documents),
+w AS (
+  SELECT rowid, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM d
+), g AS (SELECT rowid, len(w) AS words, w, unnest(range(1, len(w))) AS p FROM w),
+h AS (SELECT rowid, words, name, b, p, i.gram, most FROM g JOIN i ON w[p] || ' ' || w[p + 1] = i.gram),
+r AS (
+  SELECT rowid, name FROM (SELECT rowid, name, b, gram, least(count(*), any_value(most)) AS n FROM h GROUP BY rowid, name, b, gram)
+  GROUP BY rowid, name, b HAVING sum(n) >= b * {THRESHOLD} / (2 - {THRESHOLD})
+), s AS (
+  SELECT rowid, name, p, b, words, sum(n) AS shared FROM (
+    SELECT x.rowid, x.name, x.p, x.b, x.words, y.gram, least(count(*), any_value(y.most)) AS n
+    FROM h x JOIN r USING (rowid, name) JOIN h y ON x.rowid = y.rowid AND x.name = y.name AND y.p BETWEEN x.p AND x.p + x.b - 1
+    GROUP BY ALL
+  ) GROUP BY ALL
 ), m AS (
-  SELECT rowid, i, name, 2.0::DOUBLE * len(list_intersect(g, own)) / (len(g) + len(own)) AS dice FROM g, t
-), b AS (
-  SELECT rowid, count(DISTINCT i) AS lines, max(dice) AS dice, arg_max(name, (dice, -ascii(name))) AS any_name FROM m WHERE dice >= {THRESHOLD} GROUP BY rowid
-), n AS (SELECT m.rowid, min(name) AS license FROM m JOIN b ON m.rowid = b.rowid AND m.dice = b.dice GROUP BY m.rowid)
-SELECT d.doc_id, n.license, b.dice, coalesce(b.lines, 0)::BIGINT AS lines
-FROM (SELECT doc_id, row_number() OVER () AS rowid FROM documents) d LEFT JOIN b USING (rowid) LEFT JOIN n USING (rowid)
+  SELECT rowid, name, p, 2.0::DOUBLE * shared / (least(b, words - p) + b) AS dice FROM s
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY rowid ORDER BY dice DESC, name, p) AS place FROM m WHERE dice >= {THRESHOLD}
+), n AS (SELECT rowid, count(DISTINCT name) AS matches FROM o GROUP BY rowid)
+SELECT d.doc_id, o.name AS license, o.dice, o.p - 1 AS first_word, coalesce(n.matches, 0)::BIGINT AS matches
+FROM d LEFT JOIN (SELECT * FROM o WHERE place = 1) o USING (rowid) LEFT JOIN n USING (rowid)
 """
 
 
