@@ -1,13 +1,15 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 A lexicon transducer turns a text's words into insults, threats, targets, negations, reported speech, gaps and clause
-ends; its insults are words and word beginnings learned from labelled documents, with their log odds as weights. Small
-transducers over these symbols (negation, reported speech, target) are composed into one, which weighs every insult or
-threat by its clause. The clauses' scores, not isolated words, give a document's score through a fitted logistic curve.
+ends; its insults are words and word beginnings learned from labelled documents, with their log odds as weights. A
+transducer for negation and one for reported speech soften insults and threats, one for targets raises what they pass on;
+composed into one they weigh every insult or threat by its clause. The clauses' scores, not isolated words, and the number
+of threats with a target give a document's score through a fitted logistic curve.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import product
 
@@ -33,42 +35,76 @@ NEGATIONS = "not no never isn't aren't nicht kein keine nie ne pas jamais nunca
 REPORTS = "said says say wrote writes called calls quote quoted according sagte sagt schrieb dit disait écrit dijo dice escribió según"
 THREATS = "kill hurt beat destroy shoot stab punch burn töten umbringen verletzen tuer frapper matar golpear"
 
-#: Symbols of the grammar.
-GAP, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
+#: Symbols of the grammar. The first seven are what words and clause ends are; MILD is an insult or threat that its
+#: context has softened, ADDRESSED a target that an insult or threat before it meets.
+GAP, INSULT, THREAT, TARGET, NEGATION, REPORT, END, MILD, ADDRESSED = SYMBOLS = range(9)
 
 
 class Transducer:
-    """A deterministic weighted transducer: step[state][symbol] is the next state, weight[state][symbol] a factor."""
+    """A deterministic weighted transducer: in state i, symbol s leads to step[i][s], puts out out[i][s] and costs a factor weight[i][s]."""
 
-    def __init__(self, step: np.ndarray, weight: np.ndarray):
-        self.step, self.weight = step, weight
-
-    def compose(self, other: Transducer) -> Transducer:
-        """Both read the same symbols, the second what the first passes on; states are pairs and factors multiply."""
-        pairs = list(product(range(len(self.step)), range(len(other.step))))
-        step = [[self.step[a][s] * len(other.step) + other.step[b][s] for s in range(7)] for a, b in pairs]
-        weight = [[self.weight[a][s] * other.weight[b][s] for s in range(7)] for a, b in pairs]
-        return Transducer(np.array(step), np.array(weight))
-
-
-def context(symbol: int, insult: float, threat: float) -> Transducer:
-    """After `symbol` and until a gap or a clause's end, insults and threats weigh so many times as much."""
-    step, weight = np.zeros((2, 7), int), np.ones((2, 7))
-    step[1, :] = 1
-    step[:, symbol] = 1
-    step[:, [GAP, END]] = 0
-    weight[1, INSULT], weight[1, THREAT] = insult, threat
-    return Transducer(step, weight)
+    def __init__(self, states: int):
+        self.step = np.tile(np.arange(states)[:, None], len(SYMBOLS))
+        self.out = np.tile(np.array(SYMBOLS), (states, 1))
+        self.weight = np.ones((states, len(SYMBOLS)))
 
+    def arc(self, state: int, symbol: int, to: int, out: int | None = None, weight: float = 1.0) -> None:
+        self.step[state][symbol], self.weight[state][symbol] = to, weight
+        self.out[state][symbol] = symbol if out is None else out
 
-GRAMMAR = context(NEGATION, 0.4, 0.2).compose(context(REPORT, 0.5, 0.4)).compose(context(TARGET, 1.5, 2.0))
+    def compose(self, other: Transducer) -> Transducer:
+        """What the first puts out the second reads; states are pairs and factors multiply."""
+        n = len(other.step)
+        both = Transducer(len(self.step) * n)
+        for (a, b), s in product(product(range(len(self.step)), range(n)), SYMBOLS):
+            passed = self.out[a][s]
+            both.arc(a * n + b, s, self.step[a][s] * n + other.step[b][passed], other.out[b][passed], self.weight[a][s] * other.weight[b][passed])
+        return both
+
+
+def softening(symbol: int, insult: float, threat: float) -> Transducer:
+    """After `symbol` and until a gap or a clause's end, insults and threats pass as MILD ones of so much weight."""
+    t = Transducer(2)
+    t.arc(0, symbol, 1)
+    for s, weight in ((INSULT, insult), (THREAT, threat), (MILD, insult)):
+        t.arc(1, s, 1, MILD, weight)
+    for s in (GAP, END):
+        t.arc(1, s, 0)
+    return t
+
+
+def addressing(insult: float, threat: float) -> Transducer:
+    """Insults and threats with a target in their clause weigh more, whether it stands before or after them.
+
+    State 1 has a target before; 2 and 3 have an insult or threat that the next target will meet.
+    """
+    t = Transducer(4)
+    for state in range(4):
+        t.arc(state, TARGET, 1)
+        t.arc(state, INSULT, 2)
+        t.arc(state, THREAT, 3)
+        for s in (GAP, END):
+            t.arc(state, s, 0)
+    t.arc(1, INSULT, 1, INSULT, insult)
+    t.arc(1, THREAT, 1, THREAT, threat)
+    t.arc(2, TARGET, 1, ADDRESSED, insult - 1)
+    t.arc(3, TARGET, 1, ADDRESSED, threat - 1)
+    return t
+
+
+#: Weights of an insult and a threat with a target, and what a target after a threat adds.
+WITH_TARGET, ADDRESSED_THREAT = (1.5, 2.0), 1.0
+GRAMMAR = softening(NEGATION, 0.4, 0.2).compose(softening(REPORT, 0.5, 0.4)).compose(addressing(*WITH_TARGET))
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(65, 91), *range(97, 123), 39]] = True
 _WORD[128:] = True
+_BETWEEN = re.compile(b"[^A-Za-z'\\x80-\\xff]")
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?;\n"]] = True
 _WHOLE = U(0xA0761D6478BD642F)
+#: Bytes of a word that tell it from others; what follows them doesn't count.
+WORD_BYTES = 256
 
 
 class Words:
@@ -78,13 +114,14 @@ class Words:
         raw = np.frombuffer(buffer, np.uint8)
         word = _WORD[raw]
         edge = np.diff(np.concatenate(([False], word, [False])).astype(np.int8))
-        self.starts, self.ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        self.starts = np.flatnonzero(edge == 1)
+        self.ends = np.minimum(np.flatnonzero(edge == -1), self.starts + WORD_BYTES)
         up, self._down = _power(len(raw))
         self._total = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum((_LOWER[raw] + U(1)) * up[: len(raw)], out=self._total[1:])
         self.whole = self._hash(self.ends) ^ _WHOLE
         stops = np.concatenate(([0], np.cumsum(_STOP[raw])))
-        self.clause = stops[self.starts]  # stops before the word
+        self.clause, self.stops = stops[self.starts], int(stops[-1])  # stops before each word, and in all
 
     def _hash(self, ends: np.ndarray) -> np.ndarray:
         return mix((self._total[ends] - self._total[self.starts]) * self._down[self.starts] + (ends - self.starts).astype(np.uint64) * U(_BASE))
@@ -96,27 +133,40 @@ class Words:
             yield long, self._hash(np.where(long, self.starts + n, self.ends))
 
 
-def _buffers(texts: list[str | None]) -> Iterator[tuple[list[int], bytes, np.ndarray]]:
-    """(indexes, buffer, ends of the texts in it): many short texts at once; a long one alone, cut after a line or word."""
+def _buffers(texts: list[str | None]) -> Iterator[tuple[list[int], bytes, np.ndarray, bool]]:
+    """(indexes, buffer, ends of the texts in it, whether it goes on with the text of the one before).
+
+    Many short texts stand in one buffer, each with a line break; a long one is alone, in buffers that end between words.
+    """
     own: list[int] = []
     parts: list[bytes] = []
     size = 0
 
     def made():
-        return list(own), b"\n".join(parts) + b"\n", np.cumsum([len(x) + 1 for x in parts])
+        return list(own), b"\n".join(parts) + b"\n", np.cumsum([len(x) + 1 for x in parts]), False
 
+    piece = max(PIECE, WORD_BYTES)
     for i, text in enumerate(texts):
         data = (text or "").encode("utf-8", "surrogatepass")
-        if size and size + len(data) > PIECE:
+        if size and size + len(data) > piece:
             yield made()
             own, parts, size = [], [], 0
-        while len(data) > PIECE:
-            cut = max(data.rfind(b"\n", 0, PIECE), data.rfind(b" ", 0, PIECE)) + 1 or PIECE
-            yield [i], data[:cut] + b"\n", np.array([cut + 1])
-            data = data[cut:]
-        own.append(i)
-        parts.append(data)
-        size += len(data) + 1
+        if len(data) <= piece:
+            own.append(i)
+            parts.append(data)
+            size += len(data) + 1
+            continue
+        at = 0
+        while at < len(data):
+            part = data[at : at + piece]
+            between = np.flatnonzero(~_WORD[np.frombuffer(part, np.uint8)])
+            if at + len(part) < len(data) and len(between):
+                part = part[: between[-1] + 1]
+            yield [i], part, np.array([len(part) + 1]), at > 0
+            at += len(part)
+            if not len(between):  # the rest of a word that has no end here
+                found = _BETWEEN.search(data, at)
+                at = found.start() if found else len(data)
     if own:
         yield made()
 
@@ -140,12 +190,21 @@ class Grammar:
         return np.where(self.hashes[at] == hashes, self.weights[at], 0.0)
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        """Of each text: sum, log of the sum, largest and mean of its clauses' scores, share of scoring words."""
-        total, most, clauses, hits, words_in = (np.zeros(len(texts)) for _ in range(5))
-        threats = _hash_words(THREATS)
-        for own, buffer, ends in _buffers(texts):
+        """Of each text: one, log of its clauses' sum, their largest and mean, share of scoring words, threats with a target."""
+        total, most, clauses, hits, words_in, threats = (np.zeros(len(texts)) for _ in range(6))
+        known_threats = _hash_words(THREATS)
+        step, outs, factors = GRAMMAR.step.tolist(), GRAMMAR.out.tolist(), GRAMMAR.weight.tolist()
+        state, last, clause, score, current, pending = 0, -REACH, -1, 0.0, 0, 0.0
+        word_base = stop_base = 0  # words and stops of the text's earlier buffers
+        for own, buffer, ends, goes_on in _buffers(texts):
             words = Words(buffer)
+            if not goes_on:
+                total[current] += score
+                most[current] = max(most[current], score)
+                state, last, clause, score, current, pending = 0, -REACH, -1, 0.0, own[0], 0.0
+                word_base, stop_base, last_clause = 0, 0, -1
             if not len(words.starts):
+                stop_base += words.stops
                 continue
             weight = self._look_up(words.whole)
             for long, hashes in words.beginnings():
@@ -154,26 +213,34 @@ class Grammar:
             for kind, known in self.context:
                 symbol[np.isin(words.whole, known)] = kind
             symbol[weight > 0] = INSULT
-            symbol[np.isin(words.whole, threats) & (weight > 0)] = THREAT
+            symbol[np.isin(words.whole, known_threats)] = THREAT
             doc = np.searchsorted(ends, words.starts, side="right")
-            np.add.at(words_in, [own[d] for d in range(len(own))], np.bincount(doc, minlength=len(own)))
-            np.add.at(clauses, own, np.bincount(doc[np.concatenate(([True], words.clause[1:] != words.clause[:-1]))], minlength=len(own)))
-            state, last, clause, score, current = 0, -REACH, -1, 0.0, 0
+            place = words.clause + stop_base
+            np.add.at(words_in, own, np.bincount(doc, minlength=len(own)))
+            np.add.at(clauses, own, np.bincount(doc[place != np.concatenate(([last_clause], place[:-1]))], minlength=len(own)))
             for w in np.flatnonzero(symbol >= 0).tolist():
-                if words.clause[w] != clause or own[doc[w]] != current:
+                if place[w] != clause or own[doc[w]] != current:
                     total[current] += score
                     most[current] = max(most[current], score)
-                    state, clause, score, current = 0, words.clause[w], 0.0, own[doc[w]]
-                elif w - last > REACH:
-                    state = GRAMMAR.step[state][GAP]
-                s = symbol[w]
+                    state, clause, score, current, pending = 0, place[w], 0.0, own[doc[w]], 0.0
+                elif w + word_base - last > REACH:
+                    state = step[state][GAP]
+                s = int(symbol[w])
+                out, factor = outs[state][s], factors[state][s]
                 if s in (INSULT, THREAT):
-                    score += weight[w] * GRAMMAR.weight[state][s]
-                    hits[current] += 1
-                state, last = GRAMMAR.step[state][s], w
+                    score += weight[w] * factor
+                    hits[current] += weight[w] > 0
+                    pending = weight[w]
+                    threats[current] += out == THREAT and factor > 1
+                elif out == ADDRESSED:
+                    score += pending * factor
+                    threats[current] += factor == ADDRESSED_THREAT
+                state, last = step[state][s], w + word_base
+            word_base, stop_base, last_clause = word_base + len(words.starts), stop_base + words.stops, place[-1]
+        if len(texts):
             total[current] += score
             most[current] = max(most[current], score)
-        return np.stack((np.ones(len(texts)), np.log1p(total), np.minimum(most, 40) / 10, np.log1p(20 * total / np.maximum(clauses, 1)), np.log1p(100 * hits / np.maximum(words_in, 1))), axis=1)
+        return np.stack((np.ones(len(texts)), np.log1p(total), np.minimum(most, 40) / 10, np.log1p(20 * total / np.maximum(clauses, 1)), np.log1p(100 * hits / np.maximum(words_in, 1)), np.log1p(threats)), axis=1)
 
 
 def _copies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -195,7 +262,7 @@ def _stems(weights: dict[int, float]):
             seen, toxic, share = [], [], []
             for text, y, doc in zip(pdf["text"], pdf["y"], pdf["doc_id"], strict=True):
                 each = []
-                for _, buffer, _ in _buffers([text]):
+                for _, buffer, _, _ in _buffers([text]):
                     words = Words(buffer)
                     each.append(words.whole)
                     each += [hashes[long] for long, hashes in words.beginnings()]
@@ -233,8 +300,9 @@ def _scorer(grammar: Grammar, curve: np.ndarray):
 def learned(docs: DataFrame, labels: DataFrame) -> tuple[Grammar, np.ndarray]:
     """The grammar and the curve, from at most TRAIN_DOCS labelled documents that aren't held out."""
     chosen = F.broadcast(training_labels(labels, "toxic", TRAIN_DOCS))  # at most TRAIN_DOCS rows of two numbers
-    sample = written(docs.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"]), "sample")
-    keys = sample.mapInPandas(_copies, "doc_id long, m0 long, m1 long, m2 long, m3 long").toPandas()
+    # Of rows that repeat an id the least text is trained on, so that reruns agree.
+    sample = written(docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")), "sample")
+    keys = sample.mapInPandas(_copies, "doc_id long, m0 long, m1 long, m2 long, m3 long").toPandas().sort_values("doc_id")
     group = np.ones(len(keys))
     for k in range(4):
         group = np.maximum(group, keys[f"m{k}"].map(keys[f"m{k}"].value_counts()).to_numpy(float)) if len(keys) else group
@@ -244,13 +312,13 @@ def learned(docs: DataFrame, labels: DataFrame) -> tuple[Grammar, np.ndarray]:
     n0 = sum(w for d, w in weights.items() if not y[d])
     empty = Grammar(np.zeros(0, np.uint64), np.zeros(0))
     if not n1 or not n0:
-        return empty, np.array([np.log((n1 + 0.5) / (n0 + 0.5)), 0, 0, 0, 0])
+        return empty, np.array([np.log((n1 + 0.5) / (n0 + 0.5)), 0, 0, 0, 0, 0])
     odds = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("clean") + 0.5) / (n0 + 1))
-    counts = sample.mapInPandas(_stems(weights), "stem long, toxic double, clean double").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = sample.mapInPandas(_stems(weights), "stem long, toxic double, clean double").groupBy("stem").agg(F.round(F.sum("toxic"), 6).alias("toxic"), F.round(F.sum("clean"), 6).alias("clean"))  # whatever the order of the sums
     best = counts.where(F.col("toxic") >= max(LEAST_DOCS, n1 / 100)).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS).orderBy(F.desc(F.col("odds") * F.col("toxic")), "stem").limit(LEXICON).collect()
     grammar = Grammar(np.array([r["stem"] for r in best], np.int64).astype(np.uint64), np.array([r["odds"] for r in best], float))
-    rows = sample.mapInPandas(_feature_rows(grammar), "doc_id long, y int, x0 double, x1 double, x2 double, x3 double, x4 double").toPandas().sort_values("doc_id")
-    x = rows[[f"x{k}" for k in range(5)]].to_numpy()
+    rows = sample.mapInPandas(_feature_rows(grammar), "doc_id long, y int, x0 double, x1 double, x2 double, x3 double, x4 double, x5 double").toPandas().sort_values("doc_id")
+    x = rows[[f"x{k}" for k in range(6)]].to_numpy()
     return grammar, logistic(x, rows["y"].to_numpy(float), decay=0.3)
 
 
