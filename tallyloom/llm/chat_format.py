@@ -1,8 +1,8 @@
 """Chat formatting in budgeted windows, by DataFrame functions alone.
 
-Prefix sums of the turns' words cut a conversation into spans of whole turns; each span is written as one window that
-repeats the conversation's system turn and up to HISTORY turns before the span. The mask covers the assistant texts of the
-span itself, so a repeated text is never a target twice.
+Prefix sums of the turns' words, markup included, cut a conversation into spans of whole turns; each span is written as one
+window that repeats the conversation's system turn and, as far as the budget allows, up to HISTORY turns before the span.
+The mask covers the assistant texts of the span itself, so a repeated text is never a target twice.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm._common import n_words, table
 
-#: Words of new turns that start a further span, and turns before a span that its window repeats.
+#: Words of a window, and turns before a span that its window repeats at most.
 BUDGET, HISTORY = 256, 2
 #: A turn is OPEN role, line break, text, CLOSE, line break.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
@@ -33,38 +33,45 @@ def format_chats(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY)
     """conv_id, window, formatted, repeated and loss of every window of turns (conv_id, turn, role, text).
 
     repeated is the number of messages at the window's start that it repeats; loss lists (start, length) of the masked
-    texts in code points, as they stand in formatted. A span begins where the words before a turn pass a multiple of the
-    budget. Null texts and roles are empty; turns of a conversation are ordered by turn (null first), role and text, and
-    equal rows stay apart; rows of a null conv_id are one conversation. The system turn is the first one if its role is
-    system. An empty table gives an empty result. A conversation is one row of the contract's result, so its turns meet
-    in one task; no other grouping occurs.
+    texts in code points, as they stand in formatted. A window has at most `budget` words, its markup, system turn and
+    history included, unless the system turn and one more turn alone have more. The room that the system turn leaves is
+    halved: a span ends where the last word of the next turn lies in another half, and after a turn longer than a half. So
+    it fits the room, and whole turns before it fill what is left, the latest first. Null texts and roles are empty;
+    turns of a conversation are ordered by turn (null first), role and text, and equal rows stay apart; rows of a null
+    conv_id are one conversation. The system turn is the first one if its role is system. An empty table gives an empty
+    result. A conversation is one row of the contract's result, so its turns meet in one task; no other grouping occurs,
+    and no row holds more than a span and its history.
     """
     clean = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = clean.withColumn("words", n_words(F.col("text"))).withColumn("at", F.row_number().over(order))
-    before = F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("span", F.floor(before / budget).cast("int"))
+    until = order.rowsBetween(Window.unboundedPreceding, 0)
     role = F.regexp_replace(F.regexp_replace(escape(F.col("role")), r"\\", r"\\\\"), "\n", r"\\n")
-    head = F.concat(F.lit(OPEN), role, F.lit("\n"))
-    body = escape(F.col("text"))
-    part = F.struct("at", "span", (F.col("role") == "assistant").alias("target"), (F.col("role") == "system").alias("system"), head.alias("head"), body.alias("body"))
-    whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(part)).alias("turns"))
-    spans = whole.withColumn("span", F.explode(F.array_sort(F.array_distinct(F.transform("turns", lambda t: t["span"])))))
-    fresh = F.filter("turns", lambda t: t["span"] == F.col("span"))
-    spans = spans.withColumn("fresh", fresh)
-    first = F.col("fresh")[0]["at"]
-    repeat = F.filter("turns", lambda t: (t["span"] < F.col("span")) & ((t["at"] >= first - history) | ((t["at"] == 1) & t["system"])))
-    spans = spans.withColumn("old", repeat).withColumn("messages", F.concat("old", "fresh"))
-    tail = f"{CLOSE}\n"
-    spans = spans.withColumn("formatted", F.array_join(F.transform("messages", lambda t: F.concat(t["head"], t["body"], F.lit(tail))), ""))
-    # Starts are prefix sums of the messages' lengths.
-    step = lambda acc, t: F.struct(
-        (acc["end"] + F.length(t["head"]) + F.length(t["body"]) + len(tail)).alias("end"),
-        F.when((t["span"] == F.col("span")) & t["target"], F.array_append(acc["loss"], F.struct((acc["end"] + F.length(t["head"])).alias("start"), F.length(t["body"]).alias("length")))).otherwise(acc["loss"]).alias("loss"),
-    )
-    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,length:int>>").alias("loss"))
-    loss = F.aggregate("messages", start, step, lambda acc: acc["loss"])
-    return spans.select("conv_id", F.col("span").alias("window"), "formatted", F.size("old").alias("repeated"), loss.alias("loss"))
+    rows = clean.withColumn("head", F.concat(F.lit(OPEN), role, F.lit("\n"))).withColumn("body", escape(F.col("text"))).withColumn("message", F.concat("head", "body", F.lit(f"{CLOSE}\n")))
+    rows = rows.withColumn("words", n_words(F.col("message"))).withColumn("at", F.row_number().over(order))
+    # The system turn is charged to every window, so the prefix sums leave it out.
+    system = F.first(F.when((F.col("at") == 1) & (F.col("role") == "system"), F.struct("words", "message"))).over(until)
+    rows = rows.withColumn("system", system).withColumn("kept", F.coalesce(F.col("system")["words"], F.lit(0)))
+    rows = rows.withColumn("half", F.greatest(F.lit(1), F.floor((F.lit(budget) - F.col("kept")) / 2)))
+    rows = rows.withColumn("new", F.when((F.col("at") == 1) & F.col("system").isNotNull(), 0).otherwise(F.col("words")))
+    rows = rows.withColumn("bucket", F.floor((F.sum("new").over(until) - 1) / F.col("half")))
+    opens = (F.col("at") > F.when(F.col("system").isNull(), 1).otherwise(2)) & ((F.col("bucket") != F.lag("bucket").over(order)) | (F.lag("new").over(order) > F.col("half")))
+    rows = rows.withColumn("before", F.collect_list(F.struct("at", "words", "message")).over(order.rowsBetween(-history, -1)) if history else F.array().cast("array<struct<at:int,words:bigint,message:string>>"))
+    rows = rows.withColumn("opens", opens).withColumn("span", F.sum(F.col("opens").cast("int")).over(until))
+
+    own = Window.partitionBy("conv_id", "span")
+    left = F.lit(budget) - F.col("kept") - F.sum("new").over(own)
+    rows = rows.withColumn("left", left).withColumn("start", F.coalesce(F.sum(F.length("message")).over(own.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.length("head"))
+    # Of the turns before a span those stay whose words, with those of all later ones, fit what is left.
+    earlier = F.filter("before", lambda t: (t["at"] > 1) | F.col("system").isNull())
+    fits = F.filter(earlier, lambda t: F.aggregate(F.filter(earlier, lambda u: u["at"] >= t["at"]), F.lit(0).cast("long"), lambda n, u: n + u["words"]) <= F.col("left"))
+    again = F.concat(F.array_compact(F.array(F.col("system")["message"])), F.transform(fits, lambda t: t["message"]))
+    prefix = F.when(F.col("opens"), F.struct(F.array_join(again, "").alias("text"), F.size(again).alias("messages")))
+    part = F.struct("at", "message", (F.col("role") == "assistant").alias("target"), "start", F.length("body").alias("length"))
+    spans = rows.select("conv_id", "span", part.alias("part"), prefix.alias("prefix")).groupBy("conv_id", "span").agg(F.sort_array(F.collect_list("part")).alias("turns"), F.max("prefix").alias("prefix"))
+    first = F.coalesce(F.col("prefix")["text"], F.lit(""))
+    loss = F.transform(F.filter("turns", lambda t: t["target"]), lambda t: F.struct((t["start"] + F.length(first)).cast("int").alias("start"), t["length"].alias("length")))
+    formatted = F.concat(first, F.array_join(F.transform("turns", lambda t: t["message"]), ""))
+    return spans.select("conv_id", F.col("span").cast("int").alias("window"), formatted.alias("formatted"), F.coalesce(F.col("prefix")["messages"], F.lit(0)).alias("repeated"), loss.alias("loss"))
 
 
 def read_back(windows: DataFrame) -> DataFrame:
@@ -96,20 +103,30 @@ ORACLE_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
-), w AS (
-  SELECT *, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words, row_number() OVER o AS pos FROM t
-  WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
-), s AS (
-  SELECT *, coalesce(sum(words) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 256 AS span,
-         length(regexp_replace(text, '([<\[])(\\*)(\||/?s>|/?INST\]|</?SYS>>)', '\1\\\2\3', 'g')) + length(role) + 24 AS chars
-  FROM w
-), f AS (SELECT conv_id, span, min(pos) AS first FROM s GROUP BY ALL),
-r AS (
-  SELECT f.conv_id, sum(s.chars) AS chars FROM f JOIN s ON s.conv_id = f.conv_id
-    AND (s.span = f.span OR (s.span < f.span AND (s.pos >= f.first - 2 OR (s.pos = 1 AND s.role = 'system')))) GROUP BY f.conv_id
+), e AS (
+  SELECT *, '<|im_start|>' || replace(replace(regexp_replace(role, '([<\[])(\\*)(\||/?s>|/?INST\]|</?SYS>>)', '\1\\\2\3', 'g'), '\', '\\'), chr(10), '\n') || chr(10)
+         || regexp_replace(text, '([<\[])(\\*)(\||/?s>|/?INST\]|</?SYS>>)', '\1\\\2\3', 'g') || '<|im_end|>' || chr(10) AS message,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM t
+), w AS (SELECT *, len(regexp_extract_all(message, '[^\x20\x09-\x0D]+')) AS words FROM e),
+y AS (SELECT conv_id, words AS kept, length(message) AS kept_chars FROM w WHERE pos = 1 AND role = 'system'),
+s AS (
+  SELECT w.*, coalesce(kept, 0) AS kept, coalesce(kept_chars, 0) AS kept_chars, y.conv_id IS NOT NULL AS has, greatest(1, (256 - coalesce(kept, 0)) // 2) AS half,
+         CASE WHEN pos = 1 AND y.conv_id IS NOT NULL THEN 0 ELSE words END AS fresh FROM w LEFT JOIN y ON w.conv_id = y.conv_id
+), p AS (SELECT *, (sum(fresh) OVER (PARTITION BY conv_id ORDER BY pos) - 1) // half AS bucket FROM s),
+o AS (
+  SELECT *, pos > CASE WHEN has THEN 2 ELSE 1 END AND (bucket <> lag(bucket) OVER c OR lag(fresh) OVER c > half) AS opens FROM p WINDOW c AS (PARTITION BY conv_id ORDER BY pos)
+), n AS (SELECT *, sum(opens::INT) OVER (PARTITION BY conv_id ORDER BY pos) AS span FROM o),
+f AS (SELECT conv_id, span, min(pos) AS first, sum(fresh) AS total, sum(length(message)) AS chars, any_value(kept) AS kept, any_value(kept_chars) AS kept_chars, any_value(has) AS has FROM n GROUP BY ALL),
+h AS (
+  SELECT f.*, a.words AS w1, length(a.message) AS c1, b.words AS w2, length(b.message) AS c2
+  FROM f LEFT JOIN n a ON a.conv_id = f.conv_id AND a.pos = f.first - 1 AND (a.pos > 1 OR NOT f.has)
+  LEFT JOIN n b ON b.conv_id = f.conv_id AND b.pos = f.first - 2 AND (b.pos > 1 OR NOT f.has)
+), r AS (
+  SELECT conv_id, sum(chars + CASE WHEN span = 0 THEN 0 ELSE kept_chars
+    + CASE WHEN w1 <= 256 - kept - total THEN c1 + CASE WHEN w1 + w2 <= 256 - kept - total THEN c2 ELSE 0 END ELSE 0 END END) AS chars FROM h GROUP BY conv_id
 )
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256, any_value(r.chars)::BIGINT AS formatted_chars
-FROM s JOIN r USING (conv_id) GROUP BY conv_id
+FROM n JOIN r USING (conv_id) GROUP BY conv_id
 """
