@@ -1,9 +1,10 @@
 """WARC archives as a chunked record table.
 
-An archive is a table of rows (record_id, chunk, chunks, data): the record's bytes in order, cut so that no row holds
-more than CHUNK bytes. Joined by record and chunk number the rows are a valid WARC/1.1 file, yet no task ever builds a
-whole record, on writing or on reading. Digests are carried from chunk to chunk. Spark's own writer stores the table, so
-it works on any file system that Spark reaches.
+An archive is a table of rows (record_id, chunk, chunks, digest, data): the record's bytes in order, cut so that no row
+holds more than CHUNK bytes of payload, and the SHA-1 of the payload up to there. Joined by record and chunk number the
+rows are a valid WARC/1.1 file, yet no task ever builds a whole record, on writing or on reading. Digests are carried from
+chunk to chunk and held against the header's on both ways. Spark's own writer stores the table, so it works on any file
+system that Spark reaches.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from tallyloom.llm._common import new_path, table
 CHUNK, SALT = 1 << 16, 16
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_CHUNKS = "record_id string, chunk int, chunks int, data binary"
+_CHUNKS = "record_id string, chunk int, chunks int, digest string, data binary"
 
 
 def base32_sha1(hex_digest: str) -> str:
@@ -53,14 +54,24 @@ def _header(row) -> bytes:
 
 
 def _serialise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Chunk rows of records; the first has the header, the last the two line breaks that end a record."""
+    """Chunk rows of records; the first has the header, the last the two line breaks that end a record.
+
+    A record's chunks come one after the other, as they are cut from it.
+    """
+    sha = hashlib.sha1()
     for pdf in batches:
         out = []
         for row in pdf.itertuples():
-            first, last = row.chunk == 0, row.chunk == row.chunks - 1
-            data = (_header(row) if first else b"") + (b"" if row.record_type == "revisit" else bytes(row.part)) + (b"\r\n\r\n" if last else b"")
-            out.append((row.record_id, row.chunk, row.chunks, data))
-        yield pd.DataFrame(out, columns=["record_id", "chunk", "chunks", "data"]).astype({"chunk": "int32", "chunks": "int32"})
+            first, last, revisit = row.chunk == 0, row.chunk == row.chunks - 1, row.record_type == "revisit"
+            part = b"" if revisit else bytes(row.part)
+            if first:
+                sha = hashlib.sha1()
+            sha.update(part)
+            if last and not revisit and sha.hexdigest() != row.digest:
+                raise ValueError(f"payload digest {sha.hexdigest()}, header {row.digest}")
+            data = (_header(row) if first else b"") + part + (b"\r\n\r\n" if last else b"")
+            out.append((row.record_id, row.chunk, row.chunks, row.digest if revisit else sha.hexdigest(), data))
+        yield pd.DataFrame(out, columns=["record_id", "chunk", "chunks", "digest", "data"]).astype({"chunk": "int32", "chunks": "int32"})
 
 
 def _identified(pages: DataFrame, min_bytes: int) -> DataFrame:
@@ -89,11 +100,12 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     records = _identified(pages, min_bytes)
     stored = F.when(F.col("record_type") == "revisit", F.lit(0)).otherwise(F.col("bytes"))
     chunks = F.greatest(F.lit(1), F.ceil(stored / CHUNK)).cast("int")
-    number = F.posexplode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.substring(F.col("payload"), i * CHUNK + 1, F.lit(CHUNK)))))
     # A record's rows share an id that no other row has, even where page ids repeat.
-    rows = records.withColumn("record_id", F.expr("uuid()")).withColumn("chunks", chunks)
+    rows = records.withColumn("record_id", F.expr("uuid()")).withColumn("chunks", chunks).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    # Each chunk is cut when its row is made: no row holds them all.
+    part = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.substring(F.col("payload"), F.col("chunk") * CHUNK + 1, F.lit(CHUNK)))
     # Ids pass as text: pandas has no whole numbers beside nulls.
-    cut = rows.select("record_id", F.col("page_id").cast("string").alias("page_id"), "url", "bytes", "digest", "record_type", F.col("refers_to").cast("string").alias("refers_to"), "chunks", number.alias("chunk", "part"))
+    cut = rows.select("record_id", F.col("page_id").cast("string").alias("page_id"), "url", "bytes", "digest", "record_type", F.col("refers_to").cast("string").alias("refers_to"), "chunks", "chunk", part.alias("part"))
     cut.mapInPandas(_serialise, _CHUNKS).write.parquet(path)
 
 
@@ -104,7 +116,13 @@ class Reader:
         self.head, self.fields, self.skip, self.left = b"", None, 0, 0
         self.sha, self.size = hashlib.sha1(), 0
 
-    def feed(self, data: bytes) -> None:
+    def feed(self, data: bytes, digest: str) -> None:
+        """The next chunk; digest is that of the payload up to its end."""
+        self._take(data)
+        if self.fields is not None and self.fields["WARC-Type"] != "revisit" and self.sha.hexdigest() != digest:
+            raise ValueError(f"chunk digest {self.sha.hexdigest()}, stated {digest}")
+
+    def _take(self, data: bytes) -> None:
         if self.fields is None:
             self.head += data
             end = self.head.find(b"\r\n\r\n")
@@ -148,12 +166,12 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for pdf in batches:
         rows = []
-        for record, data in zip(pdf["record_id"], pdf["data"], strict=True):
+        for record, digest, data in zip(pdf["record_id"], pdf["digest"], pdf["data"], strict=True):
             if record != current:
                 if reader is not None:
                     rows.append(reader.row())
                 reader, current = Reader(), record
-            reader.feed(bytes(data))
+            reader.feed(bytes(data), digest)
         yield frame(rows)
     if reader is not None:
         yield frame([reader.row()])
@@ -163,8 +181,8 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """One row per record of an archive. Records of one chunk are parsed where they are read; only longer ones are
     brought together by record, in the order of their chunks, and stream through one parser."""
     rows = spark.read.schema(_CHUNKS).parquet(path)
-    short = rows.where("chunks = 1").select("record_id", "data").mapInPandas(_parse, _RESULT)
-    long = rows.where("chunks > 1").repartition("record_id").sortWithinPartitions("record_id", "chunk").select("record_id", "data").mapInPandas(_parse, _RESULT)
+    short = rows.where("chunks = 1").select("record_id", "digest", "data").mapInPandas(_parse, _RESULT)
+    long = rows.where("chunks > 1").repartition("record_id").sortWithinPartitions("record_id", "chunk").select("record_id", "digest", "data").mapInPandas(_parse, _RESULT)
     return short.unionByName(long)
 
 
