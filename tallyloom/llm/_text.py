@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +13,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += U(32)
-#: Bytes that are hashed at once; a longer text is cut at white space and its pieces follow each other.
+#: Bytes that are hashed at once; of a longer text one piece after the other.
 PIECE = 1 << 18
 _powers: list[np.ndarray] = []
 
@@ -38,18 +37,46 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def _hash_buffer(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of each word of a buffer, A-Z lower-cased."""
+def _word_sums(buffer: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Polynomial sum, length and start of each word of a buffer, A-Z lower-cased."""
     raw = np.frombuffer(buffer, np.uint8)
     word = ~_SPACE[raw]
     edge = np.diff(np.concatenate(([False], word, [False])).astype(np.int8))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if not len(starts):
-        return np.zeros(0, np.uint64), starts
     up, down = _power(len(raw))
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((_LOWER[raw] + U(1)) * up[: len(raw)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93)), starts
+    return (total[ends] - total[starts]) * down[starts], (ends - starts).astype(np.uint64), starts
+
+
+def _finished(sums: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    return mix(sums + lengths * U(0xD6E8FEB86659FD93))
+
+
+def _hash_buffer(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of each word of a buffer, A-Z lower-cased."""
+    sums, lengths, starts = _word_sums(buffer)
+    return _finished(sums, lengths), starts
+
+
+def _hash_long(data: bytes) -> np.ndarray:
+    """Hashes of the words of a text of any length, PIECE bytes at a time; a word that a piece's end cuts is carried on."""
+    out, carried, size = [], 0, 0
+    for at in range(0, len(data), PIECE):
+        piece = data[at : at + PIECE]
+        sums, lengths, starts = _word_sums(piece)
+        if size:
+            if len(starts) and starts[0] == 0:
+                sums[0] = U((carried + int(sums[0]) * pow(_BASE, size, 1 << 64)) % (1 << 64))
+                lengths[0] += U(size)
+            else:
+                out.append(_finished(np.array([carried], np.uint64), np.array([size], np.uint64)))
+            carried = size = 0
+        if len(starts) and not _SPACE[piece[-1]] and at + len(piece) < len(data):
+            carried, size = int(sums[-1]), int(lengths[-1])
+            sums, lengths = sums[:-1], lengths[:-1]
+        out.append(_finished(sums, lengths))
+    return np.concatenate(out)
 
 
 def word_hashes(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
@@ -73,13 +100,8 @@ def word_hashes(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
         data = (text or "").encode("utf-8", "surrogatepass")
         if len(data) > PIECE:
             yield from flush()
-            size, at, parts = 0, 0, []
-            while at < len(data):
-                cut = re.compile(rb"[\x20\x09-\x0d]").search(data, at + PIECE)
-                end = cut.start() if cut else len(data)
-                parts.append(_hash_buffer(data[at:end])[0])
-                at = end
-            yield i, np.concatenate(parts)
+            size = 0
+            yield i, _hash_long(data)
             continue
         if size + len(data) > PIECE:
             yield from flush()

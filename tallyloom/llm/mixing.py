@@ -19,9 +19,10 @@ WEIGHTS, MOST_EPOCHS, BUCKET_ROWS = (5, 2, 1), 3, 4_000
 SEED = "mix-1"
 
 
-def random_key(doc_id: Column) -> Column:
-    """A hash-random key as 32 hex digits, the same in every engine that has MD5."""
-    return F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+def random_key(doc_id: Column, text: Column) -> Column:
+    """A hash-random key as 32 hex digits, the same in every engine that has MD5; rows that repeat an id differ by their text."""
+    own = F.coalesce(F.md5(text.cast("string").cast("binary")), F.lit(""))
+    return F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), own).cast("binary"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MOST_EPOCHS) -> DataFrame:
@@ -50,11 +51,11 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     size counts a text's words (null: 0). taken is what the mix takes of a document, repeats counted: the source's
     budget is its target rounded down, its documents are taken whole in the order of their random keys, again from the
     start after the last, and the document at the cut gives its first words. No document gives more than MOST_EPOCHS times
-    its size. Ties of the key go by id, size and text hash; rows that repeat each other wholly are interchangeable. A null
+    its size. The key is a hash of id and text; its ties go by id and size, and rows that repeat each other wholly are interchangeable. A null
     source is a source of its own; a row without an id takes part under an empty id. An empty table gives an empty result.
     """
     # The words are counted once; sums and cuts then read this table, which is narrow unless more is carried.
-    rows = docs.select("doc_id", "source", *carry, n_words(F.col("text")).alias("size"), random_key(F.col("doc_id")).alias("key"), F.xxhash64("text").alias("tie"))
+    rows = docs.select("doc_id", "source", *carry, n_words(F.col("text")).alias("size"), random_key(F.col("doc_id"), F.col("text")).alias("key"))
     rows = written(rows, "sizes")
     per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("documents"))
     budgets = targets(per_source).withColumn("buckets", F.greatest(F.lit(1), F.ceil(F.col("documents") / BUCKET_ROWS)).cast("int"))
@@ -64,7 +65,7 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     keyed = keyed.withColumn("bucket", F.floor(fraction * F.col("buckets")).cast("int"))
     totals = keyed.groupBy(F.col("source").alias("of"), F.col("bucket").alias("b")).agg(F.sum("size").alias("words"))
     offsets = totals.withColumn("offset", F.coalesce(F.sum("words").over(Window.partitionBy("of").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     summed = keyed.withColumn("until", F.sum("size").over(within))
     placed = summed.join(offsets.select("of", "b", "offset"), F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("b")))
     start = F.col("offset") + F.col("until") - F.col("size")
@@ -82,7 +83,7 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents
+         md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(md5(text), '')) AS key FROM documents
 ), s AS (
   SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS place FROM (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source)
 ), w AS (

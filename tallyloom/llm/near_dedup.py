@@ -86,6 +86,12 @@ def described(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), describe(F.col("text").cast("string")).alias("set")).select("doc_id", "set.*")
 
 
+def _slack(x, y):
+    """How many members two sets may seem to share or miss by collisions of 32 bits: six deviations over the mean, and two."""
+    mean = (x.astype(float) ** 2 / 2 + y.astype(float) ** 2 / 2 + x.astype(float) * y) / (1 << 32)
+    return 2 + np.ceil(mean + 6 * np.sqrt(mean)).astype(np.int64)
+
+
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         ids, members = [], []
@@ -175,8 +181,8 @@ def _meet(percent: int):
         """Links between different components of regions of up to CROWD members: each row with all before it.
 
         A pair whose fine signatures agree in enough places is compared on sets of 32 bits a shingle, unless links of this
-        task have joined its components already; what reaches the similarity but for two shingles leaves the task, to be
-        confirmed on the full sets.
+        task have joined its components already; what reaches the similarity but for collisions (_slack) leaves the task,
+        to be confirmed on the full sets.
         """
         parent: dict[int, int] = {}
 
@@ -202,10 +208,10 @@ def _meet(percent: int):
                     a, b = root(int(part[i])), root(int(part[i + back]))
                     if a != b:
                         x, y = np.frombuffer(members[i], np.uint32), np.frombuffer(members[i + back], np.uint32)
-                        both = len(np.intersect1d(x, y, assume_unique=True))
-                        if (both + 2) * 100 >= (len(x) + len(y) - both - 2) * percent:
+                        both, off = len(np.intersect1d(x, y, assume_unique=True)), int(_slack(np.int64(len(x)), np.int64(len(y))))
+                        if (both + off) * 100 >= (len(x) + len(y) - both - off) * percent:
                             links.append((int(ids[i]), int(ids[i + back])))
-                        if (both - 2) * 100 >= (len(x) + len(y) - both + 2) * percent:
+                        if (both - off) * 100 >= (len(x) + len(y) - both + off) * percent:
                             parent[max(a, b)] = min(a, b)
             yield pd.DataFrame(links, columns=["a", "b"]).astype("int64")
             tail = pdf.tail(CROWD)
@@ -261,7 +267,8 @@ def _cross(percent: int):
         def compare(x: _Piece, y: _Piece, links: list[tuple[int, int]]) -> None:
             roots = [np.array([root(int(c)) for c in p.parts]) for p in (x, y)]
             small, large = np.minimum.outer(x.sizes, y.sizes), np.maximum.outer(x.sizes, y.sizes)
-            open_ = (roots[0][:, None] != roots[1]) & ((small + 2) * 100 >= (large - 2) * percent)
+            off = _slack(small, large)
+            open_ = (roots[0][:, None] != roots[1]) & ((small + off) * 100 >= (large - off) * percent)
             if x is y:
                 open_ = np.triu(open_, 1)
             i, j = np.nonzero(open_)
@@ -277,7 +284,8 @@ def _cross(percent: int):
                 (rows, i_at), (columns, j_at) = np.unique(i, return_inverse=True), np.unique(j, return_inverse=True)
                 both = _shared([x.sets[a] for a in rows], [y.sets[b] for b in columns])[i_at, j_at].astype(np.int64)
             union = x.sizes[i] + y.sizes[j] - both
-            near, sure = (both + 2) * 100 >= (union - 2) * percent, (both - 2) * 100 >= (union + 2) * percent
+            off = off[i, j]
+            near, sure = (both + off) * 100 >= (union - off) * percent, (both - off) * 100 >= (union + off) * percent
             for k in np.flatnonzero(near).tolist():
                 a, b = root(int(x.parts[i[k]])), root(int(y.parts[j[k]]))
                 if a != b:

@@ -8,6 +8,7 @@ quality, and a logistic curve fitted on the training documents turns that into a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,9 @@ from tallyloom.llm._text import U, _hash_buffer, mix
 TRAIN_DOCS, GOOD = 4_000, 0.3
 #: Lines, padding included, of the chains that a step of training holds at once; a longer chain alone.
 _SLOTS = 1 << 17
+#: Bytes of text that are described at once.
 _PIECE = 1 << 18
+_WHITE = re.compile(rb"[\x20\x09-\x0d]")
 
 
 def _table(members: str) -> np.ndarray:
@@ -41,33 +44,84 @@ _NEAR = [1, 2, 3, 4, 5, 6]
 N_FEATURES = 13 + len(_NEAR)
 
 
-def _piece_features(buffer: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, own features and hash of each line of a buffer that ends with a line break; lines without words too."""
+def _line_counts(buffer: bytes, words_before: int = 0, last: np.uint64 | None = None) -> tuple[np.ndarray, np.ndarray, int, np.uint64 | None]:
+    """Counts and key of each line of a buffer; the last line may be cut between words.
+
+    The counts are letters, bangs, pipes, symbols, capitals, digits, ends, words, repeats of the word before, and bytes. The
+    first line goes on from `words_before` words, the last of which has the hash `last`; the same of the last line returns.
+    """
     raw = np.frombuffer(buffer, np.uint8)
-    ends = np.flatnonzero(raw == 10)
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    count = lambda t: np.add.reduceat(t[raw], starts, dtype=np.int64).astype(np.float64)
-    size = np.maximum(ends - starts, 1).astype(np.float64)
+    breaks = np.flatnonzero(raw == 10)
+    starts = np.concatenate(([0], breaks + 1))
+    starts = starts[starts < len(raw)]
     hashes, at = _hash_buffer(buffer)
     line = np.searchsorted(starts, at, side="right") - 1
-    words = np.bincount(line, minlength=len(starts)).astype(np.float64)
+    words = np.bincount(line, minlength=len(starts))
     same = np.zeros(len(hashes), bool)
     same[1:] = (hashes[1:] == hashes[:-1]) & (line[1:] == line[:-1])
-    repeated = np.bincount(line[same], minlength=len(starts))
-    order = np.arange(len(at)) - np.searchsorted(line, line)
+    if last is not None and len(hashes) and line[0] == 0:
+        same[0] = hashes[0] == last
+    order = np.arange(len(at)) - np.searchsorted(line, line) + np.where(line == 0, words_before, 0)
     key = np.zeros(len(starts), np.uint64)
     np.add.at(key, line, mix(hashes + order.astype(np.uint64) * U(0x9E3779B97F4A7C15)))
-    n, letters = np.maximum(words, 1), count(_LETTER)
-    bang, pipe, symbol = count(_BANG), count(_PIPE), count(_SYMBOL)
-    out = np.stack(
+    classes = [np.add.reduceat(t[raw], starts, dtype=np.int64) for t in (_LETTER, _BANG, _PIPE, _SYMBOL, _UPPER, _DIGIT, _END)]
+    ends = np.concatenate((starts[1:], [len(raw)]))
+    size = ends - starts - (raw[ends - 1] == 10)
+    counts = np.stack((*classes, words, np.bincount(line[same], minlength=len(starts)), size), axis=1)
+    open_words = int(words[-1]) + (words_before if len(starts) == 1 else 0)
+    open_last = hashes[-1] if len(hashes) and line[-1] == len(starts) - 1 else (last if len(starts) == 1 else None)
+    return counts, key, open_words, open_last
+
+
+def _long_counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """_line_counts of a text of any length, cut after white space into pieces of about _PIECE bytes."""
+    parts, keys = [], []
+    at, words, last, open_ = 0, 0, None, False
+    while at < len(data):
+        end = at + _PIECE
+        if end < len(data):
+            cut = max(data.rfind(b"\n", at, end), data.rfind(b" ", at, end)) + 1
+            if not cut:
+                found = _WHITE.search(data, end)
+                cut = found.end() if found else len(data)
+            end = cut
+        piece = data[at:end]
+        counts, key, words, last = _line_counts(piece, words, last)
+        if open_:  # the first line is the rest of the one before
+            parts[-1][-1] += counts[0]
+            keys[-1][-1:] += key[:1]
+            counts, key = counts[1:], key[1:]
+        if len(counts):
+            parts.append(counts)
+            keys.append(key)
+        open_ = not piece.endswith(b"\n")
+        if not open_:
+            words, last = 0, None
+        at = end
+    return np.concatenate(parts), np.concatenate(keys)
+
+
+def _features(counts: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(features, byte lengths) of a text's lines with words; a text without any has one line of zeros."""
+    full = counts[:, 7] > 0
+    if not full.any():
+        return np.zeros((1, N_FEATURES)), np.ones(1)
+    letters, bang, pipe, symbol, upper, digit, end, words, repeated, length = counts[full].astype(float).T
+    size, before = np.maximum(length, 1), pd.Series(keys[full]).duplicated().to_numpy()
+    own = np.stack(
         [
-            np.ones(len(starts)), np.minimum(symbol / n, 2), np.minimum(pipe / n, 1), np.minimum(bang / n, 2), repeated / n,
-            count(_UPPER) / np.maximum(letters, 1), count(_DIGIT) / size, symbol / size, np.log1p(words) / 5,
-            np.minimum(letters / n / 10, 3), np.minimum(count(_END) / n, 2), letters / size, words == 0,
+            np.ones(len(words)), np.minimum(symbol / words, 2), np.minimum(pipe / words, 1), np.minimum(bang / words, 2), repeated / words,
+            upper / np.maximum(letters, 1), digit / size, symbol / size, np.log1p(words) / 5,
+            np.minimum(letters / words / 10, 3), np.minimum(end / words, 2), letters / size, before,
         ],
         axis=1,
     )
-    return starts, out, np.where(words > 0, key, U(0))
+    near = np.zeros((len(own), len(_NEAR)))
+    if len(own) > 1:
+        near[1:] += own[:-1][:, _NEAR]
+        near[:-1] += own[1:][:, _NEAR]
+        near[1:-1] /= 2
+    return np.concatenate((own, near), axis=1), length
 
 
 def line_features(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -75,43 +129,21 @@ def line_features(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndar
     group: list[bytes] = []
     size = 0
 
-    def finish(own: np.ndarray, keys: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        full = keys != 0
-        if not full.any():
-            return np.zeros((1, N_FEATURES)), np.ones(1)
-        own, lengths, keys = own[full], lengths[full], keys[full]
-        own[:, 12] = pd.Series(keys).duplicated().to_numpy()  # a line that stood before
-        near = np.zeros((len(own), len(_NEAR)))
-        if len(own) > 1:
-            near[1:] += own[:-1][:, _NEAR]
-            near[:-1] += own[1:][:, _NEAR]
-            near[1:-1] /= 2
-        return np.concatenate((own, near), axis=1), lengths
-
     def flush():
         if group:
             joined = b"\n".join(group) + b"\n"
-            starts, own, keys = _piece_features(joined)
-            lengths = np.diff(np.concatenate((starts, [len(joined)]))) - 1.0
-            cuts = np.searchsorted(starts, np.cumsum([len(x) + 1 for x in group]))
-            begin = 0
-            for end in cuts:
-                yield finish(own[begin:end], keys[begin:end], lengths[begin:end])
-                begin = end
+            counts, keys, _, _ = _line_counts(joined)
+            ends = np.cumsum(np.array([x.count(b"\n") + 1 for x in group]))
+            for begin, end in zip(np.concatenate(([0], ends[:-1])), ends, strict=True):
+                yield _features(counts[begin:end], keys[begin:end])
             group.clear()
 
     for text in texts:
         data = (text or "").encode("utf-8", "surrogatepass")
-        if len(data) > _PIECE:  # a long text alone, cut at line breaks
+        if len(data) > _PIECE:  # a long text alone
             yield from flush()
-            size, at, parts = 0, 0, []
-            while at < len(data):
-                end = data.find(b"\n", at + _PIECE)
-                piece = (data[at:end] if end >= 0 else data[at:]) + b"\n"
-                starts, own, keys = _piece_features(piece)
-                parts.append((own, keys, np.diff(np.concatenate((starts, [len(piece)]))) - 1.0))
-                at += len(piece)
-            yield finish(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            size = 0
+            yield _features(*_long_counts(data))
             continue
         if size + len(data) > _PIECE:
             yield from flush()
@@ -230,7 +262,7 @@ def _collect_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
         rows = []
         for (x, length), y in zip(line_features(list(pdf["text"])), pdf["y"], strict=True):
             rows.append((int(y), x.astype(np.float32).tobytes(), length.astype(np.float32).tobytes()))
-        yield pd.DataFrame(rows, columns=["y", "x", "length"])
+        yield pd.DataFrame(rows, columns=["y", "x", "length"]).assign(doc_id=pdf["doc_id"].to_numpy())[["doc_id", "y", "x", "length"]]
 
 
 def _scorer(model: ChainField | None, curve: np.ndarray):
@@ -248,31 +280,35 @@ def _scorer(model: ChainField | None, curve: np.ndarray):
     return F.pandas_udf(score, "double").asNondeterministic()  # so that a plan runs it once
 
 
+def learned(docs: DataFrame, labels: DataFrame) -> tuple[ChainField | None, np.ndarray]:
+    """The field and the curve from all lines of at most TRAIN_DOCS labelled documents that aren't held out."""
+    chosen = F.broadcast(training_labels(labels, "quality", TRAIN_DOCS))  # at most TRAIN_DOCS rows of two numbers
+    # Of rows that repeat an id the least text is trained on, in the order of the ids, so that reruns agree.
+    known = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    rows = written(known.mapInPandas(_collect_features, "doc_id long, y int, x binary, length binary"), "lines").toPandas().sort_values("doc_id")
+    y = rows["y"].to_numpy()
+    if len(set(y.tolist())) < 2:
+        return None, np.array([_logit(np.array((y.sum() + 0.5) / (len(y) + 1.0)))])
+    data = [(np.frombuffer(x, np.float32).reshape(-1, N_FEATURES), np.frombuffer(n, np.float32)) for x, n in zip(rows["x"], rows["length"], strict=True)]
+    model = ChainField(N_FEATURES).fit([x for x, _ in data], y)
+    q = _logit(model.quality(data))
+    return model, logistic(np.stack((np.ones(len(q)), q), axis=1), y)
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of docs (doc_id, text), with the columns `keep`.
 
-    Trains on all lines of at most TRAIN_DOCS documents that labels (doc_id, quality) has a label for and whose id isn't held out, the
-    first in the order of a hash; repeated labels of an id count as their maximum. Scores every whole text, also null and
-    empty ones, which are one line without features; rows that repeat an id are scored alike, a row without one as any
-    other. Without labels of both classes the score is the share of good ones, 0.5 with none. An empty table gives an
-    empty result.
+    Trains on all lines of at most TRAIN_DOCS documents that labels (doc_id, quality) has a label for and whose id isn't
+    held out, the first in the order of a hash; repeated labels of an id count as their maximum, repeated rows as their
+    least text. Scores every whole text, also null and empty ones, which are one line without features; rows that repeat
+    an id are scored each by its text, a row without one as any other. Without labels of both classes the score is the
+    share of good ones, 0.5 with none. An empty table gives an empty result.
     """
-    chosen = F.broadcast(training_labels(labels, "quality", TRAIN_DOCS))  # at most TRAIN_DOCS rows of two numbers
-    known = docs.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"]).select("text", "y")
-    rows = written(known.mapInPandas(_collect_features, "y int, x binary, length binary"), "lines").toPandas()
-    y = rows["y"].to_numpy()
-    if len(set(y.tolist())) == 2:
-        data = [(np.frombuffer(x, np.float32).reshape(-1, N_FEATURES), np.frombuffer(n, np.float32)) for x, n in zip(rows["x"], rows["length"], strict=True)]
-        model = ChainField(N_FEATURES).fit([x for x, _ in data], y)
-        q = _logit(model.quality(data))
-        curve = logistic(np.stack((np.ones(len(q)), q), axis=1), y)
-    else:
-        model, curve = None, np.array([_logit(np.array((y.sum() + 0.5) / (len(y) + 1.0)))])
+    model, curve = learned(docs, labels)
     kept = [c for c in keep if c not in ("doc_id", "held_out", "score", "predicted")]
     scored = docs.select("doc_id", "text", *(c for c in kept if c != "text")).withColumn("score", _scorer(model, curve)(F.col("text").cast("string"))).withColumn("held_out", held_out(F.col("doc_id")))
     return scored.withColumn("predicted", (F.col("score") >= GOOD).cast("int")).select("doc_id", "held_out", "score", "predicted", *kept)
 
 
-
 def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
