@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,90 +50,110 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, gap: f
     return marked.groupBy(*keys, "island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("parts")).drop("island")
 
 
-def evict_until_budget(df: DataFrame, keys: list[str], order: list[str], size: str, budget: float) -> DataFrame:
-    """WIN-12: the oldest rows that must go so that the rest fits the budget."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    total = F.sum(size).over(Window.partitionBy(*keys))
-    before = F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumn("_evict", before < total - budget).where("_evict").drop("_evict")
-
-
-def fold(df: DataFrame, keys: list[str], step, schema: str) -> DataFrame:
-    """WIN-06/14: a Python fold over each key's rows, for state that windows can't express. One key must fit a task."""
-    return df.groupBy(*keys).applyInPandas(step, schema)
-
-
-#: Reads that confirm a change, strong reads that do and their score, seconds after which a pending change is dropped.
-CONFIRM, STRONG, STRONG_SCORE, PENDING_GAP = 3, 2, 0.8, 20.0
+def running_sum(df: DataFrame, keys: list[str], order: list[str], size: str, bucket: Column, name: str) -> DataFrame:
+    """Adds `name`, the sum of `size` over the rows before each in the order of its key, null sizes as 0, and `name`_all, the key's sum.
 
-
-def stable_spans(times: list[float], values: list[str], scores: list[float], pending_gap: float = PENDING_GAP) -> list[tuple[str, float, float, int]]:
-    """WIN-06: (value, start, end, reads) of the spans that a track of reads supports.
-
-    A new value takes over once it was read CONFIRM times in a row, or STRONG times with STRONG_SCORE, with no more than
-    pending_gap between its reads; until then its reads belong to no span. The span starts at its first such read.
+    bucket must rise with the order (such as a number divided by a width): rows are summed within a key's bucket, and one
+    total per bucket gives each its offset. So a key that holds a third of all rows spreads over as many tasks as it has
+    buckets.
+    """
+    rows = df.withColumn("_bucket", bucket).withColumn("_size", F.coalesce(F.col(size), F.lit(0)))
+    totals = rows.groupBy(*keys, "_bucket").agg(F.sum("_size").alias("_total"))
+    w = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("_total").over(w.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = totals.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_bucket").alias("_b"), before.alias("_before"), F.sum("_total").over(w).alias(f"{name}_all"))
+    inner = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = rows.withColumn("_inner", F.coalesce(F.sum("_size").over(inner), F.lit(0)))
+    same = F.col("_bucket").eqNullSafe(F.col("_b"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    out = summed.join(offsets, same).withColumn(name, F.col("_before") + F.col("_inner"))
+    return out.select(*df.columns, name, f"{name}_all")
+
+
+def evict_until_budget(df: DataFrame, keys: list[str], order: list[str], size: str, budget: float, bucket: Column | None = None) -> DataFrame:
+    """WIN-12: the oldest rows that must go so that the rest fits the budget; bucket as in running_sum()."""
+    rows = running_sum(df, keys, order, size, F.lit(0) if bucket is None else bucket, "_before_it")
+    return rows.where(F.col("_before_it") < F.col("_before_it_all") - budget).select(*df.columns)
+
+
+def typed(rows: list[tuple], columns: list[str], schema: str) -> pd.DataFrame:
+    """rows as a frame whose numbers may be missing, for a schema of `name type` parts."""
+    kinds = {c.split()[0]: c.split()[1] for c in schema.split(", ") if len(c.split()) == 2}
+    plain = {"double": "float64", "long": "Int64", "int": "Int32", "bigint": "Int64", "boolean": "boolean"}
+    out = pd.DataFrame(rows, columns=columns)
+    return out.astype({c: plain[kinds[c]] for c in columns if kinds.get(c) in plain})
+
+
+def fold_sorted(df: DataFrame, key: str, order: list[str], columns: list[str], start: Callable, step: Callable, end: Callable, schema: str) -> DataFrame:
+    """WIN-06/14: a fold over each key's rows in order, for state that windows can't express.
+
+    Rows are dealt by key and sorted; one task passes over them and holds one key's state and one batch, so a key of any
+    number of rows fits. start(key) makes a state; step(state, values of `columns`) and end(state) yield result rows.
     """
-    spans: list[list] = []
-    pending: list[tuple[float, float]] = []
-    candidate = None
-    for t, value, score in zip(times, values, scores, strict=True):
-        if value is None:
-            continue
-        if spans and value == spans[-1][0]:
-            spans[-1][2], spans[-1][3] = t, spans[-1][3] + 1
-            pending, candidate = [], None
-            continue
-        if value != candidate or (pending and t - pending[-1][0] > pending_gap):
-            pending, candidate = [], value
-        pending.append((t, score))
-        strong = sum(s >= STRONG_SCORE for _, s in pending)
-        if len(pending) >= CONFIRM or strong >= STRONG:
-            spans.append([value, pending[0][0], t, len(pending)])
-            pending, candidate = [], None
-    return [tuple(s) for s in spans]
-
-
-def hysteresis(df: DataFrame, key: str, at: str, value: str, score: str, pending_gap: float = PENDING_GAP) -> DataFrame:
-    """WIN-06: stable_spans of each key, in the order of `at`."""
-
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(at, kind="stable")
-        rows = [(pdf[key].iloc[0], *span) for span in stable_spans(pdf[at].tolist(), pdf[value].tolist(), pdf[score].tolist(), pending_gap)]
-        return pd.DataFrame(rows, columns=[key, "value", "start", "end", "reads"])
-
-    return fold(df.select(key, at, value, score), [key], step, f"{key} long, value string, start double, end double, reads long")
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, None
+        for pdf in batches:
+            rows: list[tuple] = []
+            for own, *values in pdf[[key, *columns]].itertuples(index=False, name=None):
+                if state is None or own != current:
+                    if state is not None:
+                        rows += end(state)
+                    current, state = own, start(own)
+                rows += step(state, tuple(values))
+            if rows:
+                yield typed(rows, names, schema)
+        if state is not None:
+            yield typed(list(end(state)), names, schema)
+
+    return df.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
 def monotone(df: DataFrame, key: str, order: str, columns: tuple[str, str]) -> DataFrame:
-    """WIN-14: rows neither of whose two values falls below the largest that was accepted before."""
-
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        high = [float("-inf")] * 2
-        kept = []
-        for i, pair in enumerate(zip(*(pdf[c] for c in columns), strict=True)):
-            if all(v >= h for v, h in zip(pair, high, strict=True)):
-                high = list(pair)
-                kept.append(i)
-        return pdf.iloc[kept]
+    """WIN-14: rows neither of whose two values falls below the largest that was accepted before; nulls are not accepted."""
+
+    def step(state: list, row: tuple) -> Iterator[tuple]:
+        own, high = state
+        if all(v >= h for v, h in zip(row[1:], high, strict=True)):
+            state[1] = row[1:]
+            yield own, *row
 
     names = [key, order, *columns]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*names).schema)
-    return fold(df.select(*names), [key], step, schema)
+    return fold_sorted(df.dropna(subset=list(columns)), key, [order, *columns], names[1:], lambda own: [own, (float("-inf"),) * 2], step, lambda state: [], schema)
 
 
 def span_capped(df: DataFrame, key: str, at: str, gap: float, span: float) -> DataFrame:
     """WIN-21: batches of a key's sorted points: a new one after a gap, or where it would grow longer than the span."""
 
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = sorted(pdf[at].tolist())
-        rows: list[list] = []
-        for v in values:
-            if not rows or v - rows[-1][2] > gap or v - rows[-1][1] > span:
-                rows.append([pdf[key].iloc[0], v, v, 0])
-            rows[-1][2], rows[-1][3] = v, rows[-1][3] + 1
-        return pd.DataFrame(rows, columns=[key, "first_at", "last_at", "n"])
-
-    kind = df.schema[at].dataType.simpleString()
-    return fold(df.select(key, at), [key], step, f"{key} long, first_at {kind}, last_at {kind}, n long")
-
+    def step(state: list, row: tuple) -> Iterator[tuple]:
+        (v,) = row
+        if state[1:] and (v - state[2] > gap or v - state[1] > span):
+            yield tuple(state)
+            del state[1:]
+        if not state[1:]:
+            state += [v, v, 0]
+        state[2], state[3] = v, state[3] + 1
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.select(key, at).schema}
+    schema = f"{key} {kinds[key]}, first_at {kinds[at]}, last_at {kinds[at]}, n long"
+    return fold_sorted(df.where(F.col(at).isNotNull()), key, [at], [at], lambda own: [own], step, lambda state: [tuple(state)] if state[1:] else [], schema)
+
+
+def absorbed(runs: DataFrame, key: str, value: str, at: str, length: str, least: int) -> DataFrame:
+    """WIN-07: runs in order, those shorter than `least` joined to the one before, and so are equal neighbours."""
+
+    def step(state: list, row: tuple) -> Iterator[tuple]:
+        first, v, n = row
+        if state[1:] and (n < least or v == state[1]):
+            state[3] += n
+            return
+        if state[1:]:
+            yield tuple(state)
+        state[1:] = [v, first, n]
+
+    kinds = {f.name: f.dataType.simpleString() for f in runs.select(key, value, at, length).schema}
+    schema = f"{key} {kinds[key]}, value {kinds[value]}, first_at {kinds[at]}, length {kinds[length]}"
+    return fold_sorted(runs, key, [at], [at, value, length], lambda own: [own], step, lambda state: [tuple(state)] if state[1:] else [], schema)

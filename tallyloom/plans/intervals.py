@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from itertools import permutations
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import scalar as sc
 from tallyloom.operators import sequence as seq
+from tallyloom.operators import vectors
 from tallyloom.operators.joins import asof_join, range_join
 from tallyloom.plans.registry import query
 from tallyloom.plans.temporal import _E, _events
-from tallyloom.plans.texts import _PROTO, _prototypes
+from tallyloom.plans.texts import _CENTRES, _vectors
 from tallyloom.sources.tables import scan_or_empty
 
 #: A round of two hours starts at each multiple of six hours; the hour before it is its setup.
@@ -99,17 +99,8 @@ def first_increasing_run(t):
 def absorb_short_runs(t):
     """WIN-07: runs of fewer than three reads join the run before them."""
 
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        runs: list[list] = []
-        for value, at, n in pdf.sort_values("first_at")[["event_type", "first_at", "length"]].itertuples(index=False):
-            if runs and (n < 3 or value == runs[-1][1]):
-                runs[-1][3] += n
-            else:
-                runs.append([pdf["user_id"].iloc[0], value, at, n])
-        return pd.DataFrame(runs, columns=["user_id", "value", "first_at", "length"])
-
     runs = seq.run_lengths(_events(t), ["user_id"], ["t", "event_id"], "event_type", "t")
-    return seq.fold(runs.select("user_id", "event_type", "first_at", "length"), ["user_id"], step, "user_id long, value string, first_at long, length long")
+    return seq.absorbed(runs, "user_id", "event_type", "first_at", "length", 3)
 
 
 @query("bisection_order", """WITH RECURSIVE s(depth, lo, hi) AS (SELECT 0, 0, 64 UNION ALL SELECT depth + 1, CASE WHEN o = 0 THEN lo ELSE (lo + hi) // 2 END, CASE WHEN o = 0 THEN (lo + hi) // 2 ELSE hi END FROM s, (SELECT unnest([0, 1]) AS o) WHERE hi - lo > 2)
@@ -128,36 +119,30 @@ def candidate_fit_min_by(t):
     return cost.groupBy("user_id", "event_type").agg(F.min_by("o", F.struct("cost", "o")).alias("fit"))
 
 
-@query("pearson_similarity", f"""WITH {_PROTO}, z AS (SELECT vec_id, proto, embedding::DOUBLE[] AS x, p, list_avg(embedding::DOUBLE[]) AS mx, list_avg(p) AS mp FROM embeddings JOIN p ON label = proto_label)
-  SELECT vec_id, proto, round(list_cosine_similarity(list_transform(x, lambda v: v - mx), list_transform(p, lambda v: v - mp)), 5) AS r FROM z""")
+@query("pearson_similarity", f"""WITH {_CENTRES}, z AS (SELECT vec_id, embedding::DOUBLE[] AS x, centre AS p, list_avg(embedding::DOUBLE[]) AS mx, list_avg(centre) AS mp FROM embeddings JOIN c USING (label))
+  SELECT vec_id, round(list_cosine_similarity(list_transform(x, lambda v: v - mx), list_transform(p, lambda v: v - mp)), 5) AS r FROM z""")
 def pearson_similarity(t):
-    """SIM-01: the cosine of the vectors less their means."""
-    rows = t.embeddings.join(F.broadcast(_prototypes(t)), F.col("label") == F.col("proto_label"))  # 30 prototypes at most
-    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(c)
-    rows = rows.withColumns({"mx": mean("embedding"), "mp": mean("p")})
-    centred = lambda c, m: F.transform(c, lambda x: x.cast("double") - F.col(m))
-    return rows.select("vec_id", "proto", F.round(sc.cosine(centred("embedding", "mx"), centred("p", "mp")), 5).alias("r"))
-
-
-_SIMS = f"WITH {_PROTO}, s AS (SELECT vec_id, label, proto, proto_label, round(list_cosine_similarity(embedding::DOUBLE[], p), 6) AS sim FROM embeddings, p WHERE vec_id <> proto)"
+    """SIM-01: the cosine of the vectors less their means, each with its label's mean vector."""
+    v = _vectors(t)
+    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x) / F.size(c)
+    rows = v.join(vectors.centroids(v), "label").withColumns({"mx": mean("v"), "mp": mean("centre")})
+    centred = lambda c, m: F.transform(c, lambda x: x - F.col(m))
+    return rows.select(F.col("id").alias("vec_id"), F.round(sc.cosine(centred("v", "mx"), centred("centre", "mp")), 5).alias("r"))
 
 
-def _sims(t):
-    rows = t.embeddings.join(F.broadcast(_prototypes(t)), F.col("vec_id") != F.col("proto"))  # 30 prototypes at most
-    return rows.select("vec_id", "label", "proto", "proto_label", F.round(sc.cosine(F.col("embedding"), F.col("p")), 6).alias("sim"))
+_SIMS = "WITH s AS (SELECT a.vec_id, a.label, b.vec_id AS other, b.label AS other_label, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)"
 
 
-@query("near_duplicate_pairs", f"{_SIMS} SELECT vec_id, proto, sim FROM s WHERE label = proto_label AND sim >= 0.35")
+@query("near_duplicate_pairs", f"{_SIMS} SELECT vec_id, other, sim FROM s WHERE label = other_label AND sim >= 0.35 AND vec_id < other")
 def near_duplicate_pairs(t):
-    """SIM-05: vectors too near to a template of their own class."""
-    return _sims(t).where("label = proto_label and sim >= 0.35").select("vec_id", "proto", "sim")
+    """SIM-05: all pairs of vectors of one class that are too near to each other."""
+    return vectors.similar_pairs(_vectors(t), 0.35).withColumnRenamed("id", "vec_id")
 
 
-@query("confusable_pairs", f"{_SIMS} SELECT vec_id, arg_max(proto, (sim, proto)) AS proto, max(sim) AS sim FROM s WHERE label <> proto_label GROUP BY vec_id HAVING max(sim) >= 0.3")
+@query("confusable_pairs", f"{_SIMS} SELECT vec_id, arg_max(other, (sim, other)) AS other, max(sim) AS sim FROM s WHERE label <> other_label GROUP BY vec_id HAVING max(sim) >= 0.3")
 def confusable_pairs(t):
-    """SIM-05: vectors near to a template of another class, with the nearest."""
-    other = _sims(t).where("label != proto_label").groupBy("vec_id").agg(F.max_by("proto", F.struct("sim", "proto")).alias("proto"), F.max("sim").alias("sim"))
-    return other.where("sim >= 0.3")
+    """SIM-05: vectors that are near to one of another class, with the nearest."""
+    return vectors.nearest_of_other_classes(_vectors(t), 0.3).withColumnRenamed("id", "vec_id")
 
 
 @query("role_assignment", """WITH c AS (SELECT user_id, event_type, round(sum(value), 3) AS s FROM events WHERE event_type IN ('click', 'purchase', 'view') GROUP BY ALL), x AS (SELECT a.user_id, round(a.s * 1 + b.s * 2 + d.s * 3, 3) AS total, a.event_type || ',' || b.event_type || ',' || d.event_type AS roles

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyloom.operators import sequence as seq
+from tallyloom.operators import stints
 from tallyloom.operators.joins import asof_join, range_join
 from tallyloom.plans.registry import query
 
@@ -123,10 +124,22 @@ def longest_run(t):
     return seq.run_lengths(_events(t), ["user_id"], ["t", "event_id"], "event_type", "t").groupBy("user_id").agg(F.max("length").alias("longest"))
 
 
-@query("stints_hysteresis")  # rows only: a fold over state that SQL can't carry
-def stints_hysteresis(t):
-    e = _events(t).select("user_id", F.col("t").cast("double").alias("t"), "event_type", (F.col("value") / 100).alias("score"))
-    return seq.hysteresis(e, "user_id", "t", "event_type", "score", pending_gap=172800.0)
+@query("stint_events")  # rows only: a state machine that SQL can't carry; tests hold it against a plain one
+def stint_events(t):
+    """WIN-06: what each user holds, with every confirmed and rejected change; a day counts as ten seconds."""
+    e = _events(t).select("user_id", (F.col("t") / 8640.0).alias("t"), F.col("event_type").alias("value"), (F.col("value") / 100).alias("score"), (F.abs(F.col("value") - 50) / 100).alias("margin"), F.create_map("event_type", F.col("value") / 100).alias("scores"))
+    return stints.stints(e, "user_id")
+
+
+@query("emblem_rounds")  # rows only: an emblem's number depends on all before it
+def emblem_rounds(t):
+    """WIN-07: rounds and setups of each user, whose events are frames five seconds apart with their kind as the emblem."""
+    at = F.row_number().over(Window.partitionBy("user_id").orderBy("t", "event_id")) * 5.0
+    # The kind of a minute's first frame stands for the minute.
+    kind = F.first("event_type").over(Window.partitionBy("user_id", F.floor(F.col("at") / 60)).orderBy("at"))
+    frames = _events(t).withColumn("at", at).withColumn("kind", kind)
+    emblem = F.array(*(F.when(F.col("kind") == k, 1.0).otherwise(0.0) for k in ("view", "click", "purchase", "signup", "error")))
+    return stints.rounds_of(stints.emblem_segments(frames.select("user_id", F.col("at").alias("t"), emblem.alias("emblem")), "user_id"), "user_id")
 
 
 @query("median3_smooth", f"WITH {_E} SELECT event_id, list_sort([lag(floor(value)) OVER w, floor(value), lead(floor(value)) OVER w])[2] AS smooth FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id) QUALIFY lag(value) OVER w IS NOT NULL AND lead(value) OVER w IS NOT NULL")
@@ -164,7 +177,7 @@ def consecutive_runs_k(t):
 
 @query("running_sum_budget", """SELECT doc_id FROM (SELECT doc_id, source, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n_chars) OVER (PARTITION BY source) AS total FROM documents) WHERE before < total - 60000""")
 def running_sum_budget(t):
-    return seq.evict_until_budget(t.documents, ["source"], ["doc_id"], "n_chars", 60000).select("doc_id")
+    return seq.evict_until_budget(t.documents, ["source"], ["doc_id"], "n_chars", 60000, F.floor(F.col("doc_id") / 5000)).select("doc_id")
 
 
 @query("tolerant_runs", f"""WITH {_E}, h AS (SELECT *, t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS gap FROM e WHERE value >= 30), i AS (SELECT *, sum((coalesce(gap, 0) > 43200)::INTEGER) OVER (PARTITION BY user_id ORDER BY t, event_id) AS g FROM h)

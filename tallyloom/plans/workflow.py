@@ -6,16 +6,16 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.scalar import slugify
-from tallyloom.operators import merge
+from tallyloom.operators import merge, workflow
 from tallyloom.plans.registry import query
 from tallyloom.sources import sinks
 
-_SRC = "s AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS v FROM customer WHERE c_custkey % 5 <> 0), g AS (SELECT s_suppkey * 3 AS k, s_acctbal AS v FROM supplier)"
+_SRC = "s AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS v FROM customer WHERE c_acctbal > 500), g AS (SELECT s_suppkey * 3 AS k, s_acctbal AS v FROM supplier)"
 
 
 def _sides(t):
     target = t.supplier.select((F.col("s_suppkey") * 3).alias("k"), F.col("s_acctbal").alias("v"))
-    source = t.customer.where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_acctbal")).alias("v"))
+    source = t.customer.where("c_acctbal > 500").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_acctbal")).alias("v"))
     return target, source
 
 
@@ -39,19 +39,19 @@ def insert_replace(t):
     return merge.insert_replace(*_sides(t), ["k"])
 
 
-@query("replace_preserving_manual", """WITH src AS (SELECT o_custkey AS m, o_orderkey + 1000000 AS id, 0 AS manual FROM orders WHERE o_custkey % 7 = 0), tgt AS (SELECT o_custkey AS m, o_orderkey AS id, (o_orderstatus = 'P')::INTEGER AS manual FROM orders)
+@query("replace_preserving_manual", """WITH src AS (SELECT o_custkey AS m, o_orderkey + 1000000 AS id, 0 AS manual FROM orders WHERE o_orderpriority = '1-URGENT'), tgt AS (SELECT o_custkey AS m, o_orderkey AS id, (o_orderstatus = 'P')::INTEGER AS manual FROM orders)
   SELECT * FROM tgt WHERE m NOT IN (SELECT m FROM src) OR manual = 1 UNION ALL SELECT * FROM src""")
 def replace_preserving_manual(t):
     target = t.orders.select(F.col("o_custkey").alias("m"), F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "P").cast("int").alias("manual"))
-    source = t.orders.where("o_custkey % 7 = 0").select(F.col("o_custkey").alias("m"), (F.col("o_orderkey") + 1000000).alias("id"), F.lit(0).alias("manual"))
+    source = t.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("m"), (F.col("o_orderkey") + 1000000).alias("id"), F.lit(0).alias("manual"))
     return merge.replace_preserving(target, source, ["m"], F.col("manual") == 1)
 
 
-@query("ledger_merge_scd", """WITH l AS (SELECT doc_id AS k, 1 AS first_seen, 1 AS last_seen, lang FROM documents WHERE doc_id % 2 = 0), s AS (SELECT doc_id AS k, upper(lang) AS lang FROM documents WHERE doc_id % 3 = 0)
+@query("ledger_merge_scd", """WITH l AS (SELECT doc_id AS k, 1 AS first_seen, 1 AS last_seen, lang FROM documents WHERE source < 'src2'), s AS (SELECT doc_id AS k, upper(lang) AS lang FROM documents WHERE source > 'src13')
   SELECT coalesce(l.k, s.k) AS k, coalesce(first_seen, 9) AS first_seen, CASE WHEN s.k IS NOT NULL THEN 9 ELSE last_seen END AS last_seen, coalesce(s.lang, l.lang) AS lang FROM l FULL JOIN s ON l.k = s.k""")
 def ledger_merge_scd(t):
-    ledger = t.documents.where("doc_id % 2 = 0").select(F.col("doc_id").alias("k"), F.lit(1).alias("first_seen"), F.lit(1).alias("last_seen"), "lang")
-    scanned = t.documents.where("doc_id % 3 = 0").select(F.col("doc_id").alias("k"), F.upper("lang").alias("lang"))
+    ledger = t.documents.where("source < 'src2'").select(F.col("doc_id").alias("k"), F.lit(1).alias("first_seen"), F.lit(1).alias("last_seen"), "lang")
+    scanned = t.documents.where("source > 'src13'").select(F.col("doc_id").alias("k"), F.upper("lang").alias("lang"))
     return merge.ledger_merge(ledger, scanned, "k", F.lit(9), ["lang"])
 
 
@@ -69,12 +69,13 @@ def merge_field_precedence(t):
     return a.unionByName(b).groupBy("k").agg(F.coalesce(of("b"), of("a")).alias("v"), F.array_join(F.array_sort(F.collect_set("src")), ",").alias("sources"))
 
 
-@query("rename_history", "SELECT c_custkey, c_name || CASE WHEN c_custkey % 4 = 0 THEN ' II' ELSE '' END AS name, CASE WHEN c_custkey % 4 = 0 THEN c_name ELSE '' END AS previous FROM customer")
+@query("rename_history", """WITH n AS (SELECT user_id, event_type AS name, min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY ALL), c AS (SELECT user_id, arg_max(name, (last_at, name)) AS name FROM n GROUP BY 1)
+  SELECT c.user_id, c.name, coalesce(string_agg(n.name, ',' ORDER BY n.first_at, n.name) FILTER (n.name <> c.name), '') AS previous FROM c JOIN n USING (user_id) GROUP BY c.user_id, c.name""")
 def rename_history(t):
-    new = F.concat("c_name", F.when(F.col("c_custkey") % 4 == 0, " II").otherwise(""))
-    old = F.array().cast("array<string>")
-    history = F.when((new != F.col("c_name")) & ~F.array_contains(old, F.col("c_name")), F.array_append(old, F.col("c_name"))).otherwise(old)
-    return t.customer.select("c_custkey", new.alias("name"), F.array_join(history, ",").alias("previous"))
+    """ER-06: the last name that an id was seen under and all others, each once, in the order in which they came up."""
+    names = t.events.groupBy("user_id", F.col("event_type").alias("name")).agg(F.min("ts").alias("first_at"), F.max("ts").alias("last_at"))
+    each = names.groupBy("user_id").agg(F.max_by("name", F.struct("last_at", "name")).alias("name"), F.array_sort(F.collect_list(F.struct("first_at", "name"))).alias("all"))
+    return each.select("user_id", "name", F.array_join(F.filter(F.transform("all", lambda x: x["name"]), lambda x: x != F.col("name")), ",").alias("previous"))
 
 
 @query("deterministic_job_key", "SELECT DISTINCT event_type || ':' || user_id AS job_key FROM events")
@@ -105,12 +106,16 @@ def transition_matrix(t):
 
 @query("graph_reachability", f"WITH RECURSIVE {_LEGAL_SQL}, r(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM r JOIN edges e ON e.a = r.b) SELECT a AS from_state, b AS to_state FROM r")
 def graph_reachability(t):
-    """WF-03: doubling the paths of a small, stated graph: as many rounds as its number of states has binary digits."""
-    paths = t.spark.createDataFrame(_LEGAL, "a string, b string").distinct()
-    for _ in range(3):
-        longer = paths.alias("x").join(paths.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b")
-        paths = paths.unionByName(longer).distinct()
-    return paths.select(F.col("a").alias("from_state"), F.col("b").alias("to_state"))
+    return workflow.reachable(t.spark.createDataFrame(_LEGAL, "a string, b string"))
+
+
+@query("order_reachability", """WITH RECURSIVE e AS (SELECT DISTINCT o_orderpriority || o_orderstatus AS a, n AS b FROM (SELECT *, lead(o_orderpriority || o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders) WHERE n IS NOT NULL AND a < n),
+  r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b) SELECT a AS from_state, b AS to_state FROM r""")
+def order_reachability(t):
+    """WF-03: what rising steps between a customer's successive orders lead to, from the edges in the table."""
+    state = F.concat("o_orderpriority", "o_orderstatus")
+    steps = t.orders.select(state.alias("a"), F.lead(state).over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("b"))
+    return workflow.reachable(steps.where("a < b"))
 
 
 @query("retry_backoff_schedule", "SELECT event_id, [10, 30, 60, 180, 720][least(event_id % 8 + 1, 5)]::INTEGER AS minutes, event_id % 8 >= 6 AS dead FROM events")
@@ -133,18 +138,43 @@ def job_health(t):
     return u.select("user_id", "health", F.element_at(actions, F.col("health")).alias("action"))
 
 
-@query("split_merge_intervals", "WITH e AS (SELECT event_id, floor(epoch(ts))::BIGINT AS t FROM events) SELECT event_id, o AS part, (t + o * 50)::BIGINT AS start, (t + o * 50 + 50)::BIGINT AS stop FROM e, (SELECT unnest([0, 1]) AS o)")
-def split_merge_intervals(t):
-    e = t.events.select("event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"))
-    halves = F.explode(F.array(*(F.struct(F.lit(o).alias("part"), (F.col("t") + o * 50).alias("start"), (F.col("t") + o * 50 + 50).alias("stop")) for o in (0, 1))))
-    return e.select("event_id", halves.alias("h")).select("event_id", "h.*")
+_EDIT = """e AS (SELECT o_orderkey AS id, (o_orderkey * 10)::DOUBLE AS a, (o_orderkey * 10 + 8)::DOUBLE AS b, ['approve', 'reject', 'start', 'end', 'split', 'merge', 'none'][(o_orderkey % 7 + 1)::INTEGER] AS act,
+  CASE o_orderkey % 7 WHEN 5 THEN o_orderkey // 70 WHEN 4 THEN o_orderkey * 10 + (o_orderkey // 7) % 9 ELSE o_orderkey * 10 + 3 END::DOUBLE AS v FROM orders)"""
+
+
+@query("segment_edits", f"""WITH {_EDIT}, d AS (SELECT *, CASE act WHEN 'none' THEN false WHEN 'split' THEN v > a AND v < b WHEN 'start' THEN v < b WHEN 'end' THEN v > a ELSE true END AS done FROM e)
+  SELECT id::VARCHAR AS id, CASE WHEN done AND act = 'start' THEN v ELSE a END AS start, CASE WHEN done AND act = 'end' THEN v ELSE b END AS "end", CASE WHEN NOT done THEN 'pending' WHEN act = 'approve' THEN 'approved' WHEN act = 'reject' THEN 'rejected' WHEN act = 'split' THEN 'split' WHEN act = 'merge' THEN 'merged' ELSE 'pending' END AS status,
+    CASE WHEN act = 'none' THEN NULL WHEN NOT done THEN 'refused' ELSE 'by ' || act END AS note, NULL::VARCHAR AS origin FROM d
+  UNION ALL SELECT id || '-a', a, v, 'pending', NULL, id::VARCHAR FROM d WHERE done AND act = 'split' UNION ALL SELECT id || '-b', v, b, 'pending', NULL, id::VARCHAR FROM d WHERE done AND act = 'split'
+  UNION ALL SELECT 'merge-' || v::BIGINT, min(a), max(b), 'pending', NULL, min(id::VARCHAR) FROM d WHERE act = 'merge' GROUP BY v""")
+def segment_edits(t):
+    """WF-08: approve, reject, move a bound, split and merge, one edit per segment; a split outside of it is refused."""
+    k = F.col("o_orderkey")
+    action = F.element_at(F.array(*map(F.lit, ("approve", "reject", "start", "end", "split", "merge", "none"))), (k % 7 + 1).cast("int"))
+    value = F.when(k % 7 == 5, F.floor(k / 70)).when(k % 7 == 4, k * 10 + F.floor(k / 7) % 9).otherwise(k * 10 + 3).cast("double")
+    segments = t.orders.select(k.alias("id"), (k * 10).cast("double").alias("start"), (k * 10 + 8).cast("double").alias("end"), F.lit("pending").alias("status"))
+    edits = t.orders.select(F.lit(1).alias("number"), k.alias("id"), action.alias("action"), value.alias("value"), F.concat(F.lit("by "), action).alias("note"))
+    return workflow.edited(segments, edits.where("action != 'none'"))
+
+
+@query("lease_log")  # rows only: who holds a lease decides what is granted; tests hold it against a plain version
+def lease_log(t):
+    """WF-05: events as requests of 12 workers for the leases of their users."""
+    kind = F.create_map(*map(F.lit, ("view", "acquire", "click", "acquire", "purchase", "heartbeat", "signup", "release", "error", "reap")))
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    return workflow.lease_log(t.events.select(F.concat(F.lit("r"), (F.col("user_id") % 40).cast("string")).alias("resource"), at.alias("at"), F.concat(F.lit("w"), (F.col("event_id") % 3).cast("string")).alias("worker"), F.element_at(kind, F.col("event_type")).alias("action")), 7200.0)
 
 
-@query("reproducible_diff", "SELECT NULL::VARCHAR AS line, NULL::VARCHAR AS side WHERE false")
+@query("reproducible_diff", """SELECT n_nationkey, CASE WHEN n_regionkey = 4 THEN 'removed' ELSE 'changed' END AS how, CASE WHEN n_regionkey = 4 THEN NULL WHEN n_nationkey % 2 = 0 AND n_regionkey = 1 THEN 'n_name,n_regionkey' WHEN n_regionkey = 1 THEN 'n_regionkey' ELSE 'n_name' END AS fields FROM nation WHERE n_regionkey IN (1, 4) OR n_nationkey % 2 = 0
+  UNION ALL SELECT n_nationkey + 100, 'added', NULL FROM nation WHERE n_regionkey = 4""")
 def reproducible_diff(t):
-    lines = t.nation.select(F.concat_ws("|", "n_nationkey", "n_name").alias("line"))
-    stamped = lambda s: lines.withColumn("line", F.concat("line", F.lit(f" generated {s}")))
-    return sinks.differences(stamped("2024-01-01"), stamped("2025-12-31"), {"line": "generated [0-9-]+"})
+    """SNK-02: what differs between two payloads besides the time of their making."""
+    stamped = lambda df, s: df.withColumn("n_name", F.concat("n_name", F.lit(f" generated {s}")))
+    moved = F.when(F.col("n_regionkey") == 4, F.col("n_nationkey") + 100).otherwise(F.col("n_nationkey"))
+    renamed = F.when((F.col("n_nationkey") % 2 == 0), F.concat("n_name", F.lit("!"))).otherwise(F.col("n_name"))
+    other = t.nation.select(moved.alias("n_nationkey"), renamed.alias("n_name"), F.when(F.col("n_regionkey") == 1, 0).otherwise(F.col("n_regionkey")).alias("n_regionkey"))
+    blank = lambda df: df.withColumn("n_name", F.regexp_replace("n_name", " generated [0-9-]+", ""))
+    return sinks.drifted(blank(stamped(t.nation, "2024-01-01")), blank(stamped(other, "2025-12-31")), ["n_nationkey"])
 
 
 @query("prune_keep_newest_n", "SELECT o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders) WHERE k > 5")
@@ -157,12 +187,12 @@ def nested_payload_json(t):
     return sinks.payload({"regions": t.region, "nations": t.nation}, {"regions": ["r_regionkey"], "nations": ["n_nationkey"]})
 
 
-@query("late_data_split", "SELECT late, count(*)::BIGINT AS n FROM (SELECT event_id, ts < max(ts) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) - INTERVAL 2 DAY AS late FROM events WHERE user_id = 7) GROUP BY 1")
+@query("late_data_split", "SELECT user_id, late, count(*)::BIGINT AS n FROM (SELECT event_id, user_id, ts < max(ts) OVER (PARTITION BY user_id ORDER BY event_id * 7919 % 10007, event_id ROWS UNBOUNDED PRECEDING) - INTERVAL 2 DAY AS late FROM events) GROUP BY ALL")
 def late_data_split(t):
-    """STM-07: rows more than two days older than the newest that arrived before them, per source (here one user)."""
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    """STM-07: rows more than two days older than the newest that came before them, per source, in a shuffled order of arrival."""
+    w = Window.partitionBy("user_id").orderBy(F.col("event_id") * 7919 % 10007, "event_id").rowsBetween(Window.unboundedPreceding, 0)
     late = F.col("ts") < F.max("ts").over(w) - F.expr("interval 2 days")
-    return t.events.where("user_id = 7").select(late.alias("late")).groupBy("late").agg(F.count("*").alias("n"))
+    return t.events.select("user_id", late.alias("late")).groupBy("user_id", "late").agg(F.count("*").alias("n"))
 
 
 @query("dedup_within_window", "SELECT user_id, event_type, floor(epoch(ts))::BIGINT // 3600 AS hour, min(event_id) AS event_id FROM events GROUP BY ALL")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyloom.operators.merge import ledger_merge
-from tallyloom.operators.sequence import CONFIRM
+from tallyloom.sources import sinks
 
 
 def event_stream(spark: SparkSession, path: str, schema: str, at: str) -> DataFrame:
@@ -38,44 +38,44 @@ def once(events: DataFrame, keys: list[str], at: str, late: str) -> DataFrame:
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
 
 
-def confirmed_values(events: DataFrame, key: str, value: str) -> DataFrame:
-    """STM-05: (key, value, n) each time that a key has shown a new value CONFIRM times in a row."""
+def stale_keys(events: DataFrame, key: str, at: str, silence: str, late: str) -> DataFrame:
+    """STM-06: (key, last_at) of each key once the watermark has passed its newest row by `silence` (such as "90 seconds").
+
+    A key that is heard again afterwards starts anew. The state is one instant per key and goes with the timeout.
+    """
+    seconds = events.sparkSession.sql(f"SELECT cast(interval {silence} AS interval second) AS s").first()["s"].total_seconds()
+    kind = events.schema[key].dataType.simpleString()
 
     def step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        current, candidate, run = state.get if state.exists else (None, None, 0)
-        out = []
-        for pdf in batches:
-            for v in pdf[value]:
-                if v == current:
-                    candidate, run = None, 0
-                    continue
-                run = run + 1 if v == candidate else 1
-                candidate = v
-                if run >= CONFIRM:
-                    current, candidate = v, None
-                    out.append((keys[0], v, run))
-                    run = 0
-        state.update((current, candidate, run))
-        yield pd.DataFrame(out, columns=[key, "value", "n"])
-
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} long, value string, n long", "current string, candidate string, run long", "append", GroupStateTimeout.NoTimeout)
+        if state.hasTimedOut:
+            (last,) = state.get
+            state.remove()
+            yield pd.DataFrame({key: [keys[0]], "last_at": pd.to_datetime([last], unit="us")})
+            return
+        newest = max(int(pdf["_us"].max()) for pdf in batches)
+        if state.exists:
+            newest = max(newest, state.get[0])
+        state.update((newest,))
+        due = newest // 1000 + int(seconds * 1000)
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+
+    timed = events.withWatermark(at, late).select(key, at, F.unix_micros(at).alias("_us"))
+    return timed.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, last_at timestamp", "newest long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def accumulate(spark: SparkSession, stream: DataFrame, ledger_path: str, key: str, columns: list[str], checkpoint: str) -> None:
-    """STM-01: merges every batch into a ledger table by key; a batch that runs twice changes nothing.
+    """STM-01: merges every batch into a ledger by key, one published version a batch; a batch that runs twice changes nothing.
 
-    Each batch writes a new version beside the old one and then names it in `current`, so a reader never sees half a ledger.
+    Of rows of a batch that repeat a key the largest (columns in their order) counts. Read the ledger by sinks.current().
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        old = f"{ledger_path}/v{number - 1}"
         now = F.lit(number).cast("long")
-        fresh = batch.dropDuplicates([key])
-        if number == 0:
-            merged = fresh.select(key, now.alias("first_seen"), now.alias("last_seen"), *columns)
-        else:
-            merged = ledger_merge(spark.read.parquet(old), fresh, key, now, columns)
-        merged.write.mode("overwrite").parquet(f"{ledger_path}/v{number}")
+        largest = F.max(F.struct(*columns)).alias("_row")
+        fresh = batch.groupBy(key).agg(largest).select(key, "_row.*")
+        names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fresh.schema if f.name != key)
+        ledger = sinks.current(spark, ledger_path, f"`{key}` {fresh.schema[key].dataType.simpleString()}, first_seen long, last_seen long, {names}")
+        sinks.publish(ledger_merge(ledger, fresh, key, now, columns), ledger_path, number=number)
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 

@@ -1,11 +1,16 @@
 """Operators on literal rows: nulls, ties, boundaries and state."""
 
+import difflib
+import json
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import scalar as sc
-from tallyloom.operators import joins, merge, sequence
-from tallyloom.sources import sinks, tables
+from tallyloom.operators import joins, matching, merge, sequence, stints, vectors, workflow
+from tallyloom.sources import nested, paged, sinks, tables
 from tallyloom.streaming import streams
 
 
@@ -13,17 +18,231 @@ def got(df, *columns):
     return sorted(map(tuple, df.select(*columns).collect()), key=repr)
 
 
-def test_stable_spans_ignores_an_isolated_read_and_takes_a_confirmed_one():
-    times = [float(5 * i) for i in range(20)]
-    values = ["a"] * 10 + ["b"] + ["a"] * 9
-    assert [s[0] for s in sequence.stable_spans(times, values, [0.5] * 20)] == ["a"]
-    swapped = sequence.stable_spans(times, ["a"] * 10 + ["b"] * 10, [0.5] * 20)
-    assert [(s[0], s[1]) for s in swapped] == [("a", 0.0), ("b", 50.0)]
+READS = "slot string, t double, value string, score double, margin double, scores map<string,double>"
+
+
+def track(slot, *parts):
+    """Reads of (value, first, last[, score, margin, what else scored]) every five seconds."""
+    rows = []
+    for value, first, last, *more in parts:
+        score, margin, others = (*more, *(0.9, 0.3, {})[len(more) :])
+        rows += [(slot, float(t), value, score, margin, {value: score, **others}) for t in range(first, last + 1, 5)]
+    return rows
+
+
+TRACKS = {
+    "isolated": track("isolated", ("tracer", 0, 45), ("genji", 50, 50, 0.5, 0.3, {"tracer": 0.45}), ("tracer", 55, 95)),
+    "genuine": track("genuine", ("tracer", 0, 45), ("sombra", 50, 75, 0.9, 0.3, {"tracer": 0.2})),
+    "variant": track("variant", ("tracer", 0, 45), ("sombra", 50, 75, 0.55, 0.01, {"tracer": 0.54}), ("tracer", 80, 95)),
+    "gap": track("gap", ("tracer", 0, 45), ("sombra", 50, 50, 0.9, 0.3, {"tracer": 0.2}), ("sombra", 100, 125, 0.9, 0.3, {"tracer": 0.2})),
+    "never": track("never", ("tracer", 0, 0), ("genji", 5, 5), ("ana", 10, 10, 0.5)),
+    "open": track("open", ("tracer", 0, 45), ("genji", 50, 50, 0.9, 0.3, {"tracer": 0.2})),
+    "other": track("other", ("tracer", 0, 45), ("genji", 50, 50), ("ana", 55, 75, 0.9, 0.3, {"tracer": 0.1})),
+}
+
+
+def kinds(df):
+    out = {}
+    for r in df.orderBy("slot", "t", "kind").collect():
+        out.setdefault(r["slot"], []).append((r["kind"], r["value"], r["t"], r["reason"]))
+    return out
+
+
+def test_stints_and_their_events(spark):
+    reads = spark.createDataFrame([r for rows in TRACKS.values() for r in rows] + [("null", None, "x", 1.0, 1.0, {}), ("null", 1.0, None, 1.0, 1.0, {})], READS)
+    found = kinds(stints.stints(reads, "slot"))
+    assert found["isolated"] == [("stint", "tracer", 0.0, None), ("rejected-swap", "genji", 50.0, "returned")]
+    assert found["genuine"] == [("stint", "tracer", 0.0, None), ("stint", "sombra", 50.0, None), ("swap", "sombra", 50.0, None)]
+    assert [k for k, *_ in found["variant"]] == ["stint", "rejected-swap", "rejected-swap"] and found["variant"][1][3] == "small-margin"
+    assert ("swap", "sombra", 100.0, None) in found["gap"]
+    assert found["never"] == [("unestablished", "ana", 10.0, "few-reads")]
+    assert found["open"][-1] == ("rejected-swap", "genji", 50.0, "unresolved")
+    assert ("rejected-swap", "genji", 50.0, "interrupted") in found["other"] and ("swap", "ana", 55.0, None) in found["other"]
+    assert "null" not in found
+    setup = kinds(stints.stints(reads.where("slot = 'genuine'"), "slot", ((45.0, 90.0),)))
+    assert ("setup-change", "sombra", 50.0, None) in setup["genuine"]
+    assert stints.stints(reads.where("false"), "slot").count() == 0
+
+
+def plain_stints(rows):
+    """The same decisions over a list of reads, with the reads themselves kept."""
+    held, rival, out = [], [], []
+    mean = lambda xs: sum(xs) / len(xs)
+
+    def doubt():
+        n, span = len(rival), rival[-1][1] - rival[0][1]
+        strong = n >= 2 and span >= 2 and min(r[3] for r in rival) >= 0.8
+        if not strong and n < 3:
+            return "few-reads"
+        if not strong and span < 3:
+            return "short-span"
+        if mean([r[4] for r in rival]) < 0.05:
+            return "small-margin"
+        over = [r[3] - r[5].get(held[0][2], -1.0) for r in rival if r[5]] if held else []
+        return "not-displaced" if over and mean(over) < 0.04 else None
+
+    for r in rows:
+        if held and r[2] == held[0][2]:
+            if rival:
+                out.append(("rejected-swap", rival[0][2], rival[0][1], "returned"))
+            held, rival = [*held, r], []
+            continue
+        if rival and rival[0][2] != r[2]:
+            if held:
+                out.append(("rejected-swap", rival[0][2], rival[0][1], "interrupted"))
+            rival = []
+        if held and rival and r[1] - rival[-1][1] > 20:
+            rival = []
+        rival = [*rival, r]
+        why = doubt()
+        if why is None:
+            if held:
+                out += [("stint", held[0][2], held[0][1], None), ("swap", r[2], rival[0][1], None)]
+            held, rival = rival, []
+        elif held and len(rival) >= 5 and rival[-1][1] - rival[0][1] > 3:
+            out.append(("rejected-swap", rival[0][2], rival[0][1], why))
+            rival = []
+    if rival:
+        out.append(("rejected-swap", rival[0][2], rival[0][1], "unresolved") if held else ("unestablished", rival[0][2], rival[0][1], "few-reads"))
+    return out + ([("stint", held[0][2], held[0][1], None)] if held else [])
+
+
+def random_reads(seed, slots=12, n=120):
+    rng = random.Random(seed)
+    rows = []
+    for s in range(slots):
+        t, value = 0.0, "a"
+        for _ in range(n):
+            t += rng.choice([1.0, 2.0, 5.0, 25.0])
+            value = rng.choice(["a", "b", "c"]) if rng.random() < 0.3 else value
+            score = rng.choice([0.5, 0.7, 0.9])
+            rows.append((f"s{s}", t, value, score, rng.choice([0.01, 0.1, 0.3]), rng.choice([{}, {"a": 0.45, "b": 0.5, "c": 0.88}])))
+    return rows
+
+
+def test_stints_equal_a_plain_version_in_batch_and_stream(spark, tmp_path):
+    rows = random_reads(1)
+    reads = spark.createDataFrame(rows, READS)
+    found = {s: sorted(x, key=repr) for s, x in kinds(stints.stints(reads, "slot")).items()}
+    assert found == {s: sorted(plain_stints([r for r in rows if r[0] == s]), key=repr) for s in found} and len(found) == 12
+    # Three files, one micro-batch each: rows settled so far are those of the batch, but for what stays open.
+    for part in range(3):
+        reads.where((F.col("t") > part * 400) & (F.col("t") <= (part + 1) * 400 if part < 2 else F.lit(True))).coalesce(1).write.parquet(str(tmp_path / f"in/{part}"))
+    stream = spark.readStream.schema(READS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    streamed = {s: sorted(x, key=repr) for s, x in kinds(streams.collect_all(stints.stints_of_stream(stream, "slot"), "stints_t", "append")).items()}
+    for s, own in found.items():
+        open_ = [x for x in own if x not in streamed.get(s, [])]
+        assert all(x in own for x in streamed.get(s, [])) and 1 <= len(open_) <= 2 and open_[0][0] in ("stint", "rejected-swap", "unestablished")
+
+
+def test_grace(spark):
+    found = spark.createDataFrame([(5.0, 20.0), (5.0, 80.0), (45.0, 50.0), (205.0, 220.0), (-5.0, 0.0)], "t double, end double")
+    rounds = spark.createDataFrame([(0.0, 190.0), (200.0, 230.0)], "start double, end double")
+    assert got(stints.with_grace(found, rounds), "t", "end", "early", "stands") == sorted([(5.0, 20.0, True, False), (5.0, 80.0, True, True), (45.0, 50.0, False, True), (205.0, 220.0, True, True), (-5.0, 0.0, False, True)], key=repr)
+
+
+def test_emblems_make_rounds(spark):
+    """Lock, A, lock, B, lock, C: three setups and three rounds; a flicker and a short segment don't part them."""
+    shapes = {"L": [1.0, 0, 0, 0], "A": [0, 1.0, 0, 0], "B": [0, 0, 1.0, 0], "C": [0, 0, 0, 1.0]}
+    letters = "L" * 8 + "A" * 12 + "L" + "A" * 17 + "L" * 6 + "B" * 30 + "L" * 6 + "C" * 20 + "BB" + "C" * 8
+    frames = spark.createDataFrame([("m", 5.0 * i, [float(x) for x in shapes[c]]) for i, c in enumerate(letters)], "map string, t double, emblem array<double>")
+    rounds = stints.rounds_of(stints.emblem_segments(frames, "map"), "map")
+    assert got(rounds, "part", "number", "start", "end") == [("round", 1, 40.0, 185.0), ("round", 2, 220.0, 365.0), ("round", 3, 400.0, 545.0), ("setup", 1, 0.0, 35.0), ("setup", 2, 190.0, 215.0), ("setup", 3, 370.0, 395.0)]
 
 
-def test_stable_spans_drops_a_pending_read_after_a_gap():
-    spans = sequence.stable_spans([0.0, 5, 10, 50, 100, 105, 110], ["a", "a", "a", "b", "b", "b", "b"], [0.5] * 7)
-    assert [(s[0], s[1]) for s in spans] == [("a", 0.0), ("b", 100.0)]
+def plain_match(text, catalog, contained):
+    if len(text) < (3 if contained else 2):
+        return None, "none", "short"
+    names, codes = {n: i for i, n, _ in sorted(catalog)}, {c: i for i, _, c in sorted(catalog) if c}
+    if text in names:
+        return names[text], "exact", None
+    if not contained:
+        if text in codes:
+            return codes[text], "code", None
+        for w in text.split(" "):
+            if len(w) >= 2 and w in codes:
+                return codes[w], "code", "word"
+    else:
+        inside = [i for n, i in names.items() if n in text]
+        if inside:
+            return (inside[0], "contains", None) if len(inside) == 1 else (None, "none", "ambiguous")
+    best = {}
+    for n, i in names.items():
+        best[i] = max(best.get(i, 0), difflib.SequenceMatcher(None, text, n).ratio())
+    ranked = sorted(best.items(), key=lambda x: (-x[1], str(x[0])))
+    if ranked[0][1] < 0.72:
+        return None, "none", "far"
+    if len(ranked) > 1 and ranked[0][1] - ranked[1][1] < 0.08:
+        return None, "none", "close"
+    return ranked[0][0], "fuzzy", None
+
+
+@pytest.mark.parametrize("contained", [False, True])
+def test_names_match_as_in_a_plain_version(spark, contained):
+    rng = random.Random(4)
+    names = ["CRAZY RACCOON", "TEAM FALCONS", "FALCON", "GEEKAY ESPORTS", "GEN G", "TWISTED MINDS", "AL QADSIAH", "T1", "NEPAL", "NEPAL VILLAGE", "OASIS"]
+    catalog = [(i, n, "".join(w[0] for w in n.split()) + ("X" if i % 3 else "")) for i, n in enumerate(names)]
+    texts = ["", "a", "Crazy Raccoon!", "crazy-raccoon", "Crazy Racoon", "vs TFX now", "TF", "NEPAL", "control: nepal village", "map OASIS", "nepal oasis", "falcons", None, "T1", "xx t1 yy"]
+    for _ in range(60):
+        t = list(rng.choice(names))
+        for _ in range(rng.randint(0, 3)):
+            t[rng.randrange(len(t))] = rng.choice("ABCDEFG ")
+        texts.append("".join(t))
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, x string").withColumn("_id", F.lit(0))
+    found = matching.match_names(rows, "x", spark.createDataFrame(catalog, "id int, name string, code string"), least_chars=3 if contained else 2, codes=not contained, contained=contained)
+    normal = lambda x: " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in (x or "").upper()).split())
+    assert {r["n"]: (r["id"], r["method"], r["reason"]) for r in found.collect()} == {n: plain_match(normal(x), catalog, contained) for n, x in enumerate(texts)}
+    none = matching.match_names(rows, "x", spark.createDataFrame([], "id int, name string, code string"))
+    assert {r["reason"] for r in none.collect()} == {"short", "empty"}
+
+
+def test_leases(spark):
+    rng = random.Random(2)
+    rows = [(f"r{rng.randrange(3)}", float(rng.randrange(300)), f"w{rng.randrange(3)}", rng.choice(["acquire", "acquire", "heartbeat", "release", "reap", "odd"])) for _ in range(300)]
+    want, state = [], {}
+    for r, at, w, action in sorted(rows, key=lambda x: (x[0], x[1], x[2], x[3])):
+        holder, until = state.get(r, (None, None))
+        late = holder is not None and until <= at
+        ok = (action == "acquire" and (holder in (None, w) or late)) or (action in ("heartbeat", "release") and holder == w) or (action == "reap" and late)
+        if ok:
+            state[r] = (None, None) if action in ("release", "reap") else (w, at + 20)
+        want.append((r, at, w, action, ok, *state.get(r, (None, None))))
+    found = workflow.lease_log(spark.createDataFrame(rows, "resource string, at double, worker string, action string"), 20.0)
+    assert got(found, *found.columns) == sorted(want, key=repr)
+
+
+def test_leaders_and_farthest_picks(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, i % 3, rng.normal(size=4).tolist()) for i in range(90)] + [(90, 0, rng.normal(size=4).tolist())]
+    df = spark.createDataFrame([*rows, (91, 1, None), (None, 1, [0.0] * 4)], "id long, label int, v array<double>")
+    want, picks = [], []
+    for label in range(3):
+        own, led = [(i, np.array(v)) for i, lab, v in rows if lab == label], []
+        for i, v in own:
+            hit = next((j for j, x in led if x @ v >= 1.0), i)
+            led += [(i, v)] if hit == i else []
+            want.append((i, hit))
+        chosen = [own[0]]
+        while len(chosen) < 4:
+            chosen.append(max(own, key=lambda x: (round(min(((x[1] - c) ** 2).sum() for _, c in chosen), 9), -x[0])))
+        picks += [(label, i, k + 1) for k, (i, _) in enumerate(chosen)]
+    assert got(vectors.leaders(df, 1.0), "id", "leader") == sorted(want, key=repr)
+    assert got(vectors.farthest_first(df, 4), "label", "id", "rank") == sorted(picks, key=repr)
+
+
+def test_blocks_give_what_all_pairs_give(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(150, 3))
+    df = spark.createDataFrame([(i, i % 4, x[i].tolist()) for i in range(150)], "id long, label int, v array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(i, j) for i in range(150) for j in range(i + 1, 150) if i % 4 == j % 4 and round(float(u[i] @ u[j]), 6) >= 0.9}
+    monkeypatch.setattr(vectors, "BLOCK", 20)
+    found = vectors.similar_pairs(df, 0.9)
+    assert {(r["id"], r["other"]) for r in found.collect()} == want
+    top = vectors.top_k(df.where("id % 10 = 0"), df, 3).collect()
+    for q in range(0, 150, 10):
+        s = [(-round(float(x[q] @ x[i]), 9), i) for i in range(150) if i != q]
+        assert [r["id"] for r in sorted(top, key=lambda r: r["rank"]) if r["query_id"] == q] == [i for _, i in sorted(s)[:3]]
 
 
 def test_asof_takes_the_latest_before_and_none_before_the_first(spark):
@@ -103,7 +322,74 @@ def test_streams_equal_batches(spark, tmp_path):
     stream = lambda: streams.event_stream(spark, str(tmp_path / "in"), "id long, user long, at timestamp, v string", "at")
     windows = streams.collect_all(streams.tumbling(stream(), "at", "5 minutes", "1 hour"), "tumbling_t")
     assert sorted(r["n"] for r in windows.collect()) == [5, 5]
-    values = streams.collect_all(streams.confirmed_values(stream(), "user", "v"), "values_t", "append")
-    assert sorted(r["value"] for r in values.collect()) == ["a", "b"]
-    streams.accumulate(spark, stream(), str(tmp_path / "ledger"), "id", ["v"], str(tmp_path / "ck"))
-    assert spark.read.parquet(str(tmp_path / "ledger/v0")).count() == 10
+    slid = streams.collect_all(streams.sliding(stream(), "at", "4 minutes", "2 minutes", "1 hour"), "sliding_t")
+    batch = df.groupBy(F.window("at", "4 minutes", "2 minutes")).agg(F.count("*").alias("n"))
+    assert got(slid, "window", "n") == got(batch, "window", "n")
+    runs = streams.collect_all(streams.sessions(stream(), "user", "at", "90 seconds", "1 minute"), "sessions_t")
+    assert [r["n"] for r in runs.collect()] == [10]
+    df.unionByName(df).coalesce(1).write.parquet(str(tmp_path / "twice"))
+    twice = streams.event_stream(spark, str(tmp_path / "twice"), "id long, user long, at timestamp, v string", "at")
+    assert streams.collect_all(streams.once(twice, ["id"], "at", "1 hour"), "once_t", "append").count() == 10
+
+
+def test_a_ledger_has_whole_versions_and_a_batch_counts_once(spark, tmp_path):
+    ledger, source = str(tmp_path / "ledger"), tmp_path / "in"
+    schema = "id long, v string"
+    for part, rows in enumerate(([(1, "a"), (1, "b"), (2, "c")], [(2, "d"), (3, "e")])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(source / str(part)))
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(source))
+        streams.accumulate(spark, stream, ledger, "id", ["v"], str(tmp_path / "ck"))
+    assert got(sinks.current(spark, ledger), "id", "first_seen", "last_seen", "v") == [(1, 0, 0, "b"), (2, 0, 1, "d"), (3, 1, 1, "e")]
+    assert sinks.publish(spark.createDataFrame([(9, 0, 0, "x")], "id long, first_seen long, last_seen long, v string"), ledger, number=1) == 1
+    assert sinks.current(spark, ledger).count() == 3
+
+
+def test_publish_verifies_and_prunes(spark, tmp_path):
+    path = str(tmp_path / "p")
+    df = spark.range(5).withColumn("m", F.create_map(F.lit("a"), "id"))
+    assert [sinks.publish(df, path, keep=2) for _ in range(3)] == [0, 1, 2]
+    assert sinks.versions(spark, path) == [1, 2] and sinks.current(spark, path).count() == 5
+    sinks.verify(spark, f"{path}/v2")
+    spark.range(1).withColumn("m", F.create_map(F.lit("a"), "id")).write.mode("append").parquet(f"{path}/v2/rows")
+    with pytest.raises(ValueError, match="manifest"):
+        sinks.verify(spark, f"{path}/v2")
+    assert sinks.current(spark, f"{path}-none", "a int").count() == 0
+    for day, n in (("d1", 3), ("d2", 4), ("d1", 5)):
+        sinks.append_snapshot(spark.range(n), str(tmp_path / "h"), day)
+    assert got(spark.read.parquet(str(tmp_path / "h")).groupBy("day").count(), "day", "count") == [("d1", 5), ("d2", 4)]
+
+
+def test_a_silent_key_is_reported_once(spark, tmp_path):
+    schema = "worker string, at timestamp"
+    beats = [[("a", 0), ("b", 0), ("a", 60)], [("b", 400)], [("b", 800)], [("a", 1200)]]
+    for part, rows in enumerate(beats):
+        spark.createDataFrame(rows, "worker string, s long").select("worker", F.timestamp_seconds("s").alias("at")).coalesce(1).write.parquet(str(tmp_path / f"in/{part}"))
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+        streams.stale_keys(stream, "worker", "at", "90 seconds", "0 seconds").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    found = sorted((r["worker"], int(r["last_at"].timestamp())) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert ("a", 60) in found and all(x in [("a", 60), ("b", 0), ("b", 400), ("b", 800)] for x in found) and len(found) == len(set(found))
+
+
+def test_nested_documents(spark):
+    doc = {"a": [{"id": 1, "Date": "x", "in": {"ID": 2, "date": "y"}}, 5, None], "id": 3}
+    rows = spark.createDataFrame([(1, json.dumps(doc)), (2, "{broken"), (3, None), (4, "[]"), (None, "{}")], "k int, d string")
+    found = nested.walk_json(rows, "k", "d", (("id",), ("date",)))
+    assert got(found, "k", "path", "depth") == [(1, "$.a[0]", 2), (1, "$.a[0].in", 3)]
+    assert got(nested.walk_json(rows, "k", "d", (("id",), ("date",)), 2), "path") == [("$.a[0]",)]
+    deep = "[" * 500 + '{"id": 1, "date": 2}' + "]" * 500
+    assert nested.walk_json(spark.createDataFrame([(1, deep)], "k int, d string"), "k", "d", (("id",),), 10_000).count() == 1
+    html = '<script type="application/json">{"x": {"teams": 1}}</script><script id="__NEXT_DATA__">{"a": {"b": 1}}</script>'
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(nested.embedded_state(F.lit(html), ("teams",))) == '{"teams":1}'
+    assert one(nested.embedded_state(F.lit("<html/>"), ("teams",))) is None
+
+
+def test_paged_source_uses_its_cache(spark):
+    def transport(url):
+        return (200, json.dumps({"items": [1, 2]}), None) if "offset=0" in url else (200, "[]" if "offset=2" in url and "/odd" in url else json.dumps({"items": [3]}), None)
+
+    resources = spark.createDataFrame([("x", "http://h/x"), ("odd", "http://h/odd")], "resource string, url string")
+    first = paged.read_pages(resources, transport, page_size=2)
+    assert got(first, "resource", "page", "status", "error") == [("odd", 0, 200, None), ("odd", 1, 200, "no JSON object"), ("x", 0, 200, None), ("x", 1, 200, None)]
+    again = paged.read_pages(resources, transport, page_size=2, cached=first.where("error is null"))
+    assert got(paged.account(again, "d", 1), "resource", "requests", "errors", "left") == [("odd", 1, 1, 0), ("x", 0, 0, 1)]
