@@ -16,7 +16,7 @@ from tallyloom.llm.packing import best_fit
 from tallyloom.llm.quality import score_quality
 from tallyloom.llm.toxicity import score_toxicity
 
-#: SQL can't express the trained stages; tests hold run() against a brute-force version.
+#: SQL can't express the trained stages; tests/llm/test_pipeline.py holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
@@ -34,30 +34,47 @@ def _unbundled(df: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the clause grammar predicts to be toxic go."""
+    """Documents that the clause grammar predicts to be toxic go.
+
+    Null and empty texts and rows without an id are scored like others (no clause scores, so they stay); rows that repeat
+    an id are judged each by its text. An empty table gives an empty one.
+    """
     scored = score_toxicity(_bundled(docs), table(spark, sf_dir, "labels"), ("text", "source", "n_chars", OTHERS))
     return _unbundled(scored.where("predicted = 0"), docs)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line field predicts to be bad go."""
+    """Documents that the line field predicts to be bad go.
+
+    Null and empty texts count as one line without features and are judged by its score; rows without an id or with a
+    repeated one are judged each by its text. An empty table gives an empty one.
+    """
     scored = score_quality(_bundled(docs), table(spark, sf_dir, "labels"), ("text", "source", "n_chars", OTHERS))
     return _unbundled(scored.where("predicted = 1"), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest doc_id; of rows that repeat an id, one.
+    """One document of each group of near copies stays, that with the smallest doc_id.
 
-    Rows without an id are in no group and stay.
+    Rows that repeat an id are one document: of those with equal texts one stays (the least in the order of its other
+    columns), and different texts of an id that stays all stay. Null and empty texts and rows without an id are in no
+    group and stay. An empty table gives an empty one.
     """
     kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    row = F.struct(*rest)
+    named = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min_by(row, F.to_json(row)).alias(OTHERS))
+    named = named.select(*(F.col(f"{OTHERS}.{c}").alias(c) if c in rest else F.col(c) for c in docs.columns))
+    return named.unionByName(docs.where("doc_id is null"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document appears once for each time that its source's budget takes it whole, and once more cut to its first
-    words, joined by blanks, where the budget ends within it; a document that the mix doesn't take goes."""
+    words, joined by blanks, where the budget ends within it; a document that the mix doesn't take goes.
+
+    Null and empty texts have no words to take and go; a null source is a source of its own; rows without an id or with a
+    repeated one are documents of their own. n_chars is that of the new text. An empty table gives an empty one.
+    """
     taken = mix(_bundled(docs), ("text", OTHERS)).where("taken > 0")
     size, words = F.col("size"), F.filter(F.split("text", WORD_BREAK), lambda w: w != "")
     whole = taken.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / size).cast("int"))))
@@ -67,7 +84,11 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where every word of the mix lies in the packed training sequences."""
+    """Where every word of the mix lies in the packed training sequences.
+
+    A text without words has a row without a bin; rows that repeat an id or lack one are packed like others. An empty
+    table gives an empty one.
+    """
     return best_fit(docs)
 
 
