@@ -44,11 +44,20 @@ def winners(t: Tables) -> DataFrame:
 
 
 def appearances(t: Tables) -> DataFrame:
-    """AGG-01/JOIN-07: one row per map and team with its heroes and the result: win, loss or, undecided, null."""
-    named = gated(t).join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
-    teams = named.groupBy("l_orderkey", "l_returnflag").agg(F.array_sort(F.collect_set("p_brand")).alias("heroes"))
+    """AGG-01/JOIN-07: one row per map and team with its heroes and the result: win, loss or, undecided, null.
+
+    One exchange of the lines by map serves the override flag, the winner and, but for the join of the heroes' names, the
+    collapse; the winner travels with the rows instead of being joined back.
+    """
+    decided = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderstatus") != "P").alias("decided"))
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus").join(decided, "l_orderkey", "left")
+    best = F.max(F.when(F.col("decided"), F.struct("l_extendedprice", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag"))).over(Window.partitionBy("l_orderkey"))
+    manual = F.max(F.col("l_discount") >= 0.09).over(Window.partitionBy("l_orderkey", "l_linenumber"))
+    rows = lines.withColumns({"winner": best["l_returnflag"], "manual": manual}).where(_APPROVED).where("l_discount >= 0.09 OR NOT coalesce(manual, false)")
+    named = rows.select("l_orderkey", "l_returnflag", "l_partkey", "winner").join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+    teams = named.groupBy("l_orderkey", "l_returnflag").agg(F.array_sort(F.collect_set("p_brand")).alias("heroes"), F.max("winner").alias("winner"))
     result = F.when(F.col("winner").isNull(), None).when(F.col("winner") == F.col("l_returnflag"), "win").otherwise("loss")
-    return teams.join(winners(t), "l_orderkey", "left").withColumn("result", result).drop("winner")
+    return teams.withColumn("result", result).drop("winner")
 
 
 @query("approved_gate", f"WITH {_GATE} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount FROM gate")
