@@ -142,8 +142,8 @@ def span_capped(df: DataFrame, key: str, at: str, gap: float, span: float) -> Da
     return fold_sorted(df.where(F.col(at).isNotNull()), key, [at], [at], lambda own: [own], step, lambda state: [tuple(state)] if state[1:] else [], schema)
 
 
-def absorbed(runs: DataFrame, key: str, value: str, at: str, length: str, least: int) -> DataFrame:
-    """WIN-07: runs in order, those shorter than `least` joined to the one before, and so are equal neighbours."""
+def absorbed(runs: DataFrame, key: str, value: str, at: str, length: str, least: int, order: str) -> DataFrame:
+    """WIN-07: runs in the order of a column, those shorter than `least` joined to the one before, and so are equal neighbours."""
 
     def step(state: list, row: tuple) -> Iterator[tuple]:
         first, v, n = row
@@ -156,4 +156,4 @@ def absorbed(runs: DataFrame, key: str, value: str, at: str, length: str, least:
 
     kinds = {f.name: f.dataType.simpleString() for f in runs.select(key, value, at, length).schema}
     schema = f"{key} {kinds[key]}, value {kinds[value]}, first_at {kinds[at]}, length {kinds[length]}"
-    return fold_sorted(runs, key, [at], [at, value, length], lambda own: [own], step, lambda state: [tuple(state)] if state[1:] else [], schema)
+    return fold_sorted(runs, key, [order], [at, value, length], lambda own: [own], step, lambda state: [tuple(state)] if state[1:] else [], schema)

@@ -95,12 +95,16 @@ def first_increasing_run(t):
     return rows.where("run = 0").groupBy("l_orderkey").agg(F.count("*").alias("length"))
 
 
-@query("absorb_short_runs")  # rows only: a run that is absorbed changes what the next one is compared with
+@query("absorb_short_runs", f"""WITH RECURSIVE {_E}, c AS (SELECT *, event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY t, event_id) AS ch FROM e),
+  i AS (SELECT *, sum(ch::INTEGER) OVER (PARTITION BY user_id ORDER BY t, event_id) AS run FROM c), o AS (SELECT user_id, run, min(event_type) AS v, min(t) AS first_at, count(*) AS n FROM i GROUP BY user_id, run),
+  r AS (SELECT user_id, run, v AS value, first_at, n, 1 AS g FROM o WHERE run = 1
+    UNION ALL SELECT o.user_id, o.run, CASE WHEN o.n < 3 OR o.v = r.value THEN r.value ELSE o.v END, o.first_at, o.n, g + (o.n >= 3 AND o.v <> r.value)::INTEGER FROM r JOIN o ON o.user_id = r.user_id AND o.run = r.run + 1)
+  SELECT user_id, min(value) AS value, min(first_at) AS first_at, sum(n)::BIGINT AS length FROM r GROUP BY user_id, g""")
 def absorb_short_runs(t):
     """WIN-07: runs of fewer than three reads join the run before them."""
 
     runs = seq.run_lengths(_events(t), ["user_id"], ["t", "event_id"], "event_type", "t")
-    return seq.absorbed(runs, "user_id", "event_type", "first_at", "length", 3)
+    return seq.absorbed(runs, "user_id", "event_type", "first_at", "length", 3, "run")
 
 
 @query("bisection_order", """WITH RECURSIVE s(depth, lo, hi) AS (SELECT 0, 0, 64 UNION ALL SELECT depth + 1, CASE WHEN o = 0 THEN lo ELSE (lo + hi) // 2 END, CASE WHEN o = 0 THEN (lo + hi) // 2 ELSE hi END FROM s, (SELECT unnest([0, 1]) AS o) WHERE hi - lo > 2)

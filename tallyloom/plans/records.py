@@ -39,7 +39,7 @@ def json_dig(t):
   SELECT r_name AS name, 1::INTEGER AS line, 'region' AS key, NULL::INTEGER AS item, r_regionkey::VARCHAR AS value, 'integer' AS kind, NULL::VARCHAR AS error FROM region
   UNION ALL SELECT r_name, 2, 'open', NULL, 'yes', 'boolean', NULL FROM region UNION ALL SELECT r_name, 3, 'share', NULL, r_regionkey || '.5', 'number', NULL FROM region
   UNION ALL SELECT r_name, 4, 'note', NULL, r_name || ': # kept', 'string', NULL FROM region UNION ALL SELECT r_name, 5, 'nations', NULL, NULL, 'list', NULL FROM region
-  UNION ALL SELECT r_name, 6 + i, 'nations', i, n_name, 'string', NULL FROM n JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT DISTINCT r_name, 6 + k, NULL, NULL, NULL, NULL, 'indented key' FROM n JOIN region ON r_regionkey = n_regionkey""")
+  UNION ALL SELECT r_name, (6 + i)::INTEGER, 'nations', i::INTEGER, n_name, 'string', NULL FROM n JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT DISTINCT r_name, (6 + k)::INTEGER, NULL, NULL, NULL, NULL, 'indented key' FROM n JOIN region ON r_regionkey = n_regionkey""")
 def flat_yaml(t):
     """SRC-07: a configuration per region: scalars of every kind, a list, and a line that doesn't fit."""
     names = t.nation.groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda n: F.concat(F.lit("  - "), n["n_name"])), "\n").alias("items"))
@@ -58,7 +58,7 @@ def _fixture(url: str) -> tuple[int, str | None, str | None]:
     return 200, json.dumps({"items": [{"id": k * 1000 + i} for i in range(offset, min(7 * k, offset + limit))]}), None
 
 
-@query("paged_source", "SELECT 'r' || n_nationkey AS resource, i AS page, n_nationkey * 1000 + i * 10 + j AS id FROM nation, (SELECT unnest(range(20)) AS i), (SELECT unnest(range(10)) AS j) WHERE i * 10 + j < 7 * n_nationkey AND n_nationkey <> 6")
+@query("paged_source", "SELECT 'r' || n_nationkey AS resource, i::INTEGER AS page, n_nationkey * 1000 + i * 10 + j AS id FROM nation, (SELECT unnest(range(20)) AS i), (SELECT unnest(range(10)) AS j) WHERE i * 10 + j < 7 * n_nationkey AND n_nationkey <> 6")
 def paged_source(t):
     """SRC-10: all pages of every resource through a transport that needs no network."""
     resources = t.nation.select(F.concat(F.lit("r"), F.col("n_nationkey").cast("string")).alias("resource"), F.concat(F.lit("https://api.example/"), F.col("n_nationkey").cast("string")).alias("url"))
@@ -84,3 +84,20 @@ def published_history(t):
     """SNK-07: a coverage count per period and what had come together by then."""
     each = t.orders.groupBy("o_orderpriority", F.year("o_orderdate").cast("string").alias("day")).agg(F.count("*").alias("n"))
     return each.withColumn("so_far", F.sum("n").over(Window.partitionBy("o_orderpriority").orderBy("day")))
+
+
+_ORGANISER = """WITH raw AS (SELECT s_suppkey, s_name, n_name, s_acctbal, s_suppkey % 5 AS k FROM supplier JOIN nation ON n_nationkey = s_nationkey)"""
+
+
+@query("normalise_records", f"""{_ORGANISER} SELECT 'team-' || s_suppkey AS id, CASE WHEN k = 0 THEN 'team-' || s_suppkey ELSE s_name END AS name, CASE WHEN k = 1 THEN 'unknown' ELSE lower(n_name) END AS region, CASE WHEN k = 2 THEN 0 ELSE 5 END::INTEGER AS players, CASE k WHEN 3 THEN 'finished' WHEN 4 THEN 'ongoing' ELSE 'unknown' END AS status FROM raw""")
+def normalise_records(t):
+    """PRJ-04: raw team records, in which any field may be missing or of another shape, as normalised rows."""
+    raw = t.supplier.join(t.nation, F.col("n_nationkey") == F.col("s_nationkey"))
+    k = F.col("s_suppkey") % 5
+    roster = F.when(k != 2, F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: F.struct(i.alias("nickname"))))
+    doc = F.to_json(F.struct(F.concat(F.lit("team-"), F.col("s_suppkey").cast("string")).alias("team_id"), F.when(k != 0, F.col("s_name")).alias("name"), F.struct(F.when(k != 1, F.col("n_name")).alias("region")).alias("profile"), roster.alias("roster"), F.when(k == 3, "FINISHED").when(k == 4, "ongoing").alias("status")))
+    parsed = raw.select(F.from_json(doc, "team_id string, name string, profile struct<region: string>, roster array<struct<nickname: string>>, status string").alias("r"))
+    return parsed.select(
+        F.col("r.team_id").alias("id"), F.coalesce("r.name", "r.team_id").alias("name"), F.coalesce(F.lower("r.profile.region"), F.lit("unknown")).alias("region"),
+        F.coalesce(F.size("r.roster"), F.lit(0)).alias("players"), F.coalesce(F.lower("r.status"), F.lit("unknown")).alias("status"),
+    )

@@ -189,7 +189,10 @@ def tolerant_runs(t):
     return marked.groupBy("user_id", "island").agg((F.min("t") - 300).alias("start"), (F.max("t") + 300).alias("stop"), F.count("*").alias("n")).drop("island")
 
 
-@query("monotone_accept")  # rows only: what was accepted before decides
+@query("monotone_accept", f"""WITH RECURSIVE {_E}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM e),
+  r AS (SELECT user_id, n, event_id, value, t, value AS high, t AS late, true AS ok FROM o WHERE n = 1
+    UNION ALL SELECT o.user_id, o.n, o.event_id, o.value, o.t, CASE WHEN o.value >= high AND o.t >= late THEN o.value ELSE high END, CASE WHEN o.value >= high AND o.t >= late THEN o.t ELSE late END, o.value >= high AND o.t >= late
+    FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1) SELECT user_id, event_id, value, t::DOUBLE AS t FROM r WHERE ok""")
 def monotone_accept(t):
     e = _events(t).select("user_id", "event_id", "value", F.col("t").cast("double").alias("t"))
     return seq.monotone(e, "user_id", "event_id", ("value", "t"))
@@ -236,7 +239,10 @@ def step_runs(t):
     return d.withColumn("g", g).groupBy("l_orderkey", "g").agg(F.min("l_linenumber").alias("first_at"), F.max("l_linenumber").alias("last_at")).drop("g")
 
 
-@query("span_capped_batches")  # rows only: each batch's start depends on where the last one ended
+@query("span_capped_batches", f"""WITH RECURSIVE {_E}, o AS (SELECT user_id, t, row_number() OVER (PARTITION BY user_id ORDER BY t) AS n FROM e),
+  r AS (SELECT user_id, n, t, t AS start, 1 AS batch FROM o WHERE n = 1
+    UNION ALL SELECT o.user_id, o.n, o.t, CASE WHEN o.t - r.t > 21600 OR o.t - start > 86400 THEN o.t ELSE start END, batch + (o.t - r.t > 21600 OR o.t - start > 86400)::INTEGER FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1)
+  SELECT user_id, min(t) AS first_at, max(t) AS last_at, count(*)::BIGINT AS n FROM r GROUP BY user_id, batch""")
 def span_capped_batches(t):
     return seq.span_capped(_events(t), "user_id", "t", 21600, 86400)
 

@@ -56,10 +56,22 @@ def clean_titles(t):
     return t.customer.select("c_custkey", sc.clean_title(F.concat(F.lit("[NEW] (x) "), "c_name", F.lit(" #tag |"))).alias("title"))
 
 
-@query("parse_title_fields", r"SELECT p_partkey, nullif(regexp_extract(lower('Stage 2 Week ' || p_size || ' Day-3'), 'week[ -]?([0-9]{1,2})', 1), '')::INTEGER AS week, 3 AS day, NULL::INTEGER AS phase FROM part")
+_TITLE = "CASE p_partkey % 4 WHEN 0 THEN 'Stage ' || (p_size % 4) || ' Week ' || p_size || ' Day-3' WHEN 1 THEN p_name || ' [DAY ' || p_size || '] ' || p_type WHEN 2 THEN 'week' || (p_partkey % 53) || ' / ' || p_brand ELSE p_name || ' weekly ' || p_brand END"
+_FIELD = "nullif(regexp_extract(lower({t}), '{w}[ -]?([0-9]{{1,2}})', 1), '')::INTEGER"
+
+
+@query("parse_title_fields", f"SELECT p_partkey, {', '.join(_FIELD.format(t=_TITLE, w=w) + f' AS {w}' for w in ('stage', 'week', 'day'))} FROM part")
 def parse_title_fields(t):
-    title = F.concat(F.lit("Stage 2 Week "), F.col("p_size").cast("string"), F.lit(" Day-3"))
-    return t.part.select("p_partkey", sc.title_number(title, "week").alias("week"), sc.title_number(title, "day").alias("day"), sc.title_number(title, "phase").alias("phase"))
+    """STR-05: stage, week and day wherever they stand in a title, null where they don't."""
+    text = lambda c: F.col(c).cast("string")
+    kind = F.col("p_partkey") % 4
+    title = (
+        F.when(kind == 0, F.concat(F.lit("Stage "), (F.col("p_size") % 4).cast("string"), F.lit(" Week "), text("p_size"), F.lit(" Day-3")))
+        .when(kind == 1, F.concat("p_name", F.lit(" [DAY "), text("p_size"), F.lit("] "), "p_type"))
+        .when(kind == 2, F.concat(F.lit("week"), (F.col("p_partkey") % 53).cast("string"), F.lit(" / "), "p_brand"))
+        .otherwise(F.concat("p_name", F.lit(" weekly "), "p_brand"))
+    )
+    return t.part.select("p_partkey", *(sc.title_number(title, w).alias(w) for w in ("stage", "week", "day")))
 
 
 @query("split_rejoin", "SELECT n_nationkey, array_to_string(list_transform(string_split(n_name || ' | ' || n_regionkey, '|'), lambda x: trim(x)), ' — ') AS joined FROM nation")
@@ -318,9 +330,19 @@ def search_substring_rank(t):
     return t.documents.select("doc_id", F.instr(F.lower("text"), F.lit("license")).alias("pos")).where("pos > 0").orderBy("pos", "doc_id").limit(14)
 
 
-@query("search_fuzzy_topk", "SELECT p_partkey, levenshtein(lower(p_name), 'part 100')::INTEGER AS d FROM part ORDER BY d, p_partkey LIMIT 14")
+_INDEX = """i AS (SELECT 'part' AS kind, p_partkey AS id, lower(p_name) AS title, lower(p_type) AS tags, lower(p_brand) AS extra FROM part UNION ALL SELECT 'supplier', s_suppkey, lower(s_name), lower(n_name), '' FROM supplier JOIN nation ON n_nationkey = s_nationkey
+  UNION ALL SELECT 'customer', c_custkey, lower(c_name), lower(c_mktsegment), '' FROM customer)"""
+
+
+@query("search_fuzzy_topk", f"""WITH {_INDEX}, s AS (SELECT kind, id, 3 * levenshtein(title, 'part 100') + 2 * levenshtein(tags, 'promo') + CASE WHEN contains(extra, '1') THEN 0 ELSE 2 END AS distance FROM i)
+  SELECT kind, id, distance::INTEGER AS distance FROM s ORDER BY distance, kind, id LIMIT 14""")
 def search_fuzzy_topk(t):
-    return t.part.select("p_partkey", F.levenshtein(F.lower("p_name"), F.lit("part 100")).alias("d")).orderBy("d", "p_partkey").limit(14)
+    """ER-11: one ranking over entries of several kinds, their fields weighing three, two and one; the best 14."""
+    entry = lambda df, kind, key, title, tags, extra: df.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), F.lower(title).alias("title"), F.lower(tags).alias("tags"), F.lower(extra).alias("extra"))
+    suppliers = t.supplier.join(t.nation, F.col("n_nationkey") == F.col("s_nationkey"))
+    index = entry(t.part, "part", "p_partkey", "p_name", "p_type", "p_brand").unionByName(entry(suppliers, "supplier", "s_suppkey", "s_name", "n_name", F.lit(""))).unionByName(entry(t.customer, "customer", "c_custkey", "c_name", "c_mktsegment", F.lit("")))
+    distance = 3 * F.levenshtein("title", F.lit("part 100")) + 2 * F.levenshtein("tags", F.lit("promo")) + F.when(F.contains("extra", F.lit("1")), 0).otherwise(2)
+    return index.select("kind", "id", distance.alias("distance")).orderBy("distance", "kind", "id").limit(14)
 
 
 @query("unmatched_candidates", r"SELECT word, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark) WHERE word NOT IN (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) FROM conversations) GROUP BY 1")
@@ -391,12 +413,24 @@ def benchmark_contamination(t):
     return grams(t.documents, "doc_id").join(known, "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
 
 
-@query("leader_cluster")  # rows only: a row's cluster depends on all before it; tests hold it against a plain version
+@query("leader_cluster", """WITH RECURSIVE o AS (SELECT label, vec_id, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings),
+  r AS (SELECT label, n, vec_id, vec_id AS leader, [{'id': vec_id, 'v': v}] AS led FROM o WHERE n = 1
+    UNION ALL SELECT label, n, vec_id, coalesce(hit, vec_id), CASE WHEN hit IS NULL THEN list_append(led, {'id': vec_id, 'v': v}) ELSE led END
+    FROM (SELECT o.label, o.n, o.vec_id, o.v, r.led, list_filter(r.led, lambda x: list_inner_product(x.v, o.v) >= 0.3)[1].id AS hit FROM r JOIN o ON o.label = r.label AND o.n = r.n + 1)) SELECT vec_id, leader FROM r""")
 def leader_cluster(t):
     return vectors.leaders(_vectors(t), 0.3).select(F.col("id").alias("vec_id"), "leader")
 
 
-@query("diverse_pick")  # rows only: each pick depends on those before it; tests hold it against a plain version
+def _picks_sql(picks: int) -> str:
+    """Each pick's distances and choice as one more pair of tables."""
+    parts = ["d1 AS (SELECT label, vec_id, embedding::DOUBLE[] AS v, 'inf'::DOUBLE AS far FROM embeddings)", "p1 AS (SELECT label, min(vec_id) AS vec_id, arg_min(v, vec_id) AS v FROM d1 GROUP BY label)"]
+    for k in range(2, picks + 1):
+        parts.append(f"d{k} AS (SELECT d.label, d.vec_id, d.v, least(far, round(list_sum(list_transform(range(1, len(d.v) + 1), lambda i: (d.v[i] - p.v[i]) ** 2)), 9)) AS far FROM d{k - 1} d JOIN p{k - 1} p USING (label))")
+        parts.append(f"p{k} AS (SELECT label, arg_max(vec_id, (far, -vec_id)) AS vec_id, arg_max(v, (far, -vec_id)) AS v FROM d{k} GROUP BY label)")
+    return f"WITH {', '.join(parts)} " + " UNION ALL ".join(f"SELECT label, vec_id, {k}::INTEGER AS rank FROM p{k}" for k in range(1, picks + 1))
+
+
+@query("diverse_pick", _picks_sql(5))
 def diverse_pick(t):
     return vectors.farthest_first(_vectors(t), 5).select("label", F.col("id").alias("vec_id"), "rank")
 

@@ -157,7 +157,12 @@ def segment_edits(t):
     return workflow.edited(segments, edits.where("action != 'none'"))
 
 
-@query("lease_log")  # rows only: who holds a lease decides what is granted; tests hold it against a plain version
+@query("lease_log", """WITH RECURSIVE q AS (SELECT 'r' || (user_id % 40) AS resource, epoch_us(ts) / 1e6 AS "at", 'w' || (event_id % 3) AS worker, CASE event_type WHEN 'purchase' THEN 'heartbeat' WHEN 'signup' THEN 'release' WHEN 'error' THEN 'reap' ELSE 'acquire' END AS action FROM events),
+  o AS (SELECT *, row_number() OVER (PARTITION BY resource ORDER BY "at", worker, action) AS n FROM q),
+  r AS (SELECT resource, 0::BIGINT AS n, NULL::DOUBLE AS "at", NULL::VARCHAR AS worker, NULL::VARCHAR AS action, false AS granted, NULL::VARCHAR AS holder, NULL::DOUBLE AS expires FROM (SELECT DISTINCT resource FROM o)
+    UNION ALL SELECT resource, n, "at", worker, action, ok, CASE WHEN NOT ok THEN holder WHEN action IN ('acquire', 'heartbeat') THEN worker END, CASE WHEN NOT ok THEN expires WHEN action IN ('acquire', 'heartbeat') THEN "at" + 7200 END FROM (
+      SELECT o.resource, o.n, o."at", o.worker, o.action, r.holder, r.expires, CASE o.action WHEN 'acquire' THEN r.holder IS NULL OR r.holder = o.worker OR r.expires <= o."at" WHEN 'reap' THEN coalesce(r.expires <= o."at", false) ELSE coalesce(r.holder = o.worker, false) END AS ok
+      FROM r JOIN o ON o.resource = r.resource AND o.n = r.n + 1)) SELECT resource, "at", worker, action, granted, holder, expires FROM r WHERE n > 0""")
 def lease_log(t):
     """WF-05: events as requests of 12 workers for the leases of their users."""
     kind = F.create_map(*map(F.lit, ("view", "acquire", "click", "acquire", "purchase", "heartbeat", "signup", "release", "error", "reap")))
@@ -182,7 +187,8 @@ def prune_keep_newest_n(t):
     return sinks.prune_keep_newest(t.orders, ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")], 5).select("o_orderkey")
 
 
-@query("nested_payload_json")  # rows only: one document
+@query("nested_payload_json", """SELECT to_json({'regions': (SELECT list({'r_regionkey': r_regionkey, 'r_name': r_name} ORDER BY r_regionkey) FROM region),
+  'nations': (SELECT list({'n_nationkey': n_nationkey, 'n_name': n_name, 'n_regionkey': n_regionkey} ORDER BY n_nationkey) FROM nation)})::VARCHAR AS payload""")
 def nested_payload_json(t):
     return sinks.payload({"regions": t.region, "nations": t.nation}, {"regions": ["r_regionkey"], "nations": ["n_nationkey"]})
 
