@@ -66,7 +66,7 @@ def _index(spark: SparkSession, templates: dict[str, str], threshold: float) ->
         grams = bigrams_of(text)
         rows += [(name, gram, n, len(grams), len(grams) * threshold / (2 - threshold)) for gram, n in sorted(Counter(grams).items())]
     index = spark.createDataFrame(rows, "name string, gram string, most int, grams int, least double")
-    index = index.withColumn("gram", F.xxhash64(F.substring_index("gram", " ", 1), F.substring_index("gram", " ", -1)))
+    index = index.withColumn("gram", F.xxhash64(F.xxhash64(F.substring_index("gram", " ", 1)), F.xxhash64(F.substring_index("gram", " ", -1))))
     return F.broadcast(index) if len(rows) <= INDEX_ROWS else index
 
 
@@ -104,8 +104,8 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates: dict
     text = F.col("text").cast("string")
     # Rows are known by two hashes of id and text; rows that are wholly alike have one result.
     keyed = docs.select("doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("k"), F.xxhash64(F.lit(1), text, "doc_id").alias("l"))
-    words = keyed.where("text is not null").select("k", "l", _words(F.col("text")).alias("w"))
-    pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.xxhash64(F.lower(a), F.lower(b)))
+    words = keyed.where("text is not null").select("k", "l", F.transform(_words(F.col("text")), lambda w: F.xxhash64(F.lower(w))).alias("w"))
+    pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.xxhash64(a, b))
     grams = words.where(F.size("w") > 1).select("k", "l", F.size("w").alias("words"), F.posexplode(pairs).alias("at", "gram"))
     hits = grams.join(_index(spark, templates, threshold), "gram")
     places = hits.groupBy("k", "l", "words", "name", "gram", "most", "grams", "least").agg(F.sort_array(F.collect_set("at")).alias("at"))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm._common import table, written
+from tallyloom.llm._common import drop_written, table, written
 from tallyloom.llm._text import U, mix, shingle_sets
 from tallyloom.llm.components import components
 
@@ -154,8 +154,8 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield tail.assign(kind="edge", other=None)
 
 
-def _forest(classes: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a, b) and the members (region, id) of regions of three or more."""
+def _forest(classes: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Candidate pairs (a, b) and the members (region, id) of regions of three or more, and the written table of both."""
     rows = classes.select("id", "signature").mapInPandas(_plant, "region long, further binary, id long")
     ordered = rows.repartitionByRange(tasks, "region", "further", "id").sortWithinPartitions("region", "further", "id")
     found = written(ordered.mapInPandas(_walk, _FOUND), "forest")
@@ -165,7 +165,7 @@ def _forest(classes: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame]:
     all_found = found.where("kind != 'edge'").unionByName(cut.where("kind != 'edge'"))
     pairs = all_found.where("kind = 'pair'").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
     members = all_found.where("kind = 'member'").select("region", "id").distinct()
-    return pairs, members
+    return pairs, members, found
 
 
 def _score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -391,7 +391,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     whole = all_docs.where("n_shingles > 0 and doc_id is not null")
     by_set = whole.groupBy("n_shingles", "low", "high").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"))
     classes = written(by_set, "classes")
-    candidates, members = _forest(classes, tasks)
+    candidates, members, forest = _forest(classes, tasks)
     scored = written(_with_signs(candidates, classes), "candidates")
     members = written(members, "members")
 
@@ -418,9 +418,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     sizes = parted.groupBy("region", "component").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("region").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("largest")).where("parts > 1")
     mixed_rows = parted.join(mixed.select("region", "n", "most", "largest"), "region").join(sets.select("id", "fine", F.col("packed").alias("members")), "id")
-    across = _across(written(mixed_rows, "mixed"), tasks, percent)
-    more = _confirmed(written(open_pairs.unionByName(across).distinct(), "across"), sets, percent)
+    meeting = written(mixed_rows, "mixed")
+    across = written(open_pairs.unionByName(_across(meeting, tasks, percent)).distinct(), "across")
+    more = _confirmed(across, sets, percent)
     final = written(components(links.unionByName(more).unionByName(given)), "components")
+    for done in (forest, scored, members, needed, sets, links, parts, meeting, across):
+        drop_written(done)
 
     out = all_docs.select("doc_id", "n_shingles", "low", "high")
     # Equal sets meet in their class, then classes in their component; both tables have one row per key.

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm._common import held_out, table, training_labels, written
+from tallyloom.llm._common import drop_written, held_out, table, training_labels, written
 from tallyloom.llm._text import U, _hash_buffer, mix
 
 #: Labelled documents that are trained on at most, each with all its lines; score from which a text is good.
@@ -285,7 +285,9 @@ def learned(docs: DataFrame, labels: DataFrame) -> tuple[ChainField | None, np.n
     chosen = F.broadcast(training_labels(labels, "quality", TRAIN_DOCS))  # at most TRAIN_DOCS rows of two numbers
     # Of rows that repeat an id the least text is trained on, in the order of the ids, so that reruns agree.
     known = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
-    rows = written(known.mapInPandas(_collect_features, "doc_id long, y int, x binary, length binary"), "lines").toPandas().sort_values("doc_id")
+    lines = written(known.mapInPandas(_collect_features, "doc_id long, y int, x binary, length binary"), "lines")
+    rows = lines.toPandas().sort_values("doc_id")
+    drop_written(lines)
     y = rows["y"].to_numpy()
     if len(set(y.tolist())) < 2:
         return None, np.array([_logit(np.array((y.sum() + 0.5) / (len(y) + 1.0)))])

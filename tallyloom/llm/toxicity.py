@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm._common import held_out, table, training_labels, written
+from tallyloom.llm._common import drop_written, held_out, table, training_labels, written
 from tallyloom.llm._text import _BASE, _LOWER, PIECE, U, _power, mix, shingle_set
 from tallyloom.llm.quality import logistic
 
@@ -318,6 +318,7 @@ def learned(docs: DataFrame, labels: DataFrame) -> tuple[Grammar, np.ndarray]:
     best = counts.where(F.col("toxic") >= max(LEAST_DOCS, n1 / 100)).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS).orderBy(F.desc(F.col("odds") * F.col("toxic")), "stem").limit(LEXICON).collect()
     grammar = Grammar(np.array([r["stem"] for r in best], np.int64).astype(np.uint64), np.array([r["odds"] for r in best], float))
     rows = sample.mapInPandas(_feature_rows(grammar), "doc_id long, y int, x0 double, x1 double, x2 double, x3 double, x4 double, x5 double").toPandas().sort_values("doc_id")
+    drop_written(sample)
     x = rows[[f"x{k}" for k in range(6)]].to_numpy()
     return grammar, logistic(x, rows["y"].to_numpy(float), decay=0.3)
 
