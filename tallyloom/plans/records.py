@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.plans.registry import query
 from tallyloom.sources import nested, paged
+from tallyloom.sources.tables import list_files, parse_feed, parse_lines
 
 
 def _nested_customers(t):
@@ -101,3 +102,26 @@ def normalise_records(t):
         F.col("r.team_id").alias("id"), F.coalesce("r.name", "r.team_id").alias("name"), F.coalesce(F.lower("r.profile.region"), F.lit("unknown")).alias("region"),
         F.coalesce(F.size("r.roster"), F.lit(0)).alias("players"), F.coalesce(F.lower("r.status"), F.lit("unknown")).alias("status"),
     )
+
+
+@query("jsonl_scan", """SELECT c_custkey, i::INTEGER AS line, (c_custkey * 10 + i)::DOUBLE / 2 AS t, CASE WHEN i = 0 THEN c_mktsegment END AS hero FROM customer, (SELECT unnest([0, 3]) AS i)""")
+def jsonl_scan(t):
+    """SRC-05: a log per customer of an observation, a broken one, a blank line and one with a field missing."""
+    k = F.col("c_custkey") * 10
+    log = F.concat(F.lit('{"t": '), (k / 2).cast("string"), F.lit(', "hero": "'), "c_mktsegment", F.lit('"}\n{"t": 1, "hero"\n  \n{"t": '), ((k + 3) / 2).cast("string"), F.lit("}\n"))
+    return parse_lines(t.customer.withColumn("log", log), "c_custkey", "log", "t double, hero string")
+
+
+@query("feed_entries", "SELECT n_regionkey AS region, n_nationkey AS id, n_name AS title FROM nation WHERE n_regionkey <> 3")
+def feed_entries(t):
+    """SRC-09: a feed per region; one that isn't XML has no entries."""
+    entry = F.concat(F.lit("<entry><id>"), F.col("n_nationkey").cast("string"), F.lit("</id><title>"), "n_name", F.lit("</title></entry>"))
+    feeds = t.nation.groupBy(F.col("n_regionkey").alias("region")).agg(F.array_join(F.collect_list(entry), "").alias("entries"))
+    feed = F.when(F.col("region") == 3, "<feed><entry>").otherwise(F.concat(F.lit("<feed>"), "entries", F.lit("</feed>")))
+    return parse_feed(feeds.withColumn("feed", feed), "region", "feed", "id: int, title: string")
+
+
+@query("folder_listing")  # rows only: SQL has no folder to list
+def folder_listing(t):
+    """SRC-13: the table files of the folder by name, without their contents."""
+    return list_files(t.spark, t.folder, "*.parquet").select(F.regexp_extract("path", r"([^/]+)\.parquet", 1).alias("name"), (F.col("length") > 0).alias("full")).distinct()

@@ -41,6 +41,19 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def parse_lines(df: DataFrame, key: str, text: str, schema: str) -> DataFrame:
+    """SRC-05: `key`, line and the fields of each line of a text of one JSON object per line; blank and broken lines give no row."""
+    lines = df.select(key, F.posexplode(F.split(text, "\r?\n")).alias("line", "raw")).where(F.trim("raw") != "")
+    good = lines.where(F.try_parse_json("raw").isNotNull())
+    return good.select(key, "line", F.from_json("raw", schema).alias("r")).select(key, "line", "r.*")
+
+
+def parse_feed(df: DataFrame, key: str, text: str, schema: str) -> DataFrame:
+    """SRC-09: `key` and the fields of each entry of a feed held as text; a feed that isn't XML gives no row."""
+    entries = F.from_xml(F.col(text), f"entry array<struct<{schema}>>", {"mode": "PERMISSIVE"})["entry"]
+    return df.select(key, F.explode(entries).alias("e")).select(key, "e.*")
+
+
 def unwrap_js(text: Column) -> Column:
     """SRC-06: the object between the first and the last brace of a script that assigns it."""
     return F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
