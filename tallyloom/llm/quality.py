@@ -13,14 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm._common import drop_written, held_out, table, training_labels, written
 from tallyloom.llm._text import U, _hash_buffer, mix
 
-#: Labelled documents that are trained on at most, each with all its lines; score from which a text is good.
-TRAIN_DOCS, GOOD = 4_000, 0.3
+#: Labelled documents that are trained on at most, each with all its lines, and lines of them after which no further document
+#: is taken (some 150 MB on the driver); score from which a text is good.
+TRAIN_DOCS, TRAIN_LINES, GOOD = 4_000, 1_000_000, 0.3
 #: Lines, padding included, of the chains that a step of training holds at once; a longer chain alone.
 _SLOTS = 1 << 17
 #: Bytes of text that are described at once.
@@ -261,8 +262,8 @@ def _collect_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
     for pdf in batches:
         rows = []
         for (x, length), y in zip(line_features(list(pdf["text"])), pdf["y"], strict=True):
-            rows.append((int(y), x.astype(np.float32).tobytes(), length.astype(np.float32).tobytes()))
-        yield pd.DataFrame(rows, columns=["y", "x", "length"]).assign(doc_id=pdf["doc_id"].to_numpy())[["doc_id", "y", "x", "length"]]
+            rows.append((int(y), len(x), x.astype(np.float32).tobytes(), length.astype(np.float32).tobytes()))
+        yield pd.DataFrame(rows, columns=["y", "n", "x", "length"]).assign(doc_id=pdf["doc_id"].to_numpy())[["doc_id", "y", "n", "x", "length"]]
 
 
 def _scorer(model: ChainField | None, curve: np.ndarray):
@@ -281,12 +282,15 @@ def _scorer(model: ChainField | None, curve: np.ndarray):
 
 
 def learned(docs: DataFrame, labels: DataFrame) -> tuple[ChainField | None, np.ndarray]:
-    """The field and the curve from all lines of at most TRAIN_DOCS labelled documents that aren't held out."""
+    """The field and the curve from all lines of at most TRAIN_DOCS labelled documents that aren't held out (see TRAIN_LINES)."""
     chosen = F.broadcast(training_labels(labels, "quality", TRAIN_DOCS))  # at most TRAIN_DOCS rows of two numbers
     # Of rows that repeat an id the least text is trained on, in the order of the ids, so that reruns agree.
     known = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
-    lines = written(known.mapInPandas(_collect_features, "doc_id long, y int, x binary, length binary"), "lines")
-    rows = lines.toPandas().sort_values("doc_id")
+    lines = written(known.mapInPandas(_collect_features, "doc_id long, y int, n long, x binary, length binary"), "lines")
+    # Whole documents in the order in which they were chosen, at most TRAIN_DOCS rows of two numbers, until there are enough lines.
+    before = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    taken = lines.select("doc_id", "n").withColumn("before", before).where(F.coalesce("before", F.lit(0)) < TRAIN_LINES).select("doc_id")
+    rows = lines.join(taken, "doc_id", "left_semi").toPandas().sort_values("doc_id")
     drop_written(lines)
     y = rows["y"].to_numpy()
     if len(set(y.tolist())) < 2:
@@ -301,7 +305,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()
     """doc_id, held_out, score and predicted of every row of docs (doc_id, text), with the columns `keep`.
 
     Trains on all lines of at most TRAIN_DOCS documents that labels (doc_id, quality) has a label for and whose id isn't
-    held out, the first in the order of a hash; repeated labels of an id count as their maximum, repeated rows as their
+    held out, the first in the order of a hash until they have TRAIN_LINES lines; repeated labels of an id count as their maximum, repeated rows as their
     least text. Scores every whole text, also null and empty ones, which are one line without features; rows that repeat
     an id are scored each by its text, a row without one as any other. Without labels of both classes the score is the
     share of good ones, 0.5 with none. An empty table gives an empty result.

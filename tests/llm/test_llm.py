@@ -190,6 +190,22 @@ def test_nearest_with_hundreds_of_lists_a_hot_vector_and_several_sizes(spark, mo
     assert got[got.query_id == 4000][["rank", "vec_id", "score"]].values.tolist() == [[1, 4020, 4.0]]
 
 
+def test_recall_of_the_query_on_the_driver_table(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST_ROWS", 8)  # some sixty lists of the 500 vectors
+    got = ann.op7_posting_lists(spark, DATA).toPandas()
+    e = spark.read.parquet(f"{DATA}/embeddings.parquet").toPandas().sort_values("vec_id")
+    x, ids = np.stack(e.embedding.to_list()).astype(float), e.vec_id.to_numpy()
+    hits = asked = 0
+    for i in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[i]
+        s[i] = -np.inf
+        want = ids[np.lexsort((ids, -s))[:20]]
+        own = got[got.query_id == ids[i]]
+        assert np.allclose(own.score, s[np.searchsorted(ids, own.vec_id)])
+        hits, asked = hits + len(set(own.vec_id) & set(want)), asked + 20
+    assert asked == 500 and hits / asked >= 0.9
+
+
 def test_every_centroid_is_reached_through_the_graph():
     rng = np.random.default_rng(0)
     g = ann.Graph(rng.normal(size=(500, 6)))
@@ -553,6 +569,19 @@ def test_all_members_of_a_crowded_region_meet(spark, monkeypatch):
     assert {(min(r), max(r)) for r in got} == {(i, 2999 - i) for i in range(60)}
 
 
+def test_training_takes_whole_documents_until_there_are_enough_lines(spark, monkeypatch):
+    d = docs(spark, [f"line {i}\n" * (40 if i == 3 else 2) + "x###" * (i % 2) for i in range(60)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    seen = []
+    fit = quality.ChainField.fit
+    monkeypatch.setattr(quality.ChainField, "fit", lambda self, own, y: seen.append([len(x) for x in own]) or fit(self, own, y))
+    for most in (1_000_000, 30):
+        monkeypatch.setattr(quality, "TRAIN_LINES", most)
+        quality.learned(d, labels)
+    whole, part = seen
+    assert sum(whole) > 100 and 30 <= sum(part) < 30 + 41 and not set(part) - set(whole)
+
+
 def test_quality_trains_on_all_lines_of_long_texts(spark):
     """Bad texts have junk in their heads and tails only; their middle 80 lines are as clean as those of good ones."""
     rng = random.Random(5)
