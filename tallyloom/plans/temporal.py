@@ -124,14 +124,51 @@ def longest_run(t):
     return seq.run_lengths(_events(t), ["user_id"], ["t", "event_id"], "event_type", "t").groupBy("user_id").agg(F.max("length").alias("longest"))
 
 
-@query("stint_events")  # rows only: a state machine that SQL can't carry; tests hold it against a plain one
+def _row(kind: str, run: str, other: str, reason: str) -> str:
+    return f"{{'kind': {kind}, 'value': {run}.v, 'other': {other}, 't': {run}.a, 'stop': {run}.b, 'reads': {run}.n, 'mean': {run}.s / {run}.n, 'least': {run}.l, 'margin': {run}.m / {run}.n, 'reason': {reason}}}"
+
+
+#: The state machine row by row: h is what is held, k0 the rival before a read and k1 after it.
+_STINTS = f"""WITH RECURSIVE {_E}, o AS (SELECT user_id, t / 8640::DOUBLE AS t, event_type AS v, value / 100 AS s, abs(value - 50) / 100 AS m, row_number() OVER (PARTITION BY user_id ORDER BY t, event_type, value) AS n, count(*) OVER (PARTITION BY user_id) AS n_all FROM e),
+  r AS (
+    SELECT DISTINCT user_id, 0::BIGINT AS n, n_all, NULL::STRUCT(v VARCHAR, a DOUBLE, b DOUBLE, n BIGINT, s DOUBLE, l DOUBLE, m DOUBLE) AS h, NULL::STRUCT(v VARCHAR, a DOUBLE, b DOUBLE, n BIGINT, s DOUBLE, l DOUBLE, m DOUBLE) AS k,
+      []::STRUCT(kind VARCHAR, "value" VARCHAR, other VARCHAR, t DOUBLE, stop DOUBLE, reads BIGINT, mean DOUBLE, least DOUBLE, margin DOUBLE, reason VARCHAR)[] AS outs FROM o
+    UNION ALL
+    SELECT user_id, n, n_all, CASE WHEN same THEN {{'v': h.v, 'a': h.a, 'b': t, 'n': h.n + 1, 's': h.s + s, 'l': least(h.l, s), 'm': h.m + m}} WHEN doubt = 'ok' THEN k1 ELSE h END,
+      CASE WHEN same OR doubt = 'ok' OR lasting THEN NULL ELSE k1 END,
+      list_filter([CASE WHEN same AND k0 IS NOT NULL THEN {_row("'rejected-swap'", "k0", "h.v", "'returned'")} END, CASE WHEN NOT same AND h IS NOT NULL AND k0.v <> v THEN {_row("'rejected-swap'", "k0", "h.v", "'interrupted'")} END,
+        CASE WHEN doubt = 'ok' AND h IS NOT NULL THEN {_row("'stint'", "h", "NULL", "NULL")} END, CASE WHEN doubt = 'ok' AND h IS NOT NULL THEN {_row("'swap'", "k1", "h.v", "NULL")} END, CASE WHEN lasting THEN {_row("'rejected-swap'", "k1", "h.v", "doubt")} END], lambda x: x IS NOT NULL)
+    FROM (SELECT *, coalesce(h IS NOT NULL AND doubt <> 'ok' AND k1.n >= 5 AND k1.b - k1.a > 3, false) AS lasting FROM (
+      SELECT *, CASE WHEN k1 IS NULL THEN NULL WHEN NOT strong AND k1.n < 3 THEN 'few-reads' WHEN NOT strong AND k1.b - k1.a < 3 THEN 'short-span' WHEN k1.m / k1.n < 0.05 THEN 'small-margin' ELSE 'ok' END AS doubt FROM (
+        SELECT *, coalesce(k1.n >= 2 AND k1.b - k1.a >= 2 AND k1.l >= 0.8, false) AS strong FROM (
+          SELECT *, CASE WHEN same THEN NULL WHEN k0 IS NULL OR k0.v <> v OR (h IS NOT NULL AND t - k0.b > 20) THEN {{'v': v, 'a': t, 'b': t, 'n': 1::BIGINT, 's': s, 'l': s, 'm': m}}
+            ELSE {{'v': v, 'a': k0.a, 'b': t, 'n': k0.n + 1, 's': k0.s + s, 'l': least(k0.l, s), 'm': k0.m + m}} END AS k1 FROM (
+            SELECT o.*, r.h, r.k AS k0, coalesce(r.h.v = o.v, false) AS same FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1)))))),
+  x AS (SELECT user_id, unnest(outs) AS x FROM r
+    UNION ALL SELECT user_id, CASE WHEN h IS NOT NULL THEN {_row("'rejected-swap'", "k", "h.v", "'unresolved'")} ELSE {_row("'unestablished'", "k", "NULL", "'few-reads'")} END FROM r WHERE n = n_all AND k IS NOT NULL
+    UNION ALL SELECT user_id, {_row("'stint'", "h", "NULL", "NULL")} FROM r WHERE n = n_all AND h IS NOT NULL)
+  SELECT user_id, x.kind, x."value", x.other, round(x.t, 6) AS t, round(x.stop, 6) AS "end", x.reads, round(x.mean, 6) AS mean, round(x.least, 6) AS least, round(x.margin, 6) AS margin, x.reason FROM x"""
+
+
+@query("stint_events", _STINTS)
 def stint_events(t):
     """WIN-06: what each user holds, with every confirmed and rejected change; a day counts as ten seconds."""
     e = _events(t).select("user_id", (F.col("t") / 8640.0).alias("t"), F.col("event_type").alias("value"), (F.col("value") / 100).alias("score"), (F.abs(F.col("value") - 50) / 100).alias("margin"), F.create_map("event_type", F.col("value") / 100).alias("scores"))
-    return stints.stints(e, "user_id")
-
-
-@query("emblem_rounds")  # rows only: an emblem's number depends on all before it
+    found = stints.stints(e, "user_id")
+    return found.withColumns({c: F.round(c, 6) for c in ("t", "end", "mean", "least", "margin")})
+
+
+@query("emblem_rounds", f"""WITH RECURSIVE {_E}, a AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS n FROM e),
+  f AS (SELECT user_id, n, n * 5::DOUBLE AS t, first_value(event_type) OVER (PARTITION BY user_id, n * 5 // 60 ORDER BY n) AS kind FROM a),
+  c AS (SELECT user_id, n, t, dense_rank() OVER (PARTITION BY user_id ORDER BY born) AS id FROM (SELECT *, min(n) OVER (PARTITION BY user_id, kind) AS born FROM f)),
+  m AS (SELECT user_id, n, t, CASE WHEN lag(id) OVER w IS NULL OR lead(id) OVER w IS NULL THEN id ELSE list_sort([lag(id) OVER w, id, lead(id) OVER w])[2] END AS id FROM c WINDOW w AS (PARTITION BY user_id ORDER BY n)),
+  g AS (SELECT *, sum(new::INTEGER) OVER (PARTITION BY user_id ORDER BY n) AS k FROM (SELECT *, id IS DISTINCT FROM lag(id) OVER (PARTITION BY user_id ORDER BY n) AS new FROM m)),
+  s AS (SELECT user_id, k, min(id) AS id, min(t) AS a, max(t) AS b, count(*) AS reads FROM g GROUP BY user_id, k),
+  r AS (SELECT user_id, k, id, a, b, 1 AS part FROM s WHERE k = 1 UNION ALL SELECT s.user_id, s.k, CASE WHEN s.reads < 4 THEN r.id ELSE s.id END, s.a, s.b, part + (s.reads >= 4)::INTEGER FROM r JOIN s ON s.user_id = r.user_id AND s.k = r.k + 1),
+  z AS (SELECT user_id, part, any_value(id) AS id, min(a) AS a, max(b) AS b FROM r GROUP BY user_id, part),
+  y AS (SELECT *, sum(setup::INTEGER) OVER (PARTITION BY user_id ORDER BY a) AS block FROM (SELECT *, id = first_value(id) OVER (PARTITION BY user_id ORDER BY a) AS setup FROM z)),
+  u AS (SELECT user_id, 'setup' AS part, a, b FROM y WHERE setup UNION ALL SELECT user_id, 'round', min(a), max(b) FROM y WHERE NOT setup GROUP BY user_id, block HAVING max(b) - min(a) >= 45)
+  SELECT user_id, part, row_number() OVER (PARTITION BY user_id, part ORDER BY a)::INTEGER AS number, a AS start, b AS "end" FROM u""")
 def emblem_rounds(t):
     """WIN-07: rounds and setups of each user, whose events are frames five seconds apart with their kind as the emblem."""
     at = F.row_number().over(Window.partitionBy("user_id").orderBy("t", "event_id")) * 5.0
