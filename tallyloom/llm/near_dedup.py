@@ -417,12 +417,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     parted = labelled(parted, "a").select("region", F.col("a").alias("id"), F.col("ca").alias("component"))
     sizes = parted.groupBy("region", "component").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("region").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("largest")).where("parts > 1")
+    mixed = written(mixed, "regions")  # a table of its own, so that the join with it can be split where a region is hot
     mixed_rows = parted.join(mixed.select("region", "n", "most", "largest"), "region").join(sets.select("id", "fine", F.col("packed").alias("members")), "id")
     meeting = written(mixed_rows, "mixed")
     across = written(open_pairs.unionByName(_across(meeting, tasks, percent)).distinct(), "across")
     more = _confirmed(across, sets, percent)
     final = written(components(links.unionByName(more).unionByName(given)), "components")
-    for done in (forest, scored, members, needed, sets, links, parts, meeting, across):
+    for done in (forest, scored, members, needed, sets, links, parts, mixed, meeting, across):
         drop_written(done)
 
     out = all_docs.select("doc_id", "n_shingles", "low", "high")
@@ -436,3 +437,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: All pairs that share a shingle, counted exactly, and what is reachable from each document.
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), g AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4])) END AS g FROM w
+), s AS (SELECT doc_id, unnest(g) AS g FROM g),
+links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL)
+  JOIN g p ON p.doc_id = a JOIN g q ON q.doc_id = b WHERE 100 * n >= 75 * (len(p.g) + len(q.g) - n)
+), r(a, b) AS (
+  SELECT a, b FROM (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) UNION SELECT r.a, l.b FROM r JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) l ON l.a = r.b
+), c AS (SELECT a AS doc_id, min(b) AS low FROM r GROUP BY a)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id, doc_id <= coalesce(low, doc_id) AS kept FROM g LEFT JOIN c USING (doc_id)
+"""

@@ -20,6 +20,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_exact_topk": exact_topk.ORACLE_SQL,
     "op2_mix_sources": mixing.ORACLE_SQL,
+    "op4_minhash_forest": near_dedup.ORACLE_SQL,
     "op6_license_scan": licenses.ORACLE_SQL,
     "op8_chat_windows": chat_format.ORACLE_SQL,
     "op10_warc_chunks": warc.ORACLE_SQL,
