@@ -71,7 +71,7 @@ def _index(spark: SparkSession, templates: dict[str, str], threshold: float) ->
 
 
 def _words(text: Column) -> Column:
-    return F.array_remove(F.split(text, "[^A-Za-z0-9]+"), "")
+    return F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), F.lit(0))
 
 
 def _best_window(places: Column, grams: Column, words: Column) -> Column:
@@ -105,8 +105,10 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates: dict
     # Rows are known by two hashes of id and text; rows that are wholly alike have one result.
     keyed = docs.select("doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("k"), F.xxhash64(F.lit(1), text, "doc_id").alias("l"))
     words = keyed.where("text is not null").select("k", "l", F.transform(_words(F.col("text")), lambda w: F.xxhash64(F.lower(w))).alias("w"))
-    pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.xxhash64(a, b))
-    grams = words.where(F.size("w") > 1).select("k", "l", F.size("w").alias("words"), F.posexplode(pairs).alias("at", "gram"))
+    # No filter on the words: it would be evaluated before them, and so cut the text a second time.
+    n = F.greatest(F.size("w") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("w", F.lit(1), n), F.slice("w", F.lit(2), n), lambda a, b: F.xxhash64(a, b))
+    grams = words.select("k", "l", F.size("w").alias("words"), F.posexplode(pairs).alias("at", "gram"))
     hits = grams.join(_index(spark, templates, threshold), "gram")
     places = hits.groupBy("k", "l", "words", "name", "gram", "most", "grams", "least").agg(F.sort_array(F.collect_set("at")).alias("at"))
     pair = places.groupBy("k", "l", "words", "name", "grams", "least").agg(F.sum(F.least(F.size("at"), F.col("most"))).alias("shared"), F.collect_list(F.struct("at", "most")).alias("places"))
