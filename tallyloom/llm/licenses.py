@@ -84,8 +84,9 @@ def _best_window(places: Column, grams: Column, words: Column) -> Column:
     hits = F.array_sort(F.flatten(each))
 
     def window(h: Column, i: Column) -> Column:
-        near = F.slice(F.col("hits"), i + 1, grams)
-        shared = F.size(F.filter(near, lambda x: (x["at"] < h["at"] + grams) & (x["before"] < h["at"])))
+        # By position: a slice would copy all hits for each of them.
+        near = F.sequence(i, F.least(i + grams, F.size("hits")) - 1)
+        shared = F.size(F.filter(near, lambda j: (F.get("hits", j)["at"] < h["at"] + grams) & (F.get("hits", j)["before"] < h["at"])))
         return F.struct((F.lit(2.0) * shared / (F.least(grams, words - 1 - h["at"]) + grams)).alias("dice"), (-h["at"]).alias("place"))
 
     return hits, lambda: F.array_max(F.transform("hits", window))
@@ -108,14 +109,17 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates: dict
     # No filter on the words: it would be evaluated before them, and so cut the text a second time.
     n = F.greatest(F.size("w") - 1, F.lit(0))
     pairs = F.zip_with(F.slice("w", F.lit(1), n), F.slice("w", F.lit(2), n), lambda a, b: F.xxhash64(a, b))
-    grams = words.select("k", "l", F.size("w").alias("words"), F.posexplode(pairs).alias("at", "gram"))
+    # The size is taken before the bigrams part, lest every one of them carries all words.
+    grams = words.select("k", "l", F.size("w").alias("words"), pairs.alias("pairs")).select("k", "l", "words", F.posexplode("pairs").alias("at", "gram"))
     hits = grams.join(_index(spark, templates, threshold), "gram")
     places = hits.groupBy("k", "l", "words", "name", "gram", "most", "grams", "least").agg(F.sort_array(F.collect_set("at")).alias("at"))
     pair = places.groupBy("k", "l", "words", "name", "grams", "least").agg(F.sum(F.least(F.size("at"), F.col("most"))).alias("shared"), F.collect_list(F.struct("at", "most")).alias("places"))
     ordered, best = _best_window(F.col("places"), F.col("grams"), F.col("words"))
-    scored = pair.where("shared >= least").withColumn("hits", ordered).withColumn("best", best()).where(F.col("best")["dice"] >= threshold)
-    top = F.min(F.struct((-F.col("best")["dice"]).alias("dice"), "name", (-F.col("best")["place"]).alias("place")))
-    found = scored.groupBy("k", "l").agg(top.alias("top"), F.count("*").alias("matches"))
+    scored = pair.where("shared >= least").withColumn("hits", ordered).withColumn("best", best())
+    # The threshold holds within the aggregates: a filter would be moved before the hits and work them out for each of them.
+    reached = F.col("best")["dice"] >= threshold
+    top = F.min(F.when(reached, F.struct((-F.col("best")["dice"]).alias("dice"), "name", (-F.col("best")["place"]).alias("place"))))
+    found = scored.groupBy("k", "l").agg(top.alias("top"), F.count_if(reached).alias("matches"))
     out = keyed.select("doc_id", "k", "l").join(found, ["k", "l"], "left")
     return out.select("doc_id", F.col("top")["name"].alias("license"), (-F.col("top")["dice"]).alias("dice"), F.col("top")["place"].cast("long").alias("first_word"), F.coalesce("matches", F.lit(0)).cast("long").alias("matches"))
 
