@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import ann, chat_format, exact_topk, infilling, licenses, mixing, near_dedup, packing, quality, toxicity, warc
+from tallyloom.llm import ann, chat_format, decontamination, exact_topk, infilling, licenses, mixing, near_dedup, packing, quality, toxicity, warc
 
 QUERIES = {
     "op1_exact_topk": exact_topk.op1_exact_topk,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chat_windows": chat_format.op8_chat_windows,
     "op9_clause_grammar": toxicity.op9_clause_grammar,
     "op10_warc_chunks": warc.op10_warc_chunks,
+    "op11_decontaminate": decontamination.op11_decontaminate,
     "op12_fill_in_middle": infilling.op12_fill_in_middle,
 }
 
@@ -25,5 +26,6 @@ ORACLE_SQL = {
     "op6_license_scan": licenses.ORACLE_SQL,
     "op8_chat_windows": chat_format.ORACLE_SQL,
     "op10_warc_chunks": warc.ORACLE_SQL,
+    "op11_decontaminate": decontamination.ORACLE_SQL,
     "op12_fill_in_middle": infilling.ORACLE_SQL,
 }

@@ -37,7 +37,7 @@ def sentence(rng, n):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_against_duckdb(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "conversations"):
+    for t in ("documents", "embeddings", "pages", "conversations", "benchmark"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     got, want = queries.QUERIES[name](spark, DATA).toPandas(), c.sql(queries.ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
