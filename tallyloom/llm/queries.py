@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import ann, chat_format, decontamination, exact_topk, infilling, licenses, mixing, near_dedup, packing, quality, toxicity, warc
+from tallyloom.llm import ann, chat_format, decontamination, exact_topk, infilling, licenses, mixing, near_dedup, packing, quality, spelling, toxicity, warc
 
 QUERIES = {
     "op1_exact_topk": exact_topk.op1_exact_topk,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_warc_chunks": warc.op10_warc_chunks,
     "op11_decontaminate": decontamination.op11_decontaminate,
     "op12_fill_in_middle": infilling.op12_fill_in_middle,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
 ORACLE_SQL = {
@@ -28,4 +29,5 @@ ORACLE_SQL = {
     "op10_warc_chunks": warc.ORACLE_SQL,
     "op11_decontaminate": decontamination.ORACLE_SQL,
     "op12_fill_in_middle": infilling.ORACLE_SQL,
+    "op13_spelling_variants": spelling.ORACLE_SQL,
 }
