@@ -85,30 +85,34 @@ def typed(rows: list[tuple], columns: list[str], schema: str) -> pd.DataFrame:
     return out.astype({c: plain[kinds[c]] for c in columns if kinds.get(c) in plain})
 
 
-def fold_sorted(df: DataFrame, key: str, order: list[str], columns: list[str], start: Callable, step: Callable, end: Callable, schema: str) -> DataFrame:
+def fold_sorted(df: DataFrame, key: str | list[str], order: list[str], columns: list[str], start: Callable, step: Callable, end: Callable, schema: str) -> DataFrame:
     """WIN-06/14: a fold over each key's rows in order, for state that windows can't express.
 
     Rows are dealt by key and sorted; one task passes over them and holds one key's state and one batch, so a key of any
-    number of rows fits. start(key) makes a state; step(state, values of `columns`) and end(state) yield result rows.
+    number of rows fits. start(key) makes a state; step(state, values of `columns`) and end(state) yield result rows. A
+    list of keys gives start() a tuple; rows with a null in a key are left out.
     """
     names = [c.split()[0] for c in schema.split(", ")]
+    keys = [key] if isinstance(key, str) else list(key)
+    n = len(keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
         for pdf in batches:
             rows: list[tuple] = []
-            for own, *values in pdf[[key, *columns]].itertuples(index=False, name=None):
+            for row in pdf[[*keys, *columns]].itertuples(index=False, name=None):
+                own, values = (row[0] if isinstance(key, str) else row[:n]), row[n:]
                 if state is None or own != current:
                     if state is not None:
                         rows += end(state)
                     current, state = own, start(own)
-                rows += step(state, tuple(values))
+                rows += step(state, values)
             if rows:
                 yield typed(rows, names, schema)
         if state is not None:
             yield typed(list(end(state)), names, schema)
 
-    return df.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    return df.dropna(subset=keys).repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
 def monotone(df: DataFrame, key: str, order: str, columns: tuple[str, str]) -> DataFrame:

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.operators.sequence import fold_sorted, typed
+from tallyloom.operators.sequence import fold_sorted
 
 # Reads that confirm a value; strong reads that do, and their score; seconds and mean margin of a confirming
 # run; by how much it must beat the value that it replaces; the longest gap within a run; grace after a round's start.
@@ -22,7 +22,9 @@ SAME_EMBLEM, MIN_SEGMENT, MIN_ROUND, ROUND_GAP = 0.60, 4, 45.0, 25.0
 
 #: A read: key, time, value, score, margin, and what each value scored there.
 READ = "t double, value string, score double, margin double, scores map<string,double>"
-OUT = "kind string, value string, other string, t double, end double, reads long, mean double, least double, margin double, reason string"
+OUT = "kind string, value string, other string, t double, end double, reads long, mean double, least double, margin double, reason string, early boolean, stands boolean"
+#: What a slot reads in one sorted pass: setup spans (0) and rounds (1) of its map, and its own reads (2), by the time from which they count.
+TAGGED = f"at double, tag int, {READ}, until double"
 
 
 @dataclass
@@ -38,6 +40,8 @@ class Run:
     margin: float = 0.0
     over: float = 0.0
     compared: int = 0
+    setup: bool = False
+    round: tuple[float, float | None] | None = None
 
     def add(self, t: float, score: float, margin: float, against: float | None) -> None:
         self.last, self.reads = t, self.reads + 1
@@ -45,6 +49,14 @@ class Run:
         if against is not None:
             self.over, self.compared = self.over + score - against, self.compared + 1
 
+    def grace(self) -> tuple[bool, bool]:
+        """early: it began within GRACE of its round's start; stands: unless early and gone before GRACE + RECHECK of a round
+        that went on longer."""
+        if self.round is None or self.start - self.round[0] > GRACE:
+            return False, True
+        deadline = self.round[0] + GRACE + RECHECK
+        return True, self.last >= deadline or (self.round[1] is not None and self.round[1] < deadline)
+
     def doubt(self) -> str | None:
         """Why the run doesn't confirm its value, or None if it does."""
         span = self.last - self.start
@@ -62,13 +74,29 @@ class Run:
 
 @dataclass
 class Slot:
-    """The state of one slot between reads: the value it holds and the run that may replace it."""
+    """The state of one slot between reads: what it holds, the run that may replace it, and the phase of its map.
+
+    Of the setup spans that have begun the latest end is enough to tell whether a time lies in one; of the rounds the last
+    that has begun is the one of any run that begins now.
+    """
 
     held: Run | None = None
     rival: Run | None = None
+    setup_until: float = float("-inf")
+    round: tuple[float, float | None] | None = None
+
+    def take(self, row: tuple) -> Iterator[tuple]:
+        """One row of TAGGED, in the order of at and tag; yields what it settles: rows of OUT."""
+        _, tag, t, value, score, margin, scores, until = row
+        if tag == 0:
+            self.setup_until = max(self.setup_until, until + SETUP_EDGE)
+        elif tag == 1:
+            self.round = (t, None if until is None or until != until else until)
+        else:
+            yield from self.read(t, value, score, margin, dict(scores or {}))
 
-    def read(self, t: float, value: str, score: float, margin: float, scores: dict[str, float], setups: list[tuple[float, float]]) -> Iterator[tuple]:
-        """Takes one read and yields what it settles: rows of OUT."""
+    def read(self, t: float, value: str, score: float, margin: float, scores: dict[str, float]) -> Iterator[tuple]:
+        """One read; yields what it settles: rows of OUT."""
         if self.held is not None and value == self.held.value:
             if self.rival is not None:
                 yield self._rejected("returned")
@@ -81,7 +109,7 @@ class Slot:
         if self.rival is not None and self.held is not None and t - self.rival.last > MAX_GAP:
             self.rival = None
         if self.rival is None:
-            self.rival = Run(value, t)
+            self.rival = Run(value, t, setup=t <= self.setup_until, round=self.round)
         against = None if self.held is None or not scores else scores.get(self.held.value, -1.0)
         self.rival.add(t, score, margin, against)
         doubt = self.rival.doubt()
@@ -89,8 +117,7 @@ class Slot:
             run = self.rival
             if self.held is not None:
                 yield self._stint(self.held)
-                setup = any(a - SETUP_EDGE <= run.start <= b + SETUP_EDGE for a, b in setups)
-                yield ("setup-change" if setup else "swap", run.value, self.held.value, run.start, run.last, run.reads, run.score / run.reads, run.least, run.margin / run.reads, None)
+                yield self._row("setup-change" if run.setup else "swap", run, self.held.value, None)
             self.held, self.rival = run, None
         elif self.held is not None and self.rival.reads >= CONFIRM + 2 and self.rival.last - self.rival.start > MIN_SPAN:
             yield self._rejected(doubt)
@@ -102,65 +129,104 @@ class Slot:
         if self.held is not None:
             yield self._stint(self.held)
 
+    @staticmethod
+    def _row(kind: str, run: Run, other: str | None, reason: str | None) -> tuple:
+        early, stands = run.grace() if kind == "stint" else (None, None)
+        return kind, run.value, other, run.start, run.last, run.reads, run.score / run.reads, run.least, run.margin / run.reads, reason, early, stands
+
     def _stint(self, run: Run) -> tuple:
-        return "stint", run.value, None, run.start, run.last, run.reads, run.score / run.reads, run.least, run.margin / run.reads, None
+        return self._row("stint", run, None, None)
 
     def _event(self, kind: str, reason: str) -> tuple:
         run, self.rival = self.rival, None
-        return kind, run.value, self.held.value if self.held else None, run.start, run.last, run.reads, run.score / run.reads, run.least, run.margin / run.reads, reason
+        return self._row(kind, run, self.held.value if self.held else None, reason)
 
     def _rejected(self, reason: str) -> tuple:
         return self._event("rejected-swap", reason)
 
-    def dump(self) -> dict:
-        return {"held": asdict(self.held) if self.held else None, "rival": asdict(self.rival) if self.rival else None}
+    def dump(self) -> str:
+        return json.dumps(asdict(self))
 
     @staticmethod
-    def load(state: dict) -> Slot:
-        return Slot(*(Run(**state[k]) if state[k] else None for k in ("held", "rival")))
+    def load(state: str) -> Slot:
+        fields = json.loads(state)
+        for name in ("held", "rival"):
+            if run := fields[name]:
+                fields[name] = Run(**{**run, "round": tuple(run["round"]) if run["round"] else None})
+        fields["round"] = tuple(fields["round"]) if fields["round"] else None
+        return Slot(**fields)
 
 
 @dataclass
 class _Track:
-    key: object
+    key: tuple
     slot: Slot = field(default_factory=Slot)
 
 
-def stints(reads: DataFrame, key: str, setups: tuple[tuple[float, float], ...] = ()) -> DataFrame:
-    """Stints and events of every key's track: `key` and the columns of OUT.
+def tagged(reads: DataFrame, keys: list[str], setups: DataFrame | None = None, rounds: DataFrame | None = None, within: list[str] | None = None) -> DataFrame:
+    """keys and TAGGED: the reads of every slot with the setup spans and rounds of its map.
+
+    reads has `keys` and the columns of READ; setups and rounds have `within` (those of the keys that name a map; all of
+    them if not given), start and end. Reads without a time or value, spans without a start, setups without an end and rows
+    with a null key are left out; a round without an end is open. Spans are few against reads: they are copied to each slot
+    of their map, the reads are not joined with anything.
+    """
+    within = keys if within is None else within
+    names = [c.split()[0] for c in READ.split(", ")]
+    value = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    out = reads.where("t is not null and value is not null").select(*keys, F.col("t").cast("double").alias("at"), F.lit(2).alias("tag"), *names, value("until", "double"))
+    slots = reads.where("t is not null and value is not null").select(*keys).distinct()
+    for tag, spans in ((0, setups), (1, rounds)):
+        if spans is not None:
+            own = spans.where("start is not null" + (" and end is not null" if tag == 0 else "")).select(*within, "start", "end")
+            own = own if within == keys else own.join(slots, within)
+            at = F.col("start") - SETUP_EDGE if tag == 0 else F.col("start")
+            nothing = [value(c.split()[0], c.split()[1]) for c in READ.split(", ")[1:]]
+            out = out.unionByName(own.select(*keys, at.cast("double").alias("at"), F.lit(tag).alias("tag"), F.col("start").cast("double").alias("t"), *nothing, F.col("end").cast("double").alias("until")))
+    return out
+
+
+ORDER = ["at", "tag", "value", "score", "until"]
+
+
+def stints(reads: DataFrame, key: str | list[str], setups: DataFrame | None = None, rounds: DataFrame | None = None, within: list[str] | None = None) -> DataFrame:
+    """Stints and events of every slot's track: the keys and the columns of OUT; arguments as of tagged().
 
-    reads has `key` and the columns of READ; rows without a time or value are no reads; equal times go by value, score.
     kinds: stint (what was held from t to end), swap and setup-change (a confirmed change at t, other being what it replaced;
     the latter if it begins within a setup span or two seconds of it), rejected-swap (a run that didn't confirm: it
     `returned`, was `interrupted`, stayed doubtful for CONFIRM + 2 reads, or is `unresolved` at the end) and unestablished.
-    A track of any length streams through its task; only two runs are held.
+    A stint is early if it began within GRACE of the latest round's start, and stands unless it then ended before RECHECK
+    seconds more of a round that went on longer. Equal times go by value and score; of rounds that start together the one
+    that ends last counts. One sorted pass over the tagged rows of a slot, which holds two runs whatever the track's length.
     """
+    keys = [key] if isinstance(key, str) else list(key)
 
     def step(track: _Track, row: tuple) -> Iterator[tuple]:
-        t, value, score, margin, scores = row
-        yield from ((track.key, *out) for out in track.slot.read(t, value, score, margin, dict(scores or {}), list(setups)))
+        yield from ((*track.key, *out) for out in track.slot.take(row))
 
     def end(track: _Track) -> Iterator[tuple]:
-        yield from ((track.key, *out) for out in track.slot.close())
+        yield from ((*track.key, *out) for out in track.slot.close())
 
-    names = [c.split()[0] for c in READ.split(", ")]
-    clean = reads.where("t is not null and value is not null").select(key, *names)
-    return fold_sorted(clean, key, ["t", "value", "score"], names, _Track, step, end, f"{key} {reads.schema[key].dataType.simpleString()}, {OUT}")
+    rows = tagged(reads, keys, setups, rounds, within)
+    return fold_sorted(rows, keys, ORDER, [c.split()[0] for c in TAGGED.split(", ")], _Track, step, end, f"{_kinds(reads, keys)}, {OUT}")
 
 
-def with_grace(found: DataFrame, rounds: DataFrame) -> DataFrame:
-    """stints with early (begun within GRACE of the start of the latest round before) and stands: false only for an early
-    one that ended before GRACE + RECHECK of a round that went on longer.
+def open_slots(reads: DataFrame, key: str | list[str], setups: DataFrame | None = None, rounds: DataFrame | None = None, within: list[str] | None = None) -> DataFrame:
+    """The keys and `state`, in which stints() leaves each track before it closes it: where a stream can go on."""
+    keys = [key] if isinstance(key, str) else list(key)
 
-    rounds (start, end) are those of one map: a bounded number, whose as-of look-up is an array in each row.
-    """
-    spans = rounds.agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("rounds"))
-    last = F.element_at(F.filter("rounds", lambda r: r["start"] <= F.col("t")), -1)
-    tagged = found.join(spans).withColumn("round", F.when(F.exists("rounds", lambda r: r["start"] <= F.col("t")), last))
-    early = F.coalesce(F.col("t") - F.col("round.start") <= GRACE, F.lit(False))
-    deadline = F.col("round.start") + GRACE + RECHECK
-    stands = ~early | (F.col("round.end") < deadline) | (found["end"] >= deadline)
-    return tagged.withColumn("early", early).withColumn("stands", F.coalesce(stands, F.lit(True))).drop("rounds", "round")
+    def step(track: _Track, row: tuple) -> Iterator[tuple]:
+        for _ in track.slot.take(row):
+            pass
+        return iter(())
+
+    rows = tagged(reads, keys, setups, rounds, within)
+    end = lambda track: [(*track.key, track.slot.dump())]
+    return fold_sorted(rows, keys, ORDER, [c.split()[0] for c in TAGGED.split(", ")], _Track, step, end, f"{_kinds(reads, keys)}, state string")
+
+
+def _kinds(reads: DataFrame, keys: list[str]) -> str:
+    return ", ".join(f"{k} {reads.schema[k].dataType.simpleString()}" for k in keys)
 
 
 @dataclass
@@ -245,29 +311,3 @@ def rounds_of(segments: DataFrame, key: str) -> DataFrame:
     setups = marked.where("setup").withColumn("part", F.lit("setup"))
     both = rounds.select(key, "part", "start", "end").unionByName(setups.select(key, "part", "start", "end"))
     return both.withColumn("number", F.row_number().over(Window.partitionBy(key, "part").orderBy("start"))).select(key, "part", "number", "start", "end")
-
-
-def stints_of_stream(reads: DataFrame, key: str) -> DataFrame:
-    """STM-05: stints() on a stream: each row as soon as a read settles it; what is open stays in the key's state.
-
-    Reads of a key must come in the order of their times. The same state machine as in the batch, so both agree.
-    """
-    import json
-
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    names = [c.split()[0] for c in READ.split(", ")]
-    columns = [key, *(c.split()[0] for c in OUT.split(", "))]
-
-    def step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        slot = Slot.load(json.loads(state.get[0])) if state.exists else Slot()
-        rows = []
-        for pdf in batches:
-            for t, value, score, margin, scores in pdf.sort_values(["t", "value", "score"])[names].itertuples(index=False):
-                rows += [(keys[0], *out) for out in slot.read(t, value, score, margin, dict(scores or {}), [])]
-        state.update((json.dumps(slot.dump()),))
-        yield typed(rows, columns, OUT)
-
-    clean = reads.where("t is not null and value is not null").select(key, *names)
-    kind = reads.schema[key].dataType.simpleString()
-    return clean.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {OUT}", "slot string", "append", GroupStateTimeout.NoTimeout)

@@ -155,6 +155,74 @@ def stint_events(t):
     """WIN-06: what each user holds, with every confirmed and rejected change; a day counts as ten seconds."""
     e = _events(t).select("user_id", (F.col("t") / 8640.0).alias("t"), F.col("event_type").alias("value"), (F.col("value") / 100).alias("score"), (F.abs(F.col("value") - 50) / 100).alias("margin"), F.create_map("event_type", F.col("value") / 100).alias("scores"))
     found = stints.stints(e, "user_id")
+    return found.drop("early", "stands").withColumns({c: F.round(c, 6) for c in ("t", "end", "mean", "least", "margin")})
+
+
+def _run(kind: str, run: str, other: str, reason: str) -> str:
+    """A settled run as an output row; of a stint also whether it is early and stands."""
+    stint = kind == "'stint'"
+    early = f"coalesce({run}.a - {run}.rs <= 30, false)" if stint else "NULL::BOOLEAN"
+    stands = f"({early} IS FALSE OR {run}.b >= {run}.rs + 60 OR coalesce({run}.re < {run}.rs + 60, false))" if stint else "NULL::BOOLEAN"
+    return f"{_row(kind, run, other, reason)[:-1]}, 'early': {early}, 'stands': {stands}}}"
+
+
+_RUN = "STRUCT(v VARCHAR, a DOUBLE, b DOUBLE, n BIGINT, s DOUBLE, l DOUBLE, m DOUBLE, o DOUBLE, c BIGINT, su BOOLEAN, rs DOUBLE, re DOUBLE)"
+_OUTS = """STRUCT(kind VARCHAR, "value" VARCHAR, other VARCHAR, t DOUBLE, stop DOUBLE, reads BIGINT, mean DOUBLE, least DOUBLE, margin DOUBLE, reason VARCHAR, early BOOLEAN, stands BOOLEAN)[]"""
+#: As _STINTS, with what the held value scores in each read (over), the setups (su) and the latest round (rs, re) of the slot's map.
+_STINT_ROUNDS = f"""WITH RECURSIVE {_E},
+  q AS (SELECT event_id, user_id, user_id // 10 AS grp, t / 8640::DOUBLE AS t, event_type, value, CASE event_type WHEN 'purchase' THEN 'b' WHEN 'error' THEN 'c' ELSE 'a' END AS v,
+    {{'a': value * 7 % 100 / 100, 'b': value * 13 % 100 / 100, 'c': value * 29 % 100 / 100}} AS sc FROM e),
+  setups AS (SELECT grp, t AS a, t + 3 AS b FROM q WHERE event_type = 'signup' AND value > 100),
+  rounds AS (SELECT grp, t AS rs, lead(t) OVER (PARTITION BY grp ORDER BY t, event_id) - 5 AS re FROM q WHERE event_type = 'purchase' AND value > 180),
+  p AS (SELECT q.*, CASE v WHEN 'a' THEN sc.a WHEN 'b' THEN sc.b ELSE sc.c END AS s, abs(value - 50) / 100 AS m, rs, re FROM q ASOF LEFT JOIN rounds ON q.grp = rounds.grp AND q.t >= rounds.rs),
+  o AS (SELECT p.*, EXISTS (SELECT 1 FROM setups WHERE setups.grp = p.grp AND a - 2 <= p.t AND p.t <= b + 2) AS su,
+    row_number() OVER (PARTITION BY user_id ORDER BY t, v, s, event_id) AS n, count(*) OVER (PARTITION BY user_id) AS n_all FROM p),
+  r AS (
+    SELECT DISTINCT user_id, grp, 0::BIGINT AS n, n_all, NULL::{_RUN} AS h, NULL::{_RUN} AS k, []::{_OUTS} AS outs FROM o
+    UNION ALL
+    SELECT user_id, grp, n, n_all,
+      CASE WHEN same THEN {{'v': h.v, 'a': h.a, 'b': t, 'n': h.n + 1, 's': h.s + s, 'l': least(h.l, s), 'm': h.m + m, 'o': h.o, 'c': h.c, 'su': h.su, 'rs': h.rs, 're': h.re}} WHEN doubt = 'ok' THEN k1 ELSE h END,
+      CASE WHEN same OR doubt = 'ok' OR lasting THEN NULL ELSE k1 END,
+      list_filter([
+        CASE WHEN same AND k0 IS NOT NULL THEN {_run("'rejected-swap'", "k0", "h.v", "'returned'")} END,
+        CASE WHEN NOT same AND h IS NOT NULL AND k0.v <> v THEN {_run("'rejected-swap'", "k0", "h.v", "'interrupted'")} END,
+        CASE WHEN doubt = 'ok' AND h IS NOT NULL THEN {_run("'stint'", "h", "NULL", "NULL")} END,
+        CASE WHEN doubt = 'ok' AND h IS NOT NULL THEN {_run("CASE WHEN k1.su THEN 'setup-change' ELSE 'swap' END", "k1", "h.v", "NULL")} END,
+        CASE WHEN lasting THEN {_run("'rejected-swap'", "k1", "h.v", "doubt")} END], lambda x: x IS NOT NULL)
+    FROM (SELECT *, coalesce(h IS NOT NULL AND doubt <> 'ok' AND k1.n >= 5 AND k1.b - k1.a > 3, false) AS lasting FROM (
+      SELECT *, CASE WHEN k1 IS NULL THEN NULL WHEN NOT strong AND k1.n < 3 THEN 'few-reads' WHEN NOT strong AND k1.b - k1.a < 3 THEN 'short-span'
+        WHEN k1.m / k1.n < 0.05 THEN 'small-margin' WHEN k1.c > 0 AND k1.o / k1.c < 0.04 THEN 'not-displaced' ELSE 'ok' END AS doubt FROM (
+        SELECT *, coalesce(k1.n >= 2 AND k1.b - k1.a >= 2 AND k1.l >= 0.8, false) AS strong FROM (
+          SELECT *, CASE WHEN same THEN NULL
+            WHEN k0 IS NULL OR k0.v <> v OR (h IS NOT NULL AND t - k0.b > 20)
+              THEN {{'v': v, 'a': t, 'b': t, 'n': 1::BIGINT, 's': s, 'l': s, 'm': m, 'o': coalesce(over, 0), 'c': (over IS NOT NULL)::BIGINT, 'su': su, 'rs': rs, 're': re}}
+            ELSE {{'v': v, 'a': k0.a, 'b': t, 'n': k0.n + 1, 's': k0.s + s, 'l': least(k0.l, s), 'm': k0.m + m, 'o': k0.o + coalesce(over, 0), 'c': k0.c + (over IS NOT NULL)::BIGINT, 'su': k0.su, 'rs': k0.rs, 're': k0.re}}
+            END AS k1 FROM (
+            SELECT o.*, r.h, r.k AS k0, coalesce(r.h.v = o.v, false) AS same, o.s - CASE r.h.v WHEN 'a' THEN o.sc.a WHEN 'b' THEN o.sc.b WHEN 'c' THEN o.sc.c END AS over
+            FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1)))))),
+  x AS (SELECT user_id, grp, unnest(outs) AS x FROM r
+    UNION ALL SELECT user_id, grp, CASE WHEN h IS NOT NULL THEN {_run("'rejected-swap'", "k", "h.v", "'unresolved'")} ELSE {_run("'unestablished'", "k", "NULL", "'few-reads'")} END FROM r WHERE n = n_all AND k IS NOT NULL
+    UNION ALL SELECT user_id, grp, {_run("'stint'", "h", "NULL", "NULL")} FROM r WHERE n = n_all AND h IS NOT NULL)
+  SELECT user_id, grp, x.kind, x."value", x.other, round(x.t, 6) AS t, round(x.stop, 6) AS "end", x.reads, round(x.mean, 6) AS mean, round(x.least, 6) AS least,
+    round(x.margin, 6) AS margin, x.reason, x.early, x.stands FROM x"""
+
+
+@query("stint_rounds", _STINT_ROUNDS)
+def stint_rounds(t):
+    """WIN-06, FLT-11: users are slots, ten of them a map; a day counts as ten seconds. Each read scores all three values.
+
+    Large signups of a map's users open a setup of three seconds, its largest purchases begin a round each, which ends five
+    seconds before the next. So changes in setups, values that don't displace the held one and early stints all occur.
+    """
+    value = F.when(F.col("event_type") == "purchase", "b").when(F.col("event_type") == "error", "c").otherwise("a")
+    scores = F.create_map(*(x for k, by in (("a", 7), ("b", 13), ("c", 29)) for x in (F.lit(k), F.col("value") * by % 100 / 100)))
+    e = _events(t).withColumn("grp", F.floor(F.col("user_id") / 10)).withColumn("at", F.col("t") / 8640.0)
+    reads = e.select("grp", "user_id", F.col("at").alias("t"), value.alias("kind"), F.abs(F.col("value") - 50).alias("off"), scores.alias("scores"))
+    reads = reads.select("grp", "user_id", "t", F.col("kind").alias("value"), F.col("scores")[F.col("kind")].alias("score"), (F.col("off") / 100).alias("margin"), "scores")
+    setups = e.where("event_type = 'signup' and value > 100").select("grp", F.col("at").alias("start"), (F.col("at") + 3).alias("end"))
+    following = F.lead("at").over(Window.partitionBy("grp").orderBy("at", "event_id"))
+    rounds = e.where("event_type = 'purchase' and value > 180").select("grp", F.col("at").alias("start"), (following - 5).alias("end"))
+    found = stints.stints(reads, ["grp", "user_id"], setups, rounds, within=["grp"])
     return found.withColumns({c: F.round(c, 6) for c in ("t", "end", "mean", "least", "margin")})
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import scalar as sc
 from tallyloom.operators import joins, matching, merge, sequence, stints, vectors, workflow
 from tallyloom.sources import nested, paged, sinks, tables
-from tallyloom.streaming import streams
+from tallyloom.streaming import streams, tracks
 
 
 def got(df, *columns):
@@ -59,13 +59,13 @@ def test_stints_and_their_events(spark):
     assert found["open"][-1] == ("rejected-swap", "genji", 50.0, "unresolved")
     assert ("rejected-swap", "genji", 50.0, "interrupted") in found["other"] and ("swap", "ana", 55.0, None) in found["other"]
     assert "null" not in found
-    setup = kinds(stints.stints(reads.where("slot = 'genuine'"), "slot", ((45.0, 90.0),)))
+    setup = kinds(stints.stints(reads.where("slot = 'genuine'"), "slot", spark.createDataFrame([("genuine", 45.0, 90.0), ("variant", 0.0, 9.0)], SPANS)))
     assert ("setup-change", "sombra", 50.0, None) in setup["genuine"]
     assert stints.stints(reads.where("false"), "slot").count() == 0
 
 
-def plain_stints(rows):
-    """The same decisions over a list of reads, with the reads themselves kept."""
+def plain_stints(rows, setups=(), rounds=()):
+    """The same decisions over a list of reads, with the reads themselves kept: (kind, value, t, reason, early, stands)."""
     held, rival, out = [], [], []
     mean = lambda xs: sum(xs) / len(xs)
 
@@ -81,15 +81,25 @@ def plain_stints(rows):
         over = [r[3] - r[5].get(held[0][2], -1.0) for r in rival if r[5]] if held else []
         return "not-displaced" if over and mean(over) < 0.04 else None
 
+    def stint():
+        before = [r for r in rounds if r[0] <= held[0][1]]
+        start, end = max(before, key=lambda r: r[0]) if before else (None, None)
+        early = start is not None and held[0][1] - start <= 30
+        stands = not early or held[-1][1] >= start + 60 or (end is not None and end < start + 60)
+        return "stint", held[0][2], held[0][1], None, early, stands
+
+    def event(kind, reason):
+        return kind, rival[0][2], rival[0][1], reason, None, None
+
     for r in rows:
         if held and r[2] == held[0][2]:
             if rival:
-                out.append(("rejected-swap", rival[0][2], rival[0][1], "returned"))
+                out.append(event("rejected-swap", "returned"))
             held, rival = [*held, r], []
             continue
         if rival and rival[0][2] != r[2]:
             if held:
-                out.append(("rejected-swap", rival[0][2], rival[0][1], "interrupted"))
+                out.append(event("rejected-swap", "interrupted"))
             rival = []
         if held and rival and r[1] - rival[-1][1] > 20:
             rival = []
@@ -97,14 +107,15 @@ def plain_stints(rows):
         why = doubt()
         if why is None:
             if held:
-                out += [("stint", held[0][2], held[0][1], None), ("swap", r[2], rival[0][1], None)]
+                setup = any(a - 2 <= rival[0][1] <= b + 2 for a, b in setups)
+                out += [stint(), event("setup-change" if setup else "swap", None)]
             held, rival = rival, []
         elif held and len(rival) >= 5 and rival[-1][1] - rival[0][1] > 3:
-            out.append(("rejected-swap", rival[0][2], rival[0][1], why))
+            out.append(event("rejected-swap", why))
             rival = []
     if rival:
-        out.append(("rejected-swap", rival[0][2], rival[0][1], "unresolved") if held else ("unestablished", rival[0][2], rival[0][1], "few-reads"))
-    return out + ([("stint", held[0][2], held[0][1], None)] if held else [])
+        out.append(event("rejected-swap", "unresolved") if held else event("unestablished", "few-reads"))
+    return out + ([stint()] if held else [])
 
 
 def random_reads(seed, slots=12, n=120):
@@ -120,25 +131,93 @@ def random_reads(seed, slots=12, n=120):
     return rows
 
 
-def test_stints_equal_a_plain_version_in_batch_and_stream(spark, tmp_path):
+SPANS = "slot string, start double, end double"
+SETUPS = {f"s{i}": [(40.0 * k + i, 40.0 * k + i + 9) for k in range(i % 3, 20, 3)] for i in range(12)}
+ROUNDS = {f"s{i}": [(20.0 + 97.0 * k, None if k == 9 else 100.0 + 97.0 * k) for k in range(i % 2, 10)] for i in range(12)}
+
+
+def found_rows(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r["slot"], []).append((r["kind"], r["value"], r["t"], r["reason"], r["early"], r["stands"]))
+    return {s: sorted(x, key=repr) for s, x in out.items()}
+
+
+def plain_found(rows, setups=SETUPS, rounds=ROUNDS):
+    slots = {r[0] for r in rows}
+    return {s: sorted(plain_stints([r for r in rows if r[0] == s], setups.get(s, ()), rounds.get(s, ())), key=repr) for s in slots}
+
+
+def spans(spark, of):
+    return spark.createDataFrame([(s, a, b) for s, own in of.items() for a, b in own] + [(None, 1.0, 2.0)], SPANS)
+
+
+def test_stints_equal_a_plain_version_with_setups_and_rounds_of_their_own(spark):
     rows = random_reads(1)
     reads = spark.createDataFrame(rows, READS)
-    found = {s: sorted(x, key=repr) for s, x in kinds(stints.stints(reads, "slot")).items()}
-    assert found == {s: sorted(plain_stints([r for r in rows if r[0] == s]), key=repr) for s in found} and len(found) == 12
-    # Three files, one micro-batch each: rows settled so far are those of the batch, but for what stays open.
-    for part in range(3):
-        reads.where((F.col("t") > part * 400) & (F.col("t") <= (part + 1) * 400 if part < 2 else F.lit(True))).coalesce(1).write.parquet(str(tmp_path / f"in/{part}"))
-    stream = spark.readStream.schema(READS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-    streamed = {s: sorted(x, key=repr) for s, x in kinds(streams.collect_all(stints.stints_of_stream(stream, "slot"), "stints_t", "append")).items()}
-    for s, own in found.items():
-        open_ = [x for x in own if x not in streamed.get(s, [])]
-        assert all(x in own for x in streamed.get(s, [])) and 1 <= len(open_) <= 2 and open_[0][0] in ("stint", "rejected-swap", "unestablished")
-
-
-def test_grace(spark):
-    found = spark.createDataFrame([(5.0, 20.0), (5.0, 80.0), (45.0, 50.0), (205.0, 220.0), (-5.0, 0.0)], "t double, end double")
-    rounds = spark.createDataFrame([(0.0, 190.0), (200.0, 230.0)], "start double, end double")
-    assert got(stints.with_grace(found, rounds), "t", "end", "early", "stands") == sorted([(5.0, 20.0, True, False), (5.0, 80.0, True, True), (45.0, 50.0, False, True), (205.0, 220.0, True, True), (-5.0, 0.0, False, True)], key=repr)
+    want = plain_found(rows)
+    assert found_rows(stints.stints(reads, "slot", spans(spark, SETUPS), spans(spark, ROUNDS))) == want and len(want) == 12
+    # Each rule was hit.
+    every = [x for own in want.values() for x in own]
+    assert {x[0] for x in every} >= {"stint", "swap", "setup-change", "rejected-swap"} and {x[4:] for x in every} >= {(True, True), (True, False), (False, True)}
+    assert {x[3] for x in every} >= {"returned", "interrupted", "small-margin", "not-displaced", "unresolved"}
+    # Slots of two maps of the same phases: spans come once a map.
+    maps = reads.withColumn("map", F.when(F.col("slot") < "s4", "m0").otherwise("m1"))
+    own = {s: SETUPS["s0"] if s < "s4" else SETUPS["s7"] for s in SETUPS}
+    once = spark.createDataFrame([(m, a, b) for m, s in (("m0", "s0"), ("m1", "s7")) for a, b in SETUPS[s]], "map string, start double, end double")
+    assert found_rows(stints.stints(maps, ["map", "slot"], once, within=["map"])) == plain_found(rows, own, {})
+
+
+def streamed(spark, path, name, parts, **more):
+    """stints_of_stream() over the parts (reads, setups, rounds), a micro-batch each."""
+    for i, frames in enumerate(parts):
+        for kind, df in zip(("reads", "setups", "rounds"), frames, strict=True):
+            df.coalesce(1).write.parquet(f"{path}/{kind}/{i}")
+    read = lambda kind, schema: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{path}/{kind}")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", tracks.PROVIDER)
+    try:
+        out = tracks.stints_of_stream(read("reads", READS), "slot", 500.0, "60 seconds", read("setups", SPANS), read("rounds", SPANS), **more)
+        return found_rows(streams.collect_all(out, name, "append").where("slot <> 'sentinel'"))
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def cut(rows, n, at, jitter, seed):
+    """rows in n parts by their time, but up to `jitter` early or late; in no order within a part."""
+    rng = random.Random(seed)
+    width = max(map(at, rows)) / n + 1
+    parts = [[] for _ in range(n)]
+    for r in rows:
+        parts[min(n - 1, max(0, int((at(r) + rng.uniform(-jitter, jitter)) / width)))].append(r)
+    for p in parts:
+        rng.shuffle(p)
+    return parts
+
+
+def test_a_stream_closes_its_tracks_with_the_rows_of_the_batch(spark, tmp_path):
+    """Rows out of order over four micro-batches; a sentinel far ahead moves the watermark past all closing times."""
+    rows = random_reads(1)
+    flat = lambda of: [(s, a, b) for s, own in of.items() for a, b in own]
+    reads = cut(rows, 4, lambda r: r[1], 20, 2)
+    reads[-1].append(("sentinel", 10_000.0, "a", 1.0, 1.0, {}))
+    setups, rounds = (cut(flat(of), 4, lambda r: r[1] - 30, 10, 3) for of in (SETUPS, ROUNDS))
+    parts = [(spark.createDataFrame(a, READS), spark.createDataFrame(b, SPANS), spark.createDataFrame(c, SPANS)) for a, b, c in zip(reads, setups, rounds, strict=True)]
+    assert streamed(spark, tmp_path, "tracks_all", parts) == plain_found(rows)
+
+
+def test_a_stream_goes_on_where_a_batch_ended(spark, tmp_path):
+    rows = random_reads(4)
+    reads = spark.createDataFrame(rows, READS)
+    setups, rounds = spans(spark, SETUPS).dropna(), spans(spark, ROUNDS).where("slot is not null")
+    early = reads.where("t <= 300")
+    initial = stints.open_slots(early, "slot", setups.where("start <= 302"), rounds.where("start <= 300"))
+    rest = reads.where("t > 300").unionByName(spark.createDataFrame([("sentinel", 10_000.0, "a", 1.0, 1.0, {})], READS))
+    got = streamed(spark, tmp_path, "tracks_rest", [(rest, setups.where("start > 302"), rounds.where("start > 300"))], initial=initial)
+    want = plain_found(rows)
+    for s, own in want.items():
+        missing = [x for x in own if x not in got[s]]
+        assert all(x in own for x in got[s]) and all(x[2] <= 300 for x in missing) and len(missing) < len(own)
+        assert [x for x in own if x[2] > 300] == [x for x in got[s] if x[2] > 300]
 
 
 def test_emblems_make_rounds(spark):
