@@ -9,13 +9,15 @@ from tallyloom.functions.scalar import slugify
 from tallyloom.operators import merge, workflow
 from tallyloom.plans.registry import query
 from tallyloom.sources import sinks
+from tallyloom.sources.bucketed import BucketedTable
+from tallyloom.sources.scratch import shared_path
 
-_SRC = "s AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS v FROM customer WHERE c_acctbal > 500), g AS (SELECT s_suppkey * 3 AS k, s_acctbal AS v FROM supplier)"
+_SRC = "s AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS v FROM customer), g AS (SELECT s_suppkey * 3 AS k, s_acctbal AS v FROM supplier)"
 
 
 def _sides(t):
     target = t.supplier.select((F.col("s_suppkey") * 3).alias("k"), F.col("s_acctbal").alias("v"))
-    source = t.customer.where("c_acctbal > 500").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_acctbal")).alias("v"))
+    source = t.customer.select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_acctbal")).alias("v"))
     return target, source
 
 
@@ -39,12 +41,52 @@ def insert_replace(t):
     return merge.insert_replace(*_sides(t), ["k"])
 
 
-@query("replace_preserving_manual", """WITH src AS (SELECT o_custkey AS m, o_orderkey + 1000000 AS id, 0 AS manual FROM orders WHERE o_orderpriority = '1-URGENT'), tgt AS (SELECT o_custkey AS m, o_orderkey AS id, (o_orderstatus = 'P')::INTEGER AS manual FROM orders)
-  SELECT * FROM tgt WHERE m NOT IN (SELECT m FROM src) OR manual = 1 UNION ALL SELECT * FROM src""")
-def replace_preserving_manual(t):
+def _with_orders(t):
+    """Customers in a bucketed table, then the last order of each customer merged in year by year, as batches come."""
+    spark = t.spark
+    rows = "k long, segment string, last_at timestamp, total double"
+    table = BucketedTable.create(spark, shared_path(spark, "customers"), rows, ["k"], 16)
+    blank = [F.lit(None).cast("timestamp").alias("last_at"), F.lit(None).cast("double").alias("total")]
+    table.merge(t.customer.select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("segment"), *blank), lambda old, new: new)
+    orders = t.orders.withColumn("year", F.year("o_orderdate"))
+    for row in orders.select("year").where("year is not null").distinct().orderBy("year").collect():  # a few years
+        last = F.max(F.struct("o_orderdate", "o_orderkey", "o_totalprice")).alias("last")
+        batch = orders.where(F.col("year") == row["year"]).groupBy(F.col("o_custkey").alias("k")).agg(last)
+        batch = batch.select("k", F.lit(None).cast("string").alias("segment"), F.col("last.o_orderdate").cast("timestamp").alias("last_at"), F.col("last.o_totalprice").alias("total"))
+        table.merge(batch, lambda old, new: merge.upsert(old, new, ["k"], ["segment", "last_at", "total"]), once=("orders", row["year"]))
+    return table
+
+
+@query("bucketed_merge", """WITH o AS (SELECT o_custkey AS k, max((o_orderdate, o_orderkey, o_totalprice)) AS last FROM orders GROUP BY 1)
+  SELECT coalesce(c_custkey, k) AS k, c_mktsegment AS segment, last[1] AS last_at, last[3] AS total FROM customer FULL JOIN o ON c_custkey = k""")
+def bucketed_merge(t):
+    """SNK-03, STM-01: what a ledger holds after its batches were merged in, each rewriting the buckets of its keys only."""
+    return _with_orders(t).read()
+
+
+_REPLACED = """WITH src AS (SELECT o_custkey AS m, o_orderkey + 1000000 AS id, 0 AS manual FROM orders WHERE o_orderpriority = '1-URGENT'), tgt AS (SELECT o_custkey AS m, o_orderkey AS id, (o_orderstatus = 'P')::INTEGER AS manual FROM orders)
+  SELECT * FROM tgt WHERE m NOT IN (SELECT m FROM src) OR manual = 1 UNION ALL SELECT * FROM src"""
+
+
+def _orders_by_customer(t):
     target = t.orders.select(F.col("o_custkey").alias("m"), F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "P").cast("int").alias("manual"))
     source = t.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("m"), (F.col("o_orderkey") + 1000000).alias("id"), F.lit(0).alias("manual"))
-    return merge.replace_preserving(target, source, ["m"], F.col("manual") == 1)
+    return target, source
+
+
+@query("replace_preserving_manual", _REPLACED)
+def replace_preserving_manual(t):
+    return merge.replace_preserving(*_orders_by_customer(t), ["m"], F.col("manual") == 1)
+
+
+@query("bucketed_replace", _REPLACED)
+def bucketed_replace(t):
+    """SNK-05: the same within the buckets of a stored table; the rows of customers without urgent orders stay in their files."""
+    target, source = _orders_by_customer(t)
+    table = BucketedTable.create(t.spark, shared_path(t.spark, "orders"), target.schema, ["m"], 16)
+    table.merge(target, lambda old, new: new)
+    table.merge(source, lambda old, new: merge.replace_preserving(old, new, ["m"], F.col("manual") == 1))
+    return table.read()
 
 
 @query("ledger_merge_scd", """WITH l AS (SELECT doc_id AS k, 1 AS first_seen, 1 AS last_seen, lang FROM documents WHERE source < 'src2'), s AS (SELECT doc_id AS k, upper(lang) AS lang FROM documents WHERE source > 'src13')

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyloom.operators.merge import ledger_merge
-from tallyloom.sources import sinks
+from tallyloom.sources.bucketed import BucketedTable
 
 
 def event_stream(spark: SparkSession, path: str, schema: str, at: str) -> DataFrame:
@@ -63,19 +63,20 @@ def stale_keys(events: DataFrame, key: str, at: str, silence: str, late: str) ->
     return timed.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, last_at timestamp", "newest long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def accumulate(spark: SparkSession, stream: DataFrame, ledger_path: str, key: str, columns: list[str], checkpoint: str) -> None:
-    """STM-01: merges every batch into a ledger by key, one published version a batch; a batch that runs twice changes nothing.
+def accumulate(stream: DataFrame, ledger: BucketedTable, key: str, columns: list[str], checkpoint: str, writer: str = "stream") -> None:
+    """STM-01: merges every batch into a ledger (key, first_seen, last_seen and columns), rewriting the buckets of its keys.
 
-    Of rows of a batch that repeat a key the largest (columns in their order) counts. Read the ledger by sinks.current().
+    Of rows of a batch that repeat a key the largest (columns in their order) counts. A batch that runs twice changes
+    nothing; a batch that meets another writer in a bucket fails and is run again by the next start.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         now = F.lit(number).cast("long")
-        largest = F.max(F.struct(*columns)).alias("_row")
-        fresh = batch.groupBy(key).agg(largest).select(key, "_row.*")
-        names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fresh.schema if f.name != key)
-        ledger = sinks.current(spark, ledger_path, f"`{key}` {fresh.schema[key].dataType.simpleString()}, first_seen long, last_seen long, {names}")
-        sinks.publish(ledger_merge(ledger, fresh, key, now, columns), ledger_path, number=number)
+        fresh = batch.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*columns)).alias("_row")).select(key, "_row.*").persist()
+        try:
+            ledger.merge(fresh, lambda old, new: ledger_merge(old, new, key, now, columns), once=(writer, number))
+        finally:
+            fresh.unpersist()
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import scalar as sc
 from tallyloom.operators import joins, matching, merge, sequence, stints, vectors, workflow
-from tallyloom.sources import nested, paged, sinks, tables
+from tallyloom.sources import bucketed, nested, paged, sinks, tables
 from tallyloom.streaming import streams, tracks
 
 
@@ -411,16 +411,96 @@ def test_streams_equal_batches(spark, tmp_path):
     assert streams.collect_all(streams.once(twice, ["id"], "at", "1 hour"), "once_t", "append").count() == 10
 
 
-def test_a_ledger_has_whole_versions_and_a_batch_counts_once(spark, tmp_path):
-    ledger, source = str(tmp_path / "ledger"), tmp_path / "in"
-    schema = "id long, v string"
-    for part, rows in enumerate(([(1, "a"), (1, "b"), (2, "c")], [(2, "d"), (3, "e")])):
+LEDGER = "id long, first_seen long, last_seen long, v string"
+
+
+def test_a_stream_accumulates_into_a_ledger_once(spark, tmp_path):
+    schema, source = "id long, v string", tmp_path / "in"
+    ledger = bucketed.BucketedTable.create(spark, str(tmp_path / "ledger"), LEDGER, ["id"], 64)
+    for part, rows in enumerate(([(1, "a"), (1, "b"), (2, "c"), (None, "x")], [(2, "d"), (3, "e")])):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(source / str(part)))
         stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(source))
-        streams.accumulate(spark, stream, ledger, "id", ["v"], str(tmp_path / "ck"))
-    assert got(sinks.current(spark, ledger), "id", "first_seen", "last_seen", "v") == [(1, 0, 0, "b"), (2, 0, 1, "d"), (3, 1, 1, "e")]
-    assert sinks.publish(spark.createDataFrame([(9, 0, 0, "x")], "id long, first_seen long, last_seen long, v string"), ledger, number=1) == 1
-    assert sinks.current(spark, ledger).count() == 3
+        streams.accumulate(stream, ledger, "id", ["v"], str(tmp_path / "ck"))
+    want = [(1, 0, 0, "b"), (2, 0, 1, "d"), (3, 1, 1, "e")]
+    assert got(ledger.read(), "id", "first_seen", "last_seen", "v") == want
+    # The same batches from the start: the ledger knows them.
+    streams.accumulate(stream, ledger, "id", ["v"], str(tmp_path / "another"))
+    assert got(ledger.read(), "id", "first_seen", "last_seen", "v") == want and ledger.versions() == [0, 1, 2]
+
+
+def upserted(old, new):
+    return merge.upsert(old, new, ["id"], ["v"])
+
+
+def test_a_merge_rewrites_the_buckets_of_its_keys(spark, tmp_path):
+    table = bucketed.BucketedTable.create(spark, str(tmp_path / "t"), "id long, v string", ["id"], 32)
+    with pytest.raises(bucketed.Conflict):
+        bucketed.BucketedTable.create(spark, str(tmp_path / "t"), "id long, v string", ["id"], 32)
+    assert table.read().count() == 0
+    rows = lambda *x: spark.createDataFrame(list(x), "id long, v string")
+    first = table.merge(spark.range(1000).select("id", F.lit("old").alias("v")), upserted)
+    assert first["version"] == 1 and len(first["touched"]) == 32
+    second = table.merge(rows((3, "new"), (2000, "new"), (5, None)), upserted)
+    before, after = table.record(1)["files"], table.record(2)["files"]
+    changed = {int(b) for b in after if after[b] != before.get(b)}
+    assert changed == set(second["touched"]) and 1 <= len(changed) <= 3
+    assert table.read().count() == 1001 and got(table.read().where("v = 'new'"), "id", "v") == [(2000, "new"), (3, "new")]
+    assert table.read(1).where("v = 'new'").count() == 0
+    # All rows of a bucket go; nothing touches nothing; a key that `how` makes up is refused.
+    gone = table.merge(rows((3, "")), lambda old, new: old.where("false"))
+    assert str(gone["touched"][0]) not in table.record(3)["files"]
+    assert table.merge(rows(), upserted)["version"] == 3
+    with pytest.raises(bucketed.Refused, match="other buckets"):
+        table.merge(rows((4, "x")), lambda old, new: old.unionByName(rows(*((i, "y") for i in range(50)))))
+    assert table.versions() == [0, 1, 2, 3]
+    assert table.vacuum(keep=2, idle_seconds=3600) == [] and table.versions() == [2, 3]
+    table.merge(rows(*((i, "all") for i in range(400))), upserted)  # every bucket: the three drafts before are named by no record
+    assert len(table.vacuum(keep=1, idle_seconds=0)) == 3 and table.versions() == [4] and table.read().where("v = 'all'").count() == 400
+    with pytest.raises(ValueError, match="no version 1"):
+        table.read(1)
+
+
+def test_of_two_writers_of_a_bucket_one_is_refused(spark, tmp_path):
+    one = bucketed.BucketedTable.create(spark, str(tmp_path / "t"), "id long, v string", ["id"], 8)
+    other = bucketed.BucketedTable(spark, str(tmp_path / "t"))
+    one.merge(spark.range(100).select("id", F.lit("old").alias("v")), upserted)
+    bucket = {r["id"]: r["b"] for r in spark.range(100).select("id", F.pmod(F.xxhash64("id"), F.lit(8)).alias("b")).collect()}
+    same = next(i for i in range(1, 100) if bucket[i] == bucket[0])
+    apart = next(i for i in range(1, 100) if bucket[i] != bucket[0])
+    rows = lambda i, v: spark.createDataFrame([(i, v)], "id long, v string")
+
+    def meanwhile(i):
+        def how(old, new):
+            other.merge(rows(i, "theirs"), upserted)
+            return upserted(old, new)
+
+        return how
+
+    assert one.merge(rows(0, "mine"), meanwhile(apart))["version"] == 3  # after the other's version 2, whose rows stay
+    assert got(one.read().where("v <> 'old'"), "id", "v") == sorted([(0, "mine"), (apart, "theirs")])
+    with pytest.raises(bucketed.Conflict):
+        one.merge(rows(0, "mine again"), meanwhile(same))
+    assert got(one.read().where("v <> 'old'"), "id", "v") == sorted([(0, "mine"), (apart, "theirs"), (same, "theirs")])
+    assert one.read().count() == 100
+    drafts = {f.split("/")[0] for v in one.versions() for f in one.record(v)["files"].values()}
+    assert set(one._list("data")) == drafts  # the refused draft is gone
+
+
+def test_checks_are_counted_while_a_version_is_written(spark, tmp_path):
+    table = bucketed.BucketedTable.create(spark, str(tmp_path / "t"), "id long, v string", ["id"], 4)
+    checks = {"has value": F.col("v").isNotNull(), "short": F.length("v") < 4}
+    rows = spark.createDataFrame([(1, "ok"), (2, None), (3, "long one"), (None, "key")], "id long, v string")
+    with pytest.raises(bucketed.Refused, match="'has value': 1, 'short': 2"):
+        table.merge(rows, lambda old, new: new, checks=checks)
+    assert table.versions() == [0] and table._list("data") == []
+    done = table.merge(rows, lambda old, new: new, checks=checks, strict=False)
+    assert done["violations"] == {"has value": 1, "short": 2} and table.read().count() == 4
+
+
+def test_a_numbered_version_is_published_once(spark, tmp_path):
+    path = str(tmp_path / "p")
+    assert sinks.publish(spark.range(3), path, number=1) == 1
+    assert sinks.publish(spark.range(9), path, number=1) == 1 and sinks.current(spark, path).count() == 3
 
 
 def test_publish_verifies_and_prunes(spark, tmp_path):
