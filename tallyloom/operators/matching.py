@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from difflib import SequenceMatcher
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.scalar import norm_text
+from tallyloom.operators.fuzzy import fuzzy_best
+from tallyloom.sources.scratch import written
 
 # Similarity from which a name may match, by how much the next name must be worse, quality of each way.
 FUZZY, MARGIN = 0.72, 0.08
 EXACT, CODE, WORD_CODE, CONTAINED = 1.0, 0.97, 0.9, 0.93
-#: Names of a catalog that travel to every task for the fuzzy step; a larger one is refused.
-MOST_NAMES = 20_000
 
 
 def _unique(df: DataFrame, key: str) -> DataFrame:
@@ -24,44 +21,6 @@ def _unique(df: DataFrame, key: str) -> DataFrame:
     return df.where(F.length(key) > 0).groupBy(key).agg(F.max("id").alias("id"))
 
 
-def fuzzy_best(texts: DataFrame, names: DataFrame, cutoff: float = FUZZY, margin: float = MARGIN) -> DataFrame:
-    """text, id, quality and method of every row of texts (text): the most similar name, if near and clear enough.
-
-    names (name, id) is a catalog of up to MOST_NAMES entries, which is checked. The similarity is that of matching blocks; a bound by
-    the lengths and the letters in common spares most of it. method is fuzzy, or none with quality null: `far` and `close`
-    (another id is within the margin) are in `reason`.
-    """
-    catalog = sorted(((r["name"], r["id"]) for r in names.select("name", "id").limit(MOST_NAMES + 1).collect()), key=lambda x: (x[0], str(x[1])))
-    if len(catalog) > MOST_NAMES:
-        raise ValueError(f"a catalog of over {MOST_NAMES} names")
-    kind = names.schema["id"].dataType.simpleString()
-
-    def best(text: str) -> tuple:
-        found: dict = {}
-        least = 0.0
-        for name, own in catalog:
-            m = SequenceMatcher(None, text, name)
-            if m.real_quick_ratio() < least or m.quick_ratio() < least:
-                continue
-            ratio = m.ratio()
-            if ratio > found.get(own, -1.0):
-                found[own] = ratio
-                least = sorted(found.values())[-2] if len(found) > 1 else 0.0  # only the best two ids matter
-        ranked = sorted(found.items(), key=lambda x: (-x[1], str(x[0])))
-        if not ranked or ranked[0][1] < cutoff:
-            return None, None, "far"
-        if len(ranked) > 1 and ranked[0][1] - ranked[1][1] < margin:
-            return None, None, "close"
-        return ranked[0][0], round(ranked[0][1], 3), None
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [best(t) for t in pdf["text"]]
-            yield pd.DataFrame({"text": pdf["text"], "id": pd.Series([r[0] for r in rows], dtype=object), "quality": pd.Series([r[1] for r in rows], dtype="float64"), "reason": [r[2] for r in rows]})
-
-    return texts.select("text").distinct().mapInPandas(run, f"text string, id {kind}, quality double, reason string")
-
-
 def _contained(texts: DataFrame, names: DataFrame) -> DataFrame:
     """text and the names (id) that it contains: both meet by the name's first three characters, then as a whole."""
     starts = names.withColumn("start", F.substring("name", 1, 3)).where(F.length("name") >= 3)
@@ -77,12 +36,12 @@ def match_names(rows: DataFrame, text: str, catalog: DataFrame, least_chars: int
     catalog has id, name and, with codes, code; both sides are normalised (upper case, A-Z and 0-9). The first way that
     finds an entry counts: the whole name; the whole text as a code, then its first word that is one; the one name that
     the text contains (several: none, `ambiguous`); the most similar name by a margin. Shorter texts are `short`; an empty
-    catalog is `empty`. Every step but the last is an equi-join on distinct texts; nothing is compared all with all.
+    catalog is `empty`. Every step but the last is an equi-join on distinct texts; the last is fuzzy_best().
     """
-    spark = rows.sparkSession
     normal = rows.withColumn("_text", norm_text(F.col(text)))
-    texts = normal.select(F.col("_text").alias("text")).where(F.length("_text") >= least_chars).distinct()
-    named = catalog.select("id", norm_text(F.col("name")).alias("name"), *([norm_text(F.col("code")).alias("code")] if codes else []))
+    # Every step reads the distinct texts and the catalog: both are written once.
+    texts = written(normal.select(F.col("_text").alias("text")).where(F.length("_text") >= least_chars).distinct(), "texts")
+    named = written(catalog.select("id", norm_text(F.col("name")).alias("name"), *([norm_text(F.col("code")).alias("code")] if codes else [])), "catalog")
     names = _unique(named, "name")
     steps = [texts.join(names.withColumnRenamed("name", "text"), "text").select("text", "id", F.lit(EXACT).alias("quality"), F.lit("exact").alias("method"), F.lit(1).alias("place"), F.lit(None).cast("string").alias("reason"))]
     if codes:
@@ -96,8 +55,9 @@ def match_names(rows: DataFrame, text: str, catalog: DataFrame, least_chars: int
         steps.append(inside.select("text", F.when(F.col("n") == 1, F.col("id")).alias("id"), F.when(F.col("n") == 1, CONTAINED), F.when(F.col("n") == 1, "contains").otherwise("none"), F.lit(4), F.when(F.col("n") > 1, "ambiguous")))
     found = reduce(DataFrame.union, steps)
     if fuzzy:
+        found = written(found, "found")
         rest = texts.join(found.select("text").distinct(), "text", "left_anti")
-        near = fuzzy_best(rest, names)
+        near = fuzzy_best(rest, names, FUZZY, MARGIN)
         found = found.union(near.select("text", "id", "quality", F.when(F.col("id").isNotNull(), "fuzzy").otherwise("none"), F.lit(5), "reason"))
     best = found.groupBy("text").agg(F.min_by(F.struct("id", "quality", "method", "reason"), "place").alias("m"))
     empty = names.limit(1).count() == 0

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from tallyloom.functions import scalar as sc
-from tallyloom.operators import matching, vectors
+from tallyloom.operators import fuzzy, matching, vectors
 from tallyloom.plans.registry import query
 from tallyloom.sources.tables import first_match, unwrap_js
 
@@ -451,7 +451,7 @@ def udf_ratio(t):
 def fuzzy_match_margin(t):
     """ER-02: the best name if it is near enough (0.72) and by a margin (0.08) nearer than the next, else none."""
     asked = t.nation.select(F.col("n_nationkey").alias("asked"), F.substring(F.lower("n_name"), 2, 20).alias("text"))
-    found = matching.fuzzy_best(asked, t.nation.select(F.lower("n_name").alias("name"), F.col("n_nationkey").alias("id")))
+    found = fuzzy.fuzzy_best(asked, t.nation.select(F.lower("n_name").alias("name"), F.col("n_nationkey").alias("id")), matching.FUZZY, matching.MARGIN)
     return asked.join(found, "text").select("asked", F.col("id").alias("found"), "reason")
 
 

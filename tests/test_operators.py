@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import scalar as sc
-from tallyloom.operators import joins, matching, merge, sequence, stints, vectors, workflow
+from tallyloom.operators import fuzzy, joins, matching, merge, sequence, stints, vectors, workflow
 from tallyloom.sources import bucketed, nested, paged, sinks, tables
 from tallyloom.streaming import streams, tracks
 
@@ -275,6 +275,54 @@ def test_names_match_as_in_a_plain_version(spark, contained):
     assert {r["reason"] for r in none.collect()} == {"short", "empty"}
 
 
+def noisy(rng, name, alphabet):
+    t = list(name)
+    for _ in range(rng.randint(0, 4)):
+        k = rng.randrange(len(t) + 1)
+        t[k : k + rng.randint(0, 1)] = rng.choice(alphabet + " ")
+    return "".join(t)
+
+
+def plain_fuzzy(text, catalog):
+    best = {}
+    for n, i in catalog:
+        if n:
+            best[i] = max(best.get(i, 0), difflib.SequenceMatcher(None, text, n).ratio())
+    ranked = sorted(best.items(), key=lambda x: (-x[1], str(x[0])))
+    if not ranked or ranked[0][1] < 0.72:
+        return None, None, "far"
+    if len(ranked) > 1 and ranked[0][1] - ranked[1][1] < 0.08:
+        return None, None, "close"
+    return ranked[0][0], round(ranked[0][1], 3), None
+
+
+@pytest.mark.parametrize(("alphabet", "block"), [("ABCDEFGH", 16_384), ("abé日😀xyz", 50), ("AB", 16_384)])
+def test_the_most_similar_name_is_that_of_all_pairs(spark, monkeypatch, alphabet, block):
+    monkeypatch.setattr(fuzzy, "BLOCK_NAMES", block)
+    monkeypatch.setattr(fuzzy, "BLOCK_TEXTS", block // 2)
+    rng = random.Random(block)
+    word = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
+    names = [" ".join(word(rng.randint(1, 9)) for _ in range(rng.randint(1, 3))) for _ in range(260)] + [word(70), word(250), "A", "AB"]
+    catalog = [(n, i // 2) for i, n in enumerate(names)] + [(names[3], 900), (None, 901), ("", 902)]
+    texts = [noisy(rng, rng.choice(names), alphabet) for _ in range(150)] + [word(80), "Q", names[3], names[-4][:60] + word(20)]
+    frame = spark.createDataFrame([(t,) for t in [*texts, texts[0], "", None]], "text string")
+    found = fuzzy.fuzzy_best(frame, spark.createDataFrame(catalog, "name string, id int"), 0.72, 0.08).collect()
+    assert {r["text"]: (r["id"], r["quality"], r["reason"]) for r in found} == {t: plain_fuzzy(t, catalog) for t in texts if t} and len(found) == len({t for t in texts if t})
+    assert fuzzy.fuzzy_best(frame, spark.createDataFrame([], "name string, id int"), 0.72, 0.08).where("reason <> 'far'").count() == 0
+
+
+def test_few_of_many_names_are_measured():
+    rng = random.Random(1)
+    syllables = [a + b + c for a in "BDFGKLMNPRST" for b in "AEIOU" for c in "NRSTLX"]
+    names = sorted({" ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))) for _ in range(2)) for _ in range(20_000)})
+    block = fuzzy.Names(names, list(range(len(names))))
+    measured = 0
+    for _ in range(20):
+        text = noisy(rng, rng.choice(names), "ABCDEF")
+        measured += block.best_two(text, 0.64)[1]
+    assert measured < 20 * len(names) / 1000
+
+
 def test_leases(spark):
     rng = random.Random(2)
     rows = [(f"r{rng.randrange(3)}", float(rng.randrange(300)), f"w{rng.randrange(3)}", rng.choice(["acquire", "acquire", "heartbeat", "release", "reap", "odd"])) for _ in range(300)]
