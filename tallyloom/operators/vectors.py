@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.operators.sequence import fold_sorted
+from tallyloom.sources.scratch import written
 
 #: Rows of a block: two of them and their products are what a task holds.
 BLOCK = 2048
@@ -19,7 +20,7 @@ def doubles(column: str) -> Column:
     return F.transform(column, lambda x: x.cast("double"))
 
 
-def in_blocks(left: DataFrame, right: DataFrame, compare: Callable, schema: str, half: bool = False) -> DataFrame:
+def in_blocks(left: DataFrame, right: DataFrame, compare: Callable, schema: str) -> DataFrame:
     """compare(left rows, right rows, products) of every block of left with every block of right, as one table.
 
     Both sides have id, label and v (array<double>), all of one length; null vectors take no part. A block is a hash of the
@@ -32,9 +33,9 @@ def in_blocks(left: DataFrame, right: DataFrame, compare: Callable, schema: str,
         n = max(1, -(-clean.count() // BLOCK))
         sides.append((clean.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")), n))
     (a, n_a), (b, n_b) = sides
-    every = lambda n, least=F.lit(0): F.explode(F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda x: x >= least))
-    a = a.withColumn("lb", F.col("own")).withColumn("rb", every(n_b, F.col("own") if half else F.lit(0)))
-    b = b.withColumn("rb", F.col("own")).withColumn("lb", every(n_a)).where("lb <= rb" if half else "true")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = a.withColumn("lb", F.col("own")).withColumn("rb", every(n_b))
+    b = b.withColumn("rb", F.col("own")).withColumn("lb", every(n_a))
 
     def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
@@ -44,9 +45,9 @@ def in_blocks(left: DataFrame, right: DataFrame, compare: Callable, schema: str,
     return a.groupBy("lb", "rb").cogroup(b.groupBy("lb", "rb")).applyInPandas(meet, schema)
 
 
-def _unit(v: Column) -> Column:
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(v, lambda x: x / norm)
+def _units(pdf: pd.DataFrame) -> np.ndarray:
+    v = np.stack(pdf["v"].to_list())
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
 def top_k(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
@@ -79,32 +80,133 @@ def best_per_class(queries: DataFrame, rows: DataFrame) -> DataFrame:
     return in_blocks(queries, rows, best, "query_id long, label int, best double").groupBy("query_id", "label").agg(F.round(F.max("best"), 6).alias("best"))
 
 
+#: Pivots of a group at most, expected: its vectors are dealt to the nearest, and blocks of far pivots never meet.
+PIVOTS = 512
+#: What rounding to six digits and the sums of products may add to an angle.
+_SLACK = 1e-5
+
+
+def _dealt(rows: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
+    """The unit vectors with the pivot that is nearest, and of each pivot (group, cell) its vector, radius and blocks.
+
+    A group has a pivot for BLOCK rows, up to about PIVOTS of them: rows whose hash says so, of which there are as many as
+    the group is large, however large it is. Vectors without a direction take no part.
+    """
+    finite = F.forall("v", lambda x: F.abs(x) < float("inf")) & F.exists("v", lambda x: x != 0)
+    clean = rows.where(F.col("id").isNotNull() & finite & F.col(group).isNotNull()).select("id", "label", F.col(group).alias("grp"), "v")
+    sizes = clean.groupBy("grp").agg(F.count("*").alias("n"))
+    every = F.greatest(F.lit(BLOCK), F.ceil(F.col("n") / PIVOTS)).cast("long")
+    sized = written(clean.join(sizes, "grp").withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("n") / (16 * BLOCK)).cast("int")).cast("int")), "units")
+    # The vector of the least hash stands in where no other is a pivot.
+    draw = F.pmod(F.xxhash64("id", F.lit(2)), every)
+    drawn = sized.where(draw == 0).select("grp", "id", "v")
+    first = sized.groupBy("grp").agg(F.min_by(F.struct("id", "v"), F.struct(F.xxhash64("id", F.lit(2)), "id")).alias("p")).select("grp", "p.id", "p.v")
+    pivots = drawn.unionByName(first).dropDuplicates(["grp", "id"])
+    parts = sizes.select("grp", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / (16 * BLOCK)).cast("int") - 1)).alias("part"))
+
+    def assign(x: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        if not len(x):
+            return pd.DataFrame({c: pd.Series(dtype="float64") for c in ("grp", "id", "label", "v", "cell", "angle")})
+        p, u = p.sort_values("id"), _units(x)
+        s = u @ _units(p).T
+        at = s.argmax(1)
+        angle = np.arccos(np.clip(s[np.arange(len(s)), at], -1, 1))
+        return x[["grp", "id", "label"]].assign(v=list(u), cell=p["id"].to_numpy()[at], angle=angle)
+
+    kind = rows.schema[group].dataType.simpleString()
+    beside = pivots.join(parts, "grp").select(*(F.col(c).alias(c) for c in ("grp", "part", "id", "v")))
+    left, right = sized.groupBy("grp", "part"), beside.groupBy("grp", "part")
+    dealt = written(left.cogroup(right).applyInPandas(assign, f"grp {kind}, id long, label int, v array<double>, cell long, angle double"), "cells")
+    cells = dealt.groupBy("grp", "cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n"))
+    cells = cells.join(pivots.select("grp", F.col("id").alias("cell"), "v"), ["grp", "cell"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    return dealt, cells
+
+
+def _meeting(cells: DataFrame, least: float) -> DataFrame:
+    """grp and the cells (a, b) whose vectors can reach a cosine of `least`, each pair once, with their numbers of blocks."""
+    reach = float(np.arccos(np.clip(least - 1e-6, -1, 1))) + _SLACK
+    kind = cells.schema["grp"].dataType.simpleString()
+
+    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("cell", ignore_index=True)
+        v, r = _units(pdf), pdf["radius"].to_numpy()
+        angle = np.arccos(np.clip(v @ v.T, -1, 1))
+        i, j = np.nonzero(np.triu(angle - r[:, None] - r <= reach))
+        cell, blocks = pdf["cell"].to_numpy(), pdf["blocks"].to_numpy()
+        return pd.DataFrame({"grp": pdf["grp"].iloc[0], "a": cell[i], "b": cell[j], "na": blocks[i], "nb": blocks[j]})
+
+    return cells.groupBy("grp").applyInPandas(pairs, f"grp {kind}, a long, b long, na int, nb int")
+
+
+def block_pairs(rows: DataFrame, least: float, group: str) -> tuple[int, int]:
+    """How many pairs of blocks similar_pairs() compares, and how many there are."""
+    _, cells = _dealt(rows, group)
+    met = _meeting(cells, least).agg(F.coalesce(F.sum(F.when(F.col("a") == F.col("b"), F.col("na") * (F.col("na") + 1) / 2).otherwise(F.col("na") * F.col("nb"))), F.lit(0))).first()[0]
+    of = cells.groupBy("grp").agg(F.sum("blocks").alias("k")).agg(F.coalesce(F.sum(F.col("k") * (F.col("k") + 1) / 2), F.lit(0))).first()[0]
+    return int(met), int(of)
+
+
+def _near_blocks(rows: DataFrame, least: float, group: str, compare: Callable, schema: str) -> DataFrame:
+    """compare() of all blocks of each group that can hold a pair of `least`: rows of both sides and their cosines.
+
+    Each pair of blocks meets once; a block is copied once for every block that it meets.
+    """
+    dealt, cells = _dealt(rows, group)
+    met = _meeting(cells, least)
+    ks = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    met = met.withColumn("ka", ks("na")).withColumn("kb", ks("nb")).where("a <> b or ka <= kb").select("grp", "a", "b", "ka", "kb")
+    placed = dealt.join(cells.select("grp", "cell", "blocks"), ["grp", "cell"]).withColumn("k", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
+    placed = placed.select("grp", "cell", "k", "id", "label", "v")
+    side = lambda cell, k: placed.select("grp", F.col("cell").alias(cell), F.col("k").alias(k), *(F.col(c).alias(c) for c in ("id", "label", "v"))).join(met, ["grp", cell, k])
+    left, right = side("a", "ka"), side("b", "kb")
+    left, right = (x.select(*(F.col(c).alias(c) for c in ("grp", "a", "ka", "b", "kb", "id", "label", "v"))) for x in (left, right))
+
+    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({c.split()[0]: pd.Series(dtype="float64") for c in schema.split(", ")})
+        return compare(x, y, np.stack(x["v"].to_list()) @ np.stack(y["v"].to_list()).T)
+
+    keys = ["grp", "a", "ka", "b", "kb"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, schema)
+
+
 def similar_pairs(rows: DataFrame, least: float) -> DataFrame:
-    """SIM-05: id, other (id < other) and sim (cosine, 6 digits) of all pairs of one label that reach `least`."""
+    """SIM-05: id, other (id < other) and sim (cosine, 6 digits) of all pairs of one label that reach `least`.
+
+    Labels are compared within themselves. A label's vectors are dealt to the nearest of its pivots; two pivots' blocks meet
+    only if their angle less both radii allows the similarity, so that clustered vectors meet few others. Rows without an
+    id, label, vector or direction take no part.
+    """
 
     def near(x: pd.DataFrame, y: pd.DataFrame, s: np.ndarray) -> pd.DataFrame:
         s, a, b = np.round(s, 6), x["id"].to_numpy(), y["id"].to_numpy()
-        i, j = np.nonzero((s >= least) & (x["label"].to_numpy()[:, None] == y["label"].to_numpy()[None, :]))
+        i, j = np.nonzero(s >= least)
         out = pd.DataFrame({"id": np.minimum(a[i], b[j]), "other": np.maximum(a[i], b[j]), "sim": s[i, j]})
-        return out[out["id"] != out["other"]].drop_duplicates()
+        return out[out["id"] != out["other"]].drop_duplicates(["id", "other"])
 
-    unit = rows.withColumn("v", _unit(F.col("v")))
-    return in_blocks(unit, unit, near, "id long, other long, sim double", half=True).distinct()
+    return _near_blocks(rows, least, "label", near, "id long, other long, sim double")
 
 
 def nearest_of_other_classes(rows: DataFrame, least: float) -> DataFrame:
-    """SIM-05: id, other and sim of each vector's most similar one of another label, if it reaches `least`; ties to larger ids."""
+    """SIM-05: id, other and sim of each vector's most similar one of another label, if it reaches `least`; ties to larger ids.
 
-    def near(x: pd.DataFrame, y: pd.DataFrame, s: np.ndarray) -> pd.DataFrame:
-        b = y["id"].to_numpy()
-        order = np.argsort(b, kind="stable")
-        s = np.where(x["label"].to_numpy()[:, None] == y["label"].to_numpy()[None, :], -np.inf, np.round(s, 6))[:, order]
-        at = s.shape[1] - 1 - np.argmax(s[:, ::-1], axis=1)
-        best = s[np.arange(len(s)), at]
-        return pd.DataFrame({"id": x["id"].to_numpy(), "other": b[order][at], "sim": best})[best >= least]
-
-    unit = rows.withColumn("v", _unit(F.col("v")))
-    found = in_blocks(unit, unit, near, "id long, other long, sim double")
+    As similar_pairs(), over the vectors of all labels at once.
+    """
+
+    def best(x: pd.DataFrame, y: pd.DataFrame, s: np.ndarray) -> pd.DataFrame:
+        s = np.where(x["label"].to_numpy()[:, None] == y["label"].to_numpy()[None, :], -np.inf, np.round(s, 6))
+        parts = []
+        for one, other, t in ((x, y, s), (y, x, s.T)):
+            ids = other["id"].to_numpy()
+            order = np.argsort(ids, kind="stable")
+            t = t[:, order]
+            at = t.shape[1] - 1 - np.argmax(t[:, ::-1], axis=1)
+            parts.append(pd.DataFrame({"id": one["id"].to_numpy(), "other": ids[order][at], "sim": t[np.arange(len(t)), at]}))
+        out = pd.concat(parts)
+        return out[out["sim"] >= least]
+
+    labelled = rows.where("label is not null").withColumn("all", F.lit(0))
+    found = _near_blocks(labelled, least, "all", best, "id long, other long, sim double")
     return found.groupBy("id").agg(F.max(F.struct("sim", "other")).alias("m")).select("id", "m.other", "m.sim")
 
 

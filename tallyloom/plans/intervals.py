@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import scalar as sc
 from tallyloom.operators import sequence as seq
-from tallyloom.operators import vectors
+from tallyloom.operators import roles, vectors
 from tallyloom.operators.joins import asof_join, range_join
 from tallyloom.plans.registry import query
 from tallyloom.plans.temporal import _E, _events
@@ -157,3 +157,41 @@ def role_assignment(t):
     sums = t.events.where(F.col("event_type").isin(*kinds)).groupBy("user_id").agg(*(F.round(F.sum(F.when(F.col("event_type") == k, F.col("value"))), 3).alias(k) for k in kinds)).dropna()
     options = F.array(*(F.struct(F.round(sum(F.col(k) * (i + 1) for i, k in enumerate(order)), 3).alias("total"), F.lit(",".join(order)).alias("roles")) for order in permutations(kinds)))
     return sums.select("user_id", F.array_max(options)["roles"].alias("roles"))
+
+
+_ROLES = ("Tank",) * 2 + ("Damage",) * 5 + ("Support",) * 5
+_SLOT_READS = f"""c AS (SELECT vec_id, i // 12 AS slot, 'h' || lpad((i % 12)::VARCHAR, 2, '0') AS value, [{", ".join(f"'{r}'" for r in _ROLES)}][i % 12 + 1] AS role,
+    round(embedding[i + 1]::DOUBLE * 2 + 0.4, 6) AS score FROM embeddings, range(60) r(i) WHERE embedding[i + 1] IS NOT NULL),
+  k AS (SELECT *, row_number() OVER (PARTITION BY vec_id, slot ORDER BY score DESC, value) AS n, score - lead(score) OVER (PARTITION BY vec_id, slot ORDER BY score DESC, value) AS margin FROM c),
+  reads AS (SELECT vec_id, slot, CASE WHEN score >= 0.55 AND margin >= 0.03 THEN value END AS value, score FROM k WHERE n = 1)"""
+
+# One slot after the other, with all choices that are still legal.
+_STEPS = " ".join(
+    f"""p{i + 1} AS (SELECT p.vec_id, v || [value] AS v, s || [score] AS s, r || [role] AS r, total + score AS total FROM p{i} p
+    JOIN a ON p.vec_id = a.vec_id AND a.slot = {i} AND NOT list_contains(v, value)
+    WHERE len(list_filter(r || [role], lambda x: x = role)) <= CASE role WHEN 'Tank' THEN 1 ELSE 2 END),"""
+    for i in range(1, 5)
+)
+
+
+@query("role_line_ups", f"""WITH {_SLOT_READS},
+  a AS (SELECT vec_id, slot, value, role, score FROM c QUALIFY row_number() OVER (PARTITION BY vec_id, slot, role ORDER BY score DESC, value) <= 4),
+  p1 AS (SELECT vec_id, [value] AS v, [score] AS s, [role] AS r, 0.0::DOUBLE + score AS total FROM a WHERE slot = 0),
+  {_STEPS}
+  best AS (SELECT * FROM p5 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(total, 9) DESC, v) = 1),
+  o AS (SELECT b.vec_id, i AS slot, v[i + 1] AS pick, r[i + 1] AS role, s[i + 1] AS score, reads.value AS seen, reads.score AS seen_score FROM best b, range(5) t(i), reads WHERE reads.vec_id = b.vec_id AND reads.slot = i),
+  z AS (SELECT *, CASE WHEN pick = seen THEN 'direct' WHEN seen IS NOT NULL THEN 'role-corrected' WHEN score >= 0.3 THEN 'role-inferred' ELSE 'unresolved' END AS source FROM o),
+  y AS (SELECT vec_id, CASE WHEN bool_or(source = 'role-corrected' AND seen_score >= 0.55) THEN 'overruled' WHEN bool_or(source = 'unresolved') THEN 'incomplete' END AS anomaly,
+    avg(score) FILTER (source <> 'unresolved') AS confidence FROM z GROUP BY 1)
+  SELECT vec_id, slot::INTEGER AS slot, CASE WHEN source = 'unresolved' THEN 'UNKNOWN' ELSE pick END AS value, role, source, anomaly IS NULL AS valid, anomaly, score, round(confidence, 6) AS confidence FROM z JOIN y USING (vec_id)""")
+def role_line_ups(t):
+    """ARR-02: a vector scores twelve values for each of five slots; the best line-up of one tank, two damage and two support."""
+    at = t.embeddings.select("vec_id", F.posexplode("embedding").alias("i", "x")).where("i < 60 and x is not null")
+    value = F.concat(F.lit("h"), F.lpad((F.col("i") % 12).cast("string"), 2, "0"))
+    role = F.get(F.array(*map(F.lit, _ROLES)), F.col("i") % 12)
+    scored = at.select("vec_id", F.floor(F.col("i") / 12).cast("int").alias("slot"), value.alias("value"), role.alias("role"), F.round(F.col("x").cast("double") * 2 + 0.4, 6).alias("score"))
+    w = Window.partitionBy("vec_id", "slot").orderBy(F.desc("score"), "value")
+    ranked = scored.withColumns({"n": F.row_number().over(w), "margin": F.col("score") - F.lead("score").over(w)}).where("n = 1")
+    reads = ranked.select("vec_id", "slot", F.when((F.col("score") >= 0.55) & (F.col("margin") >= 0.03), F.col("value")).alias("value"), "score")
+    found = roles.line_ups(reads, scored, "vec_id")
+    return found.withColumn("confidence", F.round("confidence", 6))

@@ -1,15 +1,17 @@
 """Operators on literal rows: nulls, ties, boundaries and state."""
 
 import difflib
+import itertools
 import json
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import scalar as sc
-from tallyloom.operators import fuzzy, joins, matching, merge, sequence, stints, vectors, workflow
+from tallyloom.operators import fuzzy, joins, matching, merge, roles, sequence, stints, vectors, workflow
 from tallyloom.sources import bucketed, nested, paged, sinks, tables
 from tallyloom.streaming import streams, tracks
 
@@ -323,6 +325,39 @@ def test_few_of_many_names_are_measured():
     assert measured < 20 * len(names) / 1000
 
 
+def test_line_ups_equal_all_combinations(spark):
+    rng = random.Random(6)
+    role = {f"h{i}": ["Tank", "Damage", "Damage", "Support"][i % 4] for i in range(11)}
+    reads, able, want = [], [], {}
+    for k in range(40):
+        slots = 4 if k == 0 else 5
+        cand = {s: [(h, role[h], rng.choice([0.1, 0.2, 0.4, 0.5, 0.7, 0.9])) for h in rng.sample(sorted(role), 6 if k % 7 else 2)] for s in range(slots)}
+        seen = {s: max(c, key=lambda x: x[2]) for s, c in cand.items()}
+        seen = {s: (v if x >= 0.5 else None, x) for s, (v, _, x) in seen.items()}
+        reads += [(k, s, v, x) for s, (v, x) in seen.items()]
+        able += [(k, s, v, r, x) for s, c in cand.items() for v, r, x in c]
+        legal = []
+        for picks in itertools.product(*cand.values()):
+            count = Counter(r for _, r, _ in picks)
+            if slots == 5 and len({v for v, *_ in picks}) == 5 and count == {"Tank": 1, "Damage": 2, "Support": 2}:
+                legal.append((-round(sum(x for *_, x in picks), 9), tuple(v for v, *_ in picks)))
+        want[k] = min(legal)[1] if legal else "slots" if slots == 4 else "no assignment"
+    found = roles.line_ups(spark.createDataFrame([*reads, (None, 1, "h1", 0.5)], "k int, slot int, value string, score double"), spark.createDataFrame([*able, (1, 0, "zz", "Other", 9.0), (1, None, "h0", "Tank", 9.0)], "k int, slot int, value string, role string, score double"), "k")
+    got_rows = {}
+    for r in found.orderBy("k", "slot").collect():
+        got_rows.setdefault(r["k"], []).append(r)
+    seen = {(k, s): (v, x) for k, s, v, x in reads}
+    assert set(got_rows) == set(want) and {"slots", "no assignment", "overruled", "incomplete", None} <= {r["anomaly"] for own in got_rows.values() for r in own}
+    for k, own in got_rows.items():
+        if isinstance(want[k], str):
+            assert {r["anomaly"] for r in own} == {want[k]} and not any(r["valid"] for r in own)
+            continue
+        for r, value in zip(own, want[k], strict=True):
+            read, _ = seen[k, r["slot"]]
+            assert r["role"] == role[value] and r["value"] in (value, "UNKNOWN")
+            assert r["source"] == ("direct" if read == value else "role-corrected" if read else "role-inferred" if r["score"] >= 0.3 else "unresolved")
+
+
 def test_leases(spark):
     rng = random.Random(2)
     rows = [(f"r{rng.randrange(3)}", float(rng.randrange(300)), f"w{rng.randrange(3)}", rng.choice(["acquire", "acquire", "heartbeat", "release", "reap", "odd"])) for _ in range(300)]
@@ -372,6 +407,31 @@ def test_blocks_give_what_all_pairs_give(spark, monkeypatch):
         assert [r["id"] for r in sorted(top, key=lambda r: r["rank"]) if r["query_id"] == q] == [i for _, i in sorted(s)[:3]]
 
 
+def test_similar_pairs_of_clusters_skip_most_pairs_of_blocks(spark, monkeypatch):
+    """Forty clusters, two labels, copies, a zero vector and nulls: the pairs of all pairs from few pairs of blocks."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16))
+    x = np.repeat(centres, 30, axis=0) + 0.05 * rng.normal(size=(1200, 16))
+    x[5] = x[4]
+    rows = [(i, None if i == 9 else int(i % 60 < 30), x[i].tolist()) for i in range(1200)] + [(1200, 1, [0.0] * 16), (1201, 1, None), (None, 1, x[0].tolist()), (1202, 1, [float("nan")] * 16), (1203, 1, [float("inf")] * 16)]
+    df = spark.createDataFrame(rows, "id long, label int, v array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 6)
+    label = np.array([-1 if i == 9 else int(i % 60 < 30) for i in range(1200)])
+    ok = label >= 0
+    near = np.triu((s >= 0.9) & (label[:, None] == label) & ok[:, None] & ok, 1)
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    found = vectors.similar_pairs(df, 0.9)
+    assert sorted((r["id"], r["other"]) for r in found.collect()) == sorted(zip(*(a.tolist() for a in np.nonzero(near)), strict=True)) and near.sum() > 10_000
+    held, of = vectors.block_pairs(df.where("label is not null"), 0.9, "label")
+    assert held < of / 4  # 640 of 3,027
+    # The nearest of the other label, if it is near enough at all.
+    other = np.where((label[:, None] != label) & ok[:, None] & ok, s, -2)
+    want = {i: (max(j for j in range(1200) if other[i, j] == other[i].max()), other[i].max()) for i in range(1200) if other[i].max() >= 0.3}
+    got_other = {r["id"]: (r["other"], r["sim"]) for r in vectors.nearest_of_other_classes(df, 0.3).collect()}
+    assert got_other == {i: (j, float(x)) for i, (j, x) in want.items()} and want
+
+
 def test_asof_takes_the_latest_before_and_none_before_the_first(spark):
     left = spark.createDataFrame([(1, 5), (1, 10), (1, 1), (2, 7)], "k int, t int")
     right = spark.createDataFrame([(1, 5, "x"), (1, 8, "y"), (3, 1, "z")], "k int, s int, v string")
