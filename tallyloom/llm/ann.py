@@ -1,18 +1,20 @@
 """Approximate nearest neighbours by balanced posting lists.
 
 Inner product becomes distance by one more dimension, sqrt(M^2 - |x|^2) with M the largest norm. Centroids are fitted on a
-bounded sample by balanced splitting; every row goes to its nearest centroid's list and, near a boundary, to those of
-further centroids within a distance ratio. Centroids are searched through an in-memory neighbour graph, by rows and by
-queries, at every size. A query reads the lists within a distance ratio of its nearest one; the ratio is tuned on the
-sample for a recall of TUNE_RECALL. It reads its nearest list first; the k-th score found there goes along to its other
+bounded sample by balanced splitting, as many as a list then has rows; every row goes to its nearest centroid's list and,
+near a boundary, to those of further centroids within a distance ratio. Centroids are searched through an in-memory
+neighbour graph, by rows and by queries, at every size. A query reads the lists within a distance ratio of its nearest one; both ratios are tuned on the
+sample for a recall of TUNE_RECALL at the fewest rows met. It reads its nearest list first; the k-th score found there goes along to its other
 lists, which return only rows that reach it. Lists and their queries are dealt out in blocks of bounded size, so a list of
 any length fits.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from functools import reduce
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -21,10 +23,10 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm._common import table, written
 
-#: Rows that the centroids are fitted on at most, and how many of them a list needs: at most SAMPLE / LIST_SAMPLE lists.
-SAMPLE, LIST_SAMPLE = 16_384, 8
-#: Rows in a list on average (more only beyond that many lists), lists of a row at most, distance ratio up to which a row is replicated.
-LIST_ROWS, REPLICAS, REPLICA_RATIO = 800, 4, 1.15
+#: Rows that the centroids are fitted on: LIST_SAMPLE of them a list, LEAST_SAMPLE at least (or all) and SAMPLE at most.
+SAMPLE, LEAST_SAMPLE, LIST_SAMPLE = 65_536, 16_384, 8
+#: Lists of a row at most, distance ratios up to which a row may be replicated: the sample says which is best.
+REPLICAS, REPLICA_RATIOS = 4, (1.005, 1.02, 1.05, 1.15)
 #: Share of the true neighbours within the sample that a query's lists must hold there.
 TUNE_RECALL = 0.965
 #: Rows and queries that meet in one block.
@@ -47,20 +49,19 @@ def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 def balanced_centroids(x: np.ndarray, lists: int, seed: int = 5) -> np.ndarray:
     """Splits the largest group in two halves by a balanced two-means until there are `lists` groups; their means."""
     rng = np.random.default_rng(seed)
-    groups = [np.arange(len(x))]
-    while len(groups) < lists:
-        groups.sort(key=len)
-        own = groups.pop()
-        if len(own) < 2:
-            groups.append(own)
-            break
+    groups = [(-len(x), 0, np.arange(len(x)))]  # a heap, the largest group first
+    born = 1
+    while len(groups) < lists and len(groups[0][2]) > 1:
+        own = heapq.heappop(groups)[2]
         a, b = x[rng.choice(own, 2, replace=False)]
         for _ in range(4):
             side = np.argsort(x[own] @ (b - a), kind="stable")
             left, right = own[side[: len(own) // 2]], own[side[len(own) // 2 :]]
             a, b = x[left].mean(0), x[right].mean(0)
-        groups += [left, right]
-    return np.stack([x[g].mean(0) for g in groups])
+        for part in (left, right):
+            heapq.heappush(groups, (-len(part), born, part))
+            born += 1
+    return np.stack([x[g].mean(0) for *_, g in sorted(groups, key=lambda g: g[1])])
 
 
 class Graph:
@@ -77,7 +78,7 @@ class Graph:
         for start in range(0, n, 1024):
             d = _distances(centroids[start : start + 1024], centroids)
             d[np.arange(len(d)), np.arange(start, start + len(d))] = np.inf
-            near[start : start + len(d)] = np.argsort(d, axis=1, kind="stable")[:, : near.shape[1]]
+            near[start : start + len(d)] = np.argpartition(d, near.shape[1] - 1, axis=1)[:, : near.shape[1]]
         cycle = rng.permutation(n).astype(np.int32)
         after = np.empty((n, 1), np.int32)
         after[cycle, 0] = np.roll(cycle, -1)
@@ -139,40 +140,55 @@ def _chosen(dist: np.ndarray, ratio: float) -> np.ndarray:
     return np.isfinite(dist) & (dist <= dist[:, :1] * ratio + 1e-12)
 
 
-def _lists_of(graph: Graph, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, list) of every list that each point is filed under, up to REPLICAS of a point."""
-    rows, lists = [], []
+def _lists_of(graph: Graph, x: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, list, distance against the nearest) of every list that each point is filed under, up to REPLICAS of a point."""
+    rows, lists, against = [], [], []
     for start in range(0, len(x), 1024):
-        found, dist = graph.search(x[start : start + 1024], REPLICAS)
-        row, at = np.nonzero(_chosen(dist, REPLICA_RATIO))
+        found, dist = (a[:, :REPLICAS] for a in graph.search(x[start : start + 1024], REPLICAS))
+        row, at = np.nonzero(_chosen(dist, ratio))
         rows.append(row + start)
         lists.append(found[row, at])
-    return np.concatenate(rows), np.concatenate(lists)
+        against.append(dist[row, at] / np.maximum(dist[row, 0], 1e-300))
+    return np.concatenate(rows), np.concatenate(lists), np.concatenate(against)
 
 
-def _tuned(graph: Graph, sample: np.ndarray, plain: np.ndarray, k: int) -> float:
-    """The least distance ratio at which the sample's lists hold TUNE_RECALL of its true neighbours."""
+def _tuned(graph: Graph, sample: np.ndarray, plain: np.ndarray, k: int) -> tuple[float, float]:
+    """The ratio up to which a row is filed again and that up to which a query reads lists: of those at which the sample's
+    lists hold TUNE_RECALL of its true neighbours, the ones by which a query meets the fewest rows."""
     ask = np.arange(0, len(sample), max(1, len(sample) // 400))
-    member = np.zeros((len(sample), len(graph.c)), bool)
-    member[_lists_of(graph, sample)] = True
-    score = plain[ask] @ plain.T
-    score[np.arange(len(ask)), ask] = -np.inf
-    truth = np.argsort(-score, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
+    k = min(k, len(sample) - 1)
+    truth = np.zeros((len(ask), k), np.int64)
+    for start in range(0, len(ask), 64):
+        part = ask[start : start + 64]
+        score = plain[part] @ plain.T
+        score[np.arange(len(part)), part] = -np.inf
+        truth[start : start + 64] = np.argsort(-score, axis=1, kind="stable")[:, :k]
+    row, own, against = _lists_of(graph, sample, max(REPLICA_RATIOS))
     dist = _distances(np.concatenate((plain[ask], np.zeros((len(ask), 1))), 1), graph.c)
-    for ratio in (1.0, 1.02, 1.04, 1.06, 1.08, 1.1, 1.12, 1.14, 1.16, 1.18, 1.2, 1.25, 1.3, 1.4, 1.6, 2.0, 4.0):
-        got = dist <= dist.min(1, keepdims=True) * ratio + 1e-12
-        if np.mean([(member[t] & g).any(1).mean() for t, g in zip(truth, got, strict=True)] if truth.size else [1.0]) >= TUNE_RECALL:
-            return ratio
-    return float("inf")
+    best = (float("inf"), min(REPLICA_RATIOS), float("inf"))
+    for replica in REPLICA_RATIOS:
+        kept = against <= replica
+        some, lists = row[kept], own[kept]
+        sizes = np.bincount(lists, minlength=len(graph.c))
+        # Each row's lists, its nearest again in place of those it hasn't.
+        begin = np.searchsorted(some, np.arange(len(sample)))
+        filed = np.repeat(lists[begin][:, None], REPLICAS, axis=1)
+        filed[some, np.arange(len(some)) - begin[some]] = lists
+        for ratio in (1.0, 1.02, 1.04, 1.06, 1.08, 1.1, 1.12, 1.14, 1.16, 1.18, 1.2, 1.25, 1.3, 1.4, 1.6, 2.0, 4.0, float("inf")):
+            got = dist <= dist.min(1, keepdims=True) * ratio + 1e-12
+            if not truth.size or np.mean([g[filed[t]].any(1).mean() for t, g in zip(truth, got, strict=True)]) >= TUNE_RECALL:
+                best = min(best, (float((got @ sizes).mean()), replica, ratio))
+                break
+    return best[1:]
 
 
-def _assign(graph: Graph, largest: float):
+def _assign(graph: Graph, largest: float, replica: float):
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for start in range(0, len(pdf), 1024):
                 part = pdf.iloc[start : start + 1024]
                 v = np.stack(part["v"].to_list())
-                row, lists = _lists_of(graph, np.concatenate((v, np.sqrt(np.maximum(largest**2 - (v**2).sum(1), 0))[:, None]), 1))
+                row, lists, _ = _lists_of(graph, np.concatenate((v, np.sqrt(np.maximum(largest**2 - (v**2).sum(1), 0))[:, None]), 1), replica)
                 yield pd.DataFrame({"list": lists.astype(np.int32), "id": part["id"].to_numpy()[row], "v": [x.tobytes() for x in v[row]]})
 
     return assign
@@ -257,14 +273,20 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def lists_for(rows: int) -> int:
+    """As many lists as a list has rows, so that centroids and rows cost a query alike; the sample limits them to 8,192."""
+    return isqrt(rows)
+
+
 def _within(vectors: DataFrame, queries: DataFrame, k: int, count: int, largest: float) -> DataFrame:
     """nearest() for vectors and queries of one number of dimensions; count rows of norm up to largest."""
-    picked = vectors.orderBy(F.xxhash64("id", F.lit(3)), "id", "v").select("v").limit(SAMPLE).toArrow()["v"].combine_chunks()
+    size = min(SAMPLE, max(LEAST_SAMPLE, LIST_SAMPLE * lists_for(count)))
+    picked = vectors.orderBy(F.xxhash64("id", F.lit(3)), "id", "v").select("v").limit(size).toArrow()["v"].combine_chunks()
     plain = picked.flatten().to_numpy().reshape(len(picked), -1)
     sample = np.concatenate((plain, np.sqrt(np.maximum(largest**2 - (plain**2).sum(1), 0))[:, None]), 1)
-    graph = Graph(balanced_centroids(sample, max(1, min(count // LIST_ROWS, len(sample) // LIST_SAMPLE))))
-    ratio = _tuned(graph, sample, plain, k)
-    postings = written(vectors.mapInPandas(_assign(graph, largest), "list int, id long, v binary"), "postings")
+    graph = Graph(balanced_centroids(sample, max(1, min(lists_for(count), len(sample) // LIST_SAMPLE))))
+    replica, ratio = _tuned(graph, sample, plain, k)
+    postings = written(vectors.mapInPandas(_assign(graph, largest, replica), "list int, id long, v binary"), "postings")
     sizes = _counts(postings, len(graph.c))
     asked = written(queries.mapInPandas(_ask(graph, ratio, sizes, REPLICAS * (k + 1)), "list int, place int, id long, v binary"), "asked")
     first = written(_best(_met(asked.where("place = 0").withColumn("least", F.lit(float("-inf"))), postings, sizes, k), k), "nearest-lists")

@@ -163,13 +163,13 @@ def test_exact_top_k_of_large_components_ties_and_repeats(spark):
 
 
 def test_nearest_with_hundreds_of_lists_a_hot_vector_and_several_sizes(spark, monkeypatch):
-    monkeypatch.setattr(ann, "LIST_ROWS", 8)
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(60, 24))
     x = (centres[rng.integers(0, 60, 3000)] + 0.5 * rng.normal(size=(3000, 24))).astype(np.float32).astype(float)
     x[1500:2400] = x[0]  # almost a third of all rows are one vector
     rows = [(i, x[i].tolist(), 0) for i in range(3000)] + [(20, x[777].tolist(), 0), (4000, [1.0, 2.0], 0), (4020, [2.0, 1.0], 0), (None, x[1].tolist(), 0)]
     v = ann.usable_vectors(vectors(spark, rows).withColumns({c: F.lit(1) for c in ("id", "v", "list", "block")}), "vec_id", "embedding")
+    monkeypatch.setattr(ann, "lists_for", lambda n: n // 8)
     lists = []
     graph = ann.Graph
     monkeypatch.setattr(ann, "Graph", lambda c: lists.append(len(c)) or graph(c))
@@ -191,7 +191,6 @@ def test_nearest_with_hundreds_of_lists_a_hot_vector_and_several_sizes(spark, mo
 
 
 def test_recall_of_the_query_on_the_driver_table(spark, monkeypatch):
-    monkeypatch.setattr(ann, "LIST_ROWS", 8)  # some sixty lists of the 500 vectors
     got = ann.op7_posting_lists(spark, DATA).toPandas()
     e = spark.read.parquet(f"{DATA}/embeddings.parquet").toPandas().sort_values("vec_id")
     x, ids = np.stack(e.embedding.to_list()).astype(float), e.vec_id.to_numpy()
