@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.scalar import all_reasons, band, first_reason
+from tallyloom.operators import quality
 from tallyloom.plans.registry import query
 
 _NOW = "1998-01-01"
@@ -211,6 +212,79 @@ def dq_report(t):
     return out
 
 
+_LINES = """l AS (SELECT l_orderkey AS k, count(*) AS n, count(*) FILTER (l_returnflag = 'R' AND l_tax = 0) AS untaxed, count(*) FILTER (l_partkey NOT IN (SELECT p_partkey FROM part)) AS no_part,
+    count(*) FILTER (l_suppkey NOT IN (SELECT s_suppkey FROM supplier)) AS no_supplier, count(*) FILTER (l_linestatus = 'O') AS open, max(l_extendedprice) AS top, arg_min(l_quantity, (l_shipdate, l_linenumber, l_quantity)) AS first_quantity FROM lineitem GROUP BY 1),
+  r AS (SELECT k, count(*) AS repeated FROM (SELECT l_orderkey AS k, l_linenumber FROM lineitem GROUP BY ALL HAVING count(*) > 1) GROUP BY 1),
+  o AS (SELECT * FROM orders FULL JOIN l ON o_orderkey = l.k LEFT JOIN r ON l.k = r.k)"""
+# Twelve checks, each a name, a severity and its number over the orders with their lines (o) or a dimension.
+_TWELVE = [
+    ("orders_without_lines", "WARN", "SELECT count(*) FROM o WHERE n IS NULL"),
+    ("returned_untaxed", "WARN", "SELECT sum(untaxed) FROM o"),
+    ("repeated_line_numbers", "WARN", "SELECT sum(repeated) FROM o"),
+    ("open_order_no_open_line", "WARN", "SELECT count(*) FROM o WHERE o_orderstatus = 'O' AND coalesce(open, 0) = 0"),
+    ("unknown_part", "ERROR", "SELECT sum(no_part) FROM o"),
+    ("line_bad_reference", "ERROR", "SELECT sum(no_supplier + CASE WHEN o_orderkey IS NULL THEN n ELSE 0 END) FROM o"),
+    ("order_unknown_customer", "ERROR", "SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)"),
+    ("total_below_a_line", "WARN", "SELECT count(*) FROM o WHERE o_totalprice < top"),
+    ("customer_unknown_nation", "ERROR", "SELECT count(*) FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation)"),
+    ("supplier_unknown_nation", "WARN", "SELECT count(*) FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation)"),
+    ("nation_unknown_region", "WARN", "SELECT count(*) FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region)"),
+    ("opening_line_below_five", "WARN", "SELECT count(*) FROM o WHERE first_quantity < 5"),
+]
+_TWELVE_SQL = f"WITH {_LINES}, q AS (" + " UNION ALL ".join(f"SELECT '{n}' AS name, coalesce(({q}), 0)::BIGINT AS n, '{s}' AS bad" for n, s, q in _TWELVE) + "), f AS (SELECT name, n, CASE WHEN n = 0 THEN 'OK' ELSE bad END AS severity FROM q)"
+
+
+def _twelve(t):
+    """The orders, each with what its lines come to (both sides are kept), and the dimensions: every fact is read once."""
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+    lines = quality.known(lines, "l_partkey", t.part, "p_partkey", "has_part")
+    lines = quality.known(lines, "l_suppkey", t.supplier, "s_suppkey", "has_supplier")
+    opening = F.min(F.struct("l_shipdate", "l_linenumber", "l_quantity"))
+    # Dealt by order alone: both groupings hold without another shuffle.
+    numbered = lines.repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(
+        F.count("*").alias("n"), F.count_if((F.col("l_returnflag") == "R") & (F.col("l_tax") == 0)).alias("untaxed"), F.count_if(~F.col("has_part")).alias("no_part"),
+        F.count_if(~F.col("has_supplier")).alias("no_supplier"), F.count_if(F.col("l_linestatus") == "O").alias("open"), F.max("l_extendedprice").alias("top"), opening.alias("opening"),
+    )
+    per = numbered.groupBy("l_orderkey").agg(
+        *(F.sum(c).alias(c) for c in ("n", "untaxed", "no_part", "no_supplier", "open")), F.count_if(F.col("n") > 1).alias("repeated"), F.max("top").alias("top"), F.min("opening").alias("opening"),
+    )
+    orders = quality.known(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), "o_custkey", t.customer, "c_custkey", "has_customer")
+    both = orders.join(per, F.col("o_orderkey") == F.col("l_orderkey"), "full_outer")
+    there = F.col("o_orderkey").isNotNull()
+    sums = {
+        "orders_without_lines": F.count_if(F.col("n").isNull()),
+        "returned_untaxed": F.sum("untaxed"),
+        "repeated_line_numbers": F.sum("repeated"),
+        "open_order_no_open_line": F.count_if((F.col("o_orderstatus") == "O") & (F.coalesce("open", F.lit(0)) == 0)),
+        "unknown_part": F.sum("no_part"),
+        "line_bad_reference": F.sum(F.col("no_supplier") + F.when(there, 0).otherwise(F.col("n"))),
+        "order_unknown_customer": F.count_if(there & ~F.col("has_customer")),
+        "total_below_a_line": F.count_if(F.col("o_totalprice") < F.col("top")),
+        "opening_line_below_five": F.count_if(F.col("opening.l_quantity") < 5),
+    }
+    severity = {name: s for name, s, _ in _TWELVE}
+    dims = [
+        ("customer_unknown_nation", quality.known(t.customer, "c_nationkey", t.nation, "n_nationkey", "known")),
+        ("supplier_unknown_nation", quality.known(t.supplier, "s_nationkey", t.nation, "n_nationkey", "known")),
+        ("nation_unknown_region", quality.known(t.nation, "n_regionkey", t.region, "r_regionkey", "known")),
+    ]
+    parts = [(both, {name: (severity[name], bad) for name, bad in sums.items()})]
+    return quality.report(parts + [(df, {name: (severity[name], F.count_if(~F.col("known")))}) for name, df in dims])
+
+
+@query("dq_twelve", f"{_TWELVE_SQL} SELECT * FROM f")
+def dq_twelve(t):
+    """DQ-01: twelve checks of orders, lines and their references, facts and lines read once."""
+    return _twelve(t)
+
+
+@query("dq_verdict", f"""{_TWELVE_SQL}, v AS (SELECT count(*) FILTER (severity = 'OK') AS ok, count(*) FILTER (severity = 'WARN') AS warnings, count(*) FILTER (severity = 'ERROR') AS errors FROM f)
+  SELECT ok, warnings, errors, CASE WHEN errors + warnings > 0 THEN 'FAIL' ELSE 'PASS' END AS result FROM v""")
+def dq_verdict(t):
+    """DQ-01: the outcome in strict mode, in which warnings fail too."""
+    return quality.verdict(_twelve(t), strict=True)
+
+
 @query("validate_rows_first_error", """SELECT l_orderkey, CASE WHEN count(*) < 2 THEN 'too-few' WHEN count(DISTINCT l_partkey) <> count(*) THEN 'repeated' WHEN bool_or(l_quantity > 49) THEN 'range' END AS error FROM lineitem GROUP BY 1""")
 def validate_rows_first_error(t):
     c = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_distinct("l_partkey").alias("parts"), F.max("l_quantity").alias("q"))

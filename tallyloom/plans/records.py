@@ -9,8 +9,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyloom.plans.registry import query
-from tallyloom.sources import nested, paged
-from tallyloom.sources.tables import list_files, parse_feed, parse_lines
+from tallyloom.sources import nested, paged, sinks
+from tallyloom.sources.scratch import shared_path
+from tallyloom.sources.tables import list_files, parse_feed, parse_lines, scan_or_empty
 
 
 def _nested_customers(t):
@@ -82,8 +83,13 @@ def safe_column(t):
 
 @query("published_history", """WITH d AS (SELECT o_orderpriority, year(o_orderdate)::VARCHAR AS day, count(*)::BIGINT AS n FROM orders GROUP BY ALL) SELECT day, o_orderpriority, n, sum(n) OVER (PARTITION BY o_orderpriority ORDER BY day)::BIGINT AS so_far FROM d""")
 def published_history(t):
-    """SNK-07: a coverage count per period and what had come together by then."""
-    each = t.orders.groupBy("o_orderpriority", F.year("o_orderdate").cast("string").alias("day")).agg(F.count("*").alias("n"))
+    """SNK-07: a history of snapshots, one appended per period and one of them twice, and what had come together by then."""
+    counts = t.orders.groupBy("o_orderpriority", F.year("o_orderdate").cast("string").alias("day")).agg(F.count("*").alias("n"))
+    path = shared_path(t.spark, "history")
+    periods = [r["day"] for r in counts.where("day is not null").select("day").distinct().orderBy("day").collect()]  # a few years
+    for day in [*periods, *periods[:1]]:
+        sinks.append_snapshot(counts.where(F.col("day") == day).drop("day"), path, day)
+    each = scan_or_empty(t.spark, path, "o_orderpriority string, n long, day string")
     return each.withColumn("so_far", F.sum("n").over(Window.partitionBy("o_orderpriority").orderBy("day")))
 
 

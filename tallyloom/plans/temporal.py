@@ -226,6 +226,18 @@ def stint_rounds(t):
     return found.withColumns({c: F.round(c, 6) for c in ("t", "end", "mean", "least", "margin")})
 
 
+@query("dense_windows", f"""WITH {_E}, m AS (SELECT user_id, event_id AS mark, t AS start FROM e WHERE event_type = 'purchase' AND value > 100)
+  SELECT e.event_id, mark, t - start <= {32 * 8640} AS settling, t - start >= {28 * 8640} AS recheck FROM e JOIN m ON e.user_id = m.user_id AND t >= start AND t <= start + {62 * 8640}""")
+def dense_windows(t):
+    """STM-03: the events from a user's large purchase to 62 seconds after it (a day being ten), in the window right after it,
+    in that of the recheck, or both. streaming.around() is the same on streams."""
+    e = _events(t)
+    marks = e.where("event_type = 'purchase' and value > 100").select("user_id", F.col("event_id").alias("mark"), F.col("t").alias("start"), (F.col("t") + 62 * 8640).alias("stop"))
+    found = range_join(e, marks, "t", "start", "stop", 62 * 8640, keys=("user_id",))
+    since = F.col("t") - F.col("start")
+    return found.select("event_id", "mark", (since <= 32 * 8640).alias("settling"), (since >= 28 * 8640).alias("recheck"))
+
+
 @query("emblem_rounds", f"""WITH RECURSIVE {_E}, a AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS n FROM e),
   f AS (SELECT user_id, n, n * 5::DOUBLE AS t, first_value(event_type) OVER (PARTITION BY user_id, n * 5 // 60 ORDER BY n) AS kind FROM a),
   c AS (SELECT user_id, n, t, dense_rank() OVER (PARTITION BY user_id ORDER BY born) AS id FROM (SELECT *, min(n) OVER (PARTITION BY user_id, kind) AS born FROM f)),

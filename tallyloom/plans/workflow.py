@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.scalar import slugify
-from tallyloom.operators import merge, workflow
+from tallyloom.operators import merge, quality, workflow
 from tallyloom.plans.registry import query
 from tallyloom.sources import sinks
 from tallyloom.sources.bucketed import BucketedTable
@@ -120,6 +120,28 @@ def rename_history(t):
     return each.select("user_id", "name", F.array_join(F.filter(F.transform("all", lambda x: x["name"]), lambda x: x != F.col("name")), ",").alias("previous"))
 
 
+@query("identity_history", """WITH s AS (SELECT user_id, event_id, row_number() OVER w AS n, CASE event_type WHEN 'error' THEN NULL WHEN 'signup' THEN 'Unsigned Five' ELSE event_type END AS name,
+    CASE WHEN value < 20 THEN NULL WHEN value < 40 THEN 'Unknown' WHEN value < 250 THEN 'EU' ELSE 'NA' END AS region, CASE WHEN event_type = 'purchase' THEN 'x' || event_id END AS external,
+    CASE WHEN value > 10 THEN 'a' || (event_id % 3) END AS authority FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+  m AS (SELECT *, CASE WHEN n = 1 THEN coalesce(name, user_id::VARCHAR) ELSE name END AS own FROM s),
+  b AS (SELECT *, last_value(own IGNORE NULLS) OVER p AS old, first_value(nullif(region, 'Unknown') IGNORE NULLS) OVER p AS kept FROM m
+    WINDOW p AS (PARTITION BY user_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  g AS (SELECT user_id, string_agg(old, ',' ORDER BY at_n) AS previous FROM (SELECT user_id, old, min(n) AS at_n FROM b WHERE own <> old GROUP BY ALL) GROUP BY 1)
+  SELECT b.user_id, arg_max(own, n) FILTER (own IS NOT NULL) AS name, coalesce(any_value(previous), '') AS previous, coalesce(arg_min(region, n) FILTER (region <> 'Unknown'), 'Unknown') AS region,
+    coalesce(bool_or(region <> kept), false) AS conflict, CASE WHEN bool_or(name = 'Unsigned Five') THEN 'unsigned' ELSE 'active' END AS status,
+    arg_min(external, n) FILTER (external IS NOT NULL) AS external, arg_min(authority, n) FILTER (authority IS NOT NULL) AS authority, (min(n) FILTER (external IS NOT NULL))::INTEGER AS verified
+  FROM b LEFT JOIN g USING (user_id) GROUP BY b.user_id""")
+def identity_history(t):
+    """ER-06: names given up, regions that conflict, unsigned names and the first external id of each user's sightings."""
+    kind, v = F.col("event_type"), F.col("value")
+    sightings = t.events.select(
+        "user_id", "ts", "event_id", F.when(kind == "signup", "Unsigned Five").when(kind != "error", kind).alias("name"), F.when(v < 20, None).when(v < 40, "Unknown").when(v < 250, "EU").otherwise("NA").alias("region"),
+        F.when(kind == "purchase", F.concat(F.lit("x"), F.col("event_id").cast("string"))).alias("external"), F.when(v > 10, F.concat(F.lit("a"), (F.col("event_id") % 3).cast("string"))).alias("authority"),
+    )
+    found = quality.identities(sightings, "user_id", ["ts", "event_id"])
+    return found.withColumn("previous", F.array_join("previous", ","))
+
+
 @query("deterministic_job_key", "SELECT DISTINCT event_type || ':' || user_id AS job_key FROM events")
 def deterministic_job_key(t):
     return t.events.select(F.concat_ws(":", slugify(F.col("event_type")), F.col("user_id").cast("string")).alias("job_key")).distinct()
@@ -199,7 +221,7 @@ def segment_edits(t):
     return workflow.edited(segments, edits.where("action != 'none'"))
 
 
-@query("lease_log", """WITH RECURSIVE q AS (SELECT 'r' || (user_id % 40) AS resource, epoch_us(ts) / 1e6 AS "at", 'w' || (event_id % 3) AS worker, CASE event_type WHEN 'purchase' THEN 'heartbeat' WHEN 'signup' THEN 'release' WHEN 'error' THEN 'reap' ELSE 'acquire' END AS action FROM events),
+@query("lease_log", """WITH RECURSIVE q AS (SELECT 'r' || user_id AS resource, epoch_us(ts) / 1e6 AS "at", 'w' || (event_id % 3) AS worker, CASE event_type WHEN 'purchase' THEN 'heartbeat' WHEN 'signup' THEN 'release' WHEN 'error' THEN 'reap' ELSE 'acquire' END AS action FROM events),
   o AS (SELECT *, row_number() OVER (PARTITION BY resource ORDER BY "at", worker, action) AS n FROM q),
   r AS (SELECT resource, 0::BIGINT AS n, NULL::DOUBLE AS "at", NULL::VARCHAR AS worker, NULL::VARCHAR AS action, false AS granted, NULL::VARCHAR AS holder, NULL::DOUBLE AS expires FROM (SELECT DISTINCT resource FROM o)
     UNION ALL SELECT resource, n, "at", worker, action, ok, CASE WHEN NOT ok THEN holder WHEN action IN ('acquire', 'heartbeat') THEN worker END, CASE WHEN NOT ok THEN expires WHEN action IN ('acquire', 'heartbeat') THEN "at" + 7200 END FROM (
@@ -209,7 +231,7 @@ def lease_log(t):
     """WF-05: events as requests of 12 workers for the leases of their users."""
     kind = F.create_map(*map(F.lit, ("view", "acquire", "click", "acquire", "purchase", "heartbeat", "signup", "release", "error", "reap")))
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    return workflow.lease_log(t.events.select(F.concat(F.lit("r"), (F.col("user_id") % 40).cast("string")).alias("resource"), at.alias("at"), F.concat(F.lit("w"), (F.col("event_id") % 3).cast("string")).alias("worker"), F.element_at(kind, F.col("event_type")).alias("action")), 7200.0)
+    return workflow.lease_log(t.events.select(F.concat(F.lit("r"), F.col("user_id").cast("string")).alias("resource"), at.alias("at"), F.concat(F.lit("w"), (F.col("event_id") % 3).cast("string")).alias("worker"), F.element_at(kind, F.col("event_type")).alias("action")), 7200.0)
 
 
 @query("reproducible_diff", """SELECT n_nationkey, CASE WHEN n_regionkey = 4 THEN 'removed' ELSE 'changed' END AS how, CASE WHEN n_regionkey = 4 THEN NULL WHEN n_nationkey % 2 = 0 AND n_regionkey = 1 THEN 'n_name,n_regionkey' WHEN n_regionkey = 1 THEN 'n_regionkey' ELSE 'n_name' END AS fields FROM nation WHERE n_regionkey IN (1, 4) OR n_nationkey % 2 = 0

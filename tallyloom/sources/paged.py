@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: What a transport returns for a URL: status, body (None without one) and error (None without one).
 Transport = Callable[[str], tuple[int, str | None, str | None]]
-RESPONSE = "resource string, page int, url string, cache_key string, status int, error string, sha256 string, body string"
+RESPONSE = "resource string, page int, url string, cache_key string, status int, error string, sha256 string, body string, more boolean"
 
 
 def cache_key(url: str) -> str:
@@ -24,7 +24,7 @@ def read_pages(resources: DataFrame, transport: Transport, page_size: int = 50,
     """The raw response of every page of every row of resources (resource, url), as RESPONSE.
 
     Each task asks for the pages of its resources one after the other, until one has fewer than page_size items, fails or
-    isn't a JSON object, or max_pages are read. `cached` (cache_key, body) holds responses of earlier runs, which aren't
+    isn't a JSON object, or max_pages are read: then `more` is true in the last row, as the resource may go on. `cached` (cache_key, body) holds responses of earlier runs, which aren't
     asked for again: they come with the resource's row, so a task holds those of one resource. Nothing is raised for a bad
     response: it is a row with its error. Write the result before using it twice, or the transport is called twice.
     """
@@ -58,7 +58,8 @@ def read_pages(resources: DataFrame, transport: Transport, page_size: int = 50,
                     elif error is None:
                         error = "empty response"
                     sha = hashlib.sha256(body.encode()).hexdigest() if body else None
-                    yield pd.DataFrame([(resource, page, url, key, status, error, sha, body)], columns=columns)
+                    more = count >= page_size and page == max_pages - 1
+                    yield pd.DataFrame([(resource, page, url, key, status, error, sha, body, more)], columns=columns)
                     if count < page_size:
                         break
 

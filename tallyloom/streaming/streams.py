@@ -28,6 +28,23 @@ def sliding(events: DataFrame, at: str, width: str, step: str, late: str) -> Dat
     return events.withWatermark(at, late).groupBy(F.window(at, width, step)).agg(F.count("*").alias("n"))
 
 
+def around(points: DataFrame, marks: DataFrame, key: str, at: str, mark_at: str, before: str, after: str, late: str) -> DataFrame:
+    """STM-03: points (key, at) with every mark (key, mark_at) of their key from `before` ahead of it to `after` behind it.
+
+    Both sides are streams with a watermark of their own; a side's rows are held until the other's watermark has passed all
+    that they can meet, so the state is as long as the window and the lateness. Rows later than `late` meet nothing: see
+    late_rows(). The columns of the marks but the key are joined; on tables the result is that of the same join.
+    """
+    p, m = points.withWatermark(at, late).alias("p"), marks.withWatermark(mark_at, late).alias("m")
+    near = (F.col(f"p.{at}") >= F.col(f"m.{mark_at}") - F.expr(f"interval {before}")) & (F.col(f"p.{at}") <= F.col(f"m.{mark_at}") + F.expr(f"interval {after}"))
+    return p.join(m, (F.col(f"p.{key}") == F.col(f"m.{key}")) & near).select("p.*", *(F.col(f"m.{c}") for c in marks.columns if c != key))
+
+
+def late_rows(query) -> int:
+    """Rows that the watermark of a query dropped, over the progress that it still keeps."""
+    return sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
+
+
 def sessions(events: DataFrame, key: str, at: str, gap: str, late: str) -> DataFrame:
     """STM-04: counts of runs whose rows are at most `gap` apart."""
     return events.withWatermark(at, late).groupBy(key, F.session_window(at, gap)).agg(F.count("*").alias("n"))

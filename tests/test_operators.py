@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import scalar as sc
-from tallyloom.operators import fuzzy, joins, matching, merge, roles, sequence, stints, vectors, workflow
+from tallyloom.operators import fuzzy, joins, matching, merge, quality, roles, sequence, stints, vectors, workflow
 from tallyloom.sources import bucketed, nested, paged, sinks, tables
 from tallyloom.streaming import streams, tracks
 
@@ -611,6 +611,68 @@ def test_a_numbered_version_is_published_once(spark, tmp_path):
     assert sinks.publish(spark.range(9), path, number=1) == 1 and sinks.current(spark, path).count() == 3
 
 
+def test_identities_equal_a_fold_over_their_sightings(spark):
+    rng = random.Random(8)
+    rows = [(rng.randrange(9), i, rng.choice([None, "", "a", "b", "c", "The Academy"]), rng.choice([None, "", "Unknown", "EU", "NA"]), rng.choice([None, None, "x1", "x2"]), rng.choice([None, "", "s1", "s2"])) for i in range(150)]
+    rows += [(50, 900, None, None, None, None), (None, 901, "n", "EU", "x", "s"), (51, 902, "", "NA", None, None), (51, 903, "late", "Unknown", None, None)]
+    want, place = {}, Counter()
+    for key, _, name, region, external, authority in sorted((r for r in rows if r[0] is not None), key=lambda r: r[:2]):
+        place[key] += 1
+        unsigned = any(m in f" {(name or '').lower()} " for m in quality.UNSIGNED)
+        own = want.get(key)
+        if own is None:
+            own = want[key] = {"name": name or str(key), "previous": [], "region": region or "Unknown", "conflict": False, "status": "unsigned" if unsigned else "active", "external": None, "authority": None, "verified": None}
+        else:
+            if name and name != own["name"]:
+                own["previous"] += [own["name"]] if own["name"] not in own["previous"] else []
+                own["name"] = name
+            if region and own["region"] not in ("Unknown", region):
+                own["conflict"] = True
+            elif region and own["region"] == "Unknown":
+                own["region"] = region
+            own["status"] = "unsigned" if unsigned else own["status"]
+        own["external"], own["authority"] = own["external"] or external or None, own["authority"] or authority or None
+        own["verified"] = own["verified"] or (place[key] if external else None)
+    df = spark.createDataFrame(rows, "id int, at int, name string, region string, external string, authority string")
+    found = {r["id"]: {k: list(v) if k == "previous" else v for k, v in r.asDict().items() if k != "id"} for r in quality.identities(df, "id", ["at"]).collect()}
+    assert found == want and any(w["conflict"] for w in want.values()) and any(len(w["previous"]) > 2 for w in want.values())
+    assert quality.identities(df.where("false"), "id", ["at"]).count() == 0
+
+
+def test_reports_name_every_check_and_strict_fails_on_warnings(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "id int, v string")
+    parts = lambda x: [(x, {"no value": ("WARN", F.count_if(F.col("v").isNull())), "large": ("ERROR", F.sum((F.col("id") > 5).cast("int")))})]
+    found = quality.report(parts(df))
+    assert got(found, "name", "n", "severity") == [("large", 0, "OK"), ("no value", 1, "WARN")]
+    assert [quality.verdict(found, strict).first()["result"] for strict in (False, True)] == ["PASS", "FAIL"]
+    assert got(quality.report(parts(df.where("false"))), "n", "severity") == [(0, "OK"), (0, "OK")]
+    there = quality.known(df, "id", spark.createDataFrame([(1,), (1,), (None,)], "k int"), "k", "has")
+    assert got(there, "id", "has") == [(1, True), (2, False), (3, False)]
+
+
+def test_windows_around_marks_on_streams_equal_the_join(spark, tmp_path):
+    """Rows come out of order over three batches; one comes far too late and is counted."""
+    rng = random.Random(3)
+    points = [(rng.randrange(3), float(10 * i + rng.randrange(10)), i) for i in range(90)]
+    marks = [(rng.randrange(3), float(t), t) for t in range(5, 900, 60)]
+    late = (0, 20.0, 999)
+    for name, rows in (("points", points), ("marks", marks)):
+        placed = [(min(2, max(0, int((r[1] + rng.uniform(-15, 15)) // 300))), r) for r in rows] + ([(2, late)] if name == "points" else [])
+        for part in range(3):
+            own = [r for p, r in placed if p == part]
+            spark.createDataFrame(own, f"k int, s double, {name} int").coalesce(1).write.parquet(str(tmp_path / name / str(part)))
+    timed = lambda df, at: df.withColumn(at, F.timestamp_seconds("s")).drop("s")
+    read = lambda name, at: timed(spark.readStream.schema(f"k int, s double, {name} int").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / name)), at)
+    joined = streams.around(read("points", "at"), read("marks", "mark_at"), "k", "at", "mark_at", "2 seconds", "62 seconds", "40 seconds")
+    query = joined.writeStream.format("memory").queryName("around_t").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    want = sorted((p, m) for k, t, p in points for j, s, m in marks if k == j and s - 2 <= t <= s + 62)
+    assert sorted((r["points"], r["marks"]) for r in spark.table("around_t").collect()) == want and len(want) > 60
+    assert streams.late_rows(query) == 1
+    tables = (timed(spark.createDataFrame(rows, f"k int, s double, {name} int"), at) for name, rows, at in (("points", points, "at"), ("marks", marks, "mark_at")))
+    assert sorted((r["points"], r["marks"]) for r in streams.around(*tables, "k", "at", "mark_at", "2 seconds", "62 seconds", "40 seconds").collect()) == want
+
+
 def test_publish_verifies_and_prunes(spark, tmp_path):
     path = str(tmp_path / "p")
     df = spark.range(5).withColumn("m", F.create_map(F.lit("a"), "id"))
