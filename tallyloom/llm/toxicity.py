@@ -103,23 +103,39 @@ _BETWEEN = re.compile(b"[^A-Za-z'\\x80-\\xff]")
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?;\n"]] = True
 _WHOLE = U(0xA0761D6478BD642F)
-#: Bytes of a word that tell it from others; what follows them doesn't count.
-WORD_BYTES = 256
+
+
+def _sum(data: bytes, at: int, end: int) -> int:
+    """The polynomial sum of data[at:end], PIECE bytes at a time."""
+    out = 0
+    for begin in range(at, end, PIECE):
+        raw = np.frombuffer(data[begin : min(begin + PIECE, end)], np.uint8)
+        up, _ = _power(len(raw))
+        own = int(((_LOWER[raw] + U(1)) * up[: len(raw)]).sum(dtype=np.uint64))
+        out = (out + own * pow(_BASE, begin - at, 1 << 64)) % (1 << 64)
+    return out
 
 
 class Words:
-    """The words of a buffer of UTF-8 text: starts, ends, hashes of the whole words and of their beginnings."""
+    """The words of a buffer of UTF-8 text: starts, ends, hashes of the whole words and of their beginnings.
+
+    rest is the sum and length of what follows of the last word, if the buffer holds its beginning only.
+    """
 
-    def __init__(self, buffer: bytes):
+    def __init__(self, buffer: bytes, rest: tuple[int, int] = (0, 0)):
         raw = np.frombuffer(buffer, np.uint8)
         word = _WORD[raw]
         edge = np.diff(np.concatenate(([False], word, [False])).astype(np.int8))
         self.starts = np.flatnonzero(edge == 1)
-        self.ends = np.minimum(np.flatnonzero(edge == -1), self.starts + WORD_BYTES)
+        self.ends = np.flatnonzero(edge == -1)
         up, self._down = _power(len(raw))
         self._total = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum((_LOWER[raw] + U(1)) * up[: len(raw)], out=self._total[1:])
         self.whole = self._hash(self.ends) ^ _WHOLE
+        if rest[1]:
+            size = int(self.ends[-1] - self.starts[-1])
+            own = _sum(buffer, int(self.starts[-1]), int(self.ends[-1])) + rest[0] * pow(_BASE, size, 1 << 64) + (size + rest[1]) * _BASE
+            self.whole[-1] = mix(np.array([own % (1 << 64)], np.uint64))[0] ^ _WHOLE
         stops = np.concatenate(([0], np.cumsum(_STOP[raw])))
         self.clause, self.stops = stops[self.starts], int(stops[-1])  # stops before each word, and in all
 
@@ -133,19 +149,20 @@ class Words:
             yield long, self._hash(np.where(long, self.starts + n, self.ends))
 
 
-def _buffers(texts: list[str | None]) -> Iterator[tuple[list[int], bytes, np.ndarray, bool]]:
-    """(indexes, buffer, ends of the texts in it, whether it goes on with the text of the one before).
+def _buffers(texts: list[str | None]) -> Iterator[tuple[list[int], bytes, np.ndarray, bool, tuple[int, int]]]:
+    """(indexes, buffer, ends of the texts in it, whether it goes on with the text of the one before, rest of its last word).
 
-    Many short texts stand in one buffer, each with a line break; a long one is alone, in buffers that end between words.
+    Many short texts stand in one buffer, each with a line break; a long one is alone, in buffers that end between words. Of
+    a word that is longer than a buffer the rest is summed up, piece by piece.
     """
     own: list[int] = []
     parts: list[bytes] = []
     size = 0
 
     def made():
-        return list(own), b"\n".join(parts) + b"\n", np.cumsum([len(x) + 1 for x in parts]), False
+        return list(own), b"\n".join(parts) + b"\n", np.cumsum([len(x) + 1 for x in parts]), False, (0, 0)
 
-    piece = max(PIECE, WORD_BYTES)
+    piece = max(PIECE, *STEMS)
     for i, text in enumerate(texts):
         data = (text or "").encode("utf-8", "surrogatepass")
         if size and size + len(data) > piece:
@@ -162,11 +179,13 @@ def _buffers(texts: list[str | None]) -> Iterator[tuple[list[int], bytes, np.nda
             between = np.flatnonzero(~_WORD[np.frombuffer(part, np.uint8)])
             if at + len(part) < len(data) and len(between):
                 part = part[: between[-1] + 1]
-            yield [i], part, np.array([len(part) + 1]), at > 0
+            goes_on, rest = at > 0, (0, 0)
             at += len(part)
-            if not len(between):  # the rest of a word that has no end here
+            if not len(between):  # a word that has no end here
                 found = _BETWEEN.search(data, at)
-                at = found.start() if found else len(data)
+                end = found.start() if found else len(data)
+                rest, at = (_sum(data, at, end), end - at), end
+            yield [i], part, np.array([len(part) + 1]), goes_on, rest
     if own:
         yield made()
 
@@ -196,8 +215,8 @@ class Grammar:
         step, outs, factors = GRAMMAR.step.tolist(), GRAMMAR.out.tolist(), GRAMMAR.weight.tolist()
         state, last, clause, score, current, pending = 0, -REACH, -1, 0.0, 0, 0.0
         word_base = stop_base = 0  # words and stops of the text's earlier buffers
-        for own, buffer, ends, goes_on in _buffers(texts):
-            words = Words(buffer)
+        for own, buffer, ends, goes_on, rest in _buffers(texts):
+            words = Words(buffer, rest)
             if not goes_on:
                 total[current] += score
                 most[current] = max(most[current], score)
@@ -262,8 +281,8 @@ def _stems(weights: dict[int, float]):
             seen, toxic, share = [], [], []
             for text, y, doc in zip(pdf["text"], pdf["y"], pdf["doc_id"], strict=True):
                 each = []
-                for _, buffer, _, _ in _buffers([text]):
-                    words = Words(buffer)
+                for _, buffer, _, _, rest in _buffers([text]):
+                    words = Words(buffer, rest)
                     each.append(words.whole)
                     each += [hashes[long] for long, hashes in words.beginnings()]
                 found = np.unique(np.concatenate(each)) if each else np.zeros(0, np.uint64)

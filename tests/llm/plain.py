@@ -58,7 +58,7 @@ def toxic_features(grammar, text):
     side, pending, kind, last, place = None, 0.0, None, -99, None
     stops = np.cumsum([0] + [b in b".!?;\n" for b in data])
     for n, m in enumerate(re.finditer(rb"[A-Za-z'\x80-\xff]+", data)):
-        w = _toxic_word(m.group()[: toxicity.WORD_BYTES])
+        w = _toxic_word(m.group())
         n_words += 1
         clause = int(stops[m.start()])
         clauses.setdefault(clause, 0.0)

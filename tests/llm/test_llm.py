@@ -390,10 +390,14 @@ def noise(seed, n):
 
 
 def test_toxic_features_equal_a_plain_version_in_pieces_of_any_size(monkeypatch):
-    g = toxicity.Grammar(np.concatenate((toxicity._hash_words("zorg bla"), next(iter(toxicity.Words(b"kill").beginnings()))[1])), np.array([3.0, 1.0, 2.0]))
+    long = "é" * 400 + "y" * 900  # told apart by its last byte alone
+    lexicon = np.concatenate((toxicity._hash_words("zorg bla"), next(iter(toxicity.Words(b"kill").beginnings()))[1], toxicity._hash_words(long + "a")))
+    g = toxicity.Grammar(lexicon, np.array([3.0, 1.0, 2.0, 5.0]))
     texts = [noise(i, n) for i, n in enumerate((0, 1, 5, 50, 400, 3000))] + [None, "", "\n", "you zorg and more", "x" * 2000 + " you zorg"]
+    texts += [f"you {long}a", f"you {long}b", f"{long.upper()}A you. {long}b {long}a", long + "a", f"{long}aa, you zorg"]
+    assert [x > 0 for x in g.features(texts[-5:])[:, 1]] == [True, False, True, True, True]
     want = np.array([plain.toxic_features(g, t) for t in texts])
-    for piece in (64, 300, 1000, 5000, 1 << 18):
+    for piece in (7, 64, 300, 1000, 5000, 1 << 18):
         monkeypatch.setattr(toxicity, "PIECE", piece)
         assert np.allclose(g.features(texts), want, rtol=1e-12, atol=1e-12)
 
