@@ -3,7 +3,7 @@
 A text is normalised to its words, over all line breaks. Its bigrams meet an index of the templates' bigrams; a template
 of b bigrams can reach the threshold t only where at least b * t / (2 - t) of them stand in the text, a bound that spares
 nearly all pairs of text and template. For the rest every window of the template's length that begins with one of its
-bigrams is compared with it, bigrams counted as often as they stand. So a notice is found in any wrapping, in the midst of
+bigrams is compared with it, bigrams counted as often as they stand, in one pass over the occurrences. So a notice is found in any wrapping, in the midst of
 a line and with words changed.
 """
 
@@ -74,22 +74,34 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), F.lit(0))
 
 
-def _best_window(places: Column, grams: Column, words: Column) -> Column:
-    """(dice, first word) of the best window; the first of equal ones.
+def _events(places: Column, grams: Column) -> Column:
+    """What changes a window's shared bigrams as its start moves on, sorted: (at, kind) of each occurrence twice.
 
-    places: of each bigram its positions in order and how often the template has it. An occurrence adds to the shared
-    ones of a window if the bigram's `most`-th occurrence before it lies outside.
+    places: of each bigram its positions in order and how often the template has it. An occurrence at p counts in the
+    windows that begin after `low` and not after p: low is the bigram's `most`-th occurrence before it, or p - grams if that
+    is nearer. kind 1 at low: it counts from there on; kind 0 at p: a window begins here, and it counts no more after it.
     """
-    each = F.transform(places, lambda g: F.transform(g["at"], lambda p, i: F.struct(p.alias("at"), F.when(i >= g["most"], F.get(g["at"], i - g["most"])).otherwise(-1).alias("before"))))
-    hits = F.array_sort(F.flatten(each))
 
-    def window(h: Column, i: Column) -> Column:
-        # By position: a slice would copy all hits for each of them.
-        near = F.sequence(i, F.least(i + grams, F.size("hits")) - 1)
-        shared = F.size(F.filter(near, lambda j: (F.get("hits", j)["at"] < h["at"] + grams) & (F.get("hits", j)["before"] < h["at"])))
-        return F.struct((F.lit(2.0) * shared / (F.least(grams, words - 1 - h["at"]) + grams)).alias("dice"), (-h["at"]).alias("place"))
+    def each(g: Column) -> Column:
+        def both(p: Column, i: Column) -> Column:
+            before = F.when(i >= g["most"], F.get(g["at"], i - g["most"])).otherwise(-1)
+            return F.array(F.struct(F.greatest(before, p - grams).alias("at"), F.lit(1).alias("kind")), F.struct(p.alias("at"), F.lit(0).alias("kind")))
 
-    return hits, lambda: F.array_max(F.transform("hits", window))
+        return F.flatten(F.transform(g["at"], both))
+
+    return F.array_sort(F.flatten(F.transform(places, each)))
+
+
+def _best_window(events: Column, grams: Column, words: Column) -> Column:
+    """(dice, first word, negative) of the best window that begins with an occurrence; the first of equal ones. One pass."""
+    none = F.struct(F.lit(-1.0).alias("dice"), F.lit(0).cast("int").alias("place"))
+
+    def step(s: Column, e: Column) -> Column:
+        window = F.struct((F.lit(2.0) * s["shared"] / (F.least(grams, words - 1 - e["at"]) + grams)).alias("dice"), (-e["at"]).cast("int").alias("place"))
+        here = e["kind"] == 0
+        return F.struct((s["shared"] + F.when(here, -1).otherwise(1)).cast("int").alias("shared"), F.when(here, F.greatest(s["best"], window)).otherwise(s["best"]).alias("best"))
+
+    return F.aggregate(events, F.struct(F.lit(0).cast("int").alias("shared"), none.alias("best")), step, lambda s: s["best"])
 
 
 def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, str] = TEMPLATES) -> DataFrame:
@@ -114,8 +126,8 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates: dict
     hits = grams.join(_index(spark, templates, threshold), "gram")
     places = hits.groupBy("k", "l", "words", "name", "gram", "most", "grams", "least").agg(F.sort_array(F.collect_set("at")).alias("at"))
     pair = places.groupBy("k", "l", "words", "name", "grams", "least").agg(F.sum(F.least(F.size("at"), F.col("most"))).alias("shared"), F.collect_list(F.struct("at", "most")).alias("places"))
-    ordered, best = _best_window(F.col("places"), F.col("grams"), F.col("words"))
-    scored = pair.where("shared >= least").withColumn("hits", ordered).withColumn("best", best())
+    scored = pair.where("shared >= least").withColumn("events", _events(F.col("places"), F.col("grams")))
+    scored = scored.withColumn("best", _best_window(F.col("events"), F.col("grams"), F.col("words")))
     # The threshold holds within the aggregates: a filter would be moved before the hits and work them out for each of them.
     reached = F.col("best")["dice"] >= threshold
     top = F.min(F.when(reached, F.struct((-F.col("best")["dice"]).alias("dice"), "name", (-F.col("best")["place"]).alias("place"))))

@@ -597,3 +597,15 @@ def test_quality_trains_on_all_lines_of_long_texts(spark):
     held = got[got.held_out]
     assert len(held) > 10 and (held.predicted == held.doc_id % 2).all()
     assert held.score[held.doc_id % 2 == 1].min() > 0.6 > 0.4 > held.score[held.doc_id % 2 == 0].max()
+
+
+def test_a_licence_of_thousands_of_words_is_found_whole_and_changed(spark):
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(700)}"
+    template = [word() for _ in range(4000)]
+    changed = [f"x{i}" if i % 40 == 7 else w for i, w in enumerate(template)]  # a hundred words, each in two bigrams
+    around = lambda own: " ".join([word() for _ in range(200)] + own + [word() for _ in range(900)])
+    texts = [around(template), around(changed), around(template[:1500]), around([]), " ".join(template)]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(docs(spark, texts), templates={"long": " ".join(template)}).collect()}
+    assert [(got[i]["license"], got[i]["first_word"]) for i in range(5)] == [("long", 200), ("long", 200), (None, None), (None, None), ("long", 0)]
+    assert got[0]["dice"] == got[4]["dice"] == 1.0 and 0.93 < got[1]["dice"] < 0.96
