@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import scalar as sc
 from tallyloom.operators import sequence as seq
-from tallyloom.operators import roles, vectors
+from tallyloom.operators import fit, roles, vectors
 from tallyloom.operators.joins import asof_join, range_join
 from tallyloom.plans.registry import query
 from tallyloom.plans.temporal import _E, _events
@@ -123,6 +123,18 @@ def candidate_fit_min_by(t):
     return cost.groupBy("user_id", "event_type").agg(F.min_by("o", F.struct("cost", "o")).alias("fit"))
 
 
+@query("grid_fit", f"""WITH p AS (SELECT DISTINCT user_id, value AS x FROM events WHERE event_type = 'purchase' AND value BETWEEN 0 AND 150),
+  t AS (SELECT a.user_id, a.x - m.m * ((b.x - a.x) / k.k) AS start, (b.x - a.x) / k.k AS pitch FROM p a JOIN p b ON a.user_id = b.user_id AND b.x > a.x, range(1, 5) k(k), range(5) m(m)),
+  h AS (SELECT DISTINCT user_id, round(start, 6) AS start, round(pitch, 6) AS pitch FROM t WHERE pitch BETWEEN {fit.PITCH_LEAST * 12.0} AND {fit.PITCH_MOST * 12.0}),
+  g AS (SELECT * FROM h WHERE start - 6.0 >= {0.0 - 12.0 * fit.BEYOND} AND start + 4 * pitch + 6.0 <= {150.0 + 12.0 * fit.BEYOND}),
+  e AS (SELECT g.user_id, start, pitch, place, min(abs(x - (start + place * pitch))) AS off, any_value(pitch) * {fit.OFF} AS reach FROM g, range(5) r(place), p WHERE p.user_id = g.user_id GROUP BY ALL),
+  f AS (SELECT user_id, start, pitch, count(*) AS support, round(sum(off), 6) AS residual FROM e WHERE off <= reach GROUP BY ALL HAVING count(*) >= 2)
+  SELECT user_id, support, residual, start, pitch FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY support DESC, residual, start, pitch) = 1""")
+def grid_fit(t):
+    """SIM-08: the five-place grid that most of a user's purchases lie on, over all that two of them give."""
+    return fit.grid_fit(t.events.where("event_type = 'purchase'"), "user_id", "value", 12.0, 0.0, 150.0)
+
+
 @query("pearson_similarity", f"""WITH {_CENTRES}, z AS (SELECT vec_id, embedding::DOUBLE[] AS x, centre AS p, list_avg(embedding::DOUBLE[]) AS mx, list_avg(centre) AS mp FROM embeddings JOIN c USING (label))
   SELECT vec_id, round(list_cosine_similarity(list_transform(x, lambda v: v - mx), list_transform(p, lambda v: v - mp)), 5) AS r FROM z""")
 def pearson_similarity(t):

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import scalar as sc
-from tallyloom.operators import fuzzy, joins, matching, merge, quality, roles, sequence, stints, vectors, workflow
+from tallyloom.operators import fit, fuzzy, joins, matching, merge, quality, roles, sequence, stints, vectors, workflow
 from tallyloom.sources import bucketed, nested, paged, sinks, tables
 from tallyloom.streaming import streams, tracks
 
@@ -673,6 +673,36 @@ def test_windows_around_marks_on_streams_equal_the_join(spark, tmp_path):
     assert sorted((r["points"], r["marks"]) for r in streams.around(*tables, "k", "at", "mark_at", "2 seconds", "62 seconds", "40 seconds").collect()) == want
 
 
+def plain_grid(xs, box, low, high):
+    best = None
+    xs = sorted({x for x in xs if x is not None and low <= x <= high})
+    for i, x in enumerate(xs):
+        for y in xs[i + 1 :]:
+            for k in range(1, 5):
+                pitch = (y - x) / k
+                if not box * 1.0 <= pitch <= 2.2 * box:
+                    continue
+                for m in range(5):
+                    start, p = round(x - m * pitch, 6), round(pitch, 6)
+                    if start - box / 2 < low - 0.6 * box or start + 4 * p + box / 2 > high + 0.6 * box:
+                        continue
+                    off = [min(abs(c - (start + j * p)) for c in xs) for j in range(5)]
+                    held = [o for o in off if o <= 0.34 * p]
+                    key = (-len(held), round(sum(held), 6), start, p)
+                    best = key if best is None or key < best else best
+    return best if best and best[0] <= -2 else None
+
+
+def test_a_grid_is_that_of_all_hypotheses(spark):
+    rng = random.Random(12)
+    points = {k: [round(20 + 31.5 * j + rng.uniform(-4, 4), 2) for j in range(5) if rng.random() < 0.8] + [round(rng.uniform(0, 200), 2) for _ in range(rng.randrange(6))] for k in range(25)}
+    points |= {25: [], 26: [50.0], 27: [50.0, 50.0], 28: [10.0, 30.0, None, 500.0], 29: [10.0, 199.0]}
+    df = spark.createDataFrame([(k, x) for k, xs in points.items() for x in xs] + [(None, 5.0)], "k int, x double").withColumn("m", F.lit("z"))
+    found = {r["k"]: (-r["support"], r["residual"], r["start"], r["pitch"]) for r in fit.grid_fit(df, "k", "x", 20.0, 0.0, 200.0).collect()}
+    want = {k: g for k, xs in points.items() if (g := plain_grid(xs, 20.0, 0.0, 200.0))}
+    assert found == want and len(want) > 20 and {26, 27, 29}.isdisjoint(want)
+
+
 def test_publish_verifies_and_prunes(spark, tmp_path):
     path = str(tmp_path / "p")
     df = spark.range(5).withColumn("m", F.create_map(F.lit("a"), "id"))
