@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyloom.plans.registry import query
 from tallyloom.sources import nested, paged, sinks
 from tallyloom.sources.scratch import shared_path
-from tallyloom.sources.tables import list_files, parse_feed, parse_lines, scan_or_empty
+from tallyloom.sources.tables import enabled_entries, list_files, parse_feed, parse_lines, scan_or_empty
 
 
 def _nested_customers(t):
@@ -127,6 +127,18 @@ def feed_entries(t):
     return parse_feed(feeds.withColumn("feed", feed), "region", "feed", "id: int, title: string")
 
 
+@query("registry_scan", """SELECT 'n' || n_nationkey AS id, lower(n_name) AS name, r_name AS registry FROM nation JOIN region ON r_regionkey = n_regionkey
+  WHERE n_nationkey % 4 <> 0 AND n_nationkey % 7 <> 3""")
+def registry_scan(t):
+    """SRC-08: the entries of each registry document that are enabled (as they are unless they say not) and no placeholders."""
+    own = F.when(F.col("n_nationkey") % 7 == 3, F.concat(F.lit("PLACEHOLDER-"), "n_nationkey")).otherwise(F.concat(F.lit("n"), "n_nationkey"))
+    enabled = F.when(F.col("n_nationkey") % 4 == 0, False).when(F.col("n_nationkey") % 4 == 1, True)
+    entry = F.struct(own.alias("id"), F.lower("n_name").alias("name"), enabled.alias("enabled"))
+    documents = t.nation.join(t.region, F.col("r_regionkey") == F.col("n_regionkey")).groupBy("r_name").agg(F.to_json(F.struct(F.collect_list(entry).alias("entries"))).alias("doc"))
+    found = documents.select(F.col("r_name").alias("registry"), F.explode(F.from_json("doc", "entries array<struct<id:string,name:string,enabled:boolean>>")["entries"]).alias("e"))
+    return enabled_entries(found.select("e.*", "registry"), "id", "enabled").select("id", "name", "registry")
+
+
 @query("folder_listing")  # rows only: SQL has no folder to list
 def folder_listing(t):
     """SRC-13: the table files of the folder by name, without their contents."""

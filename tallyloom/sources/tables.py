@@ -31,6 +31,12 @@ def scan_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def enabled_entries(entries: DataFrame, key: str, enabled: str) -> DataFrame:
+    """SRC-08: entries of a registry that have an id which is no placeholder and aren't switched off; no statement is on."""
+    named = F.col(key).isNotNull() & (F.trim(key) != "") & ~F.upper(key).startswith("PLACEHOLDER")
+    return entries.where(named & F.coalesce(F.col(enabled), F.lit(True)))
+
+
 def read_json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """SRC-04: whole-file JSON; a corrupt file gives nulls instead of an error."""
     return spark.read.option("multiLine", True).option("mode", "PERMISSIVE").schema(schema).json(path)
