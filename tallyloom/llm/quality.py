@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm._common import drop_written, held_out, table, training_labels, written
-from tallyloom.llm._text import U, _hash_buffer, mix
+from tallyloom.llm._text import _SPACE, U, _hash_buffer, _hash_long, mix
 
 #: Labelled documents that are trained on at most, each with all its lines, and lines of them after which no further document
 #: is taken (some 150 MB on the driver); score from which a text is good.
@@ -74,8 +74,21 @@ def _line_counts(buffer: bytes, words_before: int = 0, last: np.uint64 | None =
     return counts, key, open_words, open_last
 
 
+def _word_counts(data: memoryview, words_before: int, last: np.uint64 | None) -> tuple[np.ndarray, np.ndarray, int, np.uint64]:
+    """_line_counts of one word of any length, _PIECE bytes at a time."""
+    classes = np.zeros(7, np.int64)
+    for at in range(0, len(data), _PIECE):
+        raw = np.frombuffer(data[at : at + _PIECE], np.uint8)
+        classes += [int(t[raw].sum(dtype=np.int64)) for t in (_LETTER, _BANG, _PIPE, _SYMBOL, _UPPER, _DIGIT, _END)]
+    own = _hash_long(data)
+    key = mix(own + np.array([words_before], np.uint64) * U(0x9E3779B97F4A7C15))
+    repeated = int(last is not None and own[0] == last)
+    return np.array([[*classes, 1, repeated, len(data)]]), key, words_before + 1, own[0]
+
+
 def _long_counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """_line_counts of a text of any length, cut after white space into pieces of about _PIECE bytes."""
+    """_line_counts of a text of any length, cut after white space into pieces of at most _PIECE bytes; a longer word is taken
+    by itself."""
     parts, keys = [], []
     at, words, last, open_ = 0, 0, None, False
     while at < len(data):
@@ -83,11 +96,17 @@ def _long_counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         if end < len(data):
             cut = max(data.rfind(b"\n", at, end), data.rfind(b" ", at, end)) + 1
             if not cut:
-                found = _WHITE.search(data, end)
-                cut = found.end() if found else len(data)
+                others = np.flatnonzero(_SPACE[np.frombuffer(data[at:end], np.uint8)])
+                cut = at + int(others[-1]) + 1 if len(others) else 0
             end = cut
-        piece = data[at:end]
-        counts, key, words, last = _line_counts(piece, words, last)
+        if end:
+            piece = data[at:end]
+            counts, key, words, last = _line_counts(piece, words, last)
+        else:  # within a word: up to its end
+            found = _WHITE.search(data, at)
+            end = found.start() if found else len(data)
+            piece = b""
+            counts, key, words, last = _word_counts(memoryview(data)[at:end], words, last)
         if open_:  # the first line is the rest of the one before
             parts[-1][-1] += counts[0]
             keys[-1][-1:] += key[:1]

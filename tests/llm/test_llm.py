@@ -406,7 +406,8 @@ def test_line_features_equal_a_plain_version_in_pieces_of_any_size(monkeypatch):
     rng = random.Random(3)
     texts = ["\n".join(" ".join(rng.choice(["ab", "Ab", "x#", "1|2", "!", "é", "c."]) for _ in range(rng.randint(0, 12))) + rng.choice(["", " ", "\r", "\t"]) for _ in range(n)) for n in (0, 1, 2, 9, 60)]
     texts += [None, "", "\n\n", " \n x", "one line " * 400, "y" * 900 + "\n" + "y" * 900]
-    for piece in (40, 150, 1000, 1 << 18):
+    texts += ["Y1|" * 300 + " " + "y1|" * 300 + " z\n", "a\t" + "é#" * 500 + "\r\n" + "b" * 41 + "\tb b!", " " + "w." * 77, "q" * 3000]
+    for piece in (7, 40, 41, 150, 1000, 1 << 18):
         monkeypatch.setattr(quality, "_PIECE", piece)
         for (x, n), t in zip(quality.line_features(texts), texts, strict=True):
             want, length = plain.line_features(t)
