@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from tallyloom.functions import scalar as sc
-from tallyloom.operators import fuzzy, matching, vectors
+from tallyloom.operators import fuzzy, matching, search, vectors
 from tallyloom.plans.registry import query
 from tallyloom.sources.tables import first_match, unwrap_js
 
@@ -345,6 +345,25 @@ def search_fuzzy_topk(t):
     return index.select("kind", "id", distance.alias("distance")).orderBy("distance", "kind", "id").limit(14)
 
 
+_TOKENS = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9]+'))"
+
+
+@query("search_many_terms", f"""WITH i AS (SELECT 'part' AS kind, p_partkey AS id, p_name AS label, p_type AS terms, p_brand AS sub FROM part UNION ALL
+    SELECT 'supplier', s_suppkey, s_name, n_name, '' FROM supplier JOIN nation ON n_nationkey = s_nationkey UNION ALL SELECT 'customer', c_custkey, c_name, c_mktsegment, '' FROM customer),
+  h AS (SELECT kind, id, 6 AS weight, unnest({_TOKENS.format("label")}) AS token FROM i UNION ALL SELECT kind, id, 3, unnest({_TOKENS.format("terms")}) FROM i UNION ALL SELECT kind, id, 1, unnest({_TOKENS.format("sub")}) FROM i),
+  a AS (SELECT s_suppkey AS query, unnest({_TOKENS.format("n_name || ' ' || p_name || ' ' || p_brand || ' customer'")}) AS token FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN part ON p_partkey = s_suppkey),
+  s AS (SELECT query, kind, id, sum(weight)::BIGINT AS score FROM a JOIN h USING (token) GROUP BY ALL)
+  SELECT query, rank::INTEGER AS rank, kind, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, kind, id) AS rank FROM s) WHERE rank <= 14""")
+def search_many_terms(t):
+    """ER-11: search texts from the tables, a supplier's nation with a part's name and brand, over entries of three kinds."""
+    entry = lambda df, kind, key, label, terms, sub: df.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), F.col(label).alias("label"), F.col(terms).alias("terms"), sub.alias("sub"))
+    suppliers = t.supplier.join(t.nation, F.col("n_nationkey") == F.col("s_nationkey"))
+    entries = entry(t.part, "part", "p_partkey", "p_name", "p_type", F.col("p_brand"))
+    entries = entries.unionByName(entry(suppliers, "supplier", "s_suppkey", "s_name", "n_name", F.lit(""))).unionByName(entry(t.customer, "customer", "c_custkey", "c_name", "c_mktsegment", F.lit("")))
+    texts = suppliers.join(t.part, F.col("p_partkey") == F.col("s_suppkey")).select(F.col("s_suppkey").alias("query"), F.concat_ws(" ", "n_name", "p_name", "p_brand", F.lit("customer")).alias("text"))
+    return search.top_entries(entries, texts)
+
+
 @query("unmatched_candidates", r"SELECT word, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark) WHERE word NOT IN (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) FROM conversations) GROUP BY 1")
 def unmatched_candidates(t):
     words = lambda df: df.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))

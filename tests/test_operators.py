@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import scalar as sc
-from tallyloom.operators import fit, fuzzy, joins, matching, merge, quality, roles, sequence, stints, vectors, workflow
+from tallyloom.operators import fit, fuzzy, joins, matching, merge, quality, roles, search, sequence, stints, vectors, workflow
 from tallyloom.sources import bucketed, nested, paged, sinks, tables
 from tallyloom.streaming import streams, tracks
 
@@ -703,6 +703,22 @@ def test_a_grid_is_that_of_all_hypotheses(spark):
     assert found == want and len(want) > 20 and {26, 27, 29}.isdisjoint(want)
 
 
+@pytest.mark.parametrize("k", [1, 5, 40])
+def test_the_best_entries_are_those_of_all(spark, k):
+    rng = random.Random(k)
+    word = lambda: rng.choice(["all"] * 5 + [f"w{int(rng.paretovariate(0.7)) % 90}" for _ in range(4)])
+    text = lambda n: None if rng.random() < 0.05 else rng.choice([" ", "-", "  "]).join(rng.choice([str.upper, str.lower])(word()) for _ in range(rng.randrange(n)))
+    entries = [(rng.choice("xy"), i, text(4), text(6), text(3)) for i in range(400)]
+    asked = [(i, text(5)) for i in range(40)] + [(100, ""), (101, None), (102, "unknown"), (None, "all"), (103, "all")]
+    found = search.top_entries(spark.createDataFrame(entries, "kind string, id int, label string, terms string, sub string"), spark.createDataFrame(asked, "query int, text string"), k)
+    cut = lambda t: set((t or "").lower().replace("-", " ").split())
+    want = []
+    for q, t in asked:
+        scores = [(-sum(w * len(cut(t) & cut(f)) for w, f in zip((6, 3, 1), e[2:], strict=True)), e[0], e[1]) for e in entries] if q is not None else []
+        want += [(q, r + 1, kind, i, -s) for r, (s, kind, i) in enumerate(sorted(x for x in scores if x[0])[:k])]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
 def test_publish_verifies_and_prunes(spark, tmp_path):
     path = str(tmp_path / "p")
     df = spark.range(5).withColumn("m", F.create_map(F.lit("a"), "id"))
