@@ -719,6 +719,17 @@ def test_the_best_entries_are_those_of_all(spark, k):
     assert sorted(map(tuple, found.collect())) == sorted(want)
 
 
+def test_entries_and_queries_of_the_same_tokens_are_compared_once(spark):
+    entries = spark.range(20_000).select(F.lit("x").alias("kind"), "id", F.concat(F.lit("thing "), F.col("id").cast("string"), F.lit(" w"), (F.col("id") % 5).cast("string")).alias("label"), F.lit("all").alias("terms"), F.lit(None).cast("string").alias("sub"))
+    queries = spark.range(2_000).select(F.col("id").alias("query"), F.concat(F.lit("Thing all w"), (F.col("id") % 4).cast("string")).alias("text"))
+    asked = queries.select(search.tokens(F.col("text")).alias("tokens"))
+    profiles = search._profiles(entries, asked, 3, list(search.WEIGHTS))
+    # w4 is asked by none, and only the entries under the numbers asked differ from others of their kind.
+    assert profiles.count() == 5 and max(len(r["members"]) for r in profiles.collect()) == 3
+    found = search.top_entries(entries, queries, 3).collect()
+    assert len(found) == 6_000 and {(r["id"] - r["query"] % 4, r["rank"], r["score"]) for r in found} == {(0, 1, 15), (5, 2, 15), (10, 3, 15)}
+
+
 def test_publish_verifies_and_prunes(spark, tmp_path):
     path = str(tmp_path / "p")
     df = spark.range(5).withColumn("m", F.create_map(F.lit("a"), "id"))
