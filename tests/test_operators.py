@@ -705,6 +705,18 @@ def test_a_grid_is_that_of_all_hypotheses(spark):
     assert found == want and len(want) > 20 and {26, 27, 29}.isdisjoint(want)
 
 
+def test_a_grid_of_many_points_is_dealt_in_shares_and_no_hypothesis_is_shuffled(spark, monkeypatch):
+    rng = random.Random(5)
+    points = {k: sorted({round(rng.uniform(0, 200), 2) for _ in range(n)}) for k, n in ((1, 60), (2, 30), (3, 7))}
+    df = spark.createDataFrame([(k, x) for k, xs in points.items() for x in xs], "k int, x double")
+    want = {k: plain_grid(xs, 20.0, 0.0, 200.0) for k, xs in points.items()}
+    monkeypatch.setattr(fit, "PAIRS", 100)
+    found = fit.grid_fit(df, "k", "x", 20.0, 0.0, 200.0)
+    assert {r["k"]: (-r["support"], r["residual"], r["start"], r["pitch"]) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and not any("start" in line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
+
+
 @pytest.mark.parametrize("k", [1, 5, 40])
 def test_the_best_entries_are_those_of_all(spark, k):
     rng = random.Random(k)
