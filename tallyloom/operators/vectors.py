@@ -82,6 +82,8 @@ def best_per_class(queries: DataFrame, rows: DataFrame) -> DataFrame:
 
 #: Pivots of a group at most, expected: its vectors are dealt to the nearest, and blocks of far pivots never meet.
 PIVOTS = 512
+#: Bundles that a group's blocks are dealt to, if it has as many, and blocks of a bundle at most.
+BUNDLES, BUNDLE = 16, 32
 #: What rounding to six digits and the sums of products may add to an angle.
 _SLACK = 1e-5
 
@@ -146,28 +148,46 @@ def block_pairs(rows: DataFrame, least: float, group: str) -> tuple[int, int]:
     return int(met), int(of)
 
 
-def _near_blocks(rows: DataFrame, least: float, group: str, compare: Callable, schema: str) -> DataFrame:
+def _near_blocks(rows: DataFrame, least: float, group: str, compare: Callable, schema: str, reduce: Callable = lambda found: found) -> DataFrame:
     """compare() of all blocks of each group that can hold a pair of `least`: rows of both sides and their cosines.
 
-    Each pair of blocks meets once; a block is copied once for every block that it meets.
+    Each pair of blocks meets once. A group's blocks are dealt to bundles and a task compares the blocks of two of them, one
+    pair after the other, so a vector is copied once for each bundle that it meets, and not for each block: BUNDLES times at
+    most up to BUNDLES * BUNDLE blocks (a million vectors). What a task found goes through reduce().
     """
     dealt, cells = _dealt(rows, group)
     met = _meeting(cells, least)
     ks = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     met = met.withColumn("ka", ks("na")).withColumn("kb", ks("nb")).where("a <> b or ka <= kb").select("grp", "a", "b", "ka", "kb")
+    # Blocks are as many as there are vectors for each: numbering them is small.
+    w = Window.partitionBy("grp")
+    bundles = F.greatest(F.least(F.col("of"), F.lit(BUNDLES)), F.ceil(F.col("of") / BUNDLE))
+    blocks = cells.select("grp", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k")).withColumns({"u": F.row_number().over(w.orderBy("cell", "k")), "of": F.count("*").over(w)})
+    blocks = written(blocks.select("grp", "cell", "k", "u", F.pmod("u", bundles).cast("int").alias("g")), "blocks")
+    end = lambda cell, k, side: blocks.select("grp", F.col("cell").alias(cell), F.col("k").alias(k), F.struct("g", "u").alias(side))
+    ends = met.join(end("a", "ka", "one"), ["grp", "a", "ka"]).join(end("b", "kb", "two"), ["grp", "b", "kb"])
+    ends = written(ends.select("grp", F.least("one", "two").alias("l"), F.greatest("one", "two").alias("r")).select("grp", F.col("l.g").alias("ga"), F.col("r.g").alias("gb"), F.col("l.u").alias("ua"), F.col("r.u").alias("ub")), "met")
     placed = dealt.join(cells.select("grp", "cell", "blocks"), ["grp", "cell"]).withColumn("k", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
-    placed = placed.select("grp", "cell", "k", "id", "label", "v")
-    side = lambda cell, k: placed.select("grp", F.col("cell").alias(cell), F.col("k").alias(k), *(F.col(c).alias(c) for c in ("id", "label", "v"))).join(met, ["grp", cell, k])
-    left, right = side("a", "ka"), side("b", "kb")
-    left, right = (x.select(*(F.col(c).alias(c) for c in ("grp", "a", "ka", "b", "kb", "id", "label", "v"))) for x in (left, right))
+    placed = placed.join(blocks, ["grp", "cell", "k"]).select("grp", "u", "id", "label", "v")
+    keys = ["grp", "ga", "gb"]
+    side = lambda u: placed.join(ends.select(*keys, F.col(u).alias("u")).distinct(), ["grp", "u"]).select(*(F.col(c).alias(c) for c in (*keys, "u", "id", "label", "v")))
+    # A row without a vector tells which blocks of the other side one of these meets.
+    empty = {c: F.lit(None).cast(placed.schema[c].dataType) for c in ("id", "label", "v")}
+    tells = ends.groupBy(*keys, F.col("ua").alias("u")).agg(F.collect_list("ub").alias("meets")).withColumns(empty)
+    left = side("ua").withColumn("meets", F.lit(None).cast("array<int>")).unionByName(tells)
 
     def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({c.split()[0]: pd.Series(dtype="float64") for c in schema.split(", ")})
-        return compare(x, y, np.stack(x["v"].to_list()) @ np.stack(y["v"].to_list()).T)
+        parts, told = [pd.DataFrame({c.split()[0]: pd.Series(dtype="float64") for c in schema.split(", ")})], x["meets"].notna()
+        units = lambda df: {u: (own, np.stack(own["v"].to_list())) for u, own in df.groupby("u")}
+        own, others = units(x[~told]), units(y)
+        for u, meets in zip(x["u"][told], x["meets"][told], strict=True):
+            for other in meets:
+                if u in own and other in others:
+                    (a, va), (b, vb) = own[u], others[other]
+                    parts.append(compare(a, b, va @ vb.T))
+        return reduce(pd.concat([p for p in parts if len(p)] or parts))
 
-    keys = ["grp", "a", "ka", "b", "kb"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, schema)
+    return left.groupBy(*keys).cogroup(side("ub").groupBy(*keys)).applyInPandas(meet, schema)
 
 
 def similar_pairs(rows: DataFrame, least: float) -> DataFrame:
@@ -206,7 +226,8 @@ def nearest_of_other_classes(rows: DataFrame, least: float) -> DataFrame:
         return out[out["sim"] >= least]
 
     labelled = rows.where("label is not null").withColumn("all", F.lit(0))
-    found = _near_blocks(labelled, least, "all", best, "id long, other long, sim double")
+    most = lambda found: found.sort_values(["sim", "other"]).drop_duplicates("id", keep="last")
+    found = _near_blocks(labelled, least, "all", best, "id long, other long, sim double", most)
     return found.groupBy("id").agg(F.max(F.struct("sim", "other")).alias("m")).select("id", "m.other", "m.sim")
 
 

@@ -434,6 +434,22 @@ def test_similar_pairs_of_clusters_skip_most_pairs_of_blocks(spark, monkeypatch)
     assert got_other == {i: (j, float(x)) for i, (j, x) in want.items()} and want
 
 
+def test_a_vector_is_copied_for_each_bundle_it_meets_not_for_each_block(spark, monkeypatch):
+    x = np.random.default_rng(11).normal(size=(400, 24))
+    df = spark.createDataFrame([(i, i % 3, x[i].tolist()) for i in range(400)], "id long, label int, v array<double>")
+    monkeypatch.setattr(vectors, "BLOCK", 10)
+    monkeypatch.setattr(vectors, "BUNDLES", 4)
+    monkeypatch.setattr(vectors, "BUNDLE", 1000)
+    sizes = spark.sparkContext.accumulator(0)
+    found = vectors._near_blocks(df.withColumn("all", F.lit(0)), 0.3, "all", lambda a, b, s: a[["id"]], "id long", lambda f: sizes.add(1) or f).count()
+    assert sizes.value == 10 and found > 400  # four bundles meet themselves and each other
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 6)
+    s[np.arange(400)[:, None] % 3 == np.arange(400) % 3] = -2
+    want = {i: (max(j for j in range(400) if s[i, j] == s[i].max()), float(s[i].max())) for i in range(400) if s[i].max() >= 0.3}
+    assert {r["id"]: (r["other"], r["sim"]) for r in vectors.nearest_of_other_classes(df, 0.3).collect()} == want
+
+
 def test_asof_takes_the_latest_before_and_none_before_the_first(spark):
     left = spark.createDataFrame([(1, 5), (1, 10), (1, 1), (2, 7)], "k int, t int")
     right = spark.createDataFrame([(1, 5, "x"), (1, 8, "y"), (3, 1, "z")], "k int, s int, v string")
