@@ -16,6 +16,8 @@ from tallyloom.sources.tables import Tables
 
 #: Heroes of a full composition.
 FULL = 2
+#: Shares by map of what one task reads of the lines: a share is sorted several times, so its memory must not grow with the table.
+SHARES = 8
 
 _APPROVED = "l_linestatus = 'F' AND l_quantity >= 2"
 _GATE = f"""gate AS (SELECT * FROM lineitem l WHERE {_APPROVED} AND (l_discount >= 0.09 OR NOT EXISTS (
@@ -47,10 +49,11 @@ def appearances(t: Tables) -> DataFrame:
     """AGG-01/JOIN-07: one row per map and team with its heroes and the result: win, loss or, undecided, null.
 
     One exchange of the lines by map serves the override flag, the winner and, but for the join of the heroes' names, the
-    collapse; the winner travels with the rows instead of being joined back.
+    collapse; the winner travels with the rows instead of being joined back. It has SHARES partitions for each of the scan.
     """
     decided = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderstatus") != "P").alias("decided"))
-    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus").join(decided, "l_orderkey", "left")
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus")
+    lines = lines.repartition(SHARES * lines.rdd.getNumPartitions(), "l_orderkey").join(decided, "l_orderkey", "left")
     best = F.max(F.when(F.col("decided"), F.struct("l_extendedprice", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag"))).over(Window.partitionBy("l_orderkey"))
     manual = F.max(F.col("l_discount") >= 0.09).over(Window.partitionBy("l_orderkey", "l_linenumber"))
     rows = lines.withColumns({"winner": best["l_returnflag"], "manual": manual}).where(_APPROVED).where("l_discount >= 0.09 OR NOT coalesce(manual, false)")

@@ -9,11 +9,13 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from tallyloom import plans
 from tallyloom.functions import scalar as sc
 from tallyloom.operators import fit, fuzzy, joins, matching, merge, quality, roles, search, sequence, stints, vectors, workflow
+from tallyloom.plans import composition
 from tallyloom.sources import bucketed, nested, paged, sinks, tables
 from tallyloom.streaming import streams, tracks
 
@@ -818,3 +820,16 @@ def test_sessions_count_whole_seconds_and_rows_without_a_time(spark, tmp_path, p
     spark.createDataFrame(rows, "user_id long, ts timestamp_ntz").repartition(partitions).write.parquet(str(tmp_path / "events.parquet"))
     found = plans.QUERIES["session_counts"](spark, str(tmp_path)).collect()
     assert {(r["user_id"], r["sessions"], r["n"]) for r in found} == {(1, 2, 3), (2, 2, 2), (3, 1, 1), (4, 2, 3), (None, 1, 1)}
+
+
+def test_shares_of_the_appearances_grow_with_the_lines(spark):
+    tables_ = tables.Tables(spark, DATA)
+    few = composition.appearances(tables_).rdd.getNumPartitions()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1000")
+    try:
+        scan = tables_.lineitem.rdd.getNumPartitions()
+        assert scan > 1 and composition.appearances(tables_).rdd.getNumPartitions() == composition.SHARES * scan > few
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
