@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.operators.sequence import typed
-
 # How many of each role a line-up has, candidates of a slot and role, the score from which a slot without a read
 # may be filled, and from which a read that is overruled is an anomaly.
 TARGET, LIMIT, INFER_FLOOR, STRONG_READ = {"Tank": 1, "Damage": 2, "Support": 2}, 4, 0.30, 0.55
 
+#: Keys of a batch that are Python objects at a time; the rest of it stays in Arrow's buffers.
+KEYS = 256
+
 _OUT = "slot int, value string, role string, score double, source string, valid boolean, confidence double, anomaly string"
 
 
@@ -95,21 +96,25 @@ def line_ups(reads: DataFrame, candidates: DataFrame, key: str, target: dict[str
     rows = part(able, F.col("role")).unionByName(part(reads.dropna(subset=[key, "slot"]), F.lit(None).cast("string")))
     packed = rows.groupBy(key).agg(F.collect_list(F.struct("slot", "value", "role", "score")).alias("rows"))
     schema = f"{key} {reads.schema[key].dataType.simpleString()}, {_OUT}"
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for own, packed_rows in zip(pdf[key], pdf["rows"], strict=True):
-                seen: dict[int, tuple] = {}
-                able: dict[int, list] = {}
-                for slot, value, role, score in (tuple(r.values()) for r in packed_rows):
-                    if role is not None:
-                        able.setdefault(slot, []).append((value, role, score))
-                    else:
-                        seen[slot] = max(seen.get(slot, (None, None)), (value, score), key=lambda x: (x[0] is not None, x[1] if x[1] is not None else -1.0, x[0] or ""))
-                if seen:
-                    out += [(own, *x) for x in _resolve(seen, able, target)]
-            yield typed(out, names, schema)
-
-    return packed.mapInPandas(solve, schema)
+    text = pa.string()
+    kinds = [("slot", pa.int32()), ("value", text), ("role", text), ("score", pa.float64()), ("source", text), ("valid", pa.bool_()), ("confidence", pa.float64()), ("anomaly", text)]
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shape = pa.schema([pa.field(key, batch.schema.field(key).type), *kinds])
+            for at in range(0, batch.num_rows, KEYS):
+                some, out = batch.slice(at, KEYS), []
+                for own, packed_rows in zip(some.column(key).to_pylist(), some.column("rows").to_pylist(), strict=True):
+                    seen: dict[int, tuple] = {}
+                    able: dict[int, list] = {}
+                    for slot, value, role, score in (tuple(r.values()) for r in packed_rows):
+                        if role is not None:
+                            able.setdefault(slot, []).append((value, role, score))
+                        else:
+                            seen[slot] = max(seen.get(slot, (None, None)), (value, score), key=lambda x: (x[0] is not None, x[1] if x[1] is not None else -1.0, x[0] or ""))
+                    if seen:
+                        out += [(own, *x) for x in _resolve(seen, able, target)]
+                columns = list(zip(*out, strict=True)) or [()] * len(shape)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, shape, strict=True)], schema=shape)
+
+    return packed.mapInArrow(solve, schema)

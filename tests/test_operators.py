@@ -833,3 +833,13 @@ def test_shares_of_the_appearances_grow_with_the_lines(spark):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_line_ups_hold_few_keys_of_a_batch_at_a_time(spark, monkeypatch):
+    able = spark.range(50).select(F.col("id").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("slot")).withColumn("role", F.get(F.array(*map(F.lit, ("Tank", "Damage", "Damage", "Support", "Support"))), F.col("slot")))
+    able = able.select("k", "slot", F.concat(F.lit("h"), F.col("slot").cast("string")).alias("value"), "role", (F.col("k") / 100 + 0.4).alias("score")).coalesce(1)
+    reads = able.select("k", "slot", "value", "score")
+    monkeypatch.setattr(roles, "KEYS", 7)
+    found = roles.line_ups(reads, able, "k").collect()
+    assert sorted((r["k"], r["slot"], r["value"], r["valid"]) for r in found) == [(k, i, f"h{i}", True) for k in range(50) for i in range(5)]
+    assert "MapInArrow" in roles.line_ups(reads, able, "k")._jdf.queryExecution().executedPlan().toString()
