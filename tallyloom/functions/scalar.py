@@ -14,13 +14,18 @@ def slugify(x: Column, default: str = "unknown") -> Column:
 
 def norm_text(x: Column) -> Column:
     """STR-02: upper case A-Z, digits and single blanks only."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.upper(x), "[^A-Z0-9 ]", " "), " +", " "))
+    return F.trim(F.regexp_replace(F.upper(x), "[^A-Z0-9]+", " "))
 
 
 def norm_contains(haystack: Column, needle: Column) -> Column:
     """STR-03: containment of normalised text; an empty or null needle is in nothing."""
+    return normal_contains(norm_text(haystack), needle)
+
+
+def normal_contains(normal: Column, needle: Column) -> Column:
+    """STR-03 where the haystack is normalised already, as a column that many needles are looked for in."""
     n = norm_text(needle)
-    return F.coalesce(F.contains(norm_text(haystack), n) & (n != ""), F.lit(False))
+    return F.coalesce(F.contains(normal, n) & (n != ""), F.lit(False))
 
 
 def clean_title(x: Column) -> Column:

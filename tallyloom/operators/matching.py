@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.scalar import norm_text
+from tallyloom.functions.scalar import norm_text, normal_contains
 from tallyloom.operators.fuzzy import fuzzy_best
 from tallyloom.sources.scratch import written
 
@@ -68,8 +68,8 @@ def match_names(rows: DataFrame, text: str, catalog: DataFrame, least_chars: int
 
 def additive_score(rules: list[tuple[str, Column, int]]) -> tuple[Column, Column]:
     """ER-07: (score, reasons): the sum of the weights of the rules that hold, and each as `+w name`, in their order."""
-    hit = F.array_compact(F.array(*(F.when(holds, F.struct(F.lit(w).alias("w"), F.lit(f"{w:+d} {name}").alias("name"))) for name, holds, w in rules)))
-    return F.aggregate(hit, F.lit(0), lambda s, x: s + x["w"]), F.transform(hit, lambda x: x["name"])
+    score = reduce(Column.__add__, (F.when(holds, w).otherwise(0) for _, holds, w in rules), F.lit(0))
+    return score, F.array_compact(F.array(*(F.when(holds, f"{w:+d} {name}") for name, holds, w in rules)))
 
 
 #: Weights of the signals that a video shows a match, their limits in hours and seconds, and the bands.
@@ -82,18 +82,17 @@ HIGH_SCORE, MEDIUM_SCORE = 70, 35
 
 
 def broadcast_rules(text: Column, title: tuple[str, ...], hours: Column, c: dict[str, Column]) -> list[tuple[str, Column, int]]:
-    """The rules of a video (its title and description as text) against a match: c has official, team_a, team_b,
-    competition, same_region, same_language, room, both_live and seconds; hours lie between both starts (null: unknown)."""
-    from tallyloom.functions.scalar import norm_contains
-
-    has = lambda name: norm_contains(text, c[name])
+    """The rules of a video against a match: text is its title and description as `norm_text` gives them, a column of the
+    rows and no expression, as every rule on names reads it; c has official, team_a, team_b, competition, same_region,
+    same_language, room, both_live and seconds; hours lie between both starts (null: unknown)."""
+    has = lambda name: normal_contains(text, c[name])
     on = {
         "official": F.coalesce(c["official"], F.lit(False)),
         "unofficial": ~F.coalesce(c["official"], F.lit(False)),
         "team a": has("team_a"),
         "team b": has("team_b"),
         "competition": has("competition"),
-        "title": reduce(Column.__or__, (norm_contains(text, F.lit(x)) for x in title)),
+        "title": reduce(Column.__or__, (normal_contains(text, F.lit(x)) for x in title)),
         "region": c["same_region"],
         "language": c["same_language"],
         "room": has("room"),

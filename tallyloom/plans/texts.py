@@ -298,13 +298,13 @@ _HIT = [
 def additive_score_reasons(t):
     """ER-07: the fifteen signed weights of a broadcast against a match, orders standing for their pairs."""
     v = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).join(t.nation, F.col("n_nationkey") == F.col("c_nationkey"))
-    text = F.concat_ws(" ", "o_orderpriority", "c_name", "c_mktsegment")
+    v = v.withColumn("text", sc.norm_text(F.concat_ws(" ", "o_orderpriority", "c_name", "c_mktsegment")))
     context = {
         "official": F.col("o_orderpriority") == "1-URGENT", "team_a": F.lit("building"), "team_b": F.lit("machinery"), "competition": F.lit("household"), "room": F.lit("furniture"),
         "same_region": F.col("n_regionkey") == 2, "same_language": F.col("c_nationkey") % 2 == 0, "both_live": F.col("o_orderstatus") == "P",
         "seconds": F.when(F.col("o_orderkey") % 11 > 0, F.floor(F.col("o_totalprice") / 100)),
     }
-    score, reasons = matching.additive_score(matching.broadcast_rules(text, ("medium", "low"), (F.col("o_orderkey") * 7) % 97 / 10, context))
+    score, reasons = matching.additive_score(matching.broadcast_rules(F.col("text"), ("medium", "low"), (F.col("o_orderkey") * 7) % 97 / 10, context))
     return v.select("o_orderkey", score.alias("score"), F.array_join(reasons, ",").alias("reasons"))
 
 

@@ -843,3 +843,34 @@ def test_line_ups_hold_few_keys_of_a_batch_at_a_time(spark, monkeypatch):
     found = roles.line_ups(reads, able, "k").collect()
     assert sorted((r["k"], r["slot"], r["value"], r["valid"]) for r in found) == [(k, i, f"h{i}", True) for k in range(50) for i in range(5)]
     assert "MapInArrow" in roles.line_ups(reads, able, "k")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_additive_score_normalises_a_text_once_for_all_its_rules(spark):
+    plan = plans.QUERIES["additive_score_reasons"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 1 and "aggregate(" not in plan
+
+
+def test_additive_score_of_odd_texts_and_unknown_parts(spark):
+    names = ["one", "Two-2", "cup!", "room", ""]
+    texts = [None, "", "  ", "one--two  2", "ONE\ttwo 2 (Cup)", "room\U0001f600one", "straße Two 2", "o ne", "-one-", "grand\nfinal day"]
+    rows = [(i, x, h, s) for i, (x, (h, s)) in enumerate(itertools.product(texts, [(None, None), (0.5, 1200), (12.0, 1199), (48.5, 0)]))]
+    df = spark.createDataFrame(rows, "i int, raw string, h double, s long").withColumn("text", sc.norm_text(F.col("raw")))
+    c = dict(zip(("team_a", "team_b", "competition", "room"), map(F.lit, names), strict=False)) | {"official": F.lit(None).cast("boolean"), "same_region": F.col("s") > 0, "same_language": F.lit(True), "both_live": F.lit(None).cast("boolean"), "seconds": F.col("s")}
+    score, reasons = matching.additive_score(matching.broadcast_rules(F.col("text"), ("grand final", ""), F.col("h"), c))
+
+    def plain(x):
+        x = x and " ".join(filter(None, "".join(a if a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789" else " " for a in x.upper()).split(" ")))
+        return x
+
+    def wanted(x, h, s):
+        t = plain(x)
+        has = lambda n: bool(plain(n)) and t is not None and plain(n) in t
+        on = {
+            "unofficial": True, "team a": has(names[0]), "team b": has(names[1]), "competition": has(names[2]), "title": has("grand final"), "region": s is not None and s > 0, "language": True, "room": has(names[3]),
+            "time close": h == 0.5, "same day": h == 12.0, "time conflict": h == 48.5, "long enough": s == 1200, "too short": s in (0, 1199),
+        }
+        hit = [n for n in matching.SIGNALS if on.get(n)]
+        return plain(x), sum(matching.SIGNALS[n] for n in hit), [f"{matching.SIGNALS[n]:+d} {n}" for n in hit]
+
+    found = df.select("i", "text", score.alias("score"), reasons.alias("reasons")).collect()
+    assert {r["i"]: (r["text"], r["score"], r["reasons"]) for r in found} == {i: wanted(x, h, s) for i, x, h, s in rows}
